@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # Fixed value: how many assessments the history keeps.
 HISTORY_KEEP = 200
@@ -48,8 +48,9 @@ def cached(inputs: DataFrame, folder: str, compute: Callable[[DataFrame], DataFr
 
 
 def append_history(df: DataFrame, path: str) -> None:
-    """Append assessments; files are laid out by day."""
-    df.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+    """Append assessments in the history schema; files are laid out by day."""
+    typed = df.to(T.StructType.fromDDL(HISTORY_SCHEMA))
+    typed.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
