@@ -90,9 +90,9 @@ def chat_context(spark, folder):
 
 
 # Events stand in for assessments.
-def history(spark, folder):
-    e, v = table(spark, folder, "events"), F.col("value")
-    return e.select(
+def assessments(events):
+    v = F.col("value")
+    return events.select(
         F.col("user_id").cast("string").alias("patient_id"), "ts", F.col("event_id").alias("id"),
         F.when(F.col("event_type") == "click", "Healthy").when(F.col("event_type") == "view", "NORMAL").otherwise("Disease").alias("label"),
         F.when(v >= 100, "High").when(v >= 50, "medium").otherwise("low").alias("risk"),
@@ -103,6 +103,10 @@ def history(spark, folder):
     )
 
 
+def history(spark, folder):
+    return assessments(table(spark, folder, "events"))
+
+
 HISTORY_SQL = """WITH history AS (SELECT CAST(user_id AS VARCHAR) AS patient_id, ts, event_id AS id,
     CASE event_type WHEN 'click' THEN 'Healthy' WHEN 'view' THEN 'NORMAL' ELSE 'Disease' END AS label,
     CASE WHEN value >= 100 THEN 'High' WHEN value >= 50 THEN 'medium' ELSE 'low' END AS risk,
