@@ -92,7 +92,7 @@ def _with_pivot_distances(df: DataFrame, vector: str, pivots: np.ndarray) -> Dat
 
 
 def _blocks(counts: DataFrame, keys: list[str], rows: int, name: str) -> DataFrame:
-    return counts.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    return counts.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("bigint").alias(name))
 
 
 def _match_blocks(routed: DataFrame, cells: DataFrame, k: int, by: list[str], block_rows: int, exclude_same: bool, schema: T.StructType) -> DataFrame:
@@ -104,12 +104,12 @@ def _match_blocks(routed: DataFrame, cells: DataFrame, k: int, by: list[str], bl
     left = join_measured(routed.select(*keys, "q_id", "q_vec"), sizes, keys).select(
         *keys, "q_id", "q_vec",
         F.pmod(F.xxhash64("q_id"), F.col("n_query_blocks")).alias("query_block"),
-        F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).cast("bigint").alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)).alias("block"),
     )
     right = join_measured(cells.select(*keys, "c_id", "c_vec"), sizes, keys).select(
-        *keys, "c_id", "c_vec",
-        F.pmod(F.xxhash64("c_id"), F.col("n_blocks")).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.col("n_query_blocks") - 1)).cast("bigint").alias("query_block"),
+        *[F.col(c).alias(f"c_{c}") for c in keys], "c_id", "c_vec",
+        F.pmod(F.xxhash64("c_id"), F.col("n_blocks")).alias("c_block"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_query_blocks") - 1)).alias("c_query_block"),
     )
     names = schema.names
     group = [*keys, "block", "query_block"]
@@ -122,7 +122,8 @@ def _match_blocks(routed: DataFrame, cells: DataFrame, k: int, by: list[str], bl
             near[name] = value
         return near[names]
 
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(match, schema)
+    corpus_group = [f"c_{name}" for name in group]
+    return left.groupBy(*group).cogroup(right.groupBy(*corpus_group)).applyInPandas(match, schema)
 
 
 def _top(found: DataFrame, k: int, by: list[str]) -> DataFrame:

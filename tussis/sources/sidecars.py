@@ -10,7 +10,7 @@ SIDECAR_SCHEMA = """
     datetime STRING, cough_detected STRING, latitude STRING, longitude STRING, age STRING,
     gender STRING, status STRING, respiratory_condition STRING, fever_muscle_pain STRING,
     expert_labels_1 STRUCT<diagnosis: STRING>, expert_labels_2 STRUCT<diagnosis: STRING>,
-    expert_labels_3 STRUCT<diagnosis: STRING>, _corrupt STRING
+    expert_labels_3 STRUCT<diagnosis: STRING>
 """
 
 SUMMARY_SCHEMA = """
@@ -25,17 +25,11 @@ def read_sidecars(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     A missing folder raises at once; an unreadable file goes to the second
     frame with its raw text instead of being logged and lost.
     """
-    raw = (
-        spark.read.schema(SIDECAR_SCHEMA)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .option("pathGlobFilter", "*.json")
-        .json(folder)
-        .withColumn("file_id", stem(F.col("_metadata.file_path")))
-    )
-    good = raw.where("_corrupt IS NULL").drop("_corrupt")
-    return good, raw.where("_corrupt IS NOT NULL").select("file_id", "_corrupt")
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    named = files.select(stem(F.col("_metadata.file_path")).alias("file_id"), "value")
+    parsed = parse_json(named, "value", SIDECAR_SCHEMA)
+    good = parsed.where("_corrupt IS NULL").drop("_corrupt", "value")
+    return good, parsed.where("_corrupt IS NOT NULL").select("file_id", "_corrupt")
 
 
 def require_rows(df: DataFrame, message: str) -> DataFrame:
