@@ -111,3 +111,15 @@ def test_stored_model_of_other_width_is_refused(spark, tmp_path):
     assert models.load_compatible(spark, path, 1).transform(df).count() == 2
     with pytest.raises(ValueError):
         models.load_compatible(spark, path, 3)
+
+
+def test_long_and_wide_votes_agree(spark):
+    from tussis.functions import scoring
+    from tussis.operators import evaluate
+
+    probabilities = [(i, 0.1 * (i % 11), 0.5, 0.07 * (i % 15), 0.9 if i % 2 else 0.2) for i in range(40)]
+    df = spark.createDataFrame(probabilities, "i INT, a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE")
+    wide = df.select("i", scoring.consensus([scoring.predicted(F.col(c), True) for c in "abcd"]).alias("v")).select("i", "v.*")
+    long = evaluate.consensus(df.select("i", F.inline(scoring.model_rows({c: F.col(c) for c in "abcd"}))), "i")
+    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, long.collect()))
+    assert {r["consensus"] for r in wide.where("disease_votes = 2").collect()} == {"Healthy signal"}

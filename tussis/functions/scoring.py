@@ -43,6 +43,16 @@ def soft_vote(probabilities: Sequence[Column]) -> Column:
     return sum(probabilities[1:], probabilities[0]) / len(probabilities)
 
 
+def consensus(predictions: Sequence[Column]) -> Column:
+    """Vote of models that are columns of one row; disease needs more than half."""
+    disease = sum(predictions[1:], predictions[0]).cast("bigint")
+    return F.struct(
+        (F.lit(len(predictions)) - disease).alias("healthy_votes"),
+        disease.alias("disease_votes"),
+        F.when(disease > len(predictions) / 2, "Disease signal").otherwise("Healthy signal").alias("consensus"),
+    )
+
+
 def model_rows(probabilities: Mapping[str, Column], accuracies: Mapping[str, float] | None = None, tie_is_disease: bool = True) -> Column:
     """Array of one struct per model: what each model says about the row.
 

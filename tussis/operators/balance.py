@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tussis.operators.neighbors import nearest_neighbors
 from tussis.operators.running import with_row_number, with_running_totals
 from tussis.operators.sizing import join_measured
+from tussis.session import durable
 
 # Sizes and ranges of the synthetic rows, share of the test part.
 ROWS_PER_CLASS = 120
@@ -41,7 +42,7 @@ def class_weights(df: DataFrame, target: str, weight: str = "weight") -> DataFra
     """Add n / (classes * class size)."""
     counts = df.groupBy(target).agg(F.count("*").alias("__n"))
     totals = counts.agg(F.struct(F.sum("__n").alias("n"), F.count("*").alias("k")).alias("s")).scalar()
-    weights = counts.select(target, (totals["n"] / (totals["k"] * F.col("__n"))).alias(weight))
+    weights = counts.withColumn("__t", totals).select(target, (F.col("__t.n") / (F.col("__t.k") * F.col("__n"))).alias(weight))
     return join_measured(df, weights, target)
 
 
@@ -72,9 +73,9 @@ def synthesize(df: DataFrame, key: str, target: str, vector: str, per_class: int
     drawn look for neighbours.
     """
     counts = df.groupBy(F.col(target).alias("class")).agg(F.count("*").alias("n"))
-    needs = counts.where(F.col("n") < per_class).withColumn("deficit", F.lit(per_class) - F.col("n"))
+    needs = durable(counts.where(F.col("n") < per_class).withColumn("deficit", F.lit(per_class) - F.col("n")))
     rows = df.select(F.col(target).alias("class"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x"))
-    short = join_measured(rows, needs.select("class"), "class", "left_semi")
+    short = durable(join_measured(rows, needs.select("class"), "class", "left_semi"))  # less than per_class rows per class
     numbered = with_row_number(short, ["id"], "at", ["class"])
 
     c, i = F.col("class"), F.col("draw")

@@ -60,7 +60,8 @@ def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     medians = exact_quantiles(df, columns, {"median": 0.5})
     wide = medians.agg(*[F.max(F.when(F.col("column_name") == c, F.col("median"))).alias(c) for c in columns])
     one = wide.select(F.struct(*columns).alias("m")).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), one.getField(c)) for c in columns})
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"__m.{c}")) for c in columns}
+    return df.withColumn("__m", one).withColumns(filled).drop("__m")
 
 
 def binary_rows(df: DataFrame, status: str = "status", target: str = "target") -> DataFrame:

@@ -10,7 +10,7 @@ from tussis.operators.running import with_running_totals
 
 
 def consensus(comparison: DataFrame, key: str) -> DataFrame:
-    """Disease only with more than half of the votes."""
+    """Disease only with more than half of the votes, for a stored long comparison."""
     votes = comparison.groupBy(key).agg(F.sum("prediction").alias("disease_votes"), F.count("*").alias("n_models"))
     return votes.select(
         key,

@@ -22,10 +22,11 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ).scalar()
 
     def scaled(c: str):
-        spread = moments[f"s_{c}"]
-        return (F.col(c) - moments[f"m_{c}"]) / F.when(spread == 0, 1.0).otherwise(spread)
+        spread = F.col(f"__m.s_{c}")
+        return (F.col(c) - F.col(f"__m.m_{c}")) / F.when(spread == 0, 1.0).otherwise(spread)
 
-    return df.withColumns({c: scaled(c) for c in columns})
+    # The subquery is attached once; its fields are then plain references.
+    return df.withColumn("__m", moments).withColumns({c: scaled(c) for c in columns}).drop("__m")
 
 
 def categories_of(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> list[str]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -44,11 +44,11 @@ def completeness(df: DataFrame) -> DataFrame:
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """(value, n, proportion of non-null rows), most frequent first.
 
-    The total is a scalar subquery over the counted values, not a window.
+    The total is a scalar subquery over the same counts, not a window.
     """
     present = df.where(F.col(column).isNotNull())
-    total = present.agg(F.count("*").alias("n")).scalar()
     counts = present.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("proportion", F.col("n") / total).orderBy(F.desc("n"), "value")
 
 
@@ -72,9 +72,9 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
     return joined.select(*by, "column_name", "count", "mean", "std", "min", *QUARTILES, "max")
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def correlations(df: DataFrame, columns: Sequence[str], diagonal: bool = False) -> DataFrame:
     """(x, y, r) for every pair, pairwise complete, in one aggregate pass."""
-    pairs = list(combinations(columns, 2))
+    pairs = list(combinations_with_replacement(columns, 2) if diagonal else combinations(columns, 2))
     totals = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     rows = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
     return totals.select(F.inline(F.array(*rows)))
@@ -82,11 +82,8 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The full matrix in long form, diagonal included."""
-    pair = correlations(df, columns)
-    mirrored = pair.select(F.explode(F.array(F.struct("x", "y", "r"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "r"))).alias("p"))
-    spread = df.agg(*[F.corr(F.col(c).cast("double"), F.col(c).cast("double")).alias(f"d_{c}") for c in columns])
-    diagonal = _rows(spread, columns, {"r": "d_"}, "x").select("x", F.col("x").alias("y"), "r")
-    return mirrored.select("p.*").unionByName(diagonal)
+    mirrored = F.array_distinct(F.array(F.struct("x", "y", "r"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "r")))
+    return correlations(df, columns, diagonal=True).select(F.inline(mirrored))
 
 
 def redundant_pairs(df: DataFrame, columns: Sequence[str], threshold: float = 0.9) -> DataFrame:
@@ -115,9 +112,16 @@ def _comparable(field: T.StructField) -> Column:
 
 
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row: rows beyond the first of each distinct row."""
+    """One row: rows beyond the first of each distinct row.
+
+    Text and nested cells are reduced to a SHA-256 digest of the row before the
+    shuffle, which then carries 64 bytes per row however long the texts are.
+    """
     fields = [f for f in df.schema if columns is None or f.name in columns]
-    groups = df.groupBy(*[_comparable(f).alias(f.name) for f in fields]).agg(F.count("*").alias("n"))
+    cells = [_comparable(f).alias(f.name) for f in fields]
+    fixed_width = all(isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType)) for f in fields)
+    keys = cells if fixed_width else [F.sha2(F.to_json(F.struct(*cells)), 256).alias("digest")]
+    groups = df.groupBy(*keys).agg(F.count("*").alias("n"))
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 

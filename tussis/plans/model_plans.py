@@ -40,23 +40,26 @@ def model_probability(spark, folder):
                     F.round(S.confidence(p), 9).alias("confidence"), F.round(p, 9).alias("disease_probability"))
 
 
-def comparison(spark, folder):
-    v = vectors(spark, folder)
-    scored = v.select("vec_id", *[p.alias(n) for n, p in _probabilities().items()])
-    return scored.select("vec_id", F.inline(S.model_rows({n: F.col(n) for n in NAMES}, _ACCURACY)))
+def scored(spark, folder, *keep):
+    return vectors(spark, folder).select(*keep, *[p.alias(n) for n, p in _probabilities().items()])
+
+
+def comparison(spark, folder, *keep):
+    return scored(spark, folder, *keep).select(*keep, F.inline(S.model_rows({n: F.col(n) for n in NAMES}, _ACCURACY)))
 
 
 @query("compare_models", f"""{_LONG_SQL} SELECT vec_id, model, CASE WHEN p >= 0.5 THEN 'Disease' ELSE 'Healthy' END AS label, CAST(p >= 0.5 AS INTEGER) AS prediction,
     round(greatest(p, 1 - p), 9) AS confidence, round(p, 9) AS disease_probability, accuracy FROM long""")
 def compare_models(spark, folder):
-    return comparison(spark, folder).withColumns({c: F.round(c, 9) for c in ["confidence", "disease_probability"]})
+    return comparison(spark, folder, "vec_id").withColumns({c: F.round(c, 9) for c in ["confidence", "disease_probability"]})
 
 
 @query("consensus_vote", f"""{_LONG_SQL}, v AS (SELECT vec_id, CAST(sum((p >= 0.5)::INTEGER) AS BIGINT) AS d, count(*) AS n FROM long WHERE model <> 'svc' GROUP BY vec_id)
     SELECT vec_id, n - d AS healthy_votes, d AS disease_votes, CASE WHEN d > n / 2.0 THEN 'Disease signal' ELSE 'Healthy signal' END AS consensus FROM v""")
 def consensus_vote(spark, folder):
     """Four voters, so that ties occur."""
-    return E.consensus(comparison(spark, folder).where("model <> 'svc'"), "vec_id")
+    votes = S.consensus([S.predicted(F.col(n), True) for n in NAMES if n != "svc"])
+    return scored(spark, folder, "vec_id").select("vec_id", votes.alias("v")).select("vec_id", "v.*")
 
 
 @query("soft_vote", f"""{_LONG_SQL}, v AS (SELECT vec_id, avg(p) AS p FROM long GROUP BY vec_id)
@@ -91,8 +94,7 @@ def binary_metrics(spark, folder):
 @query("model_metrics", f"""{_LONG_SQL}, r AS (SELECT model, (label >= 5)::INTEGER AS y, (p >= 0.5)::INTEGER AS pred FROM long),
     c AS (SELECT model, {_counts_sql('y', 'pred')} FROM r GROUP BY model) SELECT model, tp, fp, fn, tn, {_METRIC_SQL} FROM c""")
 def model_metrics(spark, folder):
-    rows = comparison(spark, folder).drop("label").join(vectors(spark, folder).select("vec_id", "target"), "vec_id")
-    return _rounded_metrics(E.binary_metrics(rows, "target", "prediction", ["model"]))
+    return _rounded_metrics(E.binary_metrics(comparison(spark, folder, "target"), "target", "prediction", ["model"]))
 
 
 @query("roc_auc", f"""{_LONG_SQL}, s AS (SELECT model, (label >= 5)::INTEGER AS y, round(p, 2) AS p FROM long),

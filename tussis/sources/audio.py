@@ -73,7 +73,7 @@ def encode_wav(samples, sample_rate: int) -> bytes:
 
 
 @F.pandas_udf(DECODED)
-def decode_wav_column(content: pd.Series) -> pd.DataFrame:
+def _decode_wav_column(content: pd.Series) -> pd.DataFrame:
     rows = []
     for blob in content:
         try:
@@ -84,6 +84,10 @@ def decode_wav_column(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"y": [r[0] for r in rows], "sr": pd.array([r[1] for r in rows], dtype="Int32"), "error": [r[2] for r in rows]})
 
 
+# Filters on the result must not be pushed below the decoder: that would decode twice.
+decode_wav_column = _decode_wav_column.asNondeterministic()
+
+
 def encode_wav_column(samples: Column, sample_rate: int) -> Column:
     @F.pandas_udf(T.BinaryType())
     def run(y: pd.Series) -> pd.Series:

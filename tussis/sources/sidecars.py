@@ -25,7 +25,7 @@ def read_sidecars(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     A missing folder raises at once; an unreadable file goes to the second
     frame with its raw text instead of being logged and lost.
     """
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     named = files.select(stem(F.col("_metadata.file_path")).alias("file_id"), "value")
     parsed = parse_json(named, "value", SIDECAR_SCHEMA)
     good = parsed.where("_corrupt IS NULL").drop("_corrupt", "value")
@@ -43,7 +43,9 @@ def parse_json(df: DataFrame, column: str, schema: str, corrupt: str = "_corrupt
     """Parse a JSON text column; text that does not parse lands in ``corrupt``."""
     fields = f"{schema}, {corrupt} STRING"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
-    return df.withColumn("__parsed", F.from_json(column, fields, options)).select("*", "__parsed.*").drop("__parsed")
+    # A generator keeps later filters on the parsed fields above the parse, which
+    # would otherwise be repeated inside the pushed-down filter.
+    return df.select("*", F.inline_outer(F.array(F.from_json(column, fields, options))))
 
 
 def model_summary_rows(df: DataFrame, summary: str) -> DataFrame:

@@ -50,7 +50,8 @@ def cached(inputs: DataFrame, folder: str, compute: Callable[[DataFrame], DataFr
 def append_history(df: DataFrame, path: str) -> None:
     """Append assessments in the history schema; files are laid out by day."""
     typed = df.to(T.StructType.fromDDL(HISTORY_SCHEMA))
-    typed.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+    # Rebalancing by day avoids a file per task and day, and splits a crowded day.
+    typed.withColumn("day", F.to_date("ts")).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
