@@ -95,14 +95,14 @@ def test_mentions_against_scan(spark):
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
     words = ["fever", "hot", "of breath", "breath", "no"]
     df = rules.with_text_views(spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING"), "t")
-    got = df.select("i", *[rules.mentions(F.col("__lower"), F.col("__clauses"), [w]).alias(w) for w in words]).orderBy("i").collect()
+    got = df.select("i", *[rules.mentions([w]).alias(w) for w in words]).orderBy("i").collect()
     wrong = [(texts[r["i"]], w) for r in got for w in words if r[w] != scan(texts[r["i"]], w, T.NEGATORS)]
     assert wrong == []
 
 
 def test_whole_word_option(spark):
     df = rules.with_text_views(spark.createDataFrame([("gunshot",), ("hot day",)], "t STRING"), "t")
-    cols = [rules.mentions(F.col("__lower"), F.col("__clauses"), ["hot"], whole_word=w).alias(str(w)) for w in (False, True)]
+    cols = [rules.mentions(["hot"], whole_word=w).alias(str(w)) for w in (False, True)]
     assert [tuple(r) for r in df.select(*cols).collect()] == [(True, False), (True, True)]
 
 
@@ -110,10 +110,15 @@ def test_long_text_without_clause_marks(spark):
     """Tens of thousands of repeated words in one clause stay cheap and exact."""
     text = "fever " * 20000
     df = rules.with_text_views(spark.createDataFrame([("no " + text,), (text,), ("nofever " * 2000 + "fever",)], "t STRING"), "t")
-    got = [r[0] for r in df.select(rules.mentions(F.col("__lower"), F.col("__clauses"), ["fever"])).collect()]
+    got = [r[0] for r in df.select(rules.mentions(["fever"])).collect()]
     assert got == [False, True, True]
 
 
+def test_keyword_across_clauses_is_refused():
+    with pytest.raises(ValueError):
+        rules.mentions(["a, b"])
+
+
 @pytest.mark.parametrize("plan", list(T.CARE_PLANS))
 def test_every_plan_has_steps(spark, plan):
     steps = spark.range(1).select(rules.care_plan_steps(F.lit(plan)).alias("s")).first()["s"]

@@ -151,7 +151,7 @@ def test_routing(spark):
         "Who made this project?": "author", "I cannot breathe": "emergency", "ನಿಖರತೆ?": "kannada:models", "दमा": "hindi:diseases", "hello": "general",
     }
     df = spark.createDataFrame([(k,) for k in cases], "t STRING")
-    assert {r["t"]: r["i"] for r in df.select("t", chat.intent(F.col("t")).alias("i")).collect()} == cases
+    assert {r["t"]: r["intent"] for r in chat.with_intent(df, "t").collect()} == cases
 
 
 def test_route_names_are_arguments():

@@ -12,6 +12,7 @@ from tussis.functions import clinical_terms as T
 
 WORD = r"\p{L}\p{N}_"
 CLAUSE_BREAK = "[.;,]"
+FREE, GUARDED = "__free", "__guarded"  # the two views of a text
 
 
 def negator_alternatives(negators: Iterable[str]) -> str:
@@ -24,6 +25,11 @@ def negator_pattern(negators: Iterable[str]) -> str:
     return rf"(?:^|[^{WORD}])(?:{negator_alternatives(negators)})(?:\z|[^{WORD}])"
 
 
+def negator_start(negators: Iterable[str]) -> str:
+    """Any negator at the start of a word; a text without it has no negator before any of its words."""
+    return rf"(?:^|[^{WORD}])(?:{negator_alternatives(negators)})"
+
+
 def clauses(lowered: Column) -> Column:
     """Lower-cased text cut at sentence and clause marks."""
     return F.split(lowered, CLAUSE_BREAK, -1)
@@ -34,48 +40,59 @@ def _keyword_pattern(keyword: str, whole_word: bool) -> str:
     return rf"(?<![{WORD}]){quoted}(?![{WORD}])" if whole_word else quoted
 
 
-def _affirmed(clause: Column, keyword: str, negators: Sequence[str], whole_word: bool) -> Column:
-    """Some occurrence of ``keyword`` has no negator before it in ``clause``."""
+def _quoted(text: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _affirmed(keyword: str, negators: Sequence[str], whole_word: bool) -> Column:
+    """Some occurrence of ``keyword`` in a guarded clause has no negator before it.
+
+    Written as one SQL expression: a lexicon has dozens of keywords, and nested
+    lambdas are slow to assemble call by call.
+    """
+    word = _quoted(keyword)
     # Whatever starts after a complete negator is negated, so only the head counts.
-    complete = rf"(?s)^.*?(?<![{WORD}])(?:{negator_alternatives(negators)})(?![{WORD}])"
-    reach = F.length(F.regexp_extract(clause, complete, 0))
-    head = F.when(reach > 0, F.substring(clause, F.lit(1), reach + (len(keyword) - 1))).otherwise(clause)
-    parts = F.split(head, _keyword_pattern(keyword, whole_word), -1)
-    negated = negator_pattern(negators)
-    occurrences = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i > 0)
-    return F.exists(
-        occurrences,
-        lambda i: ~F.array_join(F.slice(parts, F.lit(1), i), keyword).rlike(negated),
+    complete = _quoted(rf"(?s)^.*?(?<![{WORD}])(?:{negator_alternatives(negators)})(?![{WORD}])")
+    reach = f"length(regexp_extract(c, {complete}, 0))"
+    head = f"if({reach} > 0, substring(c, 1, {reach} + {len(keyword) - 1}), c)"
+    parts = f"split({head}, {_quoted(_keyword_pattern(keyword, whole_word))}, -1)"
+    return F.expr(
+        f"""exists({GUARDED}, c -> contains(c, {word}) AND exists(transform(array({parts}), p ->
+            exists(filter(sequence(0, size(p) - 1), i -> i > 0),
+                   i -> NOT rlike(array_join(slice(p, 1, i), {word}), {_quoted(negator_pattern(negators))}))), x -> x))"""
     )
 
 
-def mentions(
-    lowered: Column,
-    clause_list: Column,
-    keywords: Sequence[str],
-    negators: Sequence[str] = tuple(T.NEGATORS),
-    whole_word: bool = False,
-) -> Column:
-    """True when any keyword occurs un-negated.
+def with_text_views(df: DataFrame, text: str, negators: Sequence[str] = tuple(T.NEGATORS)) -> DataFrame:
+    """Add the two views of a text that the keyword tests read, computed once per row.
 
-    Keywords match as substrings unless ``whole_word``. ``lowered`` gives a
-    cheap test that skips the clause scan for texts without the keyword.
+    ``__free`` joins the clauses in which no negator occurs, where any keyword
+    counts; ``__guarded`` lists the others, which need a look at what precedes it.
     """
+    start = negator_start(negators)
+    cut = df.withColumn("__clauses", clauses(F.lower(F.coalesce(F.col(text), F.lit("")))))
+    return cut.withColumn(GUARDED, F.filter("__clauses", lambda c: c.rlike(start))).withColumn(
+        FREE, F.array_join(F.filter("__clauses", lambda c: ~c.rlike(start)), ".")
+    ).drop("__clauses")
 
-    def one(keyword: str) -> Column:
-        found = F.exists(
-            clause_list,
-            lambda c: c.contains(F.lit(keyword)) & _affirmed(c, keyword, negators, whole_word),
-        )
-        return lowered.contains(F.lit(keyword)) & found
 
-    return reduce(lambda a, b: a | b, [one(k.lower()) for k in keywords])
+def mentions(keywords: Sequence[str], negators: Sequence[str] = tuple(T.NEGATORS), whole_word: bool = False) -> Column:
+    """True when any keyword occurs un-negated, read from the text views.
 
+    The views must have been made with the same negators. Keywords match as
+    substrings unless ``whole_word``.
+    """
+
+    def in_free(keyword: str) -> Column:
+        return F.col(FREE).rlike(_keyword_pattern(keyword, True)) if whole_word else F.col(FREE).contains(F.lit(keyword))
 
-def with_text_views(df: DataFrame, text: str) -> DataFrame:
-    """Add ``__lower`` and ``__clauses``, computed once per row."""
-    lowered = df.withColumn("__lower", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    return lowered.withColumn("__clauses", clauses(F.col("__lower")))
+    def one(keyword: str) -> Column:
+        if re.search(CLAUSE_BREAK, keyword):
+            raise ValueError(f"a keyword must lie within a clause: {keyword!r}")
+        return in_free(keyword) | _affirmed(keyword, negators, whole_word)
+
+    return reduce(lambda a, b: a | b, [one(k.lower()) for k in keywords])
 
 
 def _labels(tests: Sequence[tuple[str, Column]]) -> Column:
@@ -84,21 +101,13 @@ def _labels(tests: Sequence[tuple[str, Column]]) -> Column:
     return F.array_sort(F.array_distinct(F.filter(flags, lambda x: x.isNotNull())))
 
 
-def emergency_signs(terms: T.ClinicalTerms = T.DEFAULT_TERMS, lowered="__lower", clause_list="__clauses") -> Column:
-    low, cl = F.col(lowered), F.col(clause_list)
-    return _labels([(label, mentions(low, cl, words, terms.negators)) for label, words in terms.emergencies.items()])
+def emergency_signs(terms: T.ClinicalTerms = T.DEFAULT_TERMS) -> Column:
+    return _labels([(label, mentions(words, terms.negators)) for label, words in terms.emergencies.items()])
 
 
-def symptoms(
-    respiratory: Column,
-    fever: Column,
-    terms: T.ClinicalTerms = T.DEFAULT_TERMS,
-    lowered="__lower",
-    clause_list="__clauses",
-) -> Column:
-    low, cl = F.col(lowered), F.col(clause_list)
+def symptoms(respiratory: Column, fever: Column, terms: T.ClinicalTerms = T.DEFAULT_TERMS) -> Column:
     tests = [(T.FEVER_FLAG_LABEL, fever), (T.RESPIRATORY_FLAG_LABEL, respiratory)]
-    tests += [(name, mentions(low, cl, words, terms.negators)) for name, words in terms.symptoms.items()]
+    tests += [(name, mentions(words, terms.negators)) for name, words in terms.symptoms.items()]
     return _labels(tests)
 
 
@@ -129,11 +138,9 @@ def acoustic_disease(prediction: Column, probability: Column) -> Column:
 
 
 def care_plan_id(emergency: Column, disease: Column, respiratory: Column, fever: Column, age: Column,
-                 terms: T.ClinicalTerms = T.DEFAULT_TERMS, lowered="__lower", clause_list="__clauses") -> Column:
-    low, cl = F.col(lowered), F.col(clause_list)
-
+                 terms: T.ClinicalTerms = T.DEFAULT_TERMS) -> Column:
     def said(plan: str) -> Column:
-        return mentions(low, cl, terms.plans[plan], terms.negators)
+        return mentions(terms.plans[plan], terms.negators)
 
     return (
         F.when(emergency, "emergency")
@@ -168,7 +175,7 @@ def fuse(
     years = F.coalesce(F.col(age).cast("double"), F.lit(35.0))
 
     tagged = (
-        with_text_views(df, notes)
+        with_text_views(df, notes, terms.negators)
         .withColumn("__signs", emergency_signs(terms))
         .withColumn("__symptoms", symptoms(resp, fev, terms))
         .withColumn("__urgent", F.size("__signs") > 0)

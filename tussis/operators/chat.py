@@ -98,23 +98,30 @@ def first_topic(lowered: Column, topics: Topics, default: str) -> Column:
     return result.otherwise(default)
 
 
-def intent(
-    message: Column,
+def with_intent(
+    messages: DataFrame,
+    text: str,
     language: Column | None = None,
     topics: Topics | None = None,
     emergencies: Sequence[str] = tuple(EMERGENCY_PHRASES),
     local_topics: dict[str, Topics] | None = None,
     scripts=tuple(SCRIPTS),
     default: str = "general",
-) -> Column:
-    """Emergency first, then the topics of the message's script, then the default."""
-    lowered = F.lower(F.coalesce(message, F.lit("")))
+) -> DataFrame:
+    """Add ``intent``: emergency first, then the topics of the message's script, then the default.
+
+    The lower-cased text and its script are columns of their own, so that they
+    are computed once and not in every branch.
+    """
     local_topics = LOCAL_TOPICS if local_topics is None else local_topics
-    script = script_of(lowered, language, scripts)
+    viewed = messages.withColumn("__lower", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    viewed = viewed.withColumn("__script", script_of(F.col("__lower"), language, scripts))
+    lowered, script = F.col("__lower"), F.col("__script")
     routed = F.when(_any_term(lowered, emergencies), "emergency")
     for name, own in local_topics.items():
         routed = routed.when(script == name, F.concat(F.lit(f"{name}:"), first_topic(lowered, own, default)))
-    return routed.otherwise(first_topic(lowered, english_topics() if topics is None else topics, default))
+    routed = routed.otherwise(first_topic(lowered, english_topics() if topics is None else topics, default))
+    return viewed.withColumn("intent", routed).drop("__lower", "__script")
 
 
 def context(messages: DataFrame, conversation: str, turn: str, role: str, text: str, n: int = CONTEXT_MESSAGES) -> DataFrame:

@@ -12,6 +12,17 @@ def within_rows(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Repartition a scan that has fewer partitions than there are cores.
+
+    Only small inputs qualify (a large one has more splits than cores), so the
+    shuffle this adds is small too. ``scan`` must be a plain scan: its number
+    of partitions is known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def join_measured(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join ``small`` by broadcast when its row count is within ``max_rows``.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tussis.functions import clean as C
 from tussis.operators import clean as O, lookup as L
-from tussis.plans.registry import query, sql_list, table
+from tussis.plans.registry import query, spread_table, sql_list, table
 
 
 def _messy_segment(spark, folder):
@@ -123,7 +123,7 @@ def first_nested(spark, folder):
       (o_custkey % 2 = 0) AS respiratory_condition, false AS fever_muscle_pain FROM l WHERE target IS NOT NULL""")
 def derive_label(spark, folder):
     p, k = F.substring("o_orderpriority", 1, 1), F.col("o_custkey")
-    o = table(spark, folder, "orders").select(
+    o = spread_table(spark, folder, "orders").select(
         F.col("o_orderkey").cast("string").alias("file_id"),
         F.when(p == "1", " COVID-19 ").when(p == "2", "Symptomatic").when(p == "3", "healthy").when(p == "4", "").otherwise("other").alias("status"),
         F.struct(F.when(F.col("o_orderstatus") == "F", "lower_infection").when(F.col("o_orderstatus") == "P", "Healthy_Cough").alias("diagnosis")).alias("expert_labels_1"),

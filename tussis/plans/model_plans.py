@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tussis.functions import scoring as S
 from tussis.operators import balance as B, evaluate as E, neighbors as N, prepare as P
-from tussis.plans.registry import query, table
+from tussis.plans.registry import query, spread_table, table
 from tussis.plans.scorers import NAMES, SCORERS, sql_probability, sql_score
 
 
 def vectors(spark, folder):
-    return table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), "label", (F.col("label") >= 5).cast("int").alias("target"))
+    return spread_table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), "label", (F.col("label") >= 5).cast("int").alias("target"))
 
 
 def _probabilities():

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tussis.operators.sizing import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,6 +30,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table for work that is heavy per row: a file too small to fill the cores is spread over them."""
+    return spread(table(spark, folder, name))
+
+
 def sql_text(value: str) -> str:
     """A quoted SQL string literal."""
     return "'" + value.replace("'", "''") + "'"

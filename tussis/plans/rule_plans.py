@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tussis.functions import clinical_terms as T, rules
 from tussis.functions.clinical_terms import DEFAULT_TERMS
 from tussis.plans import sql_rules as S
-from tussis.plans.registry import query, sql_text, table
+from tussis.plans.registry import query, spread_table, sql_text
 from tussis.plans.stand_ins import (
     DOCUMENT_SCREENINGS_SQL,
     DOCUMENT_TERMS,
@@ -35,22 +35,24 @@ def fused_result_documents(spark, folder):
 
 
 
+_NEGATION_CASES = [
+    ("articles", ["the", "and"], ["no"]),
+    ("verbs", ["is", "was"], ["no", "on", "the"]),
+    ("place", ["there"], ["the", "in the", "a"]),
+]
+
+
 @query(
     "negation_contains",
     f"""WITH cl AS (SELECT doc_id, regexp_split_to_array(lower(text), '[.;,]') AS clause_list FROM documents)
-    SELECT doc_id, {S.sql_mentions('clause_list', ['the', 'and'], ['no'])} AS articles,
-        {S.sql_mentions('clause_list', ['is', 'was'], ['no', 'on', 'the'])} AS verbs,
-        {S.sql_mentions('clause_list', ['there'], ['the', 'in the', 'a'])} AS place FROM cl""",
+    SELECT doc_id, {', '.join(f"{S.sql_mentions('clause_list', words, negators)} AS {name}" for name, words, negators in _NEGATION_CASES)} FROM cl""",
 )
 def negation_contains(spark, folder):
-    d = rules.with_text_views(table(spark, folder, "documents").select("doc_id", "text"), "text")
-    low, cl = F.col("__lower"), F.col("__clauses")
-    return d.select(
-        "doc_id",
-        rules.mentions(low, cl, ["the", "and"], ["no"]).alias("articles"),
-        rules.mentions(low, cl, ["is", "was"], ["no", "on", "the"]).alias("verbs"),
-        rules.mentions(low, cl, ["there"], ["the", "in the", "a"]).alias("place"),
-    )
+    d = spread_table(spark, folder, "documents").select("doc_id", "text")
+    for name, words, negators in _NEGATION_CASES:
+        viewed = rules.with_text_views(d, "text", negators)
+        d = viewed.withColumn(name, rules.mentions(words, negators)).drop(rules.FREE, rules.GUARDED)
+    return d.drop("text")
 
 
 _EVENT_CLAUSES = f"""WITH src AS ({SCREENINGS_SQL}),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tussis.functions import signal as S, spectral as X
-from tussis.plans.registry import query, sql_text, table
+from tussis.plans.registry import query, spread_table, sql_text
 from tussis.plans.sql_signal import SignalSql, stats_select, with_ctes
 from tussis.sources import audio
 
@@ -16,7 +16,7 @@ CHROMA_RATE = 8000.0
 
 
 def recordings(spark, folder):
-    return table(spark, folder, "embeddings").select(
+    return spread_table(spark, folder, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("y"), F.lit(RATE).alias("sr")
     )
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tussis.functions.clinical_terms import ClinicalTerms
-from tussis.plans.registry import sql_list, table
+from tussis.plans.registry import spread_table, sql_list
 
 # Published example notes and edge cases of the rules.
 NOTES = [
@@ -62,7 +62,7 @@ def note_of(event_id: Column) -> Column:
 
 def screenings(spark: SparkSession, folder: str) -> DataFrame:
     """One screening input per event."""
-    e = table(spark, folder, "events")
+    e = spread_table(spark, folder, "events")
     i = F.col("event_id")
     return e.select(
         "event_id",
@@ -85,7 +85,7 @@ SCREENINGS_SQL = f"""
 
 def document_screenings(spark: SparkSession, folder: str) -> DataFrame:
     """One screening input per document, the whole text as the note."""
-    d = table(spark, folder, "documents")
+    d = spread_table(spark, folder, "documents")
     i = F.col("doc_id")
     probability = (F.col("n_chars") % 1000) / 1000.0
     return d.select(

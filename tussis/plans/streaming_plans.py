@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tussis.functions import rules, scoring, signal as S
 from tussis.functions.clinical_terms import DEFAULT_TERMS
 from tussis.plans import sql_rules
-from tussis.plans.registry import query, sql_list, table
+from tussis.plans.registry import query, spread_table, sql_list, table
 from tussis.plans.scorers import SCORERS, sql_probability
 from tussis.plans.stand_ins import NOTES, note_of
 from tussis.plans.text_plans import HISTORY_SQL, KPI_SQL, assessments, rounded_kpis
@@ -108,7 +108,7 @@ _SCREEN_SQL = f"SELECT * REPLACE (round(confidence, 6) AS confidence) FROM ({sql
 
 @query("screen_batch", _SCREEN_SQL)
 def screen_batch(spark, folder):
-    return screening.screen(_recordings(table(spark, folder, "embeddings")), _gate, _score, _fuse)
+    return screening.screen(_recordings(spread_table(spark, folder, "embeddings")), _gate, _score, _fuse)
 
 
 @query("stream_score", _SCREEN_SQL)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tussis.functions import clinical_terms as T, rules, text as X
 from tussis.functions.clean import id_matches
 from tussis.operators import chat, history as H
-from tussis.plans.registry import query, sql_text, table
+from tussis.plans.registry import query, spread_table, sql_text, table
 from tussis.plans.stand_ins import SCREENINGS_SQL, note_of
 from tussis.session import scratch_path
 from tussis.sources import sinks
@@ -18,19 +18,19 @@ _SPACE = sql_text(r"[\s\p{Z}\x1c-\x1f\x85]+")
 @query("html_to_text", f"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), {_SPACE}, ' ', 'g')) AS text FROM pages)
     SELECT page_id, text, CAST(length(text) AS INTEGER) AS n_chars FROM t""")
 def html_to_text(spark, folder):
-    p = table(spark, folder, "pages").select("page_id", X.plain_text(F.col("html")).alias("text"))
+    p = spread_table(spark, folder, "pages").select("page_id", X.plain_text(F.col("html")).alias("text"))
     return p.withColumn("n_chars", F.length("text"))
 
 
 @query("html_escape", """SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM documents""")
 def html_escape(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", X.html_escape(F.col("text")).alias("escaped"))
+    return spread_table(spark, folder, "documents").select("doc_id", X.html_escape(F.col("text")).alias("escaped"))
 
 
 @query("percent_encode", "SELECT conv_id, turn, replace(url_encode(role || '/~ *' || text), '%2F', '/') AS encoded FROM conversations")
 def percent_encode(spark, folder):
     raw = F.concat(F.col("role"), F.lit("/~ *"), F.col("text"))
-    return table(spark, folder, "conversations").select("conv_id", "turn", X.percent_encode(raw).alias("encoded"))
+    return spread_table(spark, folder, "conversations").select("conv_id", "turn", X.percent_encode(raw).alias("encoded"))
 
 
 @query("digits_only", "SELECT c_custkey, regexp_replace(c_name, '[^0-9]', '', 'g') AS digits FROM customer")
@@ -52,7 +52,7 @@ _LATIN_SCRIPTS = [("french", "[éèêçà]"), ("german", "[äöüß]"), ("spanis
     WHEN regexp_matches(text, '[ñáíóú]') THEN 'spanish' ELSE 'english' END AS script,
     CASE WHEN lang = 'es' THEN 'telugu' ELSE 'english' END AS hinted FROM documents""")
 def script_detect(spark, folder):
-    d, t = table(spark, folder, "documents"), F.col("text")
+    d, t = spread_table(spark, folder, "documents"), F.col("text")
     hint = F.when(F.col("lang") == "es", "Telugu (UI)")
     return d.select("doc_id", X.script_of(t, F.col("lang"), _LATIN_SCRIPTS).alias("script"), X.script_of(t, hint).alias("hinted"))
 
@@ -70,23 +70,24 @@ def _topic_sql(text: str, topics, default: str) -> str:
       WHEN regexp_matches(t, '[ñáíóú]') THEN 'spanish:' || {_topic_sql('t', [('question', ['que'])], 'general')}
       ELSE {_topic_sql('t', _TOPICS, 'general')} END AS intent FROM m""")
 def intent_route(spark, folder):
-    routed = chat.intent(F.col("text"), topics=_TOPICS, emergencies=["the the", "de de"],
-                         local_topics={"spanish": [("question", ["que"])]}, scripts=[("spanish", "[ñáíóú]")])
-    return table(spark, folder, "conversations").select("conv_id", "turn", routed.alias("intent"))
+    messages = spread_table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    routed = chat.with_intent(messages, "text", topics=_TOPICS, emergencies=["the the", "de de"],
+                              local_topics={"spanish": [("question", ["que"])]}, scripts=[("spanish", "[ñáíóú]")])
+    return routed.drop("text")
 
 
 @query("intent_route_default", f"""WITH m AS (SELECT doc_id, lower(text) AS t FROM documents)
     SELECT doc_id, CASE WHEN {' OR '.join(f'contains(t, {sql_text(p)})' for p in chat.EMERGENCY_PHRASES)} THEN 'emergency'
       ELSE {_topic_sql('t', chat.english_topics(), 'general')} END AS intent FROM m""")
 def intent_route_default(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", chat.intent(F.col("text")).alias("intent"))
+    return chat.with_intent(spread_table(spark, folder, "documents").select("doc_id", "text"), "text").drop("text")
 
 
 @query("chat_context", """WITH r AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'model' ELSE 'user' END AS role, trim(text) AS text,
       row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS recency FROM conversations WHERE trim(text) <> '')
     SELECT conv_id, turn, role, text, CAST(recency AS INTEGER) AS recency FROM r WHERE recency <= 4""")
 def chat_context(spark, folder):
-    return chat.context(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text", 4)
+    return chat.context(spread_table(spark, folder, "conversations"), "conv_id", "turn", "role", "text", 4)
 
 
 # Events stand in for assessments.
