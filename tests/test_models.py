@@ -100,6 +100,32 @@ def test_leaderboard_reports_failures(spark):
     assert out["broken"]["accuracy"] is None and "does not fit" in out["broken"]["error"]
 
 
+@pytest.mark.parametrize("family", ["decision_tree", "adaboost", "svc", "knn", "voting_ensemble"])
+def test_stored_families_score_the_same(spark, part, family, tmp_path):
+    model = models.model_families(models.QUICK)[family](part.train)
+    models.save_fitted(model, str(tmp_path / family), part.scaling)
+    again, scaling = models.load_fitted(spark, str(tmp_path / family))
+    assert scaling == part.scaling and again.name == model.name
+    one = model.score(part.test, "p").select("row_key", F.round("p", 9)).collect()
+    two = again.score(part.test, "p").select("row_key", F.round("p", 9)).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two))
+
+
+def test_leaderboard_stores_models_and_summary(spark, tmp_path):
+    from tussis.operators import leaderboard
+    from tussis.sources import sidecars, sinks
+
+    df = rows_of(spark, {0: 25, 1: 25})
+    wanted = {"decision_tree": models.decision_tree(models.QUICK), "logistic": models.logistic(models.QUICK)}
+    board = models.train_and_evaluate(df, wanted, key="id", target="target", vector="x", folds=0, per_class=10, model_folder=str(tmp_path))
+    sinks.write_model_summary(board, str(tmp_path / "summary"))
+    back = sidecars.model_summary_rows(spark.read.text(str(tmp_path / "summary")), "value").withColumn("filename", F.col("model"))
+    best = leaderboard.choose_best(back).first()
+    model, scaling = models.load_fitted(spark, best["path"])
+    assert best["accuracy"] == back.agg(F.max("accuracy")).first()[0] and scaling is not None
+    assert model.name == best["model"]
+
+
 def test_stored_model_of_other_width_is_refused(spark, tmp_path):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -51,9 +52,18 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 11) / float(2**53)
 
 
-def gaussian(seed: int, *parts: Column) -> Column:
-    radius = F.sqrt(-2 * F.log(1 - uniform(seed, *parts, F.lit("radius"))))
-    return radius * F.cos(2 * math.pi * uniform(seed, *parts, F.lit("angle")))
+def digest_uniform(seed: int, *parts: Column) -> Column:
+    """[0, 1) from SHA-256: slower, but the same number in any engine."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("bigint") / float(2**52)
+
+
+Draw = Callable[..., Column]
+
+
+def gaussian(seed: int, *parts: Column, draw: Draw = uniform) -> Column:
+    radius = F.sqrt(-2 * F.log(1 - draw(seed, *parts, F.lit("radius"))))
+    return radius * F.cos(2 * math.pi * draw(seed, *parts, F.lit("angle")))
 
 
 def _draws(needs: DataFrame) -> DataFrame:
@@ -65,12 +75,13 @@ def _draws(needs: DataFrame) -> DataFrame:
     return cut.select("class", "n", F.explode(F.sequence(first, last)).alias("draw"))
 
 
-def synthesize(df: DataFrame, key: str, target: str, vector: str, per_class: int = ROWS_PER_CLASS, k: int = NEIGHBORS, seed: int = SEED, jitter: float = JITTER) -> DataFrame:
+def synthesize(df: DataFrame, key: str, target: str, vector: str, per_class: int = ROWS_PER_CLASS, k: int = NEIGHBORS, seed: int = SEED,
+               jitter: float = JITTER, draw: Draw = uniform) -> DataFrame:
     """Synthetic (class, draw, base_id, neighbor_id, vector) rows for short classes.
 
     Each is a blend of a drawn row with one of its nearest neighbours of the
     class plus a small jitter; a class of one row is copied. Only rows that were
-    drawn look for neighbours.
+    drawn look for neighbours. All chance comes from ``draw``.
     """
     counts = df.groupBy(F.col(target).alias("class")).agg(F.count("*").alias("n"))
     needs = durable(counts.where(F.col("n") < per_class).withColumn("deficit", F.lit(per_class) - F.col("n")))
@@ -79,23 +90,23 @@ def synthesize(df: DataFrame, key: str, target: str, vector: str, per_class: int
     numbered = with_row_number(short, ["id"], "at", ["class"])
 
     c, i = F.col("class"), F.col("draw")
-    drawn = _draws(needs).withColumn("at", F.pmod(F.xxhash64(F.lit(seed), c, i, F.lit("base")), F.col("n")) + 1)
+    drawn = _draws(needs).withColumn("at", F.floor(draw(seed, c, i, F.lit("base")) * F.col("n")) + 1)
     based = drawn.join(numbered.withColumnRenamed("id", "base_id").withColumnRenamed("x", "base"), ["class", "at"])
 
     asked = based.select("class", F.col("base_id").alias("id"), F.col("base").alias("x")).dropDuplicates(["class", "id"])
     near = nearest_neighbors(asked, short, k, query_id="id", corpus_id="id", vector="x", by=["class"], exclude_same=True)
-    choice = F.pmod(F.xxhash64(F.lit(seed), c, i, F.lit("neighbor")), F.least(F.lit(k), F.col("n") - 1)) + 1
+    choice = F.floor(draw(seed, c, i, F.lit("neighbor")) * F.least(F.lit(k), F.col("n") - 1)) + 1
     chosen = based.withColumn("rank", F.when(F.col("n") > 1, choice).cast("int"))
     linked = chosen.join(near.select("class", F.col("query_id").alias("base_id"), "rank", "neighbor_id"), ["class", "base_id", "rank"], "left")
     other = short.select("class", F.col("id").alias("neighbor_id"), F.col("x").alias("neighbor"))
     both = linked.join(other, ["class", "neighbor_id"], "left")
 
-    blend = BLEND_LOW + (BLEND_HIGH - BLEND_LOW) * uniform(seed, c, i, F.lit("blend"))
+    blend = BLEND_LOW + (BLEND_HIGH - BLEND_LOW) * draw(seed, c, i, F.lit("blend"))
     mixed = F.when(F.col("neighbor").isNull(), F.col("base")).otherwise(
         F.zip_with("base", "neighbor", lambda a, b: a + F.col("blend") * (b - a))
     )
     both = both.withColumn("blend", blend).withColumn("mixed", mixed)
-    shaken = F.transform("mixed", lambda x, j: x + jitter * gaussian(seed, c, i, j))
+    shaken = F.transform("mixed", lambda x, j: x + jitter * gaussian(seed, c, i, j, draw=draw))
     return both.select("class", "draw", "base_id", "neighbor_id", shaken.alias("vector"))
 
 

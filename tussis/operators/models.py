@@ -1,11 +1,12 @@
 """The classifier families on Spark ML, their evaluation and persistence.
 
-Every fitted model is used through ``Fitted.score``, which adds one column
-with the probability of class 1.
+A fitted model is data (stages, numbers, rows), scored through ``Fitted.score``,
+which adds one column with the probability of class 1, and can be stored.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -66,31 +67,30 @@ QUICK = ModelSizes(
 
 @dataclass
 class Fitted:
-    """A trained model: ``score(df, column)`` adds the class-1 probability."""
+    """A trained model as data: Spark ML stages, numbers, kept rows or members."""
 
     name: str
-    score: Callable[[DataFrame, str], DataFrame]
-    stage: object = None
-    extra: dict = field(default_factory=dict)
+    family: str
+    stages: list = field(default_factory=list)
+    numbers: dict = field(default_factory=dict)
+    rows: DataFrame | None = None
+    members: list[Fitted] = field(default_factory=list)
 
+    def score(self, df: DataFrame, out: str) -> DataFrame:
+        """``df`` with the class-1 probability in column ``out``."""
+        return SCORE_BY_FAMILY[self.family](self, df, out)
 
-def _probability(stage) -> Callable[[DataFrame, str], DataFrame]:
-    """Score by a Spark ML stage and keep only the class-1 probability."""
 
-    def score(df: DataFrame, out: str) -> DataFrame:
-        scored = stage.transform(df)
-        value = F.get(vector_to_array("probability"), F.lit(1))
-        return scored.select(*df.columns, value.alias(out))
-
-    return score
+def _score_stage(model: Fitted, df: DataFrame, out: str) -> DataFrame:
+    value = F.get(vector_to_array("probability"), F.lit(1))
+    return model.stages[0].transform(df).select(*df.columns, value.alias(out))
 
 
 def _fit_stage(name: str, estimator: type, **settings) -> Callable[[DataFrame], Fitted]:
     """Fit ``estimator(**settings)``; it is built at fit time, when a session exists."""
 
     def fit(train: DataFrame) -> Fitted:
-        stage = estimator(**settings).fit(train)
-        return Fitted(name, _probability(stage), stage)
+        return Fitted(name, "stage", [estimator(**settings).fit(train)])
 
     return fit
 
@@ -175,19 +175,21 @@ def adaboost(s: ModelSizes) -> Callable[[DataFrame], Fitted]:
             if at % 5 == 4:
                 state = durable(state)
 
-        def score(df: DataFrame, out: str) -> DataFrame:
-            scored, votes = df, []
-            for n, stump in enumerate(stumps):
-                scored = stump.copy({stump.predictionCol: f"__s{n}", stump.rawPredictionCol: "", stump.probabilityCol: ""}).transform(scored)
-                votes.append(F.when(F.col(f"__s{n}") == 1.0, alphas[n]).otherwise(-alphas[n]))
-            margin = sum(votes[1:], votes[0]) / sum(alphas)
-            return scored.select(*df.columns, sigmoid(margin).alias(out))
-
-        return Fitted("adaboost", score, extra={"rounds": len(stumps)})
+        return Fitted("adaboost", "adaboost", stumps, {"alphas": alphas})
 
     return fit
 
 
+def _score_adaboost(model: Fitted, df: DataFrame, out: str) -> DataFrame:
+    scored, votes, alphas = df, [], model.numbers["alphas"]
+    for n, (stump, alpha) in enumerate(zip(model.stages, alphas)):
+        named = stump.copy({stump.predictionCol: f"__s{n}", stump.rawPredictionCol: "", stump.probabilityCol: ""})
+        scored = named.transform(scored)
+        votes.append(F.when(F.col(f"__s{n}") == 1.0, alpha).otherwise(-alpha))
+    margin = sum(votes[1:], votes[0]) / sum(alphas)
+    return scored.select(*df.columns, sigmoid(margin).alias(out))
+
+
 def random_fourier(vector: Column, width: int, components: int, gamma: float, seed: int) -> Column:
     """Random features whose inner product approximates the RBF kernel."""
     rng = np.random.default_rng(seed)
@@ -211,22 +213,24 @@ def svc(s: ModelSizes) -> Callable[[DataFrame], Fitted]:
         gamma = 1.0 / (width * (moments[0] or 1.0))
         rows = moments[1] // width
 
-        def lifted(df: DataFrame) -> DataFrame:
-            return df.withColumn("__rff", array_to_vector(random_fourier(vector_to_array(F.col(FEATURES)), width, s.svc_components, gamma, s.seed)))
-
-        ready = lifted(train).persist()
+        kernel = {"width": width, "components": s.svc_components, "gamma": gamma, "seed": s.seed}
+        ready = _lifted(train, kernel).persist()
         try:
             stage = LinearSVC(featuresCol="__rff", labelCol=TARGET, weightCol=WEIGHT, maxIter=s.svc_iterations, regParam=1.0 / (s.svc_c * rows)).fit(ready)
         finally:
             ready.unpersist()
+        return Fitted("svc", "svc", [stage], kernel)
 
-        def score(df: DataFrame, out: str) -> DataFrame:
-            margin = F.get(vector_to_array("rawPrediction"), F.lit(1))
-            return stage.transform(lifted(df)).select(*df.columns, sigmoid(margin).alias(out))
+    return fit
 
-        return Fitted("svc", score, stage)
 
-    return fit
+def _lifted(df: DataFrame, kernel: dict) -> DataFrame:
+    return df.withColumn("__rff", array_to_vector(random_fourier(vector_to_array(F.col(FEATURES)), **kernel)))
+
+
+def _score_svc(model: Fitted, df: DataFrame, out: str) -> DataFrame:
+    margin = F.get(vector_to_array("rawPrediction"), F.lit(1))
+    return model.stages[0].transform(_lifted(df, model.numbers)).select(*df.columns, sigmoid(margin).alias(out))
 
 
 def knn(s: ModelSizes, key: str = "row_key") -> Callable[[DataFrame], Fitted]:
@@ -235,33 +239,37 @@ def knn(s: ModelSizes, key: str = "row_key") -> Callable[[DataFrame], Fitted]:
     def fit(train: DataFrame) -> Fitted:
         corpus = train.select(F.col(key).alias("t_key"), vector_to_array(FEATURES).alias("x"), TARGET)
 
-        def score(df: DataFrame, out: str) -> DataFrame:
-            asked = df.select(F.col(key).alias("q_key"), vector_to_array(FEATURES).alias("x"))
-            near = nearest_neighbors(asked, corpus, s.neighbors, query_id="q_key", corpus_id="t_key", vector="x")
-            votes = distance_vote(near, corpus, "t_key", TARGET).select(F.col("query_id").alias(key), F.col("disease_probability").alias(out))
-            return df.join(votes, key, "left")
-
-        return Fitted("knn", score)
+        return Fitted("knn", "knn", numbers={"k": s.neighbors, "key": key}, rows=corpus)
 
     return fit
 
 
+def _score_knn(model: Fitted, df: DataFrame, out: str) -> DataFrame:
+    key = model.numbers["key"]
+    asked = df.select(F.col(key).alias("q_key"), vector_to_array(FEATURES).alias("x"))
+    near = nearest_neighbors(asked, model.rows, model.numbers["k"], query_id="q_key", corpus_id="t_key", vector="x")
+    votes = distance_vote(near, model.rows, "t_key", TARGET).select(F.col("query_id").alias(key), F.col("disease_probability").alias(out))
+    return df.join(votes, key, "left")
+
+
 def voting(members: Sequence[Callable[[DataFrame], Fitted]]) -> Callable[[DataFrame], Fitted]:
     """Mean of the members' probabilities, computed in one pass over the rows."""
 
     def fit(train: DataFrame) -> Fitted:
-        fitted = [m(train) for m in members]
+        return Fitted("voting_ensemble", "voting", members=[m(train) for m in members])
 
-        def score(df: DataFrame, out: str) -> DataFrame:
-            scored, names = df, []
-            for n, model in enumerate(fitted):
-                names.append(f"__p{n}")
-                scored = model.score(scored, names[-1])
-            return scored.select(*df.columns, soft_vote([F.col(n) for n in names]).alias(out))
+    return fit
 
-        return Fitted("voting_ensemble", score)
 
-    return fit
+def _score_voting(model: Fitted, df: DataFrame, out: str) -> DataFrame:
+    scored, names = df, []
+    for n, member in enumerate(model.members):
+        names.append(f"__p{n}")
+        scored = member.score(scored, names[-1])
+    return scored.select(*df.columns, soft_vote([F.col(n) for n in names]).alias(out))
+
+
+SCORE_BY_FAMILY = {"stage": _score_stage, "adaboost": _score_adaboost, "svc": _score_svc, "knn": _score_knn, "voting": _score_voting}
 
 
 def model_families(s: ModelSizes = ModelSizes()) -> dict[str, Callable[[DataFrame], Fitted]]:
@@ -308,10 +316,11 @@ def learn_scaling(df: DataFrame, vector: str) -> Scaling:
 
 @dataclass(frozen=True)
 class Part:
-    """Training rows ready to fit, and held-out rows on the same scale."""
+    """Training rows ready to fit, held-out rows on the same scale, and that scale."""
 
     train: DataFrame
     test: DataFrame
+    scaling: Scaling
 
 
 def ready_part(rows: DataFrame, held_out: Column, key: str, target: str, vector: str, per_class: int, seed: int) -> Part:
@@ -329,7 +338,7 @@ def ready_part(rows: DataFrame, held_out: Column, key: str, target: str, vector:
     ready = scaling.apply(test, vector).select(
         F.col(key).cast("string").alias("row_key"), F.col(target).cast("double").alias(TARGET), array_to_vector(vector).alias(FEATURES)
     )
-    return Part(weighted, ready)
+    return Part(weighted, ready, scaling)
 
 
 def metrics_of(model: Fitted, rows: DataFrame) -> dict:
@@ -364,10 +373,12 @@ def train_and_evaluate(
     folds: int = 5,
     per_class: int = 120,
     seed: int = 42,
+    model_folder: str | None = None,
 ) -> DataFrame:
     """Leaderboard of all families; a family that fails has no accuracy and an error text.
 
-    Split and folds come first and are prepared once, for all families.
+    Split and folds come first and are prepared once, for all families. With a
+    ``model_folder`` every trained model is stored there.
     """
     split = stratified_split(rows.select(key, target, vector), key, target, seed=seed)
     hold = ready_part(split, F.col("is_test"), key, target, vector, per_class, seed)
@@ -375,11 +386,15 @@ def train_and_evaluate(
     report = []
     for name, fit in families.items():
         try:
-            test = metrics_of(fit(hold.train), hold.test)
+            model = fit(hold.train)
+            test = metrics_of(model, hold.test)
             cv = float(np.mean([metrics_of(fit(p.train), p.test)["accuracy"] for p in parts])) if parts else None
+            path = f"{model_folder.rstrip('/')}/{name}" if model_folder else None
+            if path:
+                save_fitted(model, path, hold.scaling)
             blended = round(test["accuracy"] * 0.5 + cv * 0.5, 4) if cv is not None else round(test["accuracy"], 4)
             numbers = [blended, test["accuracy"], cv, test["f1_score"], test["recall"], test["precision"], test["roc_auc"]]
-            report.append((name, None, *[None if v is None else round(float(v), 4) for v in numbers], None))
+            report.append((name, path, *[None if v is None else round(float(v), 4) for v in numbers], None))
         except Exception as exc:  # one failing family must not lose the others
             report.append((name, None, *[None] * 7, str(exc)[:500]))
     return rows.sparkSession.createDataFrame(report, REPORT_SCHEMA)
@@ -401,6 +416,36 @@ def load_compatible(spark: SparkSession, path: str, width: int) -> PipelineModel
     return model
 
 
+def save_fitted(model: Fitted, path: str, scaling: Scaling | None = None) -> None:
+    """Store a model of any family, with the scaling it was trained under."""
+    about = {
+        "name": model.name, "family": model.family, "numbers": model.numbers, "n_members": len(model.members),
+        "has_stages": bool(model.stages), "has_rows": model.rows is not None,
+        "scaling": {"mean": scaling.mean, "spread": scaling.spread} if scaling else None,
+    }
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps(about),)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+    if model.stages:
+        save_model(PipelineModel(model.stages), f"{path}/stages")
+    if model.rows is not None:
+        model.rows.write.mode("overwrite").parquet(f"{path}/rows")
+    for n, member in enumerate(model.members):
+        save_fitted(member, f"{path}/member_{n}")
+
+
+def load_fitted(spark: SparkSession, path: str) -> tuple[Fitted, Scaling | None]:
+    """The stored model and its scaling."""
+    about = json.loads(spark.read.text(f"{path}/about").first()["value"])
+    model = Fitted(
+        about["name"], about["family"],
+        PipelineModel.load(f"{path}/stages").stages if about["has_stages"] else [],
+        about["numbers"],
+        spark.read.parquet(f"{path}/rows") if about["has_rows"] else None,
+        [load_fitted(spark, f"{path}/member_{n}")[0] for n in range(about["n_members"])],
+    )
+    return model, Scaling(**about["scaling"]) if about["scaling"] else None
+
+
 def feature_importance(spark: SparkSession, model, names: Sequence[str]) -> DataFrame:
     """(feature, importance) of a tree model, one row per feature."""
     values = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]

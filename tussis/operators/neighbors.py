@@ -23,6 +23,7 @@ from tussis.session import durable
 DIGITS = 9
 SLACK = 1e-8
 CELLS_PER_STEP = 4_000_000
+SMALL_VALUES = 4_000_000  # 32 MB of doubles
 
 
 def closest(qv: np.ndarray, qid: np.ndarray, cv: np.ndarray, cid: np.ndarray, k: int, exclude_same: bool) -> pd.DataFrame:
@@ -164,7 +165,8 @@ def nearest_neighbors(
     schema = _schema(by, queries, query_id, corpus, corpus_id)
     q = queries.select(*by, F.col(query_id).alias("q_id"), F.col(vector).cast("array<double>").alias("q_vec"))
     c = corpus.select(*by, F.col(corpus_id).alias("c_id"), F.col(vector).cast("array<double>").alias("c_vec"))
-    if within_rows(c, small_rows):
+    first = c.select(F.size("c_vec").alias("width")).first()
+    if first is None or within_rows(c, min(small_rows, SMALL_VALUES // max(1, first["width"]))):
         return _top(_against_small(q, c, k, by, exclude_same, schema), k, by)
 
     picked = c.orderBy(F.xxhash64("c_id"), "c_id").limit(n_pivots).select("c_vec").toPandas()

@@ -154,10 +154,26 @@ def union_balanced(spark, folder):
     return rows.groupBy(F.size("x").alias("width"), "synthetic").agg(F.count("*").alias("n"), F.count("vec_id").alias("n_keyed"))
 
 
-@query("smote_balance")
+def _u(parts: str) -> str:
+    return f"(('0x' || substr(sha256('42|' || {parts}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+@query("smote_balance", f"""{_KNN_SQL}, n AS (SELECT label, count(*) AS n FROM e GROUP BY label),
+    d AS (SELECT label, n, unnest(range(1, {_PER_CLASS} - n + 1)) AS draw FROM n WHERE n < {_PER_CLASS}),
+    num AS (SELECT label, vec_id, x, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS at FROM e),
+    b AS (SELECT d.label, d.draw, d.n, num.vec_id AS base_id, num.x AS base, 1 + floor({_u("d.label || '|' || d.draw || '|neighbor'")} * least(5, d.n - 1)) AS rank,
+      0.15::DOUBLE + 0.7::DOUBLE * {_u("d.label || '|' || d.draw || '|blend'")} AS blend
+      FROM d JOIN num ON num.label = d.label AND num.at = 1 + floor({_u("d.label || '|' || d.draw || '|base'")} * d.n)),
+    nd AS (SELECT a.vec_id AS base_id, c.vec_id AS neighbor_id, c.x AS neighbor, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.x, c.x), 9), c.vec_id) AS rank
+      FROM e a JOIN e c ON a.label = c.label AND a.vec_id <> c.vec_id),
+    m AS (SELECT label, draw, base_id, neighbor_id, blend, unnest(base) AS p, unnest(neighbor) AS q, unnest(range(64)) AS j FROM b JOIN nd USING (base_id, rank))
+    SELECT label, draw, base_id, neighbor_id, CAST(j AS INTEGER) AS j, round(p + blend * (q - p) + 0.015::DOUBLE * sqrt(-2 * ln(1 - {_u("label || '|' || draw || '|' || j || '|radius'")}))
+      * cos(2 * pi() * {_u("label || '|' || draw || '|' || j || '|angle'")}), 6) AS v FROM m""")
 def smote_balance(spark, folder):
-    """The synthetic rows themselves; their values depend on hash-seeded draws."""
-    return B.synthesize(vectors(spark, folder), "vec_id", "label", "x", per_class=_PER_CLASS)
+    """Every coordinate of every synthetic row, drawn with the portable digest."""
+    rows = B.synthesize(vectors(spark, folder), "vec_id", "label", "x", per_class=_PER_CLASS, draw=B.digest_uniform)
+    cells = rows.select(F.col("class").alias("label"), "draw", "base_id", "neighbor_id", F.posexplode("vector").alias("j", "v"))
+    return cells.withColumn("v", F.round("v", 6))
 
 
 @query("stratified_folds", """WITH r AS (SELECT vec_id, (label >= 5)::INTEGER AS target, row_number() OVER (PARTITION BY label >= 5 ORDER BY vec_id) AS n FROM embeddings)

@@ -23,7 +23,7 @@ def stream(spark, folder, name):
 
 
 def _samples(events):
-    return events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), loudness.from_byte(F.pmod(F.col("value"), F.lit(256.0))).alias("x"))
+    return events.select("user_id", common.instant(events, "ts").alias("ts"), loudness.from_byte(F.pmod(F.col("value"), F.lit(256.0))).alias("x"))
 
 
 _LOUD_SQL = """WITH s AS (SELECT user_id, date_trunc('day', ts) AS day, (fmod(value, 256) - 128) / 128 AS x FROM events),
@@ -32,7 +32,8 @@ _LOUD_SQL = """WITH s AS (SELECT user_id, date_trunc('day', ts) AS day, (fmod(va
 
 
 def _loud_rows(df):
-    return df.select("user_id", F.date_format("frame_start", "yyyy-MM-dd").alias("day"), "n", F.round("rms", 9).alias("rms"), F.round("peak", 9).alias("peak"), "dbfs")
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("frame_start") / 86400).cast("int"))
+    return df.select("user_id", F.date_format(day, "yyyy-MM-dd").alias("day"), "n", F.round("rms", 9).alias("rms"), F.round("peak", 9).alias("peak"), "dbfs")
 
 
 @query("frame_loudness", _LOUD_SQL)

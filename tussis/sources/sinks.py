@@ -29,6 +29,13 @@ def write_text(df: DataFrame, path: str, column: str) -> None:
     df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_model_summary(models: DataFrame, path: str) -> None:
+    """One JSON object per line, model name to its numbers; nulls are left out."""
+    fields = [c for c in models.columns if c != "model"]
+    entry = F.to_json(F.create_map(F.col("model"), F.struct(*fields)))
+    write_text(models.select(entry.alias("entry")), path, "entry")
+
+
 def fingerprint(df: DataFrame) -> str:
     """Order-independent content hash, one aggregate pass."""
     h = F.xxhash64(*df.columns)

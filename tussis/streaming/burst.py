@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tussis.session import durable
+from tussis.streaming.common import epoch_micros
 
 # Trigger level and refractory time.
 BURST_LEVEL = 0.42
@@ -48,7 +49,7 @@ def bursts(df: DataFrame, device: str, ts: str, level: str, threshold: float = B
     if width <= gap:
         raise ValueError("a chunk must be longer than the refractory time")
 
-    candidates = df.where(F.col(level) > threshold).select(device, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
+    candidates = df.where(F.col(level) > threshold).select(device, epoch_micros(df, ts).alias("t"))
     chunks = durable(
         candidates.withColumn("chunk", F.floor(F.col("t") / width)).groupBy(device, "chunk").agg(F.array_sort(F.collect_set("t")).alias("times"))
     )
@@ -119,13 +120,14 @@ def burst_stream(stream: DataFrame, device: str, ts: str, level: str, threshold:
     """
     gap = refractory_ms * 1000
     kind = dict(stream.dtypes)[device]
-    candidates = stream.where(F.col(level) > threshold).select(device, F.col(ts).cast("timestamp").alias("ts"))
+    candidates = stream.where(F.col(level) > threshold).select(device, epoch_micros(stream, ts).alias("t"))
+    candidates = candidates.withColumn("ts", F.timestamp_micros("t"))
     if late:
         candidates = candidates.withWatermark("ts", late)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, waiting = state.get if state.exists else (None, [])
-        arrived = [t for pdf in batches for t in pdf["ts"].astype("datetime64[us]").astype("int64").tolist()]
+        arrived = [t for pdf in batches for t in pdf["t"].tolist()]
         waiting = sorted({*waiting, *arrived})
         ready = waiting
         if late:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -19,6 +19,18 @@ def read_files(spark: SparkSession, folder: str, pattern: str, schema: StructTyp
     return reader.parquet(folder)
 
 
+def epoch_micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since the epoch; a zone-less timestamp is read as UTC whatever the session zone is."""
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
+    return F.unix_micros(F.col(ts))
+
+
+def instant(df: DataFrame, ts: str) -> Column:
+    """A timestamp that a watermark accepts."""
+    return F.timestamp_micros(epoch_micros(df, ts))
+
+
 def finish(query: StreamingQuery, seconds: int = 600) -> None:
     """Wait for an ``availableNow`` query and raise when it does not end."""
     if not query.awaitTermination(seconds):
