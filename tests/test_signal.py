@@ -123,3 +123,27 @@ def test_envelope_of_uneven_length(spark):
 def test_zero_crossing_counts_negative_zero(spark):
     df = spark.createDataFrame([([[0.0, -0.0, 1.0]],)], "f ARRAY<ARRAY<DOUBLE>>")
     assert df.select(S.zero_crossing_rates(F.col("f"))).first()[0] == [1.0]
+
+
+def test_empty_signal_is_blocked_not_an_error(spark):
+    q = gate(recording(spark, []))
+    assert q["blocking"] and q["status"] == "poor" and q["rms"] is None
+
+
+def test_bulk_pass_equals_the_column_route(spark, tmp_path):
+    from tussis.operators import bulk
+
+    rng = np.random.default_rng(3)
+    (tmp_path / "tone.wav").write_bytes(audio.encode_wav(tone(), RATE))
+    (tmp_path / "noise.wav").write_bytes(audio.encode_wav(rng.normal(0, 0.1, 30000), RATE))
+    (tmp_path / "silent.wav").write_bytes(audio.encode_wav(np.zeros(4000), RATE))
+    (tmp_path / "bad.wav").write_bytes(b"RIFF")
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select(F.regexp_extract("path", r"(\w+)\.wav", 1).alias("file_id"), "content")
+    rows = {r["file_id"]: r for r in bulk.analyse(files, ["file_id"]).collect()}
+    assert rows["bad"]["error"] and rows["bad"]["status"] == "poor"
+    assert rows["silent"]["blocking"] and rows["silent"]["mfcc_1_mean"] is None
+    good, _ = audio.read_recordings(spark, str(tmp_path))
+    route = S.quality_gate(S.quality_measures(good)).withColumn("f", X.feature_struct(F.col("y"), F.col("sr"))).select("*", "f.*")
+    for r in route.where("NOT blocking").collect():
+        for name in [*bulk.MEASURES, "status", "issues", *X.feature_names()]:
+            assert rows[r["file_id"]][name] == (pytest.approx(r[name], rel=1e-6, abs=1e-9) if isinstance(r[name], float) else r[name]), name

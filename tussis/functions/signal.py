@@ -44,7 +44,7 @@ def var_pop(values: Column) -> Column:
 
 
 def root_mean_square(y: Column) -> Column:
-    return F.sqrt(F.aggregate(y, F.lit(0.0), lambda s, x: s + x * x) / F.size(y))
+    return F.sqrt(F.try_divide(F.aggregate(y, F.lit(0.0), lambda s, x: s + x * x), F.size(y)))
 
 
 def peak(y: Column) -> Column:
@@ -56,7 +56,7 @@ def decibels(rms: Column) -> Column:
 
 
 def share(values: Column, test: Callable[[Column], Column]) -> Column:
-    return F.size(F.filter(values, test)) / F.size(values)
+    return F.try_divide(F.size(F.filter(values, test)), F.size(values))
 
 
 def clipping_ratio(y: Column, level: float = CLIP_LEVEL) -> Column:
@@ -199,7 +199,7 @@ def quality_gate(df, limits: GateLimits = GateLimits()):
         (c("duration") > limits.long_seconds, ISSUE_LONG),
     ]
     issues = F.filter(F.array(*[F.when(t, F.lit(m)) for t, m in tests]), lambda m: m.isNotNull())
-    blocking = (c("duration") <= limits.dead_seconds) | (c("peak") < limits.dead_peak)
+    blocking = F.coalesce((c("duration") <= limits.dead_seconds) | (c("peak") < limits.dead_peak), F.lit(True))
     return df.withColumn("issues", issues).withColumn("blocking", blocking).withColumn(
         "status", F.when(c("blocking"), "poor").when(F.size("issues") > 0, "review").otherwise("good")
     )

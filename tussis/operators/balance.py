@@ -27,21 +27,35 @@ def _shuffled(key: str, seed: int, order_by: list[str] | None) -> list:
     return list(order_by) if order_by else [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
 
 
+def _back(df: DataFrame, numbered: DataFrame, key: str, target: str) -> DataFrame:
+    """``numbered`` joined to the columns of ``df`` it does not carry."""
+    if set(df.columns) == {key, target}:
+        return numbered
+    return df.join(numbered.drop(target), key)
+
+
 def stratified_folds(df: DataFrame, key: str, target: str, k: int = FOLDS, seed: int = SEED, order_by: list[str] | None = None) -> DataFrame:
-    """Add ``fold`` 0..k-1, balanced to one row per class; the same for every run."""
-    numbered = with_row_number(df, _shuffled(key, seed, order_by), "__n", [target])
-    return numbered.withColumn("fold", F.pmod(F.col("__n") - 1, F.lit(k)).cast("int")).drop("__n")
+    """Add ``fold`` 0..k-1, balanced to one row per class; the same for every run.
+
+    Only key and target are put in order; the rest of a wide row is joined back once.
+    """
+    narrow = df.select(key, target)
+    numbered = with_row_number(narrow, _shuffled(key, seed, order_by), "__n", [target])
+    folds = numbered.withColumn("fold", F.pmod(F.col("__n") - 1, F.lit(k)).cast("int")).drop("__n")
+    return _back(df, folds, key, target)
 
 
 def stratified_split(df: DataFrame, key: str, target: str, test_share: float = TEST_SHARE, seed: int = SEED, order_by: list[str] | None = None) -> DataFrame:
     """Add ``is_test``: the first share of each class in a seeded order."""
-    numbered = with_running_totals(df, _shuffled(key, seed, order_by), {"__n": F.lit(1).cast("bigint")}, [target], {"__n": "__of"})
-    return numbered.withColumn("is_test", F.col("__n") <= F.round(F.col("__of") * test_share)).drop("__n", "__of")
+    narrow = df.select(key, target)
+    numbered = with_running_totals(narrow, _shuffled(key, seed, order_by), {"__n": F.lit(1).cast("bigint")}, [target], {"__n": "__of"})
+    marked = numbered.withColumn("is_test", F.col("__n") <= F.round(F.col("__of") * test_share)).drop("__n", "__of")
+    return _back(df, marked, key, target)
 
 
 def class_weights(df: DataFrame, target: str, weight: str = "weight") -> DataFrame:
     """Add n / (classes * class size)."""
-    counts = df.groupBy(target).agg(F.count("*").alias("__n"))
+    counts = durable(df.groupBy(target).agg(F.count("*").alias("__n")))
     totals = counts.agg(F.struct(F.sum("__n").alias("n"), F.count("*").alias("k")).alias("s")).scalar()
     weights = counts.withColumn("__t", totals).select(target, (F.col("__t.n") / (F.col("__t.k") * F.col("__n"))).alias(weight))
     return join_measured(df, weights, target)

@@ -52,7 +52,7 @@ ENGLISH_TOPICS = [
     ("privacy", ["privacy", "secure", "stored", "personal data", "secret", "api key", "{assistant} key"]),
     ("technology", ["technology", "built with", "programming", "python", "gradio", "github", "render", "deploy"]),
     ("author", ["who made", "developer", "author", "created", "creator", "{developer}"]),
-    ("dataset", ["dataset", "data", "coughvid", "samples", "training data"]),
+    ("dataset", ["dataset", "data", "{dataset}", "samples", "training data"]),
     ("portal", ["doctor", "patient", "portal", "website", "two websites", "switch"]),
     ("scenarios", ["how to get healthy", "how to get disease", "which gives disease", "which gives healthy", "negative", "positive", "scenario", "test scenario", "scenarios"]),
     ("asthma", ["asthma", "wheez", "bronchospasm"]),

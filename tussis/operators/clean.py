@@ -10,6 +10,7 @@ from tussis.functions import clean as C
 from tussis.operators.quantiles import exact_quantiles
 from tussis.operators.running import with_row_number
 from tussis.operators.sizing import join_measured
+from tussis.session import durable
 
 
 def ensure_columns(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
@@ -99,5 +100,5 @@ def factorize(df: DataFrame, column: str, order_by: str, code: str = "code") ->
     Only the distinct values are numbered; the code table is broadcast when small.
     """
     firsts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order_by).alias("__first"))
-    codes = with_row_number(firsts, ["__first", column], "__n").select(column, (F.col("__n") - 1).alias(code))
+    codes = durable(with_row_number(firsts, ["__first", column], "__n").select(column, (F.col("__n") - 1).alias(code)))
     return join_measured(df, codes, column, "left").withColumn(code, F.coalesce(F.col(code), F.lit(-1)))

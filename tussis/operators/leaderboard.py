@@ -25,7 +25,7 @@ def statistics(models: DataFrame, accuracy: str = "accuracy") -> DataFrame:
         F.min(a).alias("worst_accuracy"),
         F.stddev_samp(a).alias("std_accuracy"),
         (F.max(a) - F.min(a)).alias("accuracy_range"),
-        (F.count(a) / F.count("*") * 100).alias("success_rate"),
+        (F.try_divide(F.count(a), F.count("*")) * 100).alias("success_rate"),
     ).withColumn("median_accuracy", median)
 
 

@@ -101,7 +101,7 @@ def _match_blocks(routed: DataFrame, cells: DataFrame, k: int, by: list[str], bl
     keys = [*by, "cell"]
     corpus_blocks = _blocks(cells, keys, block_rows, "n_blocks")
     query_blocks = _blocks(routed, keys, block_rows, "n_query_blocks")
-    sizes = corpus_blocks.join(query_blocks, keys)
+    sizes = durable(corpus_blocks.join(query_blocks, keys))
     left = join_measured(routed.select(*keys, "q_id", "q_vec"), sizes, keys).select(
         *keys, "q_id", "q_vec",
         F.pmod(F.xxhash64("q_id"), F.col("n_query_blocks")).alias("query_block"),

@@ -8,7 +8,6 @@ from itertools import combinations, combinations_with_replacement
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tussis.operators.quantiles import exact_quantiles
-from tussis.operators.sizing import join_measured
 
 QUARTILES = {"q25": 0.25, "q50": 0.50, "q75": 0.75}
 
@@ -36,8 +35,8 @@ def completeness(df: DataFrame) -> DataFrame:
     nulls = sum((F.when(F.col(c).isNull(), 1).otherwise(0) for c in df.columns), F.lit(0))
     totals = df.agg(F.sum(nulls.cast("bigint")).alias("missing"), (F.count("*") * len(df.columns)).alias("cells"))
     return totals.select(
-        ((F.col("cells") - F.col("missing")) / F.col("cells") * 100).alias("complete_pct"),
-        F.round(F.col("missing") / F.col("cells") * 100, 2).alias("missing_pct"),
+        (F.try_divide(F.col("cells") - F.col("missing"), F.col("cells")) * 100).alias("complete_pct"),
+        F.round(F.try_divide(F.col("missing"), F.col("cells")) * 100, 2).alias("missing_pct"),
     )
 
 
@@ -68,7 +67,7 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
     totals = df.groupBy(*by).agg(*aggregates) if by else df.agg(*aggregates)
     rows = _rows(totals, columns, {m: f"__{m}_" for m in measures})
     quantiles = exact_quantiles(df, columns, QUARTILES, by)
-    joined = join_measured(rows, quantiles, [*by, "column_name"], "left")
+    joined = rows.join(quantiles, [*by, "column_name"], "left")
     return joined.select(*by, "column_name", "count", "mean", "std", "min", *QUARTILES, "max")
 
 

@@ -8,8 +8,12 @@ BROADCAST_ROWS = 100_000
 
 
 def within_rows(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than that many."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows.
+
+    ``take`` reads partitions a few at a time and stops once it has enough, and
+    only a constant per row comes back.
+    """
+    return len(df.select(F.lit(1)).take(max_rows + 1)) <= max_rows
 
 
 def spread(scan: DataFrame) -> DataFrame:

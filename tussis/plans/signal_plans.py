@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tussis.functions import signal as S, spectral as X
+from tussis.operators import bulk
 from tussis.plans.registry import query, spread_table, sql_text
 from tussis.plans.sql_signal import SignalSql, stats_select, with_ctes
 from tussis.sources import audio
@@ -264,6 +265,30 @@ def wav_scan(spark, folder):
     return good.select("vec_id", F.posexplode("y").alias("n", "x"), "sr").withColumn("x", F.round("x", 9))
 
 
+_PCM = SignalSql(SPEC.length, SPEC.hop, sample="round_even(x * 32768, 0) / 32768")
+_BULK_LIMITS = S.GateLimits(short_seconds=0.3, clip_level=0.3, silence=0.3, silence_rms=0.11, dead_peak=0.28)
+
+
+@query("bulk_analysis", f"""WITH feat AS ({_PCM.feature_row(64.0, 8, 4)}),
+    s AS (SELECT vec_id, unnest(range(len(embedding))) AS n, round_even(unnest(embedding)::DOUBLE * 32768, 0) / 32768 AS x FROM embeddings),
+    m AS (SELECT vec_id, count(*) / 64.0::DOUBLE AS duration, sqrt(avg(x * x)) AS rms, max(abs(x)) AS peak, count(*) FILTER (abs(x) >= 0.3::DOUBLE)::DOUBLE / count(*) AS clipping_ratio FROM s GROUP BY vec_id),
+    b AS (SELECT vec_id, n // 8 AS b, sqrt(avg(x * x)) AS r FROM s GROUP BY vec_id, b),
+    q AS (SELECT vec_id, count(*) FILTER (r < 0.11::DOUBLE)::DOUBLE / count(*) AS silence_ratio FROM b GROUP BY vec_id),
+    j AS (SELECT vec_id, vec_id % 10 = 7 AS damaged, duration, rms, peak, clipping_ratio, silence_ratio, peak < 0.28::DOUBLE AS dead FROM m JOIN q USING (vec_id))
+    SELECT vec_id, damaged AS failed, CASE WHEN NOT damaged THEN 64 END AS sr, {', '.join(f"CASE WHEN NOT damaged THEN round({c}, 9) END AS {c}" for c in ['duration', 'rms', 'peak', 'clipping_ratio', 'silence_ratio'])},
+      CASE WHEN NOT damaged THEN round(20 * log10(rms), 6) END AS dbfs, damaged OR dead AS blocking,
+      CASE WHEN damaged OR dead THEN 'poor' WHEN clipping_ratio > 0.02::DOUBLE OR silence_ratio > 0.3::DOUBLE THEN 'review' ELSE 'good' END AS status,
+      {', '.join(f"CASE WHEN NOT damaged AND NOT dead THEN {n} END AS {n}" for n in X.feature_names(SPEC))}
+    FROM j JOIN feat USING (vec_id)""")
+def bulk_analysis(spark, folder):
+    """WAV bytes of every recording, one in ten damaged, decoded, gated and described in one pass."""
+    r = recordings(spark, folder).select("vec_id", audio.encode_wav_column(F.col("y"), 64).alias("whole"))
+    damaged = F.when(F.col("vec_id") % 10 == 7, F.substring("whole", 1, 20)).otherwise(F.col("whole"))
+    out = bulk.analyse(r.select("vec_id", damaged.alias("content")), ["vec_id"], SPEC, _BULK_LIMITS, gain=False, silence_samples=8)
+    digits = {c: 9 for c in bulk.MEASURES} | {"dbfs": 6} | {n: 6 for n in X.feature_names(SPEC)}
+    return out.select("vec_id", F.col("error").isNotNull().alias("failed"), "sr", "blocking", "status", *[F.round(c, d).alias(c) for c, d in digits.items()])
+
+
 @query("wav_quarantine", "SELECT vec_id, true AS quarantined FROM embeddings WHERE vec_id % 10 = 7")
 def wav_quarantine(spark, folder):
     r = recordings(spark, folder).select("vec_id", audio.encode_wav_column(F.col("y"), 64).alias("whole"))

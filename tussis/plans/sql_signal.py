@@ -14,13 +14,15 @@ def stats_select(source: str, name: str, digits: int = 9) -> str:
 class SignalSql:
     """CTE texts for one framing of 64-sample recordings, with a direct DFT."""
 
-    def __init__(self, length: int, hop: int, samples: int = 64):
+    def __init__(self, length: int, hop: int, samples: int = 64, sample: str = "x"):
+        """``sample`` is an SQL expression over the stored value ``x``."""
         L, H = length, hop
         self.length, self.hop, self.bins = L, H, L // 2 + 1
         n_frames = 1 + (max(samples, L) - L) // H
         B = self.bins
 
-        self.samples = f"""raw AS (SELECT vec_id, unnest(range(len(embedding))) AS n, unnest(embedding)::DOUBLE AS x FROM embeddings),
+        self.samples = f"""stored AS (SELECT vec_id, unnest(range(len(embedding))) AS n, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    raw AS (SELECT vec_id, n, {sample} AS x FROM stored),
     samples AS (SELECT v.vec_id, CAST(g.n AS INTEGER) AS n, coalesce(raw.x, 0.0) AS x
       FROM (SELECT vec_id FROM embeddings) v CROSS JOIN range({max(samples, L)}) AS g(n) LEFT JOIN raw ON raw.vec_id = v.vec_id AND raw.n = g.n)"""
         self.frames = f"""frames AS (SELECT vec_id, CAST(f AS INTEGER) AS f, n - CAST(f AS INTEGER) * {H} AS k, x
