@@ -39,9 +39,10 @@ def test_null_group(spark):
     assert {r["id"]: r["n"] for r in running.with_row_number(df, ["id"], "n", ["g"]).collect()} == {1: 1, 2: 2, 3: 1}
 
 
-def test_quantiles_match_numpy(many_slices, hot_rows):
+@pytest.mark.parametrize("max_groups", [1000, 1])
+def test_quantiles_match_numpy(many_slices, hot_rows, max_groups):
     df = many_slices.createDataFrame(hot_rows, "id INT, g STRING, v DOUBLE")
-    got = {r["g"]: r for r in quantiles.exact_quantiles(df, ["v"], {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}, ["g"]).collect()}
+    got = {r["g"]: r for r in quantiles.exact_quantiles(df, ["v"], {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}, ["g"], max_groups).collect()}
     for g in got:
         values = [r[2] for r in hot_rows if r[1] == g]
         np.testing.assert_allclose([got[g][x] for x in "abcde"], np.quantile(values, [0, 0.25, 0.5, 0.9, 1.0]))
@@ -52,6 +53,20 @@ def test_quantiles_of_single_and_null(spark):
     assert [(r["column_name"], r["m"]) for r in quantiles.exact_quantiles(df, ["v", "w"], {"m": 0.5}).collect()] == [("v", 4.0)]
 
 
+@pytest.mark.parametrize("values", [
+    [1e308, -1e308, 0.0, 5.0], [float("inf"), 1.0, 2.0, 3.0, float("-inf")], [7.0] * 9, [1e-300, 2e-300, 3.0, 3.0000000001, 1e12], [0.1 * i for i in range(257)],
+])
+def test_quantiles_of_extreme_values(spark, values):
+    df = spark.createDataFrame([(v, None) for v in values], "v DOUBLE, g STRING")
+    probabilities = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 1.0}
+    row = quantiles.exact_quantiles(df, ["v"], probabilities, ["g"]).first()
+    for name, p in probabilities.items():
+        at = p * (len(values) - 1)
+        lo, hi = sorted(values)[int(np.floor(at))], sorted(values)[int(np.ceil(at))]
+        assert row[name] == (lo if lo == hi else pytest.approx(lo + (hi - lo) * (at - np.floor(at)))), name
+    assert row["g"] is None
+
+
 def test_describe_of_all_null_column(spark):
     df = spark.createDataFrame([(1.0, None), (3.0, None)], "v DOUBLE, w DOUBLE")
     rows = {r["column_name"]: r for r in profile.describe(df, ["v", "w"]).collect()}

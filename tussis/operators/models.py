@@ -334,7 +334,7 @@ def ready_part(rows: DataFrame, held_out: Column, key: str, target: str, vector:
     full = balanced(scaled, key, target, vector, per_class=per_class, seed=seed)
     row_key = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("s"), F.xxhash64(vector).cast("string")))
     full = full.select(row_key.alias("row_key"), F.col(target).cast("double").alias(TARGET), array_to_vector(vector).alias(FEATURES))
-    weighted = durable(class_weights(full, TARGET, WEIGHT))
+    weighted = class_weights(durable(full), TARGET, WEIGHT)
     ready = scaling.apply(test, vector).select(
         F.col(key).cast("string").alias("row_key"), F.col(target).cast("double").alias(TARGET), array_to_vector(vector).alias(FEATURES)
     )

@@ -1,18 +1,25 @@
-"""Exact, linearly interpolated quantiles from value counts.
+"""Exact, linearly interpolated quantiles without sorting the table.
 
 The built-in exact ``percentile`` keeps every distinct value of a group in one
-aggregation buffer. Here values are counted first (combined before the
-shuffle), the counts are ranked with bounded slices, and only the rows that
-straddle a requested rank are kept.
+aggregation buffer. Here a histogram (combined before the shuffle, so tiny)
+first tells which bins hold the requested ranks; only the values in those bins
+are counted and ranked. The table is scanned three times, one column wide, and
+almost nothing is shuffled. With very many groups the values are counted and
+ranked directly, as each group is then small against the whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tussis.operators.running import with_running_totals
+from tussis.session import durable
+
+BINS = 4096
+MAX_GROUPS = 1000
+LARGEST = 1.7976931348623157e308
 
 
 def long_numeric(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -21,26 +28,85 @@ def long_numeric(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     return df.select(*by, F.inline(cells)).where("value IS NOT NULL AND NOT isnan(value)")
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """One row per (by..., column_name) with a column per requested quantile."""
-    groups = [*by, "column_name"]
-    counts = long_numeric(df, columns, by).groupBy(*groups, "value").agg(F.count("*").alias("n"))
-    ranked = with_running_totals(counts, ["value"], {"upto": F.col("n")}, groups, {"upto": "total"})
-
-    first = F.col("upto") - F.col("n")
-    aggregates, outputs = [], []
-    straddles = F.lit(False)
-    for name, p in probabilities.items():
+class _Ranks:
+    """The two neighbouring ranks each probability interpolates between."""
+
+    def __init__(self, probabilities: Mapping[str, float]):
+        self.probabilities = probabilities
+
+    def bounds(self, p: float) -> tuple[Column, Column, Column]:
         position = F.lit(float(p)) * (F.col("total") - 1)
-        low, high = F.floor(position), F.ceil(position)
-        holds_low = (first <= low) & (low < F.col("upto"))
-        holds_high = (first <= high) & (high < F.col("upto"))
-        straddles = straddles | holds_low | holds_high
-        aggregates += [
-            F.max(F.when(holds_low, F.col("value"))).alias(f"__lo_{name}"),
-            F.max(F.when(holds_high, F.col("value"))).alias(f"__hi_{name}"),
-            F.max(position - low).alias(f"__w_{name}"),
-        ]
-        lo, hi, weight = F.col(f"__lo_{name}"), F.col(f"__hi_{name}"), F.col(f"__w_{name}")
-        outputs.append((lo + (hi - lo) * weight).alias(name))
-    return ranked.where(straddles).groupBy(*groups).agg(*aggregates).select(*groups, *outputs)
+        return F.floor(position), F.ceil(position), position - F.floor(position)
+
+    def any_within(self, first: Column, last: Column) -> Column:
+        """Some wanted rank lies in [first, last)."""
+        hit = F.lit(False)
+        for p in self.probabilities.values():
+            low, high, _ = self.bounds(p)
+            hit = hit | ((first <= low) & (low < last)) | ((first <= high) & (high < last))
+        return hit
+
+    def interpolate(self, ranked: DataFrame, groups: Sequence[str]) -> DataFrame:
+        """From rows (groups, value, n, upto, total) to one row per group."""
+        first, last = F.col("upto") - F.col("n"), F.col("upto")
+        aggregates, outputs = [], []
+        for name, p in self.probabilities.items():
+            low, high, weight = self.bounds(p)
+            aggregates += [
+                F.max(F.when((first <= low) & (low < last), F.col("value"))).alias(f"__lo_{name}"),
+                F.max(F.when((first <= high) & (high < last), F.col("value"))).alias(f"__hi_{name}"),
+                F.max(weight).alias(f"__w_{name}"),
+            ]
+            lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+            outputs.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * F.col(f"__w_{name}")).alias(name))
+        return ranked.where(self.any_within(first, last)).groupBy(*groups).agg(*aggregates).select(*groups, *outputs)
+
+
+def _value_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*keys, "value").agg(F.count("*").alias("n"))
+
+
+def _bin(lo: Column, hi: Column) -> Column:
+    """Equal-width bin; never decreasing in the value, halves avoid overflow."""
+    def half(c: Column) -> Column:
+        return F.greatest(F.least(c, F.lit(LARGEST)), F.lit(-LARGEST)) / 2
+
+    part = (half(F.col("value")) - half(lo)) / (half(hi) - half(lo))
+    return F.when(half(hi) > half(lo), F.least(F.floor(part * BINS), F.lit(BINS - 1))).otherwise(0)
+
+
+def _same(left: str, right: str, keys: Sequence[str]) -> Column:
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return condition
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Mapping[str, float], by: Sequence[str] = (), max_groups: int = MAX_GROUPS) -> DataFrame:
+    """One row per (by..., column_name) with a column per requested quantile."""
+    groups, ranks = [*by, "column_name"], _Ranks(probabilities)
+    rows = long_numeric(df, columns, by)
+    ends = durable(rows.groupBy(*groups).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("total")))
+    if ends.count() > max_groups:
+        ranked = with_running_totals(_value_counts(rows, groups), ["value"], {"upto": F.col("n")}, groups, {"upto": "total"})
+        return ranks.interpolate(ranked, groups)
+
+    # ``ends`` has at most ``max_groups`` rows, so it can be sent to every task.
+    binned = rows.alias("r").join(F.broadcast(ends.alias("e")), _same("r", "e", groups)).select(
+        *[F.col(f"r.{g}").alias(g) for g in groups], "value", "total", _bin(F.col("lo"), F.col("hi")).alias("bin")
+    )
+    along = Window.partitionBy(*groups).orderBy("bin")  # at most BINS rows per group
+    histogram = binned.groupBy(*groups, "bin").agg(F.count("*").alias("n"), F.max("total").alias("total"))
+    placed = histogram.withColumn("upto", F.sum("n").over(along)).withColumn("before", F.col("upto") - F.col("n"))
+    wanted = durable(placed.where(ranks.any_within(F.col("before"), F.col("upto"))).select(*groups, "bin", "before"))
+
+    # At most two bins per quantile and group are wanted.
+    keys = [*groups, "bin"]
+    chosen = binned.drop("total").alias("b").join(F.broadcast(wanted.select(*keys).alias("w")), _same("b", "w", keys), "left_semi")
+    inside = with_running_totals(_value_counts(chosen, keys), ["value"], {"within": F.col("n")}, keys)
+    ranked = (
+        inside.alias("i").join(F.broadcast(wanted.alias("w")), _same("i", "w", keys))
+        .select(*[F.col(f"i.{g}").alias(g) for g in groups], "value", "n", (F.col("before") + F.col("within")).alias("upto"))
+    )
+    ranked = ranked.alias("k").join(F.broadcast(ends.alias("e")), _same("k", "e", groups))
+    return ranks.interpolate(ranked.select(*[F.col(f"k.{g}").alias(g) for g in groups], "value", "n", "upto", "total"), groups)
