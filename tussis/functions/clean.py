@@ -94,6 +94,14 @@ def target_of(status: Column, diagnosis: Column) -> Column:
     return _label_case(status, diagnosis, 1)
 
 
+def is_decided(status: Column, diagnosis: Column) -> Column:
+    """Status or diagnosis gives a target."""
+    def known(column: Column, rules) -> Column:
+        return F.coalesce(column.isin([value for rule in rules for value in rule[0]]), F.lit(False))
+
+    return known(status, STATUS_LABELS) | known(diagnosis, DIAGNOSIS_LABELS)
+
+
 def subtype_of(status: Column, diagnosis: Column) -> Column:
     return _label_case(status, diagnosis, 2)
 

@@ -72,9 +72,8 @@ def with_text_views(df: DataFrame, text: str, negators: Sequence[str] = tuple(T.
     """
     start = negator_start(negators)
     cut = df.withColumn("__clauses", clauses(F.lower(F.coalesce(F.col(text), F.lit("")))))
-    return cut.withColumn(GUARDED, F.filter("__clauses", lambda c: c.rlike(start))).withColumn(
-        FREE, F.array_join(F.filter("__clauses", lambda c: ~c.rlike(start)), ".")
-    ).drop("__clauses")
+    viewed = cut.withColumn(GUARDED, F.filter("__clauses", lambda c: c.rlike(start)))
+    return viewed.withColumn(FREE, F.array_join(F.array_except("__clauses", GUARDED), ".")).drop("__clauses")
 
 
 def mentions(keywords: Sequence[str], negators: Sequence[str] = tuple(T.NEGATORS), whole_word: bool = False) -> Column:

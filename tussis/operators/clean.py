@@ -41,9 +41,10 @@ def label_metadata(df: DataFrame) -> DataFrame:
     experts = ["expert_labels_1", "expert_labels_2", "expert_labels_3"]
     df = ensure_columns(df, {e: "struct<diagnosis:string>" for e in experts})
     df = ensure_columns(df, {c: "string" for c in ["status", "gender", "age", "cough_detected", "respiratory_condition", "fever_muscle_pain"]})
-    status = C.normalised(F.col("status"))
-    diagnosis = C.first_label([F.col(f"{e}.diagnosis") for e in experts])
-    return df.select(
+    df = df.withColumn("__status", C.normalised(F.col("status")))
+    df = df.withColumn("__diagnosis", C.first_label([F.col(f"{e}.diagnosis") for e in experts]))
+    status, diagnosis = F.col("__status"), F.col("__diagnosis")
+    return df.where(C.is_decided(status, diagnosis)).select(
         "file_id",
         *[c for c in ["audio_path"] if c in df.columns],
         C.target_of(status, diagnosis).alias("target"),
@@ -53,7 +54,7 @@ def label_metadata(df: DataFrame) -> DataFrame:
         C.number_or(F.col("cough_detected"), C.DEFAULT_COUGH).alias("cough_detected"),
         F.coalesce(F.lower(F.col("respiratory_condition").cast("string")) == "true", F.lit(False)).alias("respiratory_condition"),
         F.coalesce(F.lower(F.col("fever_muscle_pain").cast("string")) == "true", F.lit(False)).alias("fever_muscle_pain"),
-    ).where("target IS NOT NULL")
+    )
 
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -223,9 +223,9 @@ def features(spark, folder, rate=CHROMA_RATE, spec=SPEC):
     return r.select("vec_id", X.feature_struct(F.col("y"), F.lit(rate), spec).alias("f")).select("vec_id", "f.*")
 
 
-@query("extract_features", Q.feature_row(CHROMA_RATE, 8, 4))
+@query("extract_features", Q.feature_row(CHROMA_RATE, 8, 4, 4))
 def extract_features(spark, folder):
-    return features(spark, folder).withColumns({c: F.round(c, 6) for c in X.feature_names(SPEC)})
+    return features(spark, folder).withColumns({c: F.round(c, 4) for c in X.feature_names(SPEC)})
 
 
 @query("mfcc_only", Q.mfcc_row(CHROMA_RATE, 8, 4))
@@ -234,11 +234,11 @@ def mfcc_only(spark, folder):
     return features(spark, folder).select("vec_id", *[F.round(c, 6).alias(c) for c in names])
 
 
-@query("extract_features_full", SignalSql(2048, 512).feature_row(22050.0, 128, 20, 5))
+@query("extract_features_full", SignalSql(2048, 512).feature_row(22050.0, 128, 20, 3))
 def extract_features_full(spark, folder):
     """The 52 published features at full frame size; each recording pads to one frame."""
     full = features(spark, folder, 22050.0, X.FrameSpec())
-    return full.withColumns({c: F.round(c, 5) for c in X.feature_names()})
+    return full.withColumns({c: F.round(c, 3) for c in X.feature_names()})
 
 
 @query("spectrogram", """WITH samples AS (SELECT vec_id, unnest(range(len(embedding))) AS n, unnest(embedding)::DOUBLE AS x FROM embeddings),
