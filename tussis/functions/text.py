@@ -27,6 +27,17 @@ def plain_text(html: Column, limit: int | None = None) -> Column:
     return F.substring(text, 1, limit) if limit else text
 
 
+def report_summary(result_html: Column, details_html: Column) -> Column:
+    """The summary paragraph of a one-page report."""
+    return plain_text(F.concat_ws(" ", result_html, details_html), SUMMARY_CHARS)
+
+
+def report_message(key: Column, result_html: Column, details_html: Column, title: str = "Respiratory screening report") -> Column:
+    """The plain-text body of a report message."""
+    lead = F.concat(F.lit(f"{title} | Patient ID: "), key, F.lit("\n"))
+    return plain_text(F.concat(lead, F.concat_ws(" ", result_html, details_html)), REPORT_CHARS)
+
+
 def html_escape(text: Column) -> Column:
     return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), HTML_ESCAPES, text)
 

@@ -13,7 +13,7 @@ AVERAGE_CONFIDENCE = 0.8
 ROW_CONFIDENCE = 0.0
 LATEST_CONFIDENCE = 0.85
 HEALTHY_LABELS = ["healthy", "normal"]
-TIMELINE_ROWS, SEARCH_ROWS, COMPARISON_ROWS = 8, 10, 9
+TIMELINE_ROWS, SEARCH_ROWS = 8, 10
 
 NEWEST_FIRST = ("ts", "id")
 

@@ -71,6 +71,11 @@ def choose_best(models: DataFrame) -> DataFrame:
     return stored.orderBy(F.coalesce(F.col("accuracy"), F.lit(-1.0)).desc(), "filename").limit(1)
 
 
+def compatible(models: DataFrame, width: int, n_features: str = "n_features") -> DataFrame:
+    """Models that take ``width`` inputs; one that does not say is kept."""
+    return models.where(F.coalesce(F.col(n_features), F.lit(width)) == width)
+
+
 def choose_by_priority(models: DataFrame, order=tuple(SERVING_ORDER)) -> DataFrame:
     """First stored model in a fixed order of names."""
     position = F.array_position(F.array(*[F.lit(n) for n in order]), F.col("model"))

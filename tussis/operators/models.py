@@ -24,7 +24,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tussis.functions.scoring import predicted, sigmoid, soft_vote
+from tussis.functions.scoring import model_rows, predicted, sigmoid, soft_vote
 from tussis.operators.balance import balanced, class_weights, stratified_folds, stratified_split
 from tussis.operators.evaluate import binary_metrics, roc_auc
 from tussis.operators.neighbors import distance_vote, nearest_neighbors
@@ -307,11 +307,18 @@ class Scaling:
         return df.withColumn(vector, F.zip_with(centred, spread, lambda x, s: x / s))
 
 
-def learn_scaling(df: DataFrame, vector: str) -> Scaling:
-    """One aggregate row per vector position comes back, never the rows."""
+def learn_scaling(df: DataFrame, vector: str, unscaled: int = 0) -> Scaling:
+    """One aggregate row per vector position comes back, never the rows.
+
+    The last ``unscaled`` positions (category flags) keep their values.
+    """
     cells = df.select(F.posexplode(vector).alias("at", "v"))
     moments = cells.groupBy("at").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("at").collect()
-    return Scaling([float(r["m"]) for r in moments], [float(r["s"]) or 1.0 for r in moments])
+    scaled = len(moments) - unscaled
+    return Scaling(
+        [float(r["m"]) if at < scaled else 0.0 for at, r in enumerate(moments)],
+        [(float(r["s"]) or 1.0) if at < scaled else 1.0 for at, r in enumerate(moments)],
+    )
 
 
 @dataclass(frozen=True)
@@ -323,21 +330,24 @@ class Part:
     scaling: Scaling
 
 
-def ready_part(rows: DataFrame, held_out: Column, key: str, target: str, vector: str, per_class: int, seed: int) -> Part:
+def as_features(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """Add the row key and the ML vector the families read."""
+    return df.withColumns({"row_key": F.col(key).cast("string"), FEATURES: array_to_vector(vector)})
+
+
+def ready_part(rows: DataFrame, held_out: Column, key: str, target: str, vector: str, per_class: int, seed: int, unscaled: int = 0) -> Part:
     """Scale and balance with the training rows alone, then weight them.
 
     Held-out rows never reach the scaler or the balancer.
     """
     train, test = rows.where(~held_out), rows.where(held_out)
-    scaling = learn_scaling(train, vector)
+    scaling = learn_scaling(train, vector, unscaled)
     scaled = scaling.apply(train.select(key, target, vector), vector)
     full = balanced(scaled, key, target, vector, per_class=per_class, seed=seed)
     row_key = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("s"), F.xxhash64(vector).cast("string")))
     full = full.select(row_key.alias("row_key"), F.col(target).cast("double").alias(TARGET), array_to_vector(vector).alias(FEATURES))
     weighted = class_weights(durable(full), TARGET, WEIGHT)
-    ready = scaling.apply(test, vector).select(
-        F.col(key).cast("string").alias("row_key"), F.col(target).cast("double").alias(TARGET), array_to_vector(vector).alias(FEATURES)
-    )
+    ready = as_features(scaling.apply(test, vector), key, vector).select("row_key", F.col(target).cast("double").alias(TARGET), FEATURES)
     return Part(weighted, ready, scaling)
 
 
@@ -352,15 +362,15 @@ REPORT_SCHEMA = """model STRING, path STRING, accuracy DOUBLE, test_accuracy DOU
     sensitivity_recall DOUBLE, precision DOUBLE, roc_auc DOUBLE, error STRING"""
 
 
-def cross_validate(rows: DataFrame, fit: Callable[[DataFrame], Fitted], key: str, target: str, vector: str, folds: int, per_class: int, seed: int) -> list[float]:
+def cross_validate(rows: DataFrame, fit: Callable[[DataFrame], Fitted], key: str, target: str, vector: str, folds: int, per_class: int, seed: int, unscaled: int = 0) -> list[float]:
     """Held-out accuracy per fold; scaling and balancing are redone inside each."""
-    parts = fold_parts(rows, key, target, vector, folds, per_class, seed)
+    parts = fold_parts(rows, key, target, vector, folds, per_class, seed, unscaled)
     return [metrics_of(fit(p.train), p.test)["accuracy"] for p in parts]
 
 
-def fold_parts(rows: DataFrame, key: str, target: str, vector: str, folds: int, per_class: int, seed: int) -> list[Part]:
+def fold_parts(rows: DataFrame, key: str, target: str, vector: str, folds: int, per_class: int, seed: int, unscaled: int = 0) -> list[Part]:
     numbered = stratified_folds(rows.select(key, target, vector), key, target, folds, seed)
-    return [ready_part(numbered, F.col("fold") == f, key, target, vector, per_class, seed) for f in range(folds)]
+    return [ready_part(numbered, F.col("fold") == f, key, target, vector, per_class, seed, unscaled) for f in range(folds)]
 
 
 def train_and_evaluate(
@@ -373,6 +383,7 @@ def train_and_evaluate(
     folds: int = 5,
     per_class: int = 120,
     seed: int = 42,
+    unscaled: int = 0,
     model_folder: str | None = None,
 ) -> DataFrame:
     """Leaderboard of all families; a family that fails has no accuracy and an error text.
@@ -381,8 +392,8 @@ def train_and_evaluate(
     ``model_folder`` every trained model is stored there.
     """
     split = stratified_split(rows.select(key, target, vector), key, target, seed=seed)
-    hold = ready_part(split, F.col("is_test"), key, target, vector, per_class, seed)
-    parts = fold_parts(rows, key, target, vector, folds, per_class, seed) if folds else []
+    hold = ready_part(split, F.col("is_test"), key, target, vector, per_class, seed, unscaled)
+    parts = fold_parts(rows, key, target, vector, folds, per_class, seed, unscaled) if folds else []
     report = []
     for name, fit in families.items():
         try:
@@ -446,6 +457,15 @@ def load_fitted(spark: SparkSession, path: str) -> tuple[Fitted, Scaling | None]
     return model, Scaling(**about["scaling"]) if about["scaling"] else None
 
 
+def compare_fitted(fitted: Sequence[Fitted], df: DataFrame, keep: Sequence[str], accuracies: Mapping[str, float] | None = None) -> DataFrame:
+    """What every fitted model says about every row, in long form; no join over models."""
+    scored = df
+    for model in fitted:
+        scored = model.score(scored, f"__p_{model.name}")
+    probabilities = {m.name: F.col(f"__p_{m.name}") for m in fitted}
+    return scored.select(*keep, F.inline(model_rows(probabilities, accuracies)))
+
+
 def feature_importance(spark: SparkSession, model, names: Sequence[str]) -> DataFrame:
     """(feature, importance) of a tree model, one row per feature."""
     values = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]

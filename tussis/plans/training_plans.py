@@ -49,6 +49,14 @@ for _name, _family in {
     _register(_name, _family)
 
 
+@query("compare_fitted")
+def compare_fitted(spark, folder):
+    """Three fitted models side by side on the held-out rows."""
+    part = _held_out(spark, folder)
+    fitted = [_FAMILIES[n](part.train) for n in ("random_forest", "decision_tree", "logistic")]
+    return M.compare_fitted(fitted, part.test, ["row_key"], {"random_forest": 0.7857})
+
+
 @query("cv_accuracy")
 def cv_accuracy(spark, folder):
     """Held-out accuracy per fold of a decision tree."""

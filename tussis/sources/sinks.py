@@ -61,12 +61,14 @@ def append_history(df: DataFrame, path: str) -> None:
     typed.withColumn("day", F.to_date("ts")).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """The history, or an empty frame with its schema when there is none."""
-    try:
-        return spark.read.schema(HISTORY_SCHEMA + ", day DATE").parquet(path).drop("day")
-    except AnalysisException:
-        return spark.createDataFrame([], HISTORY_SCHEMA)
+def read_history(spark: SparkSession, *paths: str) -> DataFrame:
+    """The history at the first path that has one, else an empty frame with its schema."""
+    for path in paths:
+        try:
+            return spark.read.schema(HISTORY_SCHEMA + ", day DATE").parquet(path).drop("day")
+        except AnalysisException:
+            continue
+    return spark.createDataFrame([], HISTORY_SCHEMA)
 
 
 def retained(history: DataFrame, keep: int = HISTORY_KEEP) -> DataFrame:
