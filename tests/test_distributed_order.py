@@ -130,6 +130,23 @@ def test_neighbors_of_identical_points_fill_several_blocks(spark):
     assert rows[50] == [0, 1, 2] and rows[1] == [0, 2, 3] and len(rows) == 100
 
 
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_neighbors_of_an_empty_corpus(spark, by):
+    df = spark.createDataFrame([(1, "a", [0.0])], "id INT, g STRING, x ARRAY<DOUBLE>")
+    assert neighbors.nearest_neighbors(df, df.where("false"), 2, query_id="id", corpus_id="id", vector="x", by=by).count() == 0
+
+
+def test_profiles_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "a DOUBLE, g STRING")
+    assert [r["missing_count"] for r in profile.missingness(df).collect()] == [0, 0]
+    assert profile.completeness(df).first()["complete_pct"] is None
+    assert profile.value_counts(df, "g").count() == 0
+    assert profile.describe(df, ["a"]).first()["count"] == 0
+    assert profile.duplicate_rows(df).first()[0] == 0
+    assert profile.histogram(df, "a", 3).agg(F.sum("n")).first()[0] == 0
+    assert quantiles.exact_quantiles(df, ["a"], {"m": 0.5}).count() == 0
+
+
 def test_neighbors_in_groups_smaller_than_k(spark):
     df = spark.createDataFrame([(1, "a", [0.0]), (2, "a", [1.0]), (3, "b", [9.0])], "id INT, g STRING, x ARRAY<DOUBLE>")
     for small in (100, 1):

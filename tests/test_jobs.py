@@ -46,6 +46,8 @@ def trained(spark, recordings, tmp_path_factory):
 def test_training_skips_unusable_recordings(spark, recordings):
     table = jobs.training_table(spark, recordings, SPEC)
     assert table.count() == 36 and table.where("target = 1").count() == 12
+    quick = jobs.training_table(spark, recordings, SPEC, limit=5)  # "broken" sorts first and has no usable sound
+    assert sorted(r["file_id"] for r in quick.collect()) == ["r00", "r01", "r02", "r03"]
 
 
 def test_training_separates_and_stores(spark, trained):

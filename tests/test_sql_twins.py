@@ -16,7 +16,7 @@ def test_equal_to_sql(spark, folder, con, name):
     assert compare(entry.queries()[name](spark, folder), con, entry.oracle_sql()[name]) == []
 
 
-@pytest.mark.parametrize("name", ["smote_balance", "fit_tree", "fit_knn", "feature_importance", "model_roundtrip", "score_batch"])
+@pytest.mark.parametrize("name", ["fit_tree", "compare_fitted", "feature_importance", "model_roundtrip", "score_batch"])
 def test_runs(spark, folder, name):
     assert entry.queries()[name](spark, folder).count() > 0
 

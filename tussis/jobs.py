@@ -8,29 +8,41 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tussis.functions import rules, scoring, signal as S, spectral as X
-from tussis.functions.clean import clamp_domain, number_or, parse_bool, DEFAULT_AGE
+from tussis.functions.clean import DEFAULT_AGE, clamp_domain, number_or, parse_bool, stem
 from tussis.operators import bulk, clean, leaderboard, lookup, models, profile
 from tussis.operators.prepare import categories_of
-from tussis.sources import audio, sidecars, sinks
+from tussis.operators.sizing import BROADCAST_ROWS, within_rows
 from tussis.session import durable
+from tussis.sources import sidecars, sinks
 
 CLINICAL = ["age", "cough_detected", "respiratory_condition", "fever_muscle_pain"]
 DEFAULT_COUGH_ENTERED = 0.5  # fixed value: what a form sends when nothing is entered
 
 
-def analysed_recordings(spark: SparkSession, folder: str, spec: X.FrameSpec = X.FrameSpec()) -> DataFrame:
-    """One analysed WAV per recording id; files of lower priority are not decoded."""
-    chosen = lookup.audio_lookup(audio.list_recordings(spark, folder), [".wav"])
+def analysed_recordings(spark: SparkSession, folder: str, spec: X.FrameSpec = X.FrameSpec(), only: DataFrame | None = None) -> DataFrame:
+    """One analysed WAV per recording id.
+
+    ``only`` (file_id) skips the other files before they are decoded, as long as
+    its ids can be broadcast; file contents are never shuffled.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder)
-    named = files.join(chosen, files["path"] == chosen["audio_path"]).select("file_id", "content")
+    named = files.select(stem(F.col("path")).alias("file_id"), "content")
+    if only is not None and within_rows(only, BROADCAST_ROWS):
+        named = named.join(F.broadcast(only.select("file_id")), "file_id", "left_semi")
     return bulk.analyse(named, ["file_id"], spec)
 
 
-def training_table(spark: SparkSession, folder: str, spec: X.FrameSpec = X.FrameSpec()) -> DataFrame:
-    """Labelled metadata joined to the features of usable recordings, written once."""
+def training_table(spark: SparkSession, folder: str, spec: X.FrameSpec = X.FrameSpec(), limit: int | None = None) -> DataFrame:
+    """Labelled metadata joined to the features of usable recordings, written once.
+
+    ``limit`` takes the first recordings by name, for a quick run.
+    """
     metadata, _ = sidecars.read_sidecars(spark, folder)
     labelled = clean.label_metadata(metadata)
-    features = analysed_recordings(spark, folder, spec).where("error IS NULL AND NOT blocking")
+    if limit is not None:
+        labelled = labelled.orderBy("file_id").limit(limit)
+    labelled = durable(labelled)
+    features = analysed_recordings(spark, folder, spec, labelled).where("error IS NULL AND NOT blocking")
     wide = lookup.with_features(labelled, features.select("file_id", *X.feature_names(spec)))
     return sidecars.require_rows(durable(wide), f"no labelled recordings in {folder}")
 

@@ -64,7 +64,8 @@ def _against_small(queries: DataFrame, corpus: DataFrame, k: int, by: list[str],
     local = corpus.toPandas()  # row count checked by the caller
     groups = {}
     for key, part in local.groupby(by) if by else [((), local)]:
-        groups[key] = (_matrix(part["c_vec"]), part["c_id"].to_numpy())
+        if not part.empty:
+            groups[key] = (_matrix(part["c_vec"]), part["c_id"].to_numpy())
     shared = queries.sparkSession.sparkContext.broadcast(groups)
     names = schema.names
 
