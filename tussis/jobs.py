@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tussis.functions import rules, scoring, signal as S, spectral as X
+from tussis.functions import rules, scoring, spectral as X
 from tussis.functions.clean import DEFAULT_AGE, clamp_domain, number_or, parse_bool, stem
 from tussis.operators import bulk, clean, leaderboard, lookup, models, profile
 from tussis.operators.prepare import categories_of

@@ -66,13 +66,21 @@ def _value_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys, "value").agg(F.count("*").alias("n"))
 
 
-def _bin(lo: Column, hi: Column) -> Column:
-    """Equal-width bin; never decreasing in the value, halves avoid overflow."""
-    def half(c: Column) -> Column:
-        return F.greatest(F.least(c, F.lit(LARGEST)), F.lit(-LARGEST)) / 2
+def _half(c: Column) -> Column:
+    """Half of a finite stand-in for the value, so that differences cannot overflow."""
+    return F.greatest(F.least(c, F.lit(LARGEST)), F.lit(-LARGEST)) / 2
 
-    part = (half(F.col("value")) - half(lo)) / (half(hi) - half(lo))
-    return F.when(half(hi) > half(lo), F.least(F.floor(part * BINS), F.lit(BINS - 1))).otherwise(0)
+
+def _with_scale(ends: DataFrame) -> DataFrame:
+    """Add the start of the bins and bins per unit; 0 puts a width too small to divide in one bin."""
+    spread = _half(F.col("hi")) - _half(F.col("lo"))
+    scale = F.try_divide(F.lit(float(BINS)), spread)
+    return ends.withColumn("base", _half(F.col("lo"))).withColumn("scale", F.when(scale <= LARGEST, scale).otherwise(0.0))
+
+
+def _bin() -> Column:
+    """Equal-width bin; never decreasing in the value."""
+    return F.least(F.floor((_half(F.col("value")) - F.col("base")) * F.col("scale")), F.lit(BINS - 1))
 
 
 def _same(left: str, right: str, keys: Sequence[str]) -> Column:
@@ -86,14 +94,15 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Mappin
     """One row per (by..., column_name) with a column per requested quantile."""
     groups, ranks = [*by, "column_name"], _Ranks(probabilities)
     rows = long_numeric(df, columns, by)
-    ends = durable(rows.groupBy(*groups).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("total")))
+    spans = rows.groupBy(*groups).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("total"))
+    ends = durable(_with_scale(spans).drop("lo", "hi"))
     if ends.count() > max_groups:
         ranked = with_running_totals(_value_counts(rows, groups), ["value"], {"upto": F.col("n")}, groups, {"upto": "total"})
         return ranks.interpolate(ranked, groups)
 
     # ``ends`` has at most ``max_groups`` rows, so it can be sent to every task.
     binned = rows.alias("r").join(F.broadcast(ends.alias("e")), _same("r", "e", groups)).select(
-        *[F.col(f"r.{g}").alias(g) for g in groups], "value", "total", _bin(F.col("lo"), F.col("hi")).alias("bin")
+        *[F.col(f"r.{g}").alias(g) for g in groups], "value", "total", _bin().alias("bin")
     )
     along = Window.partitionBy(*groups).orderBy("bin")  # at most BINS rows per group
     histogram = binned.groupBy(*groups, "bin").agg(F.count("*").alias("n"), F.max("total").alias("total"))

@@ -196,13 +196,12 @@ def report_date(spark, folder):
     return table(spark, folder, "events").select("event_id", X.report_date(F.col("ts")).alias("report_date"))
 
 
-_LINE_SQL = f"""{HISTORY_SQL} SELECT id, 'Screening report|' || patient_id || '|' || label || '|' || printf('%.4f', confidence) || '|' || strftime(ts, '%Y-%m-%d') AS line
-    FROM history WHERE confidence IS NOT NULL"""
+_LINE_SQL = f"""{HISTORY_SQL} SELECT id, 'Screening report|' || patient_id || '|' || label || '|' || printf('%.4f', coalesce(confidence, 0.0)) || '|' || strftime(ts, '%Y-%m-%d') AS line FROM history"""
 
 
 def _lines(spark, folder):
-    h = history(spark, folder).where("confidence IS NOT NULL")
-    return h.select("id", X.verification_line(F.col("patient_id"), F.col("label"), F.col("confidence"), F.col("ts")).alias("line"))
+    shown = F.coalesce("confidence", F.lit(H.ROW_CONFIDENCE))
+    return history(spark, folder).select("id", X.verification_line(F.col("patient_id"), F.col("label"), shown, F.col("ts")).alias("line"))
 
 
 @query("verification_line", _LINE_SQL)
