@@ -89,16 +89,21 @@ def _draws(needs: DataFrame) -> DataFrame:
     return cut.select("class", "n", F.explode(F.sequence(first, last)).alias("draw"))
 
 
+def _deficits(df: DataFrame, target: str, per_class: int) -> DataFrame:
+    """(class, n, deficit) of the classes with fewer than ``per_class`` rows."""
+    counts = df.groupBy(F.col(target).alias("class")).agg(F.count("*").alias("n"))
+    return durable(counts.where(F.col("n") < per_class).withColumn("deficit", F.lit(per_class) - F.col("n")))
+
+
 def synthesize(df: DataFrame, key: str, target: str, vector: str, per_class: int = ROWS_PER_CLASS, k: int = NEIGHBORS, seed: int = SEED,
-               jitter: float = JITTER, draw: Draw = uniform) -> DataFrame:
+               jitter: float = JITTER, draw: Draw = uniform, needs: DataFrame | None = None) -> DataFrame:
     """Synthetic (class, draw, base_id, neighbor_id, vector) rows for short classes.
 
     Each is a blend of a drawn row with one of its nearest neighbours of the
     class plus a small jitter; a class of one row is copied. Only rows that were
     drawn look for neighbours. All chance comes from ``draw``.
     """
-    counts = df.groupBy(F.col(target).alias("class")).agg(F.count("*").alias("n"))
-    needs = durable(counts.where(F.col("n") < per_class).withColumn("deficit", F.lit(per_class) - F.col("n")))
+    needs = _deficits(df, target, per_class) if needs is None else needs
     rows = df.select(F.col(target).alias("class"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x"))
     short = durable(join_measured(rows, needs.select("class"), "class", "left_semi"))  # less than per_class rows per class
     numbered = with_row_number(short, ["id"], "at", ["class"])
@@ -124,10 +129,13 @@ def synthesize(df: DataFrame, key: str, target: str, vector: str, per_class: int
     return both.select("class", "draw", "base_id", "neighbor_id", shaken.alias("vector"))
 
 
-def balanced(df: DataFrame, key: str, target: str, vector: str, **options) -> DataFrame:
+def balanced(df: DataFrame, key: str, target: str, vector: str, per_class: int = ROWS_PER_CLASS, **options) -> DataFrame:
     """Original rows and the synthetic ones (``key`` null) as (key, target, vector, synthetic)."""
     original = df.select(key, target, F.col(vector).cast("array<double>").alias(vector), F.lit(False).alias("synthetic"))
-    extra = synthesize(df, key, target, vector, **options)
+    needs = _deficits(df, target, per_class)
+    if needs.isEmpty():
+        return original
+    extra = synthesize(df, key, target, vector, per_class=per_class, needs=needs, **options)
     made = extra.select(
         F.lit(None).cast(df.schema[key].dataType).alias(key), F.col("class").alias(target), F.col("vector").alias(vector), F.lit(True).alias("synthetic")
     )

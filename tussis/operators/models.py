@@ -362,14 +362,20 @@ REPORT_SCHEMA = """model STRING, path STRING, accuracy DOUBLE, test_accuracy DOU
     sensitivity_recall DOUBLE, precision DOUBLE, roc_auc DOUBLE, error STRING"""
 
 
-def cross_validate(rows: DataFrame, fit: Callable[[DataFrame], Fitted], key: str, target: str, vector: str, folds: int, per_class: int, seed: int, unscaled: int = 0) -> list[float]:
+def cross_validate(
+    rows: DataFrame, fit: Callable[[DataFrame], Fitted], key: str, target: str, vector: str, folds: int, per_class: int,
+    seed: int, unscaled: int = 0, order_by: list[str] | None = None,
+) -> list[float]:
     """Held-out accuracy per fold; scaling and balancing are redone inside each."""
-    parts = fold_parts(rows, key, target, vector, folds, per_class, seed, unscaled)
+    parts = fold_parts(rows, key, target, vector, folds, per_class, seed, unscaled, order_by)
     return [metrics_of(fit(p.train), p.test)["accuracy"] for p in parts]
 
 
-def fold_parts(rows: DataFrame, key: str, target: str, vector: str, folds: int, per_class: int, seed: int, unscaled: int = 0) -> list[Part]:
-    numbered = stratified_folds(rows.select(key, target, vector), key, target, folds, seed)
+def fold_parts(
+    rows: DataFrame, key: str, target: str, vector: str, folds: int, per_class: int, seed: int, unscaled: int = 0,
+    order_by: list[str] | None = None,
+) -> list[Part]:
+    numbered = durable(stratified_folds(rows.select(key, target, vector), key, target, folds, seed, order_by))
     return [ready_part(numbered, F.col("fold") == f, key, target, vector, per_class, seed, unscaled) for f in range(folds)]
 
 
@@ -391,7 +397,7 @@ def train_and_evaluate(
     Split and folds come first and are prepared once, for all families. With a
     ``model_folder`` every trained model is stored there.
     """
-    split = stratified_split(rows.select(key, target, vector), key, target, seed=seed)
+    split = durable(stratified_split(rows.select(key, target, vector), key, target, seed=seed))
     hold = ready_part(split, F.col("is_test"), key, target, vector, per_class, seed, unscaled)
     parts = fold_parts(rows, key, target, vector, folds, per_class, seed, unscaled) if folds else []
     report = []
