@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tussis.llm import decontamination, mixing, sharding
+from tussis.llm import decontamination, mixing, sharding, simhash
 from tussis.plans.registry import query, table
 
 _MIX_SQL = f"""
@@ -66,3 +66,9 @@ def benchmark_leaks(spark, folder):
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query("op9_simhash")
+def simhash_classes(spark, folder):
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
