@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tussis.llm import decontamination, mixing, sharding, simhash
+from tussis.llm import decontamination, mixing, quality, secret_scans, sharding, simhash, token_counts
 from tussis.plans.registry import query, table
+from tussis.session import scratch_path
 
 _MIX_SQL = f"""
 WITH sized AS (
@@ -72,3 +73,35 @@ def benchmark_leaks(spark, folder):
 def simhash_classes(spark, folder):
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def _tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op1_token_counts")
+def count_tokens(spark, folder):
+    counts = token_counts.token_counts(table(spark, folder, "documents"), _tokenizer_path())
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query("op2_secret_scans")
+def secrets(spark, folder):
+    versions = table(spark, folder, "documents").select(F.col("doc_id").alias("path"), "text")
+    found = secret_scans.scan_versions(versions, scratch_path(spark, "secret-ledger"))
+    base = F.filter("findings", lambda f: f["kind"].isin(*secret_scans.BASE_KINDS))
+
+    def number(kind):
+        return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        F.col("path").alias("doc_id"), *[number(k) for k in secret_scans.BASE_KINDS],
+        F.sha2(secret_scans.span_text(base), 256).alias("base_sha256"), secret_scans.span_text(F.col("findings")).alias("spans"),
+    )
+
+
+@query("op3_quality_rules")
+def quality_rules(spark, folder):
+    return quality.quality_report(table(spark, folder, "documents"))
