@@ -44,7 +44,7 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), max_rep
     )
     level = totals.filter("level <= ratio").agg(F.min_by("level", F.struct("ratio", "rank")).alias("level"))
     return (
-        totals.drop("level").join(F.broadcast(level))  # one row
+        totals.withColumn("level", level.scalar())
         .select("source", "source_size", F.expr("least(weight * level, cast(cap as double))").alias("target"))
         .withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tussis.llm import decontamination, mixing, quality, secret_scans, sharding, simhash, token_counts
+from tussis.llm import decontamination, mixing, quality, secret_scans, sharding, simhash, substring_dedup, token_counts, warc
 from tussis.plans.registry import query, table
 from tussis.session import scratch_path
 
@@ -105,3 +105,22 @@ def secrets(spark, folder):
 @query("op3_quality_rules")
 def quality_rules(spark, folder):
     return quality.quality_report(table(spark, folder, "documents"))
+
+
+@query("op8_substring_dedup")
+def repeated_passages(spark, folder):
+    return substring_dedup.repeats(table(spark, folder, "documents"))
+
+
+_WARC_SQL = """
+WITH page AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+known AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM page),
+marked AS (SELECT *, payload_bytes >= 100 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id AS again FROM known)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to FROM marked
+"""
+
+
+@query("op10_warc", _WARC_SQL)
+def warc_round_trip(spark, folder):
+    manifest = warc.write_archives(table(spark, folder, "pages"), scratch_path(spark, "archives"))
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
