@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tussis.llm import decontamination, mixing, quality, secret_scans, sharding, simhash, substring_dedup, token_counts, warc
+from tussis.llm import decontamination, lm_scoring, mixing, quality, secret_scans, sharding, simhash, substring_dedup, token_counts, warc
 from tussis.plans.registry import query, table
 from tussis.session import scratch_path
 
@@ -124,3 +124,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' EL
 def warc_round_trip(spark, folder):
     manifest = warc.write_archives(table(spark, folder, "pages"), scratch_path(spark, "archives"))
     return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_lm_scoring")
+def language_model_scores(spark, folder):
+    return lm_scoring.score_texts(table(spark, folder, "documents"), lm_scoring.every_seventh(F.col("doc_id")))
