@@ -3,7 +3,7 @@
 The byte model is a trie of contexts of up to five bytes, learnt from the training rows: every task counts its own byte
 sequences, the counts are added up over all rows, and the contexts seen most often, within a fixed number of nodes, make up
 the trie. A byte is predicted from the longest context in the trie. If it wasn't seen there, the model escapes to the
-context one byte shorter (escape counts are the number of distinct symbols, method C), where symbols of the longer context
+context one byte shorter (every symbol seen gives up half an occurrence to the escape, method D), where symbols of the longer context
 are excluded; below the empty context all symbols left are equally likely. Since the counts
 of all orders come from the same rows, exclusions nest, and each node's share can be worked out beforehand:
 the trie becomes an automaton of log probabilities and transitions, of bounded size, which is sent to the tasks.
@@ -25,8 +25,10 @@ from tussis.llm.common import whole_text, written
 
 ORDER = 5
 #: Most contexts in the trie, and most words in the broadcast table.
-NODES = 1 << 15
+NODES = 1 << 16
 FREQUENT_WORDS = 1 << 17
+#: What every symbol seen in a context gives up for the escape, in occurrences (method D).
+DISCOUNT = 0.5
 #: Longer words are never in the table.
 LONG_WORD = 64
 #: Contexts and words are taken by classes of frequency, 16 to a doubling.
@@ -166,43 +168,44 @@ class Automaton:
         self.column = np.full(SYMBOLS, len(seen), np.int64)
         self.column[seen] = np.arange(len(seen))
         n = len(ids)
-        log_count = np.full((n, self.width), -np.inf)
-        at, col = (place(entry_ids), self.column[entry_symbols]) if len(entry_ids) else (np.zeros(0, np.int64),) * 2
         counts = np.zeros((n, self.width))
-        counts[at, col] = entry_counts
+        if len(entry_ids):
+            counts[place(entry_ids), self.column[entry_symbols]] = entry_counts
         has = counts > 0
-        log_count[has] = np.log10(counts[has])
-        total, distinct = counts.sum(axis=1), has.sum(axis=1).astype(float)
+        total, distinct = counts.sum(axis=1), has.sum(axis=1)
+        short = np.maximum(orders - 1, 0)
+        parent = place((bits & ((1 << (SYMBOL_BITS * short)) - 1)) << ORDER_BITS | short)
+        left = SYMBOLS - int(distinct[0])  # symbols below the empty context
 
-        def log(x: np.ndarray) -> np.ndarray:
+        def log(x):
             return np.log10(np.where(x > 0, x, 1))
 
-        short = np.maximum(orders - 1, 0)
-        parent = place((bits & ((1 << (SYMBOL_BITS * short)) - 1)) << ORDER_BITS | short)
+        def shares(node: np.ndarray, mass: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """log10 of the symbols' shares and of the escape at contexts with ``mass`` occurrences of ``kinds`` symbols."""
+            last = (node == 0) & (left == 0)  # nothing to escape to
+            whole = log(np.where(last, mass - DISCOUNT * kinds, mass))
+            return log(counts[node] - DISCOUNT) - whole[:, None], np.where(kinds > 0, log(DISCOUNT * kinds) - whole, 0)[:, None]
+
+        # ``down``: of a symbol after an escape from the context, whose own symbols are excluded from there on.
         down, self.next = np.zeros((n, self.width)), np.zeros((n, self.width), np.int32)
-        left = SYMBOLS - distinct[0]
         down[0] = -log(np.array(left))
         for k in range(ORDER + 1):
             rows = np.flatnonzero(orders == k)
-            if k and len(rows):
-                p = parent[rows]
-                # At the parent, without the symbols of the longer context.
-                rest, kinds = total[p] - (counts[p] * has[rows]).sum(axis=1), distinct[p] - distinct[rows]
-                escapes = np.where((p == 0) & (left == 0), 0, kinds)
-                mass = rest + escapes
-                escape = np.where(kinds > 0, log(escapes) - log(mass), 0)
-                down[rows] = np.where(has[p], log_count[p] - log(mass)[:, None], escape[:, None] + down[p])
-                self.next[rows] = self.next[p]
+            for i in range(0, len(rows) if k else 0, 4096):
+                r = rows[i : i + 4096]
+                p = parent[r]
+                share, escape = shares(p, total[p] - (counts[p] * has[r]).sum(axis=1), distinct[p] - distinct[r])
+                down[r] = np.where(has[p], share, escape + down[p])
+                self.next[r] = self.next[p]
             longer = np.flatnonzero(orders == k + 1)
             if len(longer):
                 before = place((bits[longer] >> SYMBOL_BITS) << ORDER_BITS | k)
                 self.next[before, self.column[bits[longer] & SYMBOL_MASK]] = longer
-        escapes = np.where((np.arange(n) == 0) & (left == 0), 0, distinct)
-        mass = total + escapes
-        self.score = np.where(has, log_count - log(mass)[:, None], (log(escapes) - log(mass))[:, None] + down)
-        if not len(entry_ids):
-            self.score[:] = -np.log10(SYMBOLS)
-        self.score, self.next = self.score.ravel(), self.next.ravel()
+        for i in range(0, n, 4096):
+            r = np.arange(i, min(n, i + 4096))
+            share, escape = shares(r, total[r], distinct[r])
+            down[r] = np.where(has[r], share, escape + down[r])
+        self.score, self.next = down.ravel(), self.next.ravel()
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text, its end included. Texts are scored in lanes side by side; a lane inside a text
