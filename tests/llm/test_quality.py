@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tussis.llm import quality
 
 CLEAN = "This is a plain sentence with some words. Here comes another one.\n\nA third line closes the text properly."
@@ -8,7 +10,7 @@ NAV = "Home | About | Contact | Products | News | Help |"
 ROWS = [
     (1, CLEAN, "en"), (1, CLEAN, "en"), (2, NAV + "\n" + NAV, "en"), (3, CLEAN + "\n" + NAV + "\nAll rights reserved.", "en"), (4, None, "en"), (5, "", "en"), (6, "Too short.", "en"),
     (7, "again and again and again and again and again and again and again.", "en"), (None, "Of%%% athe*** erntw.%%% Thnt&&& ndr$$$ one two three four five six", "en"),
-    (8, "这是一个句子。 " * 12, "zh"), (9, "\x1c\x85 odd\xa0spaces here. " * 3 + " ".join(f"w{i}." for i in range(30_000)), "xx"),
+    (8, " ".join(f"这是第{i}个句子。" for i in range(12)), "zh"), (9, "\x1c\x85 odd\xa0spaces here. " * 3 + " ".join(f"w{i}." for i in range(30_000)), "xx"),
 ]
 
 
@@ -37,7 +39,7 @@ def test_figures_equal_brute_force(spark, folder):
 
 
 def test_lines_and_verdicts(spark):
-    df = spark.createDataFrame(ROWS, "doc_id bigint, text string, kept string").withColumn("n_chars", __import__("pyspark.sql.functions", fromlist=["f"]).length("text"))
+    df = spark.createDataFrame(ROWS, "doc_id bigint, text string, kept string").withColumn("n_chars", F.length("text"))
     cleaned = quality.clean(df)
     assert cleaned.columns == df.columns
     rows = {r.doc_id: r for r in cleaned.collect()}

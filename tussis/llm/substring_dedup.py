@@ -23,6 +23,8 @@ from tussis.llm.common import fresh, if_small, whole_text, written
 
 REACH = 24
 MIN_RUN_WORDS = 10
+#: Enough bytes are a passage whatever their words, as scripts without blanks have few.
+MIN_RUN_BYTES = 256
 #: Bytes that the rolling hash sees.
 ROLL = 16
 #: Texts longer than this are cut piece by piece, with what a cut can see on either side.
@@ -140,7 +142,7 @@ def repeated_runs(docs: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataFr
     order = Window.partitionBy("row", "is_first").orderBy("at")  # the chunks of one text
     runs = found.withColumn("run", F.col("at") - F.row_number().over(order)).groupBy("doc_id", "row", "is_first", "run").agg(
         F.min("first_id").alias("first_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"))
-    return runs.filter(F.col("n_words") >= min_run_words).drop("run")
+    return runs.filter((F.col("n_words") >= min_run_words) | (F.col("end") - F.col("start") >= MIN_RUN_BYTES)).drop("run")
 
 
 def repeats(docs: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
