@@ -27,11 +27,18 @@ BINARY_TARGET = {"healthy": 0, "covid-19": 1}
 DEFAULT_AGE = 35.0
 DEFAULT_COUGH = 0.85
 
-NUMBER_PATTERN = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
+NUMBER_PATTERN = r"\A[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\z"
+#: White space of any script, control characters that count as such included.
+WHITE_SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
+
+
+def strip(value: Column) -> Column:
+    """Text without white space at either end; tabs, line ends and no-break spaces included."""
+    return F.regexp_replace(value.cast("string"), rf"\A{WHITE_SPACE}|{WHITE_SPACE}\z", "")
 
 
 def normalised(value: Column) -> Column:
-    return F.lower(F.trim(value.cast("string")))
+    return F.lower(strip(value))
 
 
 def clean_category(value: Column, default: str = "unknown") -> Column:
@@ -47,8 +54,8 @@ def clamp_domain(value: Column, allowed: Sequence[str] = tuple(GENDERS), default
 
 def to_number(value: Column) -> Column:
     """Double, or null where the text is not a plain number (no ``1d``, no NaN)."""
-    text = value.cast("string")
-    return F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))
+    text = strip(value)
+    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
 
 
 def parse_bool(value: Column, mode: str = "lenient") -> Column:
@@ -72,12 +79,12 @@ def number_or(value: Column, default: float) -> Column:
 
 def first_non_empty(values: Sequence[Column]) -> Column:
     """First value that is neither null nor blank, trimmed."""
-    return F.coalesce(*[F.nullif(F.trim(v.cast("string")), F.lit("")) for v in values])
+    return F.coalesce(*[F.nullif(strip(v), F.lit("")) for v in values])
 
 
 def first_label(values: Sequence[Column]) -> Column:
     """First nested label that is not the empty string, trimmed, lower case."""
-    return F.lower(F.trim(F.coalesce(*[F.nullif(v.cast("string"), F.lit("")) for v in values])))
+    return F.lower(strip(F.coalesce(*[F.nullif(v.cast("string"), F.lit("")) for v in values])))
 
 
 def _label_case(status: Column, diagnosis: Column, position: int) -> Column:

@@ -8,8 +8,9 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-# White space, escapes, scripts and formats.
-WHITE_SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
+from tussis.functions.clean import WHITE_SPACE
+
+# Escapes, scripts and formats.
 HTML_ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")]
 SCRIPTS = [
     ("kannada", r"[ಀ-೿]"),

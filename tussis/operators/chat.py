@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tussis.functions.clean import strip
 from tussis.functions.text import SCRIPTS, script_of
 
 # How many messages form a context, and the ordered routing terms.
@@ -129,7 +130,7 @@ def context(messages: DataFrame, conversation: str, turn: str, role: str, text:
 
     The row-number limit is applied in each task before the shuffle.
     """
-    said = messages.withColumn(text, F.trim(F.col(text))).where(F.col(text) != "")
+    said = messages.withColumn(text, strip(F.col(text))).where(F.col(text) != "")
     newest = Window.partitionBy(conversation).orderBy(F.desc(turn))
     kept = said.withColumn("recency", F.row_number().over(newest)).where(F.col("recency") <= n)
     return kept.select(conversation, turn, F.when(F.col(role) == "assistant", "model").otherwise("user").alias("role"), text, "recency")

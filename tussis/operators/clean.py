@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tussis.functions import clean as C
+from tussis.operators.profile import nan_to_null
 from tussis.operators.quantiles import exact_quantiles
 from tussis.operators.running import with_row_number
 from tussis.operators.sizing import join_measured
@@ -58,7 +59,8 @@ def label_metadata(df: DataFrame) -> DataFrame:
 
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Fill nulls with the exact median, computed as a one-row subquery."""
+    """Fill nulls and NaN with the exact median, computed as a one-row subquery."""
+    df = nan_to_null(df, columns)
     medians = exact_quantiles(df, columns, {"median": 0.5})
     wide = medians.agg(*[F.max(F.when(F.col("column_name") == c, F.col("median"))).alias(c) for c in columns])
     one = wide.select(F.struct(*columns).alias("m")).scalar()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from itertools import combinations, combinations_with_replacement
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tussis.operators.quantiles import exact_quantiles
@@ -12,6 +13,13 @@ from tussis.operators.quantiles import exact_quantiles
 QUARTILES = {"q25": 0.25, "q50": 0.50, "q75": 0.75}
 
 
+def nan_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """NaN is a missing value: null from here on, in floating-point columns."""
+    kinds = (T.DoubleType, T.FloatType)
+    floating = [f.name for f in df.schema if isinstance(f.dataType, kinds) and (columns is None or f.name in columns)]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floating})
+
+
 def _rows(totals: DataFrame, columns: Sequence[str], fields: Mapping[str, str], key: str = "column_name") -> DataFrame:
     """Turn wide aggregates ``{prefix}{column}`` into one row per column."""
     structs = [
@@ -23,7 +31,8 @@ def _rows(totals: DataFrame, columns: Sequence[str], fields: Mapping[str, str],
 
 
 def missingness(df: DataFrame) -> DataFrame:
-    """(column_name, missing_count, missing_pct), most missing first; one pass."""
+    """(column_name, missing_count, missing_pct), most missing first; one pass. NaN is missing."""
+    df = nan_to_null(df)
     totals = df.agg(F.count("*").alias("__n"), *[F.count_if(F.col(c).isNull()).alias(f"m_{c}") for c in df.columns])
     rows = _rows(totals, df.columns, {"missing_count": "m_"})
     pct = F.when(F.col("__n") > 0, F.col("missing_count") / F.col("__n") * 100).otherwise(0.0)
@@ -31,7 +40,8 @@ def missingness(df: DataFrame) -> DataFrame:
 
 
 def completeness(df: DataFrame) -> DataFrame:
-    """Share of non-null cells and the missing share rounded to 2 places."""
+    """Share of cells that are neither null nor NaN, and the missing share rounded to 2 places."""
+    df = nan_to_null(df)
     nulls = sum((F.when(F.col(c).isNull(), 1).otherwise(0) for c in df.columns), F.lit(0))
     totals = df.agg(F.sum(nulls.cast("bigint")).alias("missing"), (F.count("*") * len(df.columns)).alias("cells"))
     return totals.select(
@@ -58,7 +68,8 @@ def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str]) -> Dat
 
 
 def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """count, mean, sample std, min, quartiles, max per column (and group)."""
+    """count, mean, sample std, min, quartiles, max per column (and group), without nulls and NaN."""
+    df = nan_to_null(df, columns)
     measures = {
         "count": lambda c: F.count(c), "mean": lambda c: F.avg(c), "std": lambda c: F.stddev_samp(c),
         "min": lambda c: F.min(c.cast("double")), "max": lambda c: F.max(c.cast("double")),
@@ -71,12 +82,39 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
     return joined.select(*by, "column_name", "count", "mean", "std", "min", *QUARTILES, "max")
 
 
+_PARTIAL = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+
+
 def correlations(df: DataFrame, columns: Sequence[str], diagonal: bool = False) -> DataFrame:
-    """(x, y, r) for every pair, pairwise complete, in one aggregate pass."""
-    pairs = list(combinations_with_replacement(columns, 2) if diagonal else combinations(columns, 2))
-    totals = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
-    return totals.select(F.inline(F.array(*rows)))
+    """(x, y, r) for every pair, over the rows where both are present (neither null nor NaN).
+
+    Every task adds up its matrix products under the masks of missing cells, one Arrow batch at a time, and hands on
+    one row of sums per pair, whatever its number of rows. The columns are centred first (one cheap scan), so that
+    the sums don't cancel.
+    """
+    names = list(columns)
+    numbers = nan_to_null(df.select(*[F.col(c).cast("double").alias(c) for c in names]))
+    # Integer means are as good a centre, and the same however the rows are split.
+    centre = np.array([0.0 if m is None else m for m in numbers.agg(*[F.round(F.avg(c)).alias(c) for c in names]).first()])
+    first, second = np.triu_indices(len(names), 0 if diagonal else 1)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, len(names), len(names)))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1) - centre
+            there = ~np.isnan(x)
+            x = np.where(there, x, 0.0)
+            mask, square = there.astype(float), x * x
+            sums += np.stack([mask.T @ mask, x.T @ mask, mask.T @ x, square.T @ mask, mask.T @ square, x.T @ x])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(first.astype(np.int32)), pa.array(second.astype(np.int32)), *[pa.array(s[first, second]) for s in sums]],
+            [c.split()[0] for c in _PARTIAL.split(", ")])
+
+    totals = numbers.mapInArrow(partial, _PARTIAL).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    named = F.array(*[F.lit(c) for c in names])
+    spread = F.sqrt(F.expr("n * sxx - sx * sx")) * F.sqrt(F.expr("n * syy - sy * sy"))
+    r = F.when(spread > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.expr("n * sxy - sx * sy") / spread)))
+    return totals.select(F.get(named, F.col("i")).alias("x"), F.get(named, F.col("j")).alias("y"), r.alias("r"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -92,7 +130,7 @@ def redundant_pairs(df: DataFrame, columns: Sequence[str], threshold: float = 0.
 
 def correlation_with_target(df: DataFrame, vector: Column, target: Column) -> DataFrame:
     """(feature, r) for every position of an array column."""
-    cells = df.select(target.cast("double").alias("t"), F.posexplode(vector).alias("feature", "v"))
+    cells = df.select(target.cast("double").alias("t"), F.posexplode(vector).alias("feature", "v")).where(~F.isnan("v"))
     return cells.groupBy("feature").agg(F.corr(F.col("v").cast("double"), "t").alias("r"))
 
 
@@ -116,6 +154,7 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     Text and nested cells are reduced to a SHA-256 digest of the row before the
     shuffle, which then carries 64 bytes per row however long the texts are.
     """
+    df = nan_to_null(df, columns)
     fields = [f for f in df.schema if columns is None or f.name in columns]
     cells = [_comparable(f).alias(f.name) for f in fields]
     fixed_width = all(isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType)) for f in fields)
@@ -125,7 +164,8 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 
 def quality_report(df: DataFrame, duplicate_on: Sequence[str]) -> DataFrame:
-    """Rows, columns, column kinds, complete and incomplete rows, duplicates."""
+    """Rows, columns, column kinds, complete and incomplete rows, duplicates. NaN is missing."""
+    df = nan_to_null(df)
     numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
     any_null = F.lit(False)
     for c in df.columns:
@@ -156,6 +196,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = F
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Equal-width bins over [min, max], the last bin closed; every bin is listed."""
+    df = nan_to_null(df, [column])
     value = F.col(column).cast("double")
     present = df.where(value.isNotNull())
     ends = present.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("s")).scalar()

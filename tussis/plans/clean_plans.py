@@ -6,27 +6,27 @@ from pyspark.sql import functions as F
 
 from tussis.functions import clean as C
 from tussis.operators import clean as O, lookup as L
-from tussis.plans.registry import query, spread_table, sql_list, table
+from tussis.plans.registry import query, spread_table, sql_list, sql_strip, table
 
 
 def _messy_segment(spark, folder):
     k, s = F.col("c_custkey"), F.col("c_mktsegment")
-    text = F.when(k % 5 == 0, F.concat(F.lit("  "), s)).when(k % 5 == 1, "NaN").when(k % 5 == 2, "").when(k % 5 == 3, s)
+    text = F.when(k % 5 == 0, F.concat(F.lit("\t\u00a0 "), s, F.lit("\r\n"))).when(k % 5 == 1, "NaN").when(k % 5 == 2, "").when(k % 5 == 3, s)
     return table(spark, folder, "customer").select("c_custkey", text.alias("segment"))
 
 
-_MESSY_SQL = """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '  ' || c_mktsegment WHEN 1 THEN 'NaN' WHEN 2 THEN ''
+_MESSY_SQL = """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN chr(9) || chr(160) || ' ' || c_mktsegment || chr(13) || chr(10) WHEN 1 THEN 'NaN' WHEN 2 THEN ''
     WHEN 3 THEN c_mktsegment END AS segment FROM customer"""
 
 
 @query("clean_category", f"""WITH m AS ({_MESSY_SQL}) SELECT c_custkey,
-    coalesce(nullif(nullif(nullif(lower(trim(segment)), ''), 'nan'), 'none'), 'unknown') AS segment FROM m""")
+    coalesce(nullif(nullif(nullif(lower({sql_strip('segment')}), ''), 'nan'), 'none'), 'unknown') AS segment FROM m""")
 def clean_category(spark, folder):
     return _messy_segment(spark, folder).select("c_custkey", C.clean_category(F.col("segment")).alias("segment"))
 
 
 @query("clamp_domain", f"""WITH m AS ({_MESSY_SQL}) SELECT c_custkey,
-    CASE WHEN lower(trim(segment)) IN ('building', 'furniture', 'household') THEN lower(trim(segment)) ELSE 'unknown' END AS segment FROM m""")
+    CASE WHEN lower({sql_strip('segment')}) IN ('building', 'furniture', 'household') THEN lower({sql_strip('segment')}) ELSE 'unknown' END AS segment FROM m""")
 def clamp_domain(spark, folder):
     allowed = ["building", "furniture", "household"]
     return _messy_segment(spark, folder).select("c_custkey", C.clamp_domain(F.col("segment"), allowed).alias("segment"))
@@ -37,23 +37,23 @@ def _number_text(spark, folder):
     i = F.col("event_id")
     text = (
         F.when(i % 6 == 0, F.col("props")).when(i % 6 == 1, k).when(i % 6 == 2, F.concat(k, F.lit("d")))
-        .when(i % 6 == 3, F.concat(F.lit(" "), k, F.lit(".5e1 "))).when(i % 6 == 4, "nan")
+        .when(i % 6 == 3, F.concat(F.lit("\t"), k, F.lit(".5e1\u00a0"))).when(i % 6 == 4, "nan")
     )
     return table(spark, folder, "events").select("event_id", text.alias("text"))
 
 
 _NUMBER_SQL = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN regexp_extract(props, '([0-9]+)', 1)
-    WHEN 2 THEN regexp_extract(props, '([0-9]+)', 1) || 'd' WHEN 3 THEN ' ' || regexp_extract(props, '([0-9]+)', 1) || '.5e1 '
+    WHEN 2 THEN regexp_extract(props, '([0-9]+)', 1) || 'd' WHEN 3 THEN chr(9) || regexp_extract(props, '([0-9]+)', 1) || '.5e1' || chr(160)
     WHEN 4 THEN 'nan' END AS text FROM events"""
 
 
 @query("coerce_numeric", f"""WITH m AS ({_NUMBER_SQL})
-    SELECT event_id, CASE WHEN text <> 'nan' THEN try_cast(trim(text) AS DOUBLE) END AS number FROM m""")
+    SELECT event_id, CASE WHEN text <> 'nan' THEN try_cast({sql_strip('text')} AS DOUBLE) END AS number FROM m""")
 def coerce_numeric(spark, folder):
     return _number_text(spark, folder).select("event_id", C.to_number(F.col("text")).alias("number"))
 
 
-@query("impute_const", f"""WITH m AS ({_NUMBER_SQL}), n AS (SELECT event_id, CASE WHEN text <> 'nan' THEN try_cast(trim(text) AS DOUBLE) END AS v FROM m)
+@query("impute_const", f"""WITH m AS ({_NUMBER_SQL}), n AS (SELECT event_id, CASE WHEN text <> 'nan' THEN try_cast({sql_strip('text')} AS DOUBLE) END AS v FROM m)
     SELECT event_id, coalesce(v, 35.0::DOUBLE) AS age, coalesce(v, 0.85::DOUBLE) AS cough_detected FROM n""")
 def impute_const(spark, folder):
     return _number_text(spark, folder).select(
@@ -63,11 +63,11 @@ def impute_const(spark, folder):
     )
 
 
-_BOOL_WORDS = ["True", " yes ", "1", "T", "on", "Y", "False", "no", "0", "f", "OFF", "n", "maybe", ""]
+_BOOL_WORDS = ["True\n", "\tyes ", "1", "T", "\u00a0on", "Y", "False", "no", "0", "f", "OFF", "n", "maybe", ""]
 
 
 @query("parse_bool", f"""WITH m AS (SELECT c_custkey, nullif({sql_list(_BOOL_WORDS)}[c_custkey % {len(_BOOL_WORDS)} + 1], '') AS w FROM customer),
-    p AS (SELECT c_custkey, w, lower(trim(w)) AS x FROM m)
+    p AS (SELECT c_custkey, w, lower({sql_strip('w')}) AS x FROM m)
     SELECT c_custkey, w AS text, coalesce(x IN ('true','1','yes','y','t','on'), false) AS lenient,
       CASE WHEN x IS NULL OR x IN ('false','0','no','n','f','off') THEN false WHEN x IN ('true','1','yes','y','t','on') THEN true END AS strict
     FROM p""")
@@ -86,31 +86,34 @@ def parse_bool(spark, folder):
 def impute_median(spark, folder):
     li = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber",
-        F.nullif("l_quantity", F.lit(25.0)).alias("l_quantity"),
+        F.when(F.col("l_quantity") == 25, float("nan")).otherwise(F.col("l_quantity")).alias("l_quantity"),
         F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice")).alias("l_extendedprice"),
     )
     filled = O.impute_median(li, ["l_quantity", "l_extendedprice"])
     return filled.withColumn("l_extendedprice", F.round("l_extendedprice", 6))
 
 
-@query("first_nested", """SELECT o_orderkey, lower(trim(coalesce(CASE WHEN o_custkey % 3 = 0 THEN o_orderpriority END,
-      CASE WHEN o_orderstatus = 'F' THEN ' Wet ' END, nullif(o_orderstatus, 'P')))) AS diagnosis FROM orders""")
+_NESTED_SQL = sql_strip("""coalesce(CASE WHEN o_custkey % 3 = 0 THEN o_orderpriority END,
+      CASE WHEN o_orderstatus = 'F' THEN chr(9) || 'Wet' || chr(160) END, nullif(o_orderstatus, 'P'))""")
+
+
+@query("first_nested", f"SELECT o_orderkey, lower({_NESTED_SQL}) AS diagnosis FROM orders")
 def first_nested(spark, folder):
     k = F.col("o_custkey") % 3
     nested = table(spark, folder, "orders").select(
         "o_orderkey",
         F.struct(F.when(k == 0, F.col("o_orderpriority")).when(k == 1, "").alias("diagnosis")).alias("e1"),
-        F.struct(F.when(F.col("o_orderstatus") == "F", " Wet ").alias("diagnosis")).alias("e2"),
+        F.struct(F.when(F.col("o_orderstatus") == "F", "\tWet\u00a0").alias("diagnosis")).alias("e2"),
         F.struct(F.nullif("o_orderstatus", F.lit("P")).alias("diagnosis")).alias("e3"),
     )
     return nested.select("o_orderkey", C.first_label([F.col(f"{e}.diagnosis") for e in ("e1", "e2", "e3")]).alias("diagnosis"))
 
 
-@query("derive_label", """WITH m AS (SELECT CAST(o_orderkey AS VARCHAR) AS file_id,
-      CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN ' COVID-19 ' WHEN '2' THEN 'Symptomatic' WHEN '3' THEN 'healthy' WHEN '4' THEN '' ELSE 'other' END AS status,
+@query("derive_label", f"""WITH m AS (SELECT CAST(o_orderkey AS VARCHAR) AS file_id,
+      CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN chr(160) || 'COVID-19' || chr(10) WHEN '2' THEN 'Symptomatic' WHEN '3' THEN 'healthy' WHEN '4' THEN '' ELSE 'other' END AS status,
       CASE o_orderstatus WHEN 'F' THEN 'lower_infection' WHEN 'O' THEN NULL ELSE 'Healthy_Cough' END AS d1,
       CASE o_custkey % 4 WHEN 0 THEN 'covid' WHEN 1 THEN 'Obstructive_Disease' WHEN 2 THEN 'unclear' END AS d2, o_totalprice, o_custkey FROM orders),
-    s AS (SELECT *, lower(trim(status)) AS st, lower(coalesce(d1, d2)) AS dx FROM m),
+    s AS (SELECT *, lower({sql_strip('status')}) AS st, lower(coalesce(d1, d2)) AS dx FROM m),
     l AS (SELECT *, CASE WHEN st IN ('covid-19','covid') THEN 1 WHEN st = 'symptomatic' THEN 1 WHEN st = 'healthy' THEN 0
       WHEN dx IN ('covid-19','covid') THEN 1 WHEN dx IN ('lower_infection','upper_infection') THEN 1 WHEN dx = 'obstructive_disease' THEN 1
       WHEN dx = 'healthy_cough' THEN 0 END AS target,
@@ -125,10 +128,10 @@ def derive_label(spark, folder):
     p, k = F.substring("o_orderpriority", 1, 1), F.col("o_custkey")
     o = spread_table(spark, folder, "orders").select(
         F.col("o_orderkey").cast("string").alias("file_id"),
-        F.when(p == "1", " COVID-19 ").when(p == "2", "Symptomatic").when(p == "3", "healthy").when(p == "4", "").otherwise("other").alias("status"),
+        F.when(p == "1", "\u00a0COVID-19\n").when(p == "2", "Symptomatic").when(p == "3", "healthy").when(p == "4", "").otherwise("other").alias("status"),
         F.struct(F.when(F.col("o_orderstatus") == "F", "lower_infection").when(F.col("o_orderstatus") == "P", "Healthy_Cough").alias("diagnosis")).alias("expert_labels_1"),
         F.struct(F.when(k % 4 == 0, "covid").when(k % 4 == 1, "Obstructive_Disease").when(k % 4 == 2, "unclear").alias("diagnosis")).alias("expert_labels_2"),
-        F.when(k % 5 == 0, "female").when(k % 5 == 1, " Female").when(k % 5 == 2, "OTHER").when(k % 5 == 3, "f").alias("gender"),
+        F.when(k % 5 == 0, "female").when(k % 5 == 1, "\tFemale\u00a0").when(k % 5 == 2, "OTHER").when(k % 5 == 3, "f").alias("gender"),
         F.when(k % 7 == 0, "n/a").otherwise((k % 90).cast("string")).alias("age"),
         F.when(k % 2 == 0, "True").otherwise("yes").alias("respiratory_condition"),
     )

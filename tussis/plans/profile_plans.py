@@ -11,13 +11,14 @@ from tussis.sources.sidecars import model_summary_rows as summary_rows
 
 def _orders_with_gaps(spark, folder):
     return table(spark, folder, "orders").select(
-        "o_orderkey", "o_custkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"), "o_totalprice",
+        "o_orderkey", "o_custkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"),
+        F.when(F.col("o_orderkey") % 11 == 0, float("nan")).when(F.col("o_orderkey") % 13 != 0, F.col("o_totalprice")).alias("o_totalprice"),
         F.nullif("o_orderpriority", F.lit("4-NOT SPECIFIED")).alias("o_orderpriority"),
     )
 
 
-_GAPS = """SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS o_orderstatus, o_totalprice,
-    nullif(o_orderpriority, '4-NOT SPECIFIED') AS o_orderpriority FROM orders"""
+_GAPS = """SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS o_orderstatus,
+    CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 THEN o_totalprice END AS o_totalprice, nullif(o_orderpriority, '4-NOT SPECIFIED') AS o_orderpriority FROM orders"""
 _GAP_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 
 
@@ -49,6 +50,16 @@ def crosstab(spark, folder):
 
 
 _MEASURED = ["l_quantity", "l_extendedprice", "l_discount"]
+# Some lines lack a quantity (NaN) or a price (null): missing, both.
+_LINES = """(SELECT * REPLACE (CASE WHEN l_linenumber <> 5 THEN l_quantity END AS l_quantity,
+    CASE WHEN l_suppkey % 7 <> 0 THEN l_extendedprice END AS l_extendedprice) FROM lineitem)"""
+
+
+def _lines(spark, folder):
+    return table(spark, folder, "lineitem").withColumns({
+        "l_quantity": F.when(F.col("l_linenumber") == 5, float("nan")).otherwise(F.col("l_quantity")),
+        "l_extendedprice": F.when(F.col("l_suppkey") % 7 != 0, F.col("l_extendedprice")),
+    })
 
 
 def _describe_sql(c: str, digits: int, by: str = "") -> str:
@@ -56,7 +67,7 @@ def _describe_sql(c: str, digits: int, by: str = "") -> str:
     group = f" GROUP BY {by}" if by else ""
     q = ", ".join(f"round(quantile_cont({c}, {p}::DOUBLE), {digits}) AS q{int(p * 100)}" for p in (0.25, 0.5, 0.75))
     return (f"SELECT {keys}'{c}' AS column_name, count({c}) AS count, round(avg({c}), {digits}) AS mean, round(stddev_samp({c}), {digits}) AS std, "
-            f"min({c}) AS min, {q}, max({c}) AS max FROM lineitem{group}")
+            f"min({c}) AS min, {q}, max({c}) AS max FROM {_LINES}{group}")
 
 
 def _rounded(df, digits):
@@ -65,31 +76,46 @@ def _rounded(df, digits):
 
 @query("describe_numeric", " UNION ALL ".join(_describe_sql(c, 6) for c in _MEASURED))
 def describe_numeric(spark, folder):
-    return _rounded(P.describe(table(spark, folder, "lineitem"), _MEASURED), 6)
+    return _rounded(P.describe(_lines(spark, folder), _MEASURED), 6)
 
 
 @query("describe_by_group", " UNION ALL ".join(_describe_sql(c, 3, "l_returnflag") for c in _MEASURED))
 def describe_by_group(spark, folder):
-    return _rounded(P.describe(table(spark, folder, "lineitem"), _MEASURED, ["l_returnflag"]), 3)
+    return _rounded(P.describe(_lines(spark, folder), _MEASURED, ["l_returnflag"]), 3)
 
 
 _WIDE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@query("corr_matrix", " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS r FROM lineitem" for a in _WIDE for b in _WIDE))
+@query("corr_matrix", " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS r FROM {_LINES}" for a in _WIDE for b in _WIDE))
 def corr_matrix(spark, folder):
-    return P.correlation_matrix(table(spark, folder, "lineitem"), _WIDE).withColumn("r", F.round("r", 6))
+    return P.correlation_matrix(_lines(spark, folder), _WIDE).withColumn("r", F.round("r", 6))
+
+
+_PAIRED = f"(SELECT *, l_extendedprice * (1 - l_discount) AS net, -l_extendedprice * (1 + l_tax) AS owed FROM {_LINES})"
+_PAIR_COLUMNS = [*_WIDE, "net", "owed"]
+
+
+@query("corr_embedding", """WITH c AS (SELECT vec_id, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings),
+    m AS (SELECT vec_id, j, CASE WHEN (vec_id + j) % 50 <> 0 THEN v END AS v FROM c)
+    SELECT 'x' || a.j AS x, 'x' || b.j AS y, round(corr(a.v, b.v), 6) AS r FROM m a JOIN m b USING (vec_id) WHERE a.j < b.j GROUP BY a.j, b.j""")
+def corr_embedding(spark, folder):
+    """All 64 columns; every fiftieth cell is missing."""
+    e = table(spark, folder, "embeddings")
+    cells = {f"x{i}": F.when((F.col("vec_id") + i) % 50 != 0, F.get("embedding", F.lit(i))).otherwise(float("nan")) for i in range(64)}
+    return P.correlations(e.select(*[c.alias(n) for n, c in cells.items()]), list(cells)).withColumn("r", F.round("r", 6))
 
 
 @query("high_corr_pairs", "SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS r FROM lineitem" for i, a in enumerate(_WIDE) for b in _WIDE[i + 1:]) + ") WHERE abs(r) > 0.5")
+    f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS r FROM {_PAIRED}" for i, a in enumerate(_PAIR_COLUMNS) for b in _PAIR_COLUMNS[i + 1:]) + ") WHERE abs(r) > 0.5")
 def high_corr_pairs(spark, folder):
-    return P.redundant_pairs(table(spark, folder, "lineitem"), _WIDE, 0.5).withColumn("r", F.round("r", 6))
+    lines = _lines(spark, folder).withColumns({"net": F.col("l_extendedprice") * (1 - F.col("l_discount")), "owed": -F.col("l_extendedprice") * (1 + F.col("l_tax"))})
+    return P.redundant_pairs(lines, _PAIR_COLUMNS, 0.5).withColumn("r", F.round("r", 6))
 
 
 @query("quality_report", f"""WITH g AS ({_GAPS}), d AS (SELECT count(*) AS n FROM g GROUP BY o_custkey, o_orderstatus, o_orderpriority)
-    SELECT count(*) AS total_records, count(*) FILTER (o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL) AS complete_cases,
-      count(*) FILTER (o_orderstatus IS NULL OR o_orderpriority IS NULL) AS records_with_missing, 5 AS total_features, 3 AS numeric_features,
+    SELECT count(*) AS total_records, count(*) FILTER (o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL) AS complete_cases,
+      count(*) FILTER (o_orderstatus IS NULL OR o_orderpriority IS NULL OR o_totalprice IS NULL) AS records_with_missing, 5 AS total_features, 3 AS numeric_features,
       2 AS categorical_features, (SELECT CAST(sum(n - 1) AS BIGINT) FROM d) AS duplicate_rows FROM g""")
 def quality_report(spark, folder):
     return P.quality_report(_orders_with_gaps(spark, folder), ["o_custkey", "o_orderstatus", "o_orderpriority"])
@@ -106,12 +132,14 @@ def distinct_status(spark, folder):
     return P.distinct_counts(table(spark, folder, "events"), ["event_type", "props", "user_id"])
 
 
-@query("histogram", """WITH r AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
-    b AS (SELECT CAST(least(floor((l_extendedprice - lo) / (hi - lo) * 30), 29) AS INTEGER) AS bin, count(*) AS n FROM lineitem, r GROUP BY 1)
+@query("histogram", """WITH l AS (SELECT CASE WHEN l_linenumber <> 5 THEN l_extendedprice END AS l_extendedprice FROM lineitem),
+    r AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM l),
+    b AS (SELECT CAST(least(floor((l_extendedprice - lo) / (hi - lo) * 30), 29) AS INTEGER) AS bin, count(*) AS n FROM l, r WHERE l_extendedprice IS NOT NULL GROUP BY 1)
     SELECT CAST(i AS INTEGER) AS bin, round(lo + (hi - lo) * i / 30, 6) AS lower, round(lo + (hi - lo) * (i + 1) / 30, 6) AS upper, coalesce(n, 0) AS n
     FROM range(30) AS g(i) CROSS JOIN r LEFT JOIN b ON b.bin = i""")
 def histogram(spark, folder):
-    h = P.histogram(table(spark, folder, "lineitem"), "l_extendedprice", 30)
+    holes = F.when(F.col("l_linenumber") == 5, float("nan")).otherwise(F.col("l_extendedprice"))
+    h = P.histogram(table(spark, folder, "lineitem").withColumn("l_extendedprice", holes), "l_extendedprice", 30)
     return h.withColumns({"lower": F.round("lower", 6), "upper": F.round("upper", 6)})
 
 

@@ -48,5 +48,11 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+def sql_strip(expression: str) -> str:
+    """SQL for text without white space of any kind at either end."""
+    space = r"[\t-\r \x1c-\x1f\x85\p{Z}]+"
+    return f"regexp_replace({expression}, '^{space}|{space}$', '', 'g')"
+
+
 def sql_list(values) -> str:
     return "[" + ", ".join(sql_text(v) for v in values) + "]"

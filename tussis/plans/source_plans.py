@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tussis.functions import clean as C
 from tussis.operators import lookup as L
-from tussis.plans.registry import query, table
+from tussis.plans.registry import query, sql_strip, table
 from tussis.session import scratch_path
 from tussis.sources import sidecars, sinks
 
@@ -34,15 +34,14 @@ def priority_pick(spark, folder):
     return L.pick_first(p, "host", [L.priority_rank(F.col("scheme"), _PAGE_PRIORITY), F.col("url")], ["url"])
 
 
-@query("source_priority", """SELECT o_orderkey, coalesce(nullif(trim(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE ' ' END), ''),
-      nullif(trim(CASE WHEN o_orderkey % 2 = 0 THEN ' ' || o_orderstatus END), ''), 'microphone-' || o_custkey) AS source FROM orders""")
+@query("source_priority", """SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END, 'microphone-' || o_custkey) AS source FROM orders""")
 def source_priority(spark, folder):
     k = F.col("o_orderkey")
     return table(spark, folder, "orders").select(
         "o_orderkey",
         sidecars.source_of(
-            F.when(k % 3 == 0, F.col("o_orderpriority")).otherwise(" "),
-            F.when(k % 2 == 0, F.concat(F.lit(" "), F.col("o_orderstatus"))),
+            F.when(k % 3 == 0, F.col("o_orderpriority")).otherwise("\t\u00a0"),
+            F.when(k % 2 == 0, F.concat(F.lit("\n "), F.col("o_orderstatus"), F.lit("\u00a0"))),
             F.concat(F.lit("microphone-"), F.col("o_custkey")),
         ).alias("source"),
     )
@@ -89,9 +88,10 @@ def sink_json_roundtrip(spark, folder):
     return spark.read.schema("s_suppkey BIGINT, s_name STRING, n_name STRING, s_acctbal DOUBLE").json(path)
 
 
-@query("message_text", r"""SELECT conv_id, turn, regexp_replace(CASE WHEN turn % 4 = 3 THEN text || chr(10) || role ELSE text END, '^\s+|\s+$', '', 'g') AS message FROM conversations""")
+@query("message_text", f"""SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN {sql_strip("text || chr(10) || role")} ELSE {sql_strip("text")} END AS message FROM conversations""")
 def message_text(spark, folder):
-    t, n = F.col("text"), F.col("turn")
+    n = F.col("turn")
+    t = F.when(n % 4 != 3, F.concat(F.lit("\u00a0\t"), F.col("text"), F.lit("\n\u2003"))).otherwise(F.col("text"))
     as_list = F.to_json(F.array(t))
 
     def part(kind, value):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tussis.functions import clinical_terms as T, rules, text as X
 from tussis.functions.clean import id_matches
 from tussis.operators import chat, history as H
-from tussis.plans.registry import query, spread_table, sql_text, table
+from tussis.plans.registry import query, spread_table, sql_strip, sql_text, table
 from tussis.plans.stand_ins import SCREENINGS_SQL, note_of
 from tussis.session import scratch_path
 from tussis.sources import sinks
@@ -83,11 +83,13 @@ def intent_route_default(spark, folder):
     return chat.with_intent(spread_table(spark, folder, "documents").select("doc_id", "text"), "text").drop("text")
 
 
-@query("chat_context", """WITH r AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'model' ELSE 'user' END AS role, trim(text) AS text,
-      row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS recency FROM conversations WHERE trim(text) <> '')
+@query("chat_context", f"""WITH r AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'model' ELSE 'user' END AS role, {sql_strip("text")} AS text,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS recency FROM conversations WHERE turn % 3 <> 1 AND {sql_strip("text")} <> '')
     SELECT conv_id, turn, role, text, CAST(recency AS INTEGER) AS recency FROM r WHERE recency <= 4""")
 def chat_context(spark, folder):
-    return chat.context(spread_table(spark, folder, "conversations"), "conv_id", "turn", "role", "text", 4)
+    blank = F.when(F.col("turn") % 3 == 1, "\n\t\u00a0").otherwise(F.concat(F.lit("\t"), F.col("text"), F.lit("\u00a0")))
+    said = spread_table(spark, folder, "conversations").withColumn("text", blank)
+    return chat.context(said, "conv_id", "turn", "role", "text", 4)
 
 
 # Events stand in for assessments.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tussis.functions.clean import stem
+from tussis.functions.clean import stem, strip
 
 SIDECAR_SCHEMA = """
     datetime STRING, cough_detected STRING, latitude STRING, longitude STRING, age STRING,
@@ -63,14 +63,14 @@ def message_text(content: Column) -> Column:
     """Plain text of a message that is a string, an object or a list of parts (as JSON)."""
     as_object = F.from_json(content, "text STRING, content STRING")
     as_parts = F.from_json(content, "ARRAY<STRUCT<type: STRING, text: STRING>>")
-    lead = F.substring(F.ltrim(content), 1, 1)
+    lead = F.substring(strip(content), 1, 1)
     texts = F.transform(
         F.filter(as_parts, lambda p: p["type"] == "text"), lambda p: F.coalesce(p["text"], F.lit(""))
     )
     of_object = F.coalesce(F.nullif(as_object["text"], F.lit("")), as_object["content"])
     of_string = F.from_json(F.concat(F.lit('{"v":'), content, F.lit("}")), "v STRING")["v"]
     whole = F.when(lead == "{", of_object).when(lead == "[", F.array_join(texts, "\n")).when(lead == '"', of_string)
-    return F.coalesce(F.regexp_replace(whole, r"\A\s+|\s+\z", ""), F.lit(""))
+    return F.coalesce(strip(whole), F.lit(""))
 
 
 def source_of(*candidates: Column) -> Column:
