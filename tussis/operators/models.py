@@ -10,6 +10,7 @@ import json
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tussis.functions.scoring import model_rows, predicted, sigmoid, soft_vote
@@ -33,11 +35,15 @@ from tussis.session import durable
 FEATURES, TARGET, WEIGHT = "features", "target", "weight"
 
 
-# Sizes, depths, rates and penalties of the published training run.
 @dataclass(frozen=True)
 class ModelSizes:
-    """Ensemble sizes and iteration limits; smaller values make a quick run."""
+    """Ensemble sizes and iteration limits; smaller values make a quick run.
 
+    The published run has no depth limit for bagging and an exact kernel for the support vectors: the deepest tree of
+    Spark ML, and the numbers of components and iterations of the approximation, stand in for them.
+    """
+
+    # Sizes, depths, rates and penalties of the published training run.
     forest_trees: int = 150
     forest_depth: int = 10
     extra_depth: int = 12
@@ -47,16 +53,18 @@ class ModelSizes:
     adaboost_rounds: int = 100
     adaboost_rate: float = 0.15
     bagging_trees: int = 60
-    bagging_depth: int = 15
     tree_depth: int = 8
     logistic_iterations: int = 1500
     logistic_c: float = 1.5
     sgd_alpha: float = 1e-4
     svc_c: float = 2.0
-    svc_iterations: int = 100
-    svc_components: int = 256
     neighbors: int = 5
     seed: int = 42
+    # Parameters of the approximations.
+    bagging_depth: int = 30
+    svc_iterations: int = 100
+    svc_tolerance: float = 1e-3
+    svc_components: int = 256
 
 
 QUICK = ModelSizes(
@@ -149,45 +157,52 @@ def sgd(s: ModelSizes) -> Callable[[DataFrame], Fitted]:
 def adaboost(s: ModelSizes) -> Callable[[DataFrame], Fitted]:
     """Boosted stumps with discrete weights (SAMME).
 
-    Row weights are a column updated once per round; the table is written out
-    every few rounds so that the plan does not grow with the rounds.
+    A fitted stump is kept as four numbers, so scoring is one expression over the vector, whatever the rounds. Row
+    weights follow from the stumps so far: each round writes and holds one table of them and lets the last one go.
     """
 
     def fit(train: DataFrame) -> Fitted:
-        stumps, alphas = [], []
-        state = train.select(FEATURES, TARGET, F.lit(1.0).alias("w"))
-        for at in range(s.adaboost_rounds):
-            stump = DecisionTreeClassifier(maxDepth=1, seed=s.seed, featuresCol=FEATURES, labelCol=TARGET, weightCol="w", predictionCol="said").fit(state)
-            marked = stump.transform(state).select(FEATURES, TARGET, "w", (F.col("said") != F.col(TARGET)).alias("wrong"))
-            whole, missed = marked.agg(F.sum("w"), F.sum(F.when(F.col("wrong"), F.col("w")).otherwise(0.0))).first()
+        stumps: list[dict] = []
+        state = train.select(FEATURES, TARGET, F.lit(1.0).alias("w")).persist()
+        for _ in range(s.adaboost_rounds):
+            tree = DecisionTreeClassifier(maxDepth=1, seed=s.seed, featuresCol=FEATURES, labelCol=TARGET, weightCol="w").fit(state)
+            stump = _stump_of(tree)
+            wrong = _stump_says(stump, vector_to_array(FEATURES)) != F.col(TARGET)
+            whole, missed = state.agg(F.sum("w"), F.sum(F.when(wrong, F.col("w")).otherwise(0.0))).first()
             error = missed / whole
-            if error >= 0.5:
-                if not stumps:
-                    stumps.append(stump), alphas.append(1.0)
-                break
-            if error <= 0.0:
-                stumps.append(stump), alphas.append(1.0)
+            if error <= 0.0 or error >= 0.5:
+                if error <= 0.0 or not stumps:
+                    stumps.append(stump | {"alpha": 1.0})
                 break
             alpha = s.adaboost_rate * math.log((1 - error) / error)
-            stumps.append(stump), alphas.append(alpha)
-            scale = F.when(F.col("wrong"), F.lit(math.exp(alpha))).otherwise(1.0)
-            state = marked.select(FEATURES, TARGET, (F.col("w") * scale).alias("w"))
-            if at % 5 == 4:
-                state = durable(state)
-
-        return Fitted("adaboost", "adaboost", stumps, {"alphas": alphas})
+            stumps.append(stump | {"alpha": alpha})
+            last = state
+            state = durable(state.withColumn("w", F.when(wrong, F.col("w") * math.exp(alpha)).otherwise(F.col("w")))).persist()
+            last.unpersist()
+        state.unpersist()
+        return Fitted("adaboost", "adaboost", numbers={"stumps": stumps})
 
     return fit
 
 
+def _stump_of(tree) -> dict:
+    """Feature, threshold and the classes on either side of a fitted tree of depth 1."""
+    node = tree._call_java("rootNode")
+    if node.subtreeDepth() == 0:
+        return {"feature": 0, "threshold": 0.0, "low": node.prediction(), "high": node.prediction()}
+    split = node.split()
+    return {"feature": split.featureIndex(), "threshold": split.threshold(), "low": node.leftChild().prediction(), "high": node.rightChild().prediction()}
+
+
+def _stump_says(stump: Mapping, x: Column) -> Column:
+    return F.when(F.get(x, F.lit(stump["feature"])) <= stump["threshold"], stump["low"]).otherwise(stump["high"])
+
+
 def _score_adaboost(model: Fitted, df: DataFrame, out: str) -> DataFrame:
-    scored, votes, alphas = df, [], model.numbers["alphas"]
-    for n, (stump, alpha) in enumerate(zip(model.stages, alphas)):
-        named = stump.copy({stump.predictionCol: f"__s{n}", stump.rawPredictionCol: "", stump.probabilityCol: ""})
-        scored = named.transform(scored)
-        votes.append(F.when(F.col(f"__s{n}") == 1.0, alpha).otherwise(-alpha))
-    margin = sum(votes[1:], votes[0]) / sum(alphas)
-    return scored.select(*df.columns, sigmoid(margin).alias(out))
+    x, stumps = vector_to_array(FEATURES), model.numbers["stumps"]
+    votes = [F.when(_stump_says(t, F.col("__x")) == 1.0, t["alpha"]).otherwise(-t["alpha"]) for t in stumps]
+    margin = reduce(lambda a, b: a + b, votes) / sum(t["alpha"] for t in stumps)
+    return df.withColumn("__x", x).select(*df.columns, sigmoid(margin).alias(out))
 
 
 def random_fourier(vector: Column, width: int, components: int, gamma: float, seed: int) -> Column:
@@ -208,15 +223,15 @@ def svc(s: ModelSizes) -> Callable[[DataFrame], Fitted]:
     """RBF support vectors as a linear margin over random Fourier features."""
 
     def fit(train: DataFrame) -> Fitted:
-        width = len(train.select(FEATURES).first()[0])
-        moments = train.select(F.explode(vector_to_array(FEATURES)).alias("v")).agg(F.var_pop("v"), F.count("*")).first()
-        gamma = 1.0 / (width * (moments[0] or 1.0))
-        rows = moments[1] // width
+        rows, mean, variance = _moments(train, F.col(FEATURES))
+        width = len(mean)
+        # Variance of all cells together: inside the positions and between them.
+        gamma = 1.0 / (width * (float(np.mean(variance) + np.var(mean)) or 1.0))
 
         kernel = {"width": width, "components": s.svc_components, "gamma": gamma, "seed": s.seed}
         ready = _lifted(train, kernel).persist()
         try:
-            stage = LinearSVC(featuresCol="__rff", labelCol=TARGET, weightCol=WEIGHT, maxIter=s.svc_iterations, regParam=1.0 / (s.svc_c * rows)).fit(ready)
+            stage = LinearSVC(featuresCol="__rff", labelCol=TARGET, weightCol=WEIGHT, maxIter=s.svc_iterations, tol=s.svc_tolerance, regParam=1.0 / (s.svc_c * rows)).fit(ready)
         finally:
             ready.unpersist()
         return Fitted("svc", "svc", [stage], kernel)
@@ -272,9 +287,21 @@ def _score_voting(model: Fitted, df: DataFrame, out: str) -> DataFrame:
 SCORE_BY_FAMILY = {"stage": _score_stage, "adaboost": _score_adaboost, "svc": _score_svc, "knn": _score_knn, "voting": _score_voting}
 
 
+def _once(fit: Callable[[DataFrame], Fitted]) -> Callable[[DataFrame], Fitted]:
+    """Fit again only for another frame than the last time."""
+    last: dict = {}
+
+    def run(train: DataFrame) -> Fitted:
+        if last.get("train") is not train:
+            last.update(train=train, model=fit(train))
+        return last["model"]
+
+    return run
+
+
 def model_families(s: ModelSizes = ModelSizes()) -> dict[str, Callable[[DataFrame], Fitted]]:
     """Name to fitting function, in training order."""
-    members = [extra_trees_approx(s), random_forest(s), gradient_boosting(s), svc(s), logistic(s)]
+    members = [_once(f) for f in (extra_trees_approx(s), random_forest(s), gradient_boosting(s), svc(s), logistic(s))]
     return {
         "extra_trees": members[0],
         "random_forest": members[1],
@@ -312,15 +339,23 @@ def learn_scaling(df: DataFrame, vector: str, unscaled: int = 0) -> Scaling:
 
     The last ``unscaled`` positions (category flags) keep their values.
     """
-    cells = df.select(F.posexplode(vector).alias("at", "v"))
-    moments = cells.groupBy("at").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("at").collect()
-    scaled = len(moments) - unscaled
+    _, mean, variance = _moments(df, array_to_vector(vector))
+    scaled = len(mean) - unscaled
     return Scaling(
-        [float(r["m"]) if at < scaled else 0.0 for at, r in enumerate(moments)],
-        [(float(r["s"]) or 1.0) if at < scaled else 1.0 for at, r in enumerate(moments)],
+        [float(m) if at < scaled else 0.0 for at, m in enumerate(mean)],
+        [(math.sqrt(v) or 1.0) if at < scaled else 1.0 for at, v in enumerate(variance)],
     )
 
 
+def _moments(df: DataFrame, vector: Column) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, and mean and population variance of every position, in one pass over whole vectors."""
+    row = df.select(Summarizer.metrics("count", "mean", "variance").summary(vector).alias("s")).first()["s"]
+    n = row["count"]
+    variance = np.maximum(row["variance"].toArray(), 0.0) * (n - 1) / n
+    # A constant position: the sum of squares leaves rounding noise, not spread.
+    return n, row["mean"].toArray(), np.where(variance < 1e-24, 0.0, variance)
+
+
 @dataclass(frozen=True)
 class Part:
     """Training rows ready to fit, held-out rows on the same scale, and that scale."""
@@ -394,26 +429,35 @@ def train_and_evaluate(
 ) -> DataFrame:
     """Leaderboard of all families; a family that fails has no accuracy and an error text.
 
-    Split and folds come first and are prepared once, for all families. With a
-    ``model_folder`` every trained model is stored there.
+    Split and folds come first and are prepared once; all families are fitted on one part before the next, so that the
+    ensemble takes over its members' fits. With a ``model_folder`` every trained model is stored there.
     """
     split = durable(stratified_split(rows.select(key, target, vector), key, target, seed=seed))
     hold = ready_part(split, F.col("is_test"), key, target, vector, per_class, seed, unscaled)
     parts = fold_parts(rows, key, target, vector, folds, per_class, seed, unscaled) if folds else []
+    found: dict[str, list[dict]] = {name: [] for name in families}
+    paths, errors = dict.fromkeys(families), {}
+    for at, part in enumerate([hold, *parts]):
+        for name, fit in families.items():
+            if name in errors:
+                continue
+            try:
+                model = fit(part.train)
+                found[name].append(metrics_of(model, part.test))
+                if at == 0 and model_folder:
+                    paths[name] = f"{model_folder.rstrip('/')}/{name}"
+                    save_fitted(model, paths[name], part.scaling)
+            except Exception as exc:  # one failing family must not lose the others
+                errors[name] = str(exc)
     report = []
-    for name, fit in families.items():
-        try:
-            model = fit(hold.train)
-            test = metrics_of(model, hold.test)
-            cv = float(np.mean([metrics_of(fit(p.train), p.test)["accuracy"] for p in parts])) if parts else None
-            path = f"{model_folder.rstrip('/')}/{name}" if model_folder else None
-            if path:
-                save_fitted(model, path, hold.scaling)
-            blended = round(test["accuracy"] * 0.5 + cv * 0.5, 4) if cv is not None else round(test["accuracy"], 4)
-            numbers = [blended, test["accuracy"], cv, test["f1_score"], test["recall"], test["precision"], test["roc_auc"]]
-            report.append((name, path, *[None if v is None else round(float(v), 4) for v in numbers], None))
-        except Exception as exc:  # one failing family must not lose the others
-            report.append((name, None, *[None] * 7, str(exc)[:500]))
+    for name, (test, *folded) in ((n, found[n] if n not in errors else [None]) for n in families):
+        if test is None:
+            report.append((name, None, *[None] * 7, errors[name]))
+            continue
+        cv = float(np.mean([m["accuracy"] for m in folded])) if folded else None
+        blended = round(test["accuracy"] * 0.5 + cv * 0.5, 4) if cv is not None else round(test["accuracy"], 4)
+        numbers = [blended, test["accuracy"], cv, test["f1_score"], test["recall"], test["precision"], test["roc_auc"]]
+        report.append((name, paths[name], *[None if v is None else round(float(v), 4) for v in numbers], None))
     return rows.sparkSession.createDataFrame(report, REPORT_SCHEMA)
 
 

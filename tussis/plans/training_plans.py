@@ -1,55 +1,73 @@
-"""Fitted models; their numbers depend on the fit, so there is no SQL twin."""
+"""Fitted models at their published sizes, on data whose verdicts follow from the labels."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tussis.functions import rules
+from tussis.functions.clinical_terms import DEFAULT_TERMS
 from tussis.functions.scoring import predicted
 from tussis.operators import models as M
 from tussis.operators.profile import top_features
 from tussis.plans.model_plans import vectors
-from tussis.plans.registry import query
-from tussis.plans.stand_ins import note_of
+from tussis.plans.registry import query, sql_list
+from tussis.plans.sql_rules import sql_fused
+from tussis.plans.stand_ins import NOTES, note_of
 from tussis.session import scratch_path
 
-_FAMILIES = M.model_families(M.QUICK)
+_SIZES = M.ModelSizes()
+_FAMILIES = M.model_families(_SIZES)
 
 
 def _rows(spark, folder):
     return vectors(spark, folder).select("vec_id", "target", "x")
 
 
-def _held_out(spark, folder, per_class=260):
+def _apart(spark, folder):
+    """Vectors whose classes lie apart in every position, so that each family's verdict is known beforehand."""
+    shifted = F.transform("x", lambda v: v * 0.1 + (2 * F.col("target") - 1))
+    return _rows(spark, folder).withColumn("x", shifted)
+
+
+def _held_out(rows, per_class=260):
     """Every fifth row is held out; scaling and balancing see the rest only."""
-    return M.ready_part(_rows(spark, folder), F.col("vec_id") % 5 == 0, "vec_id", "target", "x", per_class, 42)
+    return M.ready_part(rows, F.col("vec_id") % 5 == 0, "vec_id", "target", "x", per_class, 42)
+
+
+_LABELS_SQL = "SELECT CAST(vec_id AS VARCHAR) AS vec_id, (label >= 5)::INTEGER AS target, vec_id AS n FROM embeddings"
+_TOLD_SQL = f"SELECT vec_id, target, target AS prediction FROM ({_LABELS_SQL}) WHERE n % 5 = 0"
+_SURE_SQL = f"SELECT vec_id, target, target::DOUBLE AS disease_probability, target AS prediction FROM ({_LABELS_SQL}) WHERE n % 5 = 0"
 
 
-def _register(name: str, family: str, sql: str | None = None, per_class: int = 260):
+def _register(name: str, family: str, sql: str, rows=_apart, per_class: int = 260, probability: bool = True):
     @query(name, sql)
     def run(spark, folder):
-        part = _held_out(spark, folder, per_class)
+        part = _held_out(rows(spark, folder), per_class)
         model = _FAMILIES[family](part.train)
         scored = model.score(part.test, "p")
-        return scored.select(F.col("row_key").alias("vec_id"), F.col("target").cast("int").alias("target"),
-                             F.round("p", 6).alias("disease_probability"), predicted(F.col("p")).alias("prediction"))
+        sure = [F.round("p", 6).alias("disease_probability")] if probability else []
+        return scored.select(F.col("row_key").alias("vec_id"), F.col("target").cast("int").alias("target"), *sure, predicted(F.col("p")).alias("prediction"))
 
     return run
 
 
+# Every tree parts the classes at its root, so its leaves are pure and the share of class 1 is exactly 0 or 1.
+for _name, _family in {"fit_random_forest": "random_forest", "fit_extra_trees": "extra_trees", "fit_bagging": "bagging", "fit_tree": "decision_tree"}.items():
+    _register(_name, _family, _SURE_SQL)
+# The others' probabilities depend on how far a solver or a sum of rounds went; the verdict doesn't.
 for _name, _family in {
-    "fit_random_forest": "random_forest", "fit_extra_trees": "extra_trees", "fit_gbt": "gradient_boosting", "fit_adaboost": "adaboost",
-    "fit_bagging": "bagging", "fit_svc": "svc", "fit_logistic": "logistic", "fit_sgd": "sgd", "fit_tree": "decision_tree",
-    "fit_voting": "voting_ensemble",
+    "fit_gbt": "gradient_boosting", "fit_adaboost": "adaboost", "fit_svc": "svc", "fit_logistic": "logistic", "fit_sgd": "sgd", "fit_voting": "voting_ensemble",
 }.items():
-    _register(_name, _family)
+    _register(_name, _family, _TOLD_SQL, probability=False)
 
 # Without synthetic rows the neighbour vote on scaled features has an exact twin.
-_register("fit_knn", "knn", per_class=0, sql="""WITH c AS (SELECT vec_id, (label >= 5)::INTEGER AS target, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings),
+_register("fit_knn", "knn", rows=_rows, per_class=0, sql="""WITH c AS (SELECT vec_id, (label >= 5)::INTEGER AS target, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings),
     m AS (SELECT j, avg(v) AS mean, stddev_pop(v) AS spread FROM c WHERE vec_id % 5 <> 0 GROUP BY j),
     z AS (SELECT vec_id, target, list((v - mean) / spread ORDER BY j) AS x FROM c JOIN m USING (j) GROUP BY vec_id, target),
     d AS (SELECT q.vec_id, q.target, t.vec_id AS other, t.target AS y, round(list_distance(q.x, t.x), 9) AS d FROM z q JOIN z t ON q.vec_id % 5 = 0 AND t.vec_id % 5 <> 0),
@@ -58,12 +76,14 @@ _register("fit_knn", "knn", per_class=0, sql="""WITH c AS (SELECT vec_id, (label
     SELECT CAST(vec_id AS VARCHAR) AS vec_id, target, round(p, 6) AS disease_probability, CAST(p > 0.5 AS INTEGER) AS prediction FROM p""")
 
 
-@query("compare_fitted")
+@query("compare_fitted", f"""SELECT vec_id AS row_key, model, CASE target WHEN 1 THEN 'Disease' ELSE 'Healthy' END AS label, target AS prediction,
+      CASE model WHEN 'random_forest' THEN 0.7857::DOUBLE ELSE 0.0::DOUBLE END AS accuracy
+    FROM ({_LABELS_SQL}), (SELECT unnest({sql_list(_FAMILIES)}) AS model) WHERE n % 5 = 0""")
 def compare_fitted(spark, folder):
-    """Three fitted models side by side on the held-out rows."""
-    part = _held_out(spark, folder)
-    fitted = [_FAMILIES[n](part.train) for n in ("random_forest", "decision_tree", "logistic")]
-    return M.compare_fitted(fitted, part.test, ["row_key"], {"random_forest": 0.7857})
+    """All families side by side on the held-out rows."""
+    part = _held_out(_apart(spark, folder))
+    fitted = [replace(fit(part.train), name=name) for name, fit in _FAMILIES.items()]
+    return M.compare_fitted(fitted, part.test, ["row_key"], {"random_forest": 0.7857}).select("row_key", "model", "label", "prediction", "accuracy")
 
 
 @query("cv_accuracy", """WITH e AS (SELECT vec_id, (label >= 5)::INTEGER AS target, (row_number() OVER (PARTITION BY label >= 5 ORDER BY vec_id) - 1) % 5 AS fold, embedding FROM embeddings),
@@ -80,10 +100,14 @@ def cv_accuracy(spark, folder):
     return spark.createDataFrame([(i, round(s, 9)) for i, s in enumerate(scores)], "fold INT, accuracy DOUBLE")
 
 
-@query("train_leaderboard")
+_SCORES = ["accuracy", "test_accuracy", "cv_accuracy", "f1_score", "sensitivity_recall", "precision", "roc_auc"]
+
+
+@query("train_leaderboard", f"SELECT unnest({sql_list(_FAMILIES)}) AS model, " + ", ".join(f"1.0::DOUBLE AS {c}" for c in _SCORES) + ", CAST(NULL AS VARCHAR) AS error")
 def train_leaderboard(spark, folder):
-    wanted = {n: _FAMILIES[n] for n in ["random_forest", "decision_tree", "logistic"]}
-    return M.train_and_evaluate(_rows(spark, folder), wanted, key="vec_id", target="target", vector="x", folds=2, per_class=260)
+    """All families at their published sizes, on a hold-out and five folds."""
+    board = M.train_and_evaluate(_apart(spark, folder), _FAMILIES, key="vec_id", target="target", vector="x", folds=5, per_class=260)
+    return board.select("model", *_SCORES, "error")
 
 
 _NAMES = [f"x{i}" for i in range(64)]
@@ -94,33 +118,44 @@ def _wide(spark, folder):
     return v.select("vec_id", F.col("target").cast("double").alias("target"), *[F.get("x", F.lit(i)).alias(n) for i, n in enumerate(_NAMES)])
 
 
-@query("feature_importance")
+@query("feature_importance", "WITH c AS (SELECT unnest(range(64)) AS j, unnest(embedding)::DOUBLE * 0.1 + CASE WHEN unnest(range(64)) = 17 THEN (label >= 5)::INTEGER * 2 - 1 ELSE 0 END AS v, (label >= 5)::INTEGER AS t FROM embeddings)"
+       " SELECT 'x' || j AS feature, 1 AS position FROM c GROUP BY j ORDER BY abs(corr(v, t)) DESC LIMIT 1")
 def feature_importance(spark, folder):
-    part = _held_out(spark, folder)
-    forest = RandomForestClassifier(numTrees=20, maxDepth=4, seed=42, featuresCol="features", labelCol="target").fit(part.train)
-    return top_features(M.feature_importance(spark, forest, _NAMES), 15)
+    """The one position that parts the classes comes first among 64."""
+    one = F.transform("x", lambda v, i: v * 0.1 + F.when(i == 17, 2 * F.col("target") - 1).otherwise(0))
+    part = _held_out(_rows(spark, folder).withColumn("x", one))
+    forest = M.random_forest(_SIZES)(part.train).stages[0]
+    return top_features(M.feature_importance(spark, forest, _NAMES), 1).select("feature", F.lit(1).alias("position"))
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", "SELECT vec_id, true AS equal_to_fitted, 64 AS width FROM embeddings")
 def model_roundtrip(spark, folder):
-    """A fitted pipeline stored, loaded with its width checked, and used."""
+    """A fitted pipeline stored, loaded with its width checked, and used beside the one that was stored."""
     wide = _wide(spark, folder)
-    pipeline = Pipeline(stages=[VectorAssembler(inputCols=_NAMES, outputCol="features"), LogisticRegression(labelCol="target", maxIter=10)])
+    classifier = LogisticRegression(labelCol="target", maxIter=_SIZES.logistic_iterations)
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=_NAMES, outputCol="features"), classifier]).fit(wide)
     path = scratch_path(spark, "model")
-    M.save_model(pipeline.fit(wide), path)
-    scored = M.load_compatible(spark, path, len(_NAMES)).transform(wide)
-    return scored.select("vec_id", F.round(F.get(vector_to_array("probability"), F.lit(1)), 6).alias("disease_probability"))
+    M.save_model(fitted, path)
+    loaded = M.load_compatible(spark, path, len(_NAMES))
+    first = fitted.transform(wide).select("vec_id", *_NAMES, F.col("probability").alias("p"))
+    both = loaded.transform(first)
+    return both.select("vec_id", (vector_to_array("p") == vector_to_array("probability")).alias("equal_to_fitted"), F.lit(loaded.stages[-1].numFeatures).alias("width"))
+
+
+_BATCH_SQL = f"""SELECT vec_id, (label >= 5)::INTEGER AS prediction, (label >= 5)::INTEGER::DOUBLE AS probability, {sql_list(NOTES)}[vec_id % {len(NOTES)} + 1] AS notes,
+    (vec_id % 5 = 0) AS respiratory_condition, (vec_id % 7 = 0) AS fever_muscle_pain, CAST(vec_id % 90 AS DOUBLE) AS age FROM embeddings"""
 
 
-@query("score_batch")
+@query("score_batch", f"SELECT * EXCLUDE (confidence) FROM ({sql_fused(_BATCH_SQL, 'vec_id', DEFAULT_TERMS)})")
 def score_batch(spark, folder):
     """Fitted model, then the text rules, for every recording."""
-    part = _held_out(spark, folder)
-    model = M.logistic(M.QUICK)(part.train)
-    everything = vectors(spark, folder).select("vec_id", array_to_vector("x").alias("features"))
+    rows = _apart(spark, folder)
+    part = _held_out(rows)
+    model = M.logistic(_SIZES)(part.train)
+    everything = part.scaling.apply(rows, "x").select("vec_id", array_to_vector("x").alias("features"))
     i = F.col("vec_id")
     scored = model.score(everything, "probability").select(
         "vec_id", "probability", predicted(F.col("probability")).alias("prediction"), note_of(i).alias("notes"),
         (i % 5 == 0).alias("respiratory_condition"), (i % 7 == 0).alias("fever_muscle_pain"), (i % 90).cast("double").alias("age"),
     )
-    return rules.fuse(scored, keep=["vec_id"])
+    return rules.fuse(scored, keep=["vec_id"]).drop("confidence").withColumn("symptoms_detected", F.array_join("symptoms_detected", "; "))
