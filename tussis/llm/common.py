@@ -14,7 +14,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Largest table, in bytes of its values, that is sent whole to every task.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def ascii_lower(text: Column) -> Column:
