@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from tussis.functions import rules, scoring, signal as S
 from tussis.functions.clinical_terms import DEFAULT_TERMS
 from tussis.plans import sql_rules
-from tussis.plans.registry import query, spread_table, sql_list, table
+from tussis.plans.registry import query, spread_table, table
 from tussis.plans.scorers import SCORERS, sql_probability
-from tussis.plans.stand_ins import NOTES, note_of
+from tussis.plans.stand_ins import note_of, note_sql
 from tussis.plans.text_plans import HISTORY_SQL, KPI_SQL, assessments, rounded_kpis
 from tussis.session import scratch_path
 from tussis.streaming import burst, common, loudness, screening
@@ -102,7 +102,7 @@ def _recordings(df):
 
 
 _SCORED_SQL = f"""SELECT vec_id, {sql_probability(0)} AS probability, CAST({sql_probability(0)} >= 0.5 AS INTEGER) AS prediction,
-    {sql_list(NOTES)}[vec_id % {len(NOTES)} + 1] AS notes, (vec_id % 5 = 0) AS respiratory_condition, (vec_id % 7 = 0) AS fever_muscle_pain,
+    {note_sql("vec_id")} AS notes, (vec_id % 5 = 0) AS respiratory_condition, (vec_id % 7 = 0) AS fever_muscle_pain,
     CAST(vec_id % 90 AS DOUBLE) AS age FROM embeddings WHERE list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) >= 0.28::DOUBLE"""
 _SCREEN_SQL = f"SELECT * REPLACE (round(confidence, 6) AS confidence) FROM ({sql_rules.sql_fused(_SCORED_SQL, 'vec_id', DEFAULT_TERMS)})"
 

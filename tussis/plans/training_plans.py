@@ -18,7 +18,7 @@ from tussis.operators.profile import top_features
 from tussis.plans.model_plans import vectors
 from tussis.plans.registry import query, sql_list
 from tussis.plans.sql_rules import sql_fused
-from tussis.plans.stand_ins import NOTES, note_of
+from tussis.plans.stand_ins import note_of, note_sql
 from tussis.session import scratch_path
 
 _SIZES = M.ModelSizes()
@@ -142,7 +142,7 @@ def model_roundtrip(spark, folder):
     return both.select("vec_id", (vector_to_array("p") == vector_to_array("probability")).alias("equal_to_fitted"), F.lit(loaded.stages[-1].numFeatures).alias("width"))
 
 
-_BATCH_SQL = f"""SELECT vec_id, (label >= 5)::INTEGER AS prediction, (label >= 5)::INTEGER::DOUBLE AS probability, {sql_list(NOTES)}[vec_id % {len(NOTES)} + 1] AS notes,
+_BATCH_SQL = f"""SELECT vec_id, (label >= 5)::INTEGER AS prediction, (label >= 5)::INTEGER::DOUBLE AS probability, {note_sql("vec_id")} AS notes,
     (vec_id % 5 = 0) AS respiratory_condition, (vec_id % 7 = 0) AS fever_muscle_pain, CAST(vec_id % 90 AS DOUBLE) AS age FROM embeddings"""
 
 
