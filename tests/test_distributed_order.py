@@ -39,15 +39,29 @@ def test_null_group(spark):
     assert {r["id"]: r["n"] for r in running.with_row_number(df, ["id"], "n", ["g"]).collect()} == {1: 1, 2: 2, 3: 1}
 
 
-@pytest.mark.parametrize("max_groups", [1000, 1])
-def test_quantiles_match_numpy(many_slices, hot_rows, max_groups):
+def test_quantiles_match_numpy(many_slices, hot_rows):
     df = many_slices.createDataFrame(hot_rows, "id INT, g STRING, v DOUBLE")
-    got = {r["g"]: r for r in quantiles.exact_quantiles(df, ["v"], {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}, ["g"], max_groups).collect()}
+    got = {r["g"]: r for r in quantiles.exact_quantiles(df, ["v"], {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}, ["g"]).collect()}
     for g in got:
         values = [r[2] for r in hot_rows if r[1] == g]
         np.testing.assert_allclose([got[g][x] for x in "abcde"], np.quantile(values, [0, 0.25, 0.5, 0.9, 1.0]))
 
 
+def test_quantiles_inside_sketch_brackets(many_slices):
+    """Enough rows that brackets, not whole groups, are counted; one far outlier, ties and a group of its own."""
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(size=90_000), np.full(40_000, 0.25), [1e12], np.arange(300.0)])
+    g = np.array(["big"] * 130_001 + ["small"] * 300)
+    order = rng.permutation(len(v))
+    df = many_slices.createDataFrame(list(zip(g[order].tolist(), v[order].tolist())), "g STRING, v DOUBLE").repartition(5)
+    wanted = {"a": 0.0, "b": 0.0001, "c": 0.25, "d": 0.5, "e": 0.77, "f": 0.9999, "h": 1.0}
+    for by, parts in ((["g"], {x: v[g == x] for x in ("big", "small")}), ([], {None: v})):
+        for r in quantiles.exact_quantiles(df, ["v"], wanted, by).collect():
+            values = parts[r["g"] if by else None]
+            np.testing.assert_allclose([r[x] for x in wanted], np.quantile(values, list(wanted.values())))
+            np.testing.assert_allclose(r["d"], np.median(values), rtol=1e-12)
+
+
 def test_quantiles_of_single_and_null(spark):
     df = spark.createDataFrame([(4.0, None), (None, None)], "v DOUBLE, w DOUBLE")
     assert [(r["column_name"], r["m"]) for r in quantiles.exact_quantiles(df, ["v", "w"], {"m": 0.5}).collect()] == [("v", 4.0)]
