@@ -33,6 +33,10 @@ def recordings(tmp_path_factory):
     (folder / "broken.wav").write_bytes(b"RIFF")
     (folder / "broken.json").write_text('{"status": "healthy"}')
     (folder / "r00.mp3").write_bytes(b"other copy")
+    (folder / "only.ogg").write_bytes(b"OggS")
+    (folder / "only.json").write_text('{"status": "healthy"}')
+    (folder / "lost.json").write_text('{"status": "healthy"}')
+    (folder / "undecided.json").write_text('{"status": "who knows"}')
     return str(folder)
 
 
@@ -46,7 +50,10 @@ def trained(spark, recordings, tmp_path_factory):
 def test_training_skips_unusable_recordings(spark, recordings):
     table = jobs.training_table(spark, recordings, SPEC)
     assert table.count() == 36 and table.where("target = 1").count() == 12
-    quick = jobs.training_table(spark, recordings, SPEC, limit=5)  # "broken" sorts first and has no usable sound
+    dropped = dict(jobs.training_parts(spark, recordings, SPEC)[1].collect())
+    assert set(dropped) == {"silent", "broken", "only", "lost", "undecided"} and all(dropped.values())
+    assert (dropped["only"], dropped["lost"], dropped["undecided"]) == ("no decoder for .ogg", "no audio file", "no label")
+    quick = jobs.training_table(spark, recordings, SPEC, limit=7)  # "broken", "lost" and "only" sort first and have no usable sound
     assert sorted(r["file_id"] for r in quick.collect()) == ["r00", "r01", "r02", "r03"]
 
 
@@ -65,7 +72,12 @@ def test_screening_a_folder(spark, recordings, trained):
     )
     results = jobs.screen(spark, recordings, intake, trained[1], F.lit("2024-05-01 10:00:00").cast("timestamp_ntz"))
     rows = {r["file_id"]: r for r in results.collect()}
-    assert len(rows) == 36 and "silent" not in rows
+    assert len(rows) == 39
+    for lost in ("silent", "broken", "only"):
+        assert rows[lost]["label"] is None and (rows[lost]["error"] or rows[lost]["quality_issues"])
+    rows = {k: r for k, r in rows.items() if r["label"]}
+    compared = jobs.screen_models(spark, recordings, intake, trained[1])
+    assert compared.count() == 72 and compared.where("model = 'logistic'").first()["accuracy"] >= 0.9
     assert (rows["r01"]["label"], rows["r01"]["risk_level"], rows["r01"]["plan_id"]) == ("Urgent review", "high", "emergency")
     assert rows["r03"]["label"] == "Disease" and rows["r04"]["label"] == "Healthy"
     assert rows["r04"]["symptoms_detected"] == ["No symptoms reported"]
@@ -85,9 +97,9 @@ def test_exploration_writes_every_table(spark, recordings, tmp_path):
     for name, table in tables.items():
         sinks.write_csv(table, str(tmp_path / name))
     counts = {r["value"]: r["n"] for r in tables["status_counts"].collect()}
-    assert counts == {"healthy": 26, "covid-19": 12}
-    assert tables["quality_report"].first()["total_records"] == 38
-    assert tables["gender_by_status"].where("gender = 'unknown'").first()["healthy"] == 10  # 8 of the tones and the two unusable ones
+    assert counts == {"healthy": 28, "covid-19": 12, "who knows": 1}
+    assert tables["quality_report"].first()["total_records"] == 41
+    assert tables["gender_by_status"].where("gender = 'unknown'").first()["healthy"] == 12  # 8 of the tones and the four unusable ones
 
 
 def test_report_texts(spark):

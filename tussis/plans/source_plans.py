@@ -47,6 +47,22 @@ def source_priority(spark, folder):
     )
 
 
+@query("source_object_keys", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'uploads/' || o_orderstatus || '.wav' WHEN 1 THEN CAST(o_custkey AS VARCHAR)
+      WHEN 2 THEN 'tmp-' || o_orderkey ELSE 'microphone' END AS source FROM orders""")
+def source_object_keys(spark, folder):
+    """Objects with several keys, some blank; one without any falls back to the next input."""
+    k, blank = F.col("o_orderkey"), F.lit(" \t")
+    own = F.concat(F.lit("uploads/"), F.col("o_orderstatus"), F.lit(".wav"))
+    item = (
+        F.when(k % 4 == 0, F.to_json(F.struct(own.alias("path"), F.col("o_clerk_name").alias("name"))))
+        .when(k % 4 == 1, F.to_json(F.struct(blank.alias("path"), F.col("o_custkey").cast("string").alias("file_name"), F.lit("later").alias("tmp_path"))))
+        .when(k % 4 == 2, F.concat(F.lit("tmp-"), k, F.lit("\n")))
+        .otherwise(F.to_json(F.struct(blank.alias("filepath"), F.lit("x").alias("unknown"))))
+    )
+    orders = table(spark, folder, "orders").withColumn("o_clerk_name", F.lit("second"))
+    return orders.select("o_orderkey", sidecars.source_of(item, F.lit("microphone")).alias("source"))
+
+
 @query("ext_filter", r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '([^/]*)$', 1) AS base FROM pages),
     e AS (SELECT page_id, url || CASE WHEN page_id % 4 = 0 THEN '.PDF' WHEN page_id % 4 = 1 THEN '.wav' ELSE '' END AS path,
       CASE WHEN page_id % 4 = 0 THEN CASE WHEN base = '' THEN '' ELSE '.pdf' END WHEN page_id % 4 = 1 THEN CASE WHEN base = '' THEN '' ELSE '.wav' END

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tussis.functions.clean import stem, strip
+from tussis.functions.clean import first_non_empty, stem, strip
+
+# Keys that hold the location inside an input object, first one first.
+OBJECT_KEYS = ["path", "name", "file_name", "filepath", "tmp_path"]
 
 SIDECAR_SCHEMA = """
     datetime STRING, cough_detected STRING, latitude STRING, longitude STRING, age STRING,
@@ -73,8 +76,12 @@ def message_text(content: Column) -> Column:
     return F.coalesce(strip(whole), F.lit(""))
 
 
-def source_of(*candidates: Column) -> Column:
-    """First usable input location in priority order."""
-    from tussis.functions.clean import first_non_empty
+def path_in(value: Column) -> Column:
+    """The location in an input that is a path or a JSON object with one; the object's keys have an order."""
+    inside = F.from_json(value, ", ".join(f"{k} STRING" for k in OBJECT_KEYS))
+    return F.when(strip(value).startswith("{"), first_non_empty([inside[k] for k in OBJECT_KEYS])).otherwise(value)
 
-    return first_non_empty(list(candidates))
+
+def source_of(*candidates: Column) -> Column:
+    """First usable input location in priority order; each may be a path or an object that holds one."""
+    return first_non_empty([path_in(c) for c in candidates])
