@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tussis.llm.common import fresh, if_small, whole_text, written
 
 REACH = 24
-MIN_RUN_WORDS = 10
+MIN_RUN_WORDS = 20
 #: Enough bytes are a passage whatever their words, as scripts without blanks have few.
 MIN_RUN_BYTES = 256
 #: Bytes that the rolling hash sees.
