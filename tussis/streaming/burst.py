@@ -5,16 +5,17 @@ than the refractory time ago. That depends on the whole past of a device, but
 the dependence is short: a fire cannot block anything later than the
 refractory time. The batch job therefore cuts a device's time line into chunks
 longer than that, works out what each chunk would hand on for every state it
-could be handed, chains only those small answers, and then replays all chunks
-at once. No task ever holds the time line of a device.
+could be handed, chains only those small answers by doubling steps, and then replays all
+chunks at once. No task holds the time line of a device.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tussis.session import durable
@@ -26,15 +27,37 @@ REFRACTORY_MS = 300
 CHUNKS_PER_REFRACTORY = 1000
 
 
-def _fold(times: Column, last: Column, gap: int) -> Column:
-    """Last fire after walking ``times`` from ``last``."""
-    return F.aggregate(times, last, lambda s, t: F.when(s.isNull() | (t - s > gap), t).otherwise(s))
+#: State of a chunk after which nothing is blocked; so early that no instant is near it.
+NONE = -(1 << 62)
 
 
-def _handed_on(first_times: Column, exits: Column, entry: Column, gap: int) -> Column:
-    """Exit state of a chunk for one entry state."""
-    blocked = F.when(entry.isNull(), 0).otherwise(F.size(F.filter(first_times, lambda t: t - entry <= gap)))
-    return F.when(blocked < F.size(exits), F.get(exits, blocked))
+def _exits(times: Column, n_firsts: Column, gap: int) -> Column:
+    """Last fire of a chunk for each of its first ``n_firsts`` instants as the first fire.
+
+    The next fire after an instant is the first one beyond the refractory time, so all starts walk on together.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def walk(lists: pd.Series, counts: pd.Series) -> pd.Series:
+        out = []
+        for values, n in zip(lists, counts):
+            t = np.asarray(values, dtype=np.int64)
+            following = np.append(np.searchsorted(t, t + gap, side="right"), len(t))
+            at = np.arange(int(n))
+            ahead = following[at]
+            while (ahead < len(t)).any():
+                at = np.where(ahead < len(t), ahead, at)
+                ahead = following[at]
+            out.append(t[at])
+        return pd.Series(out, dtype=object)
+
+    return walk(times, n_firsts)
+
+
+def _handed_on(first_times: Column, exits: Column, entry: Column) -> Column:
+    """Exit state of a chunk for one entry state; the gap is added to ``first_times`` already."""
+    blocked = F.size(F.filter(first_times, lambda t: t <= entry))
+    return F.when(blocked < F.size(exits), F.get(exits, blocked)).otherwise(NONE)
 
 
 def bursts(df: DataFrame, device: str, ts: str, level: str, threshold: float = BURST_LEVEL,
@@ -42,7 +65,7 @@ def bursts(df: DataFrame, device: str, ts: str, level: str, threshold: float = B
     """(device, fired_at) in epoch microseconds.
 
     A chunk holds the distinct candidate instants of one device in
-    ``chunk_ms``, so its size is bounded by time, not by how busy a device is.
+    ``chunk_ms``; choose it by how fine the clock of the recordings is.
     """
     gap = refractory_ms * 1000
     width = (chunk_ms or refractory_ms * CHUNKS_PER_REFRACTORY) * 1000
@@ -56,50 +79,21 @@ def bursts(df: DataFrame, device: str, ts: str, level: str, threshold: float = B
 
     # What a chunk hands on, for each candidate that could be its first fire.
     opening = F.filter("times", lambda t: t <= F.col("chunk") * width + gap)
-    next_start = (F.col("chunk") + 1) * width
     n_firsts = F.least(F.size(opening) + 1, F.size("times"))
-    firsts = F.slice("times", F.lit(1), n_firsts)
-    reach = F.transform(
-        firsts, lambda first, k: _fold(F.slice("times", k + 2, F.size("times")), first, gap)
+    next_start = (F.col("chunk") + 1) * width
+    answers = chunks.select(
+        device, "chunk", F.transform(F.slice("times", F.lit(1), n_firsts), lambda t: t - gap).alias("firsts"),
+        _exits(F.col("times"), n_firsts, gap).alias("reach"), (F.size(opening) == F.size("times")).alias("may_skip"),
     )
-    answers = chunks.select(device, "chunk", firsts.alias("firsts"), reach.alias("reach"), (F.size(opening) == F.size("times")).alias("may_skip"))
     # A fire too early to block the next chunk is the same as none.
-    answers = answers.withColumn("exits", F.transform("reach", lambda x: F.when(x + gap >= next_start, x)))
-    distinct = F.array_distinct("exits")
-    settled = (F.size(distinct) == 1) & (~F.col("may_skip") | F.element_at(distinct, 1).isNull())
-    answers = durable(answers.select(device, "chunk", "firsts", "exits", settled.alias("settled")))
-
-    # Runs of chunks whose answers must be chained; a run starts where the state is known.
-    line = Window.partitionBy(device).orderBy("chunk")
-    adjacent = F.lag("chunk").over(line) == F.col("chunk") - 1
-    light = answers.select(device, "chunk", "settled", F.when(F.col("settled"), F.element_at("exits", 1)).alias("known"))
-    light = light.select(
-        device, "chunk",
-        F.coalesce(adjacent & ~F.lag("settled").over(line), F.lit(False)).alias("chained"),
-        F.when(adjacent, F.lag("known").over(line)).alias("start"),
-    )
-    runs = light.withColumn("run", F.sum(F.when(F.col("chained"), 0).otherwise(1)).over(line))
-    grouped = (
-        answers.join(runs, [device, "chunk"])
-        .groupBy(device, "run")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("chunk", "firsts", "exits"))).alias("links"),
-            F.min_by("start", "chunk").alias("start"),
-        )
-    )
-    state = F.struct(F.col("start").alias("entry"), F.array().cast("array<struct<chunk:bigint,entry:bigint>>").alias("done"))
-
-    def link(s: Column, one: Column) -> Column:
-        return F.struct(
-            _handed_on(one["firsts"], one["exits"], s["entry"], gap).alias("entry"),
-            F.concat(s["done"], F.array(F.struct(one["chunk"].alias("chunk"), s["entry"].alias("entry")))).alias("done"),
-        )
-
-    entries = grouped.select(device, F.inline(F.aggregate("links", state, link, lambda s: s["done"])))
+    answers = answers.withColumn("exits", F.transform("reach", lambda x: F.when(x + gap >= next_start, x).otherwise(NONE)))
+    outs = F.array_distinct(F.concat("exits", F.when(F.col("may_skip"), F.array(F.lit(NONE))).otherwise(F.array().cast("array<bigint>"))))
+    answers = durable(answers.select(device, "chunk", "firsts", "exits", outs.alias("outs")))
 
+    entries = _entries(answers, device)
     # Replay every chunk from its entry state.
     def replay(s: Column, t: Column) -> Column:
-        fires = s["last"].isNull() | (t - s["last"] > gap)
+        fires = t - s["last"] > gap
         return F.struct(
             F.when(fires, t).otherwise(s["last"]).alias("last"),
             F.when(fires, F.concat(s["fired"], F.array(t))).otherwise(s["fired"]).alias("fired"),
@@ -110,6 +104,34 @@ def bursts(df: DataFrame, device: str, ts: str, level: str, threshold: float = B
     return chunks.join(entries, [device, "chunk"]).select(device, F.explode(fired).alias("fired_at"))
 
 
+def _entries(answers: DataFrame, device: str) -> DataFrame:
+    """(device, chunk, entry): the state each chunk is handed.
+
+    A state is known after a gap in the chunks and after a chunk that hands on the same whatever it gets. From there, states
+    lead on chunk by chunk. Steps of one chunk are joined to steps of two, four and so on until none is
+    left, then the known states follow the longest steps first. Rows are keyed by device and chunk throughout, and the
+    number of rounds is the logarithm of the longest stretch of open chunks.
+    """
+    key = [device, "chunk"]
+    before = answers.select(device, (F.col("chunk") + 1).alias("chunk"), F.col("outs").alias("given"))
+    after = answers.select(device, (F.col("chunk") - 1).alias("chunk"))
+    led = answers.join(before, key, "left")
+    open_ = F.coalesce(F.size("given") > 1, F.lit(False))
+    known = led.where(~open_).select(*key, F.coalesce(F.get("given", F.lit(0)), F.lit(NONE)).alias("entry"), "firsts", "exits", "outs")
+    guessed = led.where(open_).select(*key, F.explode("given").alias("entry"), "firsts", "exits", "outs")
+    states = known.unionByName(guessed).where(F.size("outs") > 1).join(after, key, "left_semi")
+    steps = [durable(states.select(*key, "entry", (F.col("chunk") + 1).alias("to_chunk"), _handed_on(F.col("firsts"), F.col("exits"), F.col("entry")).alias("to_entry")))]
+    while not steps[-1].isEmpty():
+        one = steps[-1]
+        two = one.select(device, F.col("chunk").alias("to_chunk"), F.col("entry").alias("to_entry"), F.col("to_chunk").alias("far_chunk"), F.col("to_entry").alias("far_entry"))
+        steps.append(durable(one.join(two, [device, "to_chunk", "to_entry"]).select(*key, "entry", F.col("far_chunk").alias("to_chunk"), F.col("far_entry").alias("to_entry"))))
+    reached = known.select(*key, "entry")
+    for step in reversed(steps[:-1]):
+        further = reached.join(step, [*key, "entry"]).select(device, F.col("to_chunk").alias("chunk"), F.col("to_entry").alias("entry"))
+        reached = durable(reached.unionByName(further))
+    return reached
+
+
 def burst_stream(stream: DataFrame, device: str, ts: str, level: str, threshold: float = BURST_LEVEL,
                  refractory_ms: int = REFRACTORY_MS, late: str | None = None) -> DataFrame:
     """The streaming twin: one remembered fire per device.
