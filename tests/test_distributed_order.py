@@ -123,12 +123,12 @@ def _brute(points, k, by):
 
 
 @pytest.mark.parametrize("by", [[], ["g"]])
-@pytest.mark.parametrize("small_rows", [10_000, 10])
-def test_neighbors_exact_on_both_paths(spark, by, small_rows):
+@pytest.mark.parametrize("rows", [neighbors.BLOCK_ROWS, 16])
+def test_neighbors_exact_in_one_and_many_blocks(spark, by, rows):
     points = _points(260, 3)
     df = spark.createDataFrame(points, "id INT, g STRING, x ARRAY<DOUBLE>")
     got = neighbors.nearest_neighbors(
-        df, df, 4, query_id="id", corpus_id="id", vector="x", by=by, exclude_same=True, small_rows=small_rows, n_pivots=5, block_rows=16
+        df, df, 4, query_id="id", corpus_id="id", vector="x", by=by, exclude_same=True, block_rows=rows
     ).collect()
     found = {}
     for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
@@ -137,9 +137,9 @@ def test_neighbors_exact_on_both_paths(spark, by, small_rows):
 
 
 def test_neighbors_of_identical_points_fill_several_blocks(spark):
-    """One place holds every row: the cell is cut into blocks and ties go to the smaller id."""
+    """One place holds every row; ties go to the smaller id."""
     df = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(100)], "id INT, x ARRAY<DOUBLE>")
-    got = neighbors.nearest_neighbors(df, df, 3, query_id="id", corpus_id="id", vector="x", exclude_same=True, small_rows=5, n_pivots=4, block_rows=10)
+    got = neighbors.nearest_neighbors(df, df, 3, query_id="id", corpus_id="id", vector="x", exclude_same=True, block_rows=10)
     rows = {r["query_id"]: r["ids"] for r in got.groupBy("query_id").agg(F.sort_array(F.collect_list("neighbor_id")).alias("ids")).collect()}
     assert rows[50] == [0, 1, 2] and rows[1] == [0, 2, 3] and len(rows) == 100
 
@@ -163,11 +163,23 @@ def test_profiles_of_an_empty_table(spark):
 
 def test_neighbors_in_groups_smaller_than_k(spark):
     df = spark.createDataFrame([(1, "a", [0.0]), (2, "a", [1.0]), (3, "b", [9.0])], "id INT, g STRING, x ARRAY<DOUBLE>")
-    for small in (100, 1):
-        got = neighbors.nearest_neighbors(df, df, 5, query_id="id", corpus_id="id", vector="x", by=["g"], exclude_same=True, small_rows=small, n_pivots=2).collect()
+    for rows in (100, 1):
+        got = neighbors.nearest_neighbors(df, df, 5, query_id="id", corpus_id="id", vector="x", by=["g"], exclude_same=True, block_rows=rows).collect()
         assert sorted((r["query_id"], r["neighbor_id"]) for r in got) == [(1, 2), (2, 1)]
 
 
+def test_approximate_neighbors_recall(spark):
+    """Clustered points: nine in ten of the exact neighbours share a bucket."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(scale=20, size=(12, 16))
+    points = [(i, (centres[i % 12] + rng.normal(size=16)).tolist()) for i in range(600)]
+    df = spark.createDataFrame(points, "id INT, x ARRAY<DOUBLE>")
+    names = {"query_id": "id", "corpus_id": "id", "vector": "x"}
+    exact = {(r.query_id, r.neighbor_id) for r in neighbors.nearest_neighbors(df, df, 5, **names).collect()}
+    found = {(r.query_id, r.neighbor_id) for r in neighbors.approximate_neighbors(df, df, 5, radius=12.0, bucket_length=8.0, **names).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
 def test_distance_vote_prefers_exact_matches(spark):
     near = spark.createDataFrame([(1, 10, 0.0), (1, 11, 1.0), (2, 11, 1.0), (2, 12, 3.0)], "query_id INT, neighbor_id INT, distance DOUBLE")
     labels = spark.createDataFrame([(10, 0), (11, 1), (12, 0)], "id INT, y INT")

@@ -1,53 +1,49 @@
-"""Exact k nearest neighbours as a join.
-
-A corpus whose row count is within a bound is sent to the tasks once and each
-batch of queries is matched against it. Beyond the bound the corpus is cut into
-Voronoi cells around a few pivots. Every query is first matched in its own
-cell, which gives it a radius; it then visits only the cells that could hold
-something closer (triangle inequality and bisector bounds). Cells are cut
-further into blocks of bounded size on both sides, so a crowded cell is many
-tasks, and each task hands on only k candidates per query.
+"""Exact k nearest neighbours, block against block.
+
+Rows are packed into blocks of bounded size, one row with the ids and one matrix each, on both sides. Every query block
+meets every corpus block of its group once, so what moves is a copy of the queries for each corpus block, as
+packed matrices; a task compares two blocks by one matrix product, works out the exact distance only of what can
+be among the nearest, and hands on k candidates per query. One way for all sizes.
+
+An exact search has to look at every pair unless the data are clustered. Where a share of the neighbours is enough,
+``approximate_neighbors`` hashes by random projections and looks at one bucket only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tussis.operators.sizing import join_measured, within_rows
-from tussis.session import durable
+from tussis.operators.sizing import join_measured
 
 DIGITS = 9
-SLACK = 1e-8
-CELLS_PER_STEP = 4_000_000
-SMALL_VALUES = 4_000_000  # 32 MB of doubles
+BLOCK_ROWS = 2048
+#: Distances of a matrix product are off by rounding; what lies this much beyond the k-th (of the vectors' size) is looked at again.
+SLACK = 1e-6
 
 
 def closest(qv: np.ndarray, qid: np.ndarray, cv: np.ndarray, cid: np.ndarray, k: int, exclude_same: bool) -> pd.DataFrame:
     """Top ``k`` corpus rows per query by (rounded distance, id)."""
     order = np.argsort(cid, kind="stable")
     cv, cid = cv[order], cid[order]
-    step = max(1, CELLS_PER_STEP // max(1, cv.size))
-    out = []
-    for at in range(0, len(qv), step):
-        part = qv[at : at + step]
-        d = np.round(np.sqrt(((part[:, None, :] - cv[None, :, :]) ** 2).sum(axis=2)), DIGITS)
-        if exclude_same:
-            d[qid[at : at + step, None] == cid[None, :]] = np.inf
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        near = np.take_along_axis(d, best, axis=1)
-        keep = np.isfinite(near)
-        rows = np.repeat(np.arange(at, at + len(part)), best.shape[1]).reshape(best.shape)
-        out.append((rows[keep], cid[best[keep]], near[keep]))
-    rows, ids, near = (np.concatenate(x) for x in zip(*out))
-    return pd.DataFrame({"query_id": qid[rows], "neighbor_id": ids, "distance": near})
-
-
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    q2, c2 = (qv * qv).sum(axis=1), (cv * cv).sum(axis=1)
+    rough = q2[:, None] + c2[None, :] - 2.0 * (qv @ cv.T)
+    if exclude_same:
+        rough[qid[:, None] == cid[None, :]] = np.inf
+    wanted = min(k, len(cid)) - 1
+    limit = np.partition(rough, wanted, axis=1)[:, wanted] + SLACK * (1.0 + q2 + c2.max(initial=0.0))
+    rows, at = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
+    exact = np.round(np.sqrt(((qv[rows] - cv[at]) ** 2).sum(axis=1)), DIGITS)
+    first = np.lexsort((at, exact, rows))
+    rows, at, exact = rows[first], at[first], exact[first]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+    keep = place < k
+    return pd.DataFrame({"query_id": qid[rows[keep]], "neighbor_id": cid[at[keep]], "distance": exact[keep]})
 
 
 def _schema(by: Sequence[str], queries: DataFrame, query_id: str, corpus: DataFrame, corpus_id: str) -> T.StructType:
@@ -60,72 +56,27 @@ def _schema(by: Sequence[str], queries: DataFrame, query_id: str, corpus: DataFr
     return T.StructType(fields)
 
 
-def _against_small(queries: DataFrame, corpus: DataFrame, k: int, by: list[str], exclude_same: bool, schema: T.StructType) -> DataFrame:
-    local = corpus.toPandas()  # row count checked by the caller
-    groups = {}
-    for key, part in local.groupby(by) if by else [((), local)]:
-        if not part.empty:
-            groups[key] = (_matrix(part["c_vec"]), part["c_id"].to_numpy())
-    shared = queries.sparkSession.sparkContext.broadcast(groups)
-    names = schema.names
-
-    def match(batches):
-        for pdf in batches:
-            for key, part in pdf.groupby(by) if by else [((), pdf)]:
-                found = shared.value.get(key)
-                if found is None or part.empty:
-                    continue
-                near = closest(_matrix(part["q_vec"]), part["q_id"].to_numpy(), *found, k, exclude_same)
-                for name, value in zip(by, key):
-                    near[name] = value
-                yield near[names]
-
-    return queries.mapInPandas(match, schema)
-
+def _block_counts(df: DataFrame, by: list[str], rows: int) -> DataFrame:
+    return df.groupBy(*by).agg(F.ceil(F.count("*") / rows).cast("int").alias("n_blocks"))
 
-def _with_pivot_distances(df: DataFrame, vector: str, pivots: np.ndarray) -> DataFrame:
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def distances(v: pd.Series) -> pd.Series:
-        m = _matrix(v)
-        return pd.Series(list(np.sqrt(((m[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))))
 
-    nearest = F.array_min("pivots")
-    return df.withColumn("pivots", distances(vector)).withColumn("cell", (F.array_position("pivots", nearest) - 1).cast("int"))
+def _with_blocks(df: DataFrame, by: list[str], counts: DataFrame) -> DataFrame:
+    if by:
+        return join_measured(df, counts, by)
+    return df.withColumn("n_blocks", counts.select("n_blocks").scalar())
 
 
-def _blocks(counts: DataFrame, keys: list[str], rows: int, name: str) -> DataFrame:
-    return counts.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("bigint").alias(name))
+def _packed(df: DataFrame, by: list[str], rows: int) -> DataFrame:
+    """One row (by..., block, ids, matrix) per block of about ``rows`` rows (``id``, ``vec``)."""
+    placed = _with_blocks(df, by, _block_counts(df, by, rows)).withColumn("block", F.pmod(F.xxhash64("id"), F.greatest("n_blocks", F.lit(1))))
+    kind = df.schema["id"].dataType
+    schema = T.StructType([*[df.schema[b] for b in by], T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("matrix", T.BinaryType())])
 
+    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        matrix = np.stack([np.asarray(v, dtype=np.float64) for v in part["vec"]])
+        return pd.DataFrame([[*key, part["id"].tolist(), matrix.tobytes()]], columns=schema.names)
 
-def _match_blocks(routed: DataFrame, cells: DataFrame, k: int, by: list[str], block_rows: int, exclude_same: bool, schema: T.StructType) -> DataFrame:
-    """Match routed queries with their cell, block against block."""
-    keys = [*by, "cell"]
-    corpus_blocks = _blocks(cells, keys, block_rows, "n_blocks")
-    query_blocks = _blocks(routed, keys, block_rows, "n_query_blocks")
-    sizes = durable(corpus_blocks.join(query_blocks, keys))
-    left = join_measured(routed.select(*keys, "q_id", "q_vec"), sizes, keys).select(
-        *keys, "q_id", "q_vec",
-        F.pmod(F.xxhash64("q_id"), F.col("n_query_blocks")).alias("query_block"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)).alias("block"),
-    )
-    right = join_measured(cells.select(*keys, "c_id", "c_vec"), sizes, keys).select(
-        *[F.col(c).alias(f"c_{c}") for c in keys], "c_id", "c_vec",
-        F.pmod(F.xxhash64("c_id"), F.col("n_blocks")).alias("c_block"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_query_blocks") - 1)).alias("c_query_block"),
-    )
-    names = schema.names
-    group = [*keys, "block", "query_block"]
-
-    def match(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame(columns=names)
-        near = closest(_matrix(q["q_vec"]), q["q_id"].to_numpy(), _matrix(c["c_vec"]), c["c_id"].to_numpy(), k, exclude_same)
-        for name, value in zip(by, key):
-            near[name] = value
-        return near[names]
-
-    corpus_group = [f"c_{name}" for name in group]
-    return left.groupBy(*group).cogroup(right.groupBy(*corpus_group)).applyInPandas(match, schema)
+    return placed.select(*by, "block", "id", "vec").groupBy(*by, "block").applyInPandas(pack, schema)
 
 
 def _top(found: DataFrame, k: int, by: list[str]) -> DataFrame:
@@ -133,15 +84,6 @@ def _top(found: DataFrame, k: int, by: list[str]) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _lower_bound(cell: Column, gaps: Column) -> Column:
-    """Least distance a row of ``cell`` can have to the query of this row."""
-    to_pivot = F.element_at("pivots", cell["cell"] + 1)
-    own = F.element_at("pivots", F.col("cell") + 1)
-    between = F.element_at(F.element_at(gaps, F.col("cell") + 1), cell["cell"] + 1)
-    bisector = F.when(between > 0, (to_pivot * to_pivot - own * own) / (2 * between)).otherwise(0.0)
-    return F.greatest(to_pivot - cell["far"], cell["near"] - to_pivot, bisector, F.lit(0.0))
-
-
 def nearest_neighbors(
     queries: DataFrame,
     corpus: DataFrame,
@@ -152,9 +94,7 @@ def nearest_neighbors(
     vector: str,
     by: Sequence[str] = (),
     exclude_same: bool = False,
-    small_rows: int = 20_000,
-    n_pivots: int = 32,
-    block_rows: int = 4096,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(by..., query_id, neighbor_id, distance, rank), exact, ranks from 1.
 
@@ -164,39 +104,43 @@ def nearest_neighbors(
     """
     by = list(by)
     schema = _schema(by, queries, query_id, corpus, corpus_id)
-    q = queries.select(*by, F.col(query_id).alias("q_id"), F.col(vector).cast("array<double>").alias("q_vec"))
-    c = corpus.select(*by, F.col(corpus_id).alias("c_id"), F.col(vector).cast("array<double>").alias("c_vec"))
-    first = c.select(F.size("c_vec").alias("width")).first()
-    if first is None or within_rows(c, min(small_rows, SMALL_VALUES // max(1, first["width"]))):
-        return _top(_against_small(q, c, k, by, exclude_same, schema), k, by)
-
-    picked = c.orderBy(F.xxhash64("c_id"), "c_id").limit(n_pivots).select("c_vec").toPandas()
-    pivots = _matrix(picked["c_vec"])
-    cells = durable(_with_pivot_distances(c, "c_vec", pivots))
-    asked = durable(_with_pivot_distances(q, "q_vec", pivots))
-
-    first = durable(_top(_match_blocks(asked, cells, k, by, block_rows, exclude_same, schema), k, by).drop("rank"))
-    radius = first.groupBy(*by, "query_id").agg(F.max("distance").alias("d"), F.count("*").alias("n")).select(
-        *by, F.col("query_id").alias("q_id"), F.when(F.col("n") == k, F.col("d")).alias("radius")
-    )
+    vec = F.col(vector).cast("array<double>").alias("vec")
+    asked = _packed(queries.select(*by, F.col(query_id).alias("id"), vec), by, block_rows)
+    rows = corpus.select(*by, F.col(corpus_id).alias("id"), vec)
+    blocks = _packed(rows, by, block_rows).withColumnsRenamed({"ids": "c_ids", "matrix": "c_matrix"})
+    sent = _with_blocks(asked.withColumnRenamed("block", "q_block"), by, _block_counts(rows, by, block_rows)).where("n_blocks > 0")
+    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)))
+    pairs = sent.join(blocks, [*by, "block"]).select(*by, "ids", "matrix", "c_ids", "c_matrix")
+    names = schema.names
 
-    shape = cells.groupBy(*by, "cell").agg(F.max(F.array_min("pivots")).alias("far"), F.min(F.array_min("pivots")).alias("near"))
-    per_group = shape.groupBy(*by).agg(F.collect_list(F.struct("cell", "near", "far")).alias("shapes"))  # at most n_pivots entries
-    reach = asked.join(radius, [*by, "q_id"], "left")
-    if by:
-        reach = join_measured(reach, per_group, by)
-    else:
-        reach = reach.withColumn("shapes", per_group.scalar())
-    gaps = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
-    between = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in gaps])
-    open_ended = F.col("radius").isNull()
-    other = F.filter(
-        "shapes",
-        lambda s: (s["cell"] != F.col("cell")) & (open_ended | (_lower_bound(s, between) <= F.col("radius") + SLACK)),
-    )
-    visits = durable(reach.select(*by, "q_id", "q_vec", F.explode(F.transform(other, lambda s: s["cell"])).alias("cell")))
-    second = _match_blocks(visits, cells, k, by, block_rows, exclude_same, schema)
-    return _top(first.unionByName(second), k, by)
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for *group, ids, matrix, c_ids, c_matrix in zip(*(batch[c] for c in batch.columns)):
+                qid, cid = np.asarray(ids), np.asarray(c_ids)
+                qv, cv = (np.frombuffer(m, np.float64).reshape(len(i), -1) for m, i in ((matrix, qid), (c_matrix, cid)))
+                near = closest(qv, qid, cv, cid, k, exclude_same)
+                for name, value in zip(by, group):
+                    near[name] = value
+                yield near[names]
+
+    return _top(pairs.mapInPandas(match, schema), k, by)
+
+
+def approximate_neighbors(
+    queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str, corpus_id: str, vector: str, radius: float,
+    bucket_length: float, tables: int = 8, seed: int = 42,
+) -> DataFrame:
+    """(query_id, neighbor_id, distance, rank) among rows within ``radius`` that share a bucket of a random projection.
+
+    More ``tables`` find more and cost more; the recall on one's own data has to be measured against the exact search.
+    """
+    def ready(df: DataFrame, key: str) -> DataFrame:
+        return df.select(F.col(key).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+
+    hashing = BucketedRandomProjectionLSH(inputCol="v", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed)
+    model = hashing.fit(ready(corpus, corpus_id))
+    met = model.approxSimilarityJoin(ready(queries, query_id), ready(corpus, corpus_id), radius, "distance")
+    return _top(met.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("neighbor_id"), "distance"), k, [])
 
 
 def distance_vote(neighbors: DataFrame, labels: DataFrame, label_id: str, label: str, weighted: bool = True) -> DataFrame:
