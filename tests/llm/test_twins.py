@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from tools.compare import compare, duck
 
-TWINS = ["op6_source_mix", "op7_decontamination", "op10_warc"]
+TWINS = ["op3_quality_rules", "op6_source_mix", "op7_decontamination", "op10_warc"]
 
 
 @pytest.mark.parametrize("name", TWINS)

@@ -102,7 +102,37 @@ def secrets(spark, folder):
     )
 
 
-@query("op3_quality_rules")
+_RULES = quality.Rules()
+_BLANK = "\\x20\\x09-\\x0D"
+_QUALITY_SQL = rf"""
+WITH doc AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+words AS (
+    SELECT *, regexp_extract_all(t, '[^{_BLANK}]+') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^{_BLANK}]')) AS ls FROM doc),
+places AS (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5),
+windows AS (SELECT r, i, array_to_string(list_slice(w, i, i + 4), ' ') AS k FROM places),
+often AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM often) GROUP BY r),
+lines AS (SELECT r, unnest(ls) AS l FROM words),
+told AS (
+    SELECT r, l, len(regexp_extract_all(l, '[^{_BLANK}]+')) AS n, length(regexp_replace(l, '[{_BLANK}]', '', 'g')) AS chars,
+        length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g')) AS symbols, length(l) - length(regexp_replace(l, '{quality.SEPARATOR.pattern}', '', 'g')) AS seps FROM lines),
+passed AS (
+    SELECT r, sum(chars) AS chars FROM told
+    WHERE symbols * {_RULES.words_per_symbol} <= n AND regexp_matches(l, '{quality.SENTENCE_MARK.pattern}')
+        AND NOT (seps >= {_RULES.min_separators} AND n <= seps * {_RULES.words_per_separator}) AND NOT regexp_matches(l, '(?i){quality.BOILERPLATE.pattern}')
+    GROUP BY r),
+figures AS (
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[{_BLANK}]', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(passed.chars, 0) AS BIGINT) AS kept_chars
+    FROM words LEFT JOIN repeated USING (r) LEFT JOIN passed USING (r))
+SELECT *, n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.max_repeat_percent} * n_words AS base_failed,
+    NOT (n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.max_repeat_percent} * n_words) AND 100 * kept_chars >= {_RULES.min_kept_percent} * word_chars AS kept
+FROM figures
+"""
+
+
+@query("op3_quality_rules", _QUALITY_SQL)
 def quality_rules(spark, folder):
     return quality.quality_report(table(spark, folder, "documents"))
 
