@@ -41,9 +41,11 @@ SYMBOL_BITS = 9
 SYMBOL_MASK = (1 << SYMBOL_BITS) - 1
 ORDER_BITS = 3
 #: Symbols counted at a time, entries a task holds, symbols a lane scores.
-SLICE = 1 << 21
-HELD = 1 << 22
+SLICE = 1 << 20
+HELD = 1 << 21
 LANE = 256
+#: Texts a worker scores at a time.
+TEXTS = 512
 
 
 def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +129,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0):
             counts.update(text.as_buffer().to_pybytes().lower().split())  # ASCII only, both
-            if len(counts) >= 500_000:
+            if len(counts) >= 250_000:
                 yield from out()
     yield from out()
 
@@ -168,11 +170,11 @@ class Automaton:
         self.column = np.full(SYMBOLS, len(seen), np.int64)
         self.column[seen] = np.arange(len(seen))
         n = len(ids)
-        counts = np.zeros((n, self.width))
+        counts = np.zeros((n, self.width), np.float32)
         if len(entry_ids):
             counts[place(entry_ids), self.column[entry_symbols]] = entry_counts
         has = counts > 0
-        total, distinct = counts.sum(axis=1), has.sum(axis=1)
+        total, distinct = counts.sum(axis=1, dtype=float), has.sum(axis=1)
         short = np.maximum(orders - 1, 0)
         parent = place((bits & ((1 << (SYMBOL_BITS * short)) - 1)) << ORDER_BITS | short)
         left = SYMBOLS - int(distinct[0])  # symbols below the empty context
@@ -184,7 +186,7 @@ class Automaton:
             """log10 of the symbols' shares and of the escape at contexts with ``mass`` occurrences of ``kinds`` symbols."""
             last = (node == 0) & (left == 0)  # nothing to escape to
             whole = log(np.where(last, mass - DISCOUNT * kinds, mass))
-            return log(counts[node] - DISCOUNT) - whole[:, None], np.where(kinds > 0, log(DISCOUNT * kinds) - whole, 0)[:, None]
+            return log(counts[node].astype(float) - DISCOUNT) - whole[:, None], np.where(kinds > 0, log(DISCOUNT * kinds) - whole, 0)[:, None]
 
         # ``down``: of a symbol after an escape from the context, whose own symbols are excluded from there on.
         down, self.next = np.zeros((n, self.width)), np.zeros((n, self.width), np.int32)
@@ -194,7 +196,7 @@ class Automaton:
             for i in range(0, len(rows) if k else 0, 4096):
                 r = rows[i : i + 4096]
                 p = parent[r]
-                share, escape = shares(p, total[p] - (counts[p] * has[r]).sum(axis=1), distinct[p] - distinct[r])
+                share, escape = shares(p, total[p] - (counts[p] * has[r]).sum(axis=1, dtype=float), distinct[p] - distinct[r])
                 down[r] = np.where(has[p], share, escape + down[p])
                 self.next[r] = self.next[p]
             longer = np.flatnonzero(orders == k + 1)
@@ -296,8 +298,8 @@ def score_texts(docs: DataFrame, held_out: Column, nodes: int = NODES, frequent_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, log = _prepared(name, trie, table)
         for whole in batches:
-            for begin in range(0, whole.num_rows, 2048):
-                batch = whole.slice(begin, 2048)
+            for begin in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(begin, TEXTS)
                 texts = [t.as_buffer().to_pybytes().lower() for t in batch.column(3)]
                 scores = automaton.scores(texts)
                 numbers = batch.column(1).to_pylist()
