@@ -105,7 +105,8 @@ def scan_versions(versions: DataFrame, ledger: str, rule_version: str = RULE_VER
     known = read_ledger(spark, ledger, rule_version).select("digest")
     unseen = written(paths.groupBy("digest").agg(F.min("path").alias("path")).join(known, "digest", "left_anti"), "unseen")
     # One path stands for a content; rows that repeat both are rid of after the scan.
-    blobs = named.join(if_small(unseen), same(named, unseen, "path", "digest"), "left_semi").select("digest", "content")
+    # In a first run nearly all contents are unseen: the join is left to AQE, which sends the few of a later run whole.
+    blobs = named.join(unseen, same(named, unseen, "path", "digest"), "left_semi").select("digest", "content")
     findings = blobs.mapInArrow(_scan, f"digest binary, findings {FINDINGS}").groupBy("digest").agg(F.first("findings").alias("findings"))
     findings.withColumn("rule_version", F.lit(rule_version)).write.mode("append").partitionBy("rule_version").parquet(ledger)
 
