@@ -282,7 +282,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn(own, _text_key(docs["text"]))
 
     def of(which: DataFrame) -> DataFrame:
-        return keyed.join(if_small(which), keyed["doc_id"].eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key)), "left_semi")
+        # Most documents stay: as many keys as rows, so this join is never a broadcast.
+        return keyed.join(which, keyed["doc_id"].eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key)), "left_semi")
 
     whole = of(kept.filter(~F.col(many)))
     if not kept.filter(many).isEmpty():
