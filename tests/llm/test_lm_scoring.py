@@ -126,3 +126,14 @@ def test_no_training_rows_and_empty_table(spark):
     assert rows[1].train_tokens == rows[1].n_known == 0 and rows[1].n_tokens == 2 and rows[1].base_score == 0
     assert math.isclose(rows[1].score, -4 * math.log10(257))
     assert lm.score_texts(df.limit(0), F.lit(False)).count() == 0
+
+
+def test_every_context_counts_whatever_the_automaton_holds(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcd  \né") for _ in range(rng.randint(0, 300))) for _ in range(60)] + [None, "", "abc " * 900]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    model = Brute([lowered(t) for i, t in enumerate(texts) if i % 4])
+    for nodes in (0, 40, 1000):
+        got = {r.doc_id: r.score for r in lm.score_texts(df, F.col("doc_id") % 4 == 0, nodes=nodes).collect()}
+        assert len(got) == len(texts)
+        assert all(math.isclose(got[i], model.score(lowered(t)), rel_tol=1e-9) for i, t in enumerate(texts))

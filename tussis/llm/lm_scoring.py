@@ -1,12 +1,14 @@
 """Code length of texts under prediction by partial matching, beside an add-one word model.
 
 The byte model is a trie of contexts of up to five bytes, learnt from the training rows: every task counts its own byte
-sequences, the counts are added up over all rows, and the contexts seen most often, within a fixed number of nodes, make up
-the trie. A byte is predicted from the longest context in the trie. If it wasn't seen there, the model escapes to the
+sequences, and the counts are added up over all rows; every context seen is kept, so the trie grows with the rows. A byte
+is predicted from the longest context in the trie. If it wasn't seen there, the model escapes to the
 context one byte shorter (every symbol seen gives up half an occurrence to the escape, method D), where symbols of the longer context
 are excluded; below the empty context all symbols left are equally likely. Since the counts
 of all orders come from the same rows, exclusions nest, and each node's share can be worked out beforehand:
-the trie becomes an automaton of log probabilities and transitions, of bounded size, which is sent to the tasks.
+the contexts seen most often become an automaton of log probabilities and transitions, of bounded size, which is sent to
+the tasks. It settles what follows a context of full length that it holds. All other places are counted per text, packed
+by the three nearest symbols of their contexts, and meet the counts of all contexts there.
 
 Word counts have no such bound. Frequent words are looked up in a table of bounded size; the others go through a join.
 """
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tussis.llm.common import whole_text, written
 
 ORDER = 5
-#: Most contexts in the trie, and most words in the broadcast table.
+#: Most contexts in the automaton, and most words in the broadcast table.
 NODES = 1 << 16
 FREQUENT_WORDS = 1 << 17
 #: What every symbol seen in a context gives up for the escape, in occurrences (method D).
@@ -44,8 +46,15 @@ ORDER_BITS = 3
 SLICE = 1 << 20
 HELD = 1 << 21
 LANE = 256
-#: Texts a worker scores at a time.
-TEXTS = 512
+#: Texts a worker scores at a time: their number has as many bits as a key leaves free.
+TEXT_BITS = 9
+TEXTS = 1 << TEXT_BITS
+#: Symbols of a context that name its bucket; counts below that order are sent whole (at most 257 to the third power).
+NEAR = 3
+#: Most buckets, bytes of all texts to a bucket up to there, and to a slice of a bucket's places beyond.
+BUCKETS = 256
+BUCKET_BYTES = 1 << 21
+SLICE_BYTES = 1 << 29
 
 
 def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -207,14 +216,23 @@ class Automaton:
             r = np.arange(i, min(n, i + 4096))
             share, escape = shares(r, total[r], distinct[r])
             down[r] = np.where(has[r], share, escape + down[r])
-        self.score, self.next = down.ravel(), self.next.ravel()
+        self.score, self.next, self.short = down.ravel(), self.next.ravel(), orders < ORDER
+
+    def leave_short(self) -> None:
+        """From now on, contexts below full length score nothing: longer ones may be missing here."""
+        self.score.reshape(-1, self.width)[self.short] = 0
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text, its end included. Texts are scored in lanes side by side; a lane inside a text
+        """log10 probability of each text, its end included."""
+        return self.walk(texts)[0]
+
+    def walk(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of texts, and the distinct places after contexts below full length with their counts, as ``place_keys``
+        has them. Texts are scored in lanes side by side; a lane inside a text
         first reads the symbols before it, which settle its context.
         """
         if not texts:
-            return np.zeros(0)
+            return np.zeros(0), np.zeros((2, 0), np.int64)
         symbols, starts = stream(texts)
         columns = self.column[symbols]
         lengths = np.array([len(t) + 1 for t in texts], np.int64)
@@ -229,16 +247,91 @@ class Automaton:
         for back in range(ORDER, 0, -1):
             state = self.next[state * self.width + columns[start - back]].astype(np.int64)
         active = np.searchsorted(-size, -np.arange(LANE), side="left")  # lanes longer than t
+        left = np.zeros(len(symbols), bool)
         for t in range(int(size.max())):
             m = active[t]
             at = state[:m] * self.width + columns[start[:m] + t]
             total[:m] += self.score[at]
+            left[start[:m] + t] = self.short[state[:m]]
             state[:m] = self.next[at]
-        return np.bincount(text, weights=total, minlength=len(texts))
+        return np.bincount(text, weights=total, minlength=len(texts)), place_keys(symbols, starts, np.flatnonzero(left))
+
+
+def place_keys(symbols: np.ndarray, starts: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Distinct keys as ``gram_keys`` has them, with the text's number below, and how often each occurs."""
+    keys = np.searchsorted(starts, places, side="right") - 1
+    for back in range(ORDER + 1):
+        keys |= symbols[places - back].astype(np.int64) << (SYMBOL_BITS * back + TEXT_BITS)
+    return np.stack(np.unique(keys, return_counts=True))
+
+
+def low_bits(grams: np.ndarray, symbols: int) -> np.ndarray:
+    return grams & ((1 << (SYMBOL_BITS * symbols)) - 1)
+
+
+def packed(grams: np.ndarray, columns: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """``columns`` in pieces, one to a bucket of ``grams``. Bytes of the same weight lie together and are compressed."""
+    mixed = low_bits(grams >> SYMBOL_BITS, NEAR) * 0x9E3779B1 >> 16
+    bucket = (mixed % buckets).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+    for b in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+        part = columns[:, order[ends[b - 1] if b else 0 : ends[b]]]
+        planes = np.ascontiguousarray(part).view(np.uint8).reshape(-1, 8).T.tobytes()
+        yield b, len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
 
+def unpacked(piece: bytes) -> np.ndarray:
+    planes = pa.decompress(piece[8:], int.from_bytes(piece[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.int64).reshape(2, -1)
 
-def learn_bytes(texts: DataFrame, nodes: int = NODES) -> tuple[np.ndarray, ...]:
-    """Contexts and their symbol counts from a frame with one column of texts as bytes; sizes are bounded by ``nodes``."""
+
+def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in the sorted ``keys``, and whether they are there."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+
+
+def gram_scores(asked: np.ndarray, grams: np.ndarray, counts: np.ndarray, low: np.ndarray, low_counts: np.ndarray) -> np.ndarray:
+    """log10 probability of each asked symbol after its context, from the counts of all contexts.
+
+    ``grams`` are at least those that share the ``NEAR`` nearest symbols of a context with one that is asked;
+    ``low`` are all of order ``NEAR - 1``.
+    """
+    score, open_ = np.zeros(len(asked)), np.ones(len(asked), bool)
+    pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for k in range(ORDER + 1):
+        g, n = (low, low_counts) if k < NEAR else (grams, counts)
+        pairs[k] = added([low_bits(g, k + 1)], [n]) if len(g) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    kinds_all = len(pairs[0][0])
+    over_mass, over_kinds = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+    for k in range(ORDER, -1, -1):
+        pair, n = pairs[k]
+        if not len(pair):
+            continue
+        context = pair >> SYMBOL_BITS
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        names, total, kinds = context[first], np.add.reduceat(n, first), np.diff(first, append=len(pair))
+        at, there = found(names, low_bits(asked >> SYMBOL_BITS, k))
+        mass, fresh_kinds = np.where(there, total[at] - over_mass, 1), np.where(there, kinds[at] - over_kinds, 0)
+        place, seen = found(pair, low_bits(asked, k + 1))
+        whole = mass - DISCOUNT * fresh_kinds * (k == 0 and kinds_all == SYMBOLS)  # nothing to escape to
+        hit, miss = open_ & seen, open_ & there & ~seen & (fresh_kinds > 0)
+        score[hit] += np.log10((n[place[hit]] - DISCOUNT) / whole[hit])
+        score[miss] += np.log10(DISCOUNT * fresh_kinds[miss] / whole[miss])
+        open_ &= ~seen
+        if k:  # what the context one symbol shorter holds of the symbols seen here
+            below, below_n = pairs[k - 1]
+            covered = np.add.reduceat(below_n[np.searchsorted(below, low_bits(pair, k))], first)
+            over_mass, over_kinds = np.where(there, covered[at], 0), np.where(there, kinds[at], 0)
+    score[open_] -= np.log10(SYMBOLS - kinds_all) if kinds_all < SYMBOLS else 0
+    return score
+
+
+def learn_bytes(texts: DataFrame, nodes: int = NODES) -> tuple[DataFrame, tuple[np.ndarray, ...]]:
+    """Counts of all symbols after all contexts as a written table, from a frame with one column of texts as bytes, and
+    the contexts seen most often with their symbol counts; the sizes of these are bounded by ``nodes``.
+    """
     grams = written(texts.mapInArrow(count_grams, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     ids = F.array(*[
         (F.shiftleft(F.shiftright(F.col("gram"), SYMBOL_BITS).bitwiseAND(F.lit((1 << (SYMBOL_BITS * k)) - 1)), ORDER_BITS)).bitwiseOR(F.lit(k).cast("bigint"))
@@ -248,7 +341,42 @@ def learn_bytes(texts: DataFrame, nodes: int = NODES) -> tuple[np.ndarray, ...]:
     contexts = written(spread.groupBy("context").agg(F.sum("n").alias("n")), "contexts")
     kept = written(most_frequent(contexts, F.col("n"), nodes).select("context"), "trie")  # at most ``nodes`` rows
     entries = spread.join(F.broadcast(kept), "context").groupBy("context", "symbol").agg(F.sum("n").alias("n")).toArrow()
-    return (kept.toArrow()["context"].to_numpy(), *(entries[c].to_numpy() for c in ("context", "symbol", "n")))
+    return grams, (kept.toArrow()["context"].to_numpy(), *(entries[c].to_numpy() for c in ("context", "symbol", "n")))
+
+
+def left_scores(grams: DataFrame, places: DataFrame, buckets: int, slices: int) -> DataFrame:
+    """``row, gain``: what the places that the automaton left add to the score of their text. A bucket's places are dealt into
+    ``slices``, each of which meets all counts of the bucket.
+    """
+    context = grams.sparkSession.sparkContext
+    lowest = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (SYMBOL_BITS * NEAR)) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    low = context.broadcast((lowest["gram"].to_numpy(), lowest["n"].to_numpy()))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (0, 1)])
+            pieces = list(packed(columns[0], columns, buckets))
+            cells = [(b * slices + s, p) for b, p in pieces for s in range(slices)]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in cells], pa.int32()), pa.array([p for _, p in cells], pa.binary())], ["cell", "piece"])
+
+    def meet(known: pa.Table, wanted: pa.Table) -> pa.Table:
+        _WORKER.clear()
+        if not wanted.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64())], ["row", "gain"])
+        pieces = [unpacked(p) for p in known["piece"].to_pylist()] or [np.zeros((2, 0), np.int64)]
+        keys, counts = np.concatenate(pieces, axis=1)
+        pieces = [unpacked(p) for p in wanted["piece"].to_pylist()]
+        row = np.repeat(wanted["row"].to_numpy(), [p.shape[1] for p in pieces])
+        places, n = np.concatenate(pieces, axis=1)
+        row = row + (places & (TEXTS - 1))
+        asked, which = np.unique(places >> TEXT_BITS, return_inverse=True)
+        gain = gram_scores(asked, keys, counts, *low.value)[which] * n
+        rows, which = np.unique(row, return_inverse=True)
+        return pa.table([pa.array(rows), pa.array(np.bincount(which, weights=gain))], ["row", "gain"])
+
+    known = grams.select("gram", "n").mapInArrow(pack, "cell int, piece binary")
+    parts = known.groupBy("cell").cogroup(places.groupBy("cell")).applyInArrow(meet, "row bigint, gain double")
+    return parts.groupBy("row").agg(F.sum("gain").alias("gain"))
 
 
 def learn_words(texts: DataFrame, most: int = FREQUENT_WORDS) -> tuple[DataFrame, dict[bytes, int], int, int, int]:
@@ -267,13 +395,15 @@ def _prepared(name: str, trie, table) -> tuple[Automaton, dict[bytes, float]]:
     """The automaton and the table of one run, built once per worker."""
     if _WORKER.get("name") != name:
         words = table.value
-        _WORKER.update(name=name, model=(Automaton(*trie.value), dict(zip(words, np.log10(np.array(list(words.values()), float) + 1).tolist()))))
+        automaton = Automaton(*trie.value)
+        automaton.leave_short()
+        _WORKER.update(name=name, model=(automaton, dict(zip(words, np.log10(np.array(list(words.values()), float) + 1).tolist()))))
     return _WORKER["model"]
 
 
-DOC = "row bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, word binary, n bigint"
+DOC = "row bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, word binary, n bigint, cell int, piece binary"
 _NAMES = [c.split()[0] for c in DOC.split(", ")]
-_TYPES = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
+_TYPES = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
 
 
 def score_texts(docs: DataFrame, held_out: Column, nodes: int = NODES, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
@@ -281,7 +411,7 @@ def score_texts(docs: DataFrame, held_out: Column, nodes: int = NODES, frequent_
 
     Rows whose ``held_out`` isn't true are learnt from; all rows are scored. A to Z count as lower case. ``base_score`` is
     that of single words and one end token, add-one smoothed; ``score`` is the log10 probability of the text's bytes
-    and its end. A null text is empty. Repeated rows count as often as they occur. Without any training row all
+    and its end, from all contexts whatever ``nodes``. A null text is empty. Repeated rows count as often as they occur. Without any training row all
     byte symbols are equally likely. An empty table gives no rows; other columns are ignored.
     """
     context = docs.sparkSession.sparkContext
@@ -291,7 +421,10 @@ def score_texts(docs: DataFrame, held_out: Column, nodes: int = NODES, frequent_
     words, frequent, n_words, kinds, n_texts = learn_words(training, frequent_words)
     train_tokens, kinds = n_words + n_texts, kinds + (n_texts > 0)
     spread = float(np.log10(train_tokens + kinds + 1))
-    trie, table = context.broadcast(learn_bytes(training, nodes)), context.broadcast(frequent)
+    grams, trie = learn_bytes(training, nodes)
+    trie, table = context.broadcast(trie), context.broadcast(frequent)
+    size = rows.agg(F.sum(F.octet_length("b"))).first()[0] or 0
+    buckets, slices = min(BUCKETS, 1 + size // BUCKET_BYTES), 1 + size // SLICE_BYTES
     name = uuid.uuid4().hex
     end_score, end_known = float(np.log10(n_texts + 1)), int(n_texts > 0)
 
@@ -301,8 +434,9 @@ def score_texts(docs: DataFrame, held_out: Column, nodes: int = NODES, frequent_
             for begin in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(begin, TEXTS)
                 texts = [t.as_buffer().to_pybytes().lower() for t in batch.column(3)]
-                scores = automaton.scores(texts)
-                numbers = batch.column(1).to_pylist()
+                scores, places = automaton.walk(texts)
+                numbers = batch.column(1).to_pylist()  # follow each other inside a task
+                pieces = list(packed(places[0] >> TEXT_BITS, places, buckets))
                 tokens, hits, base = [], [], []
                 rare_rows, rare_words, rare_n = [], [], []
                 for row, text in zip(numbers, texts):
@@ -320,18 +454,23 @@ def score_texts(docs: DataFrame, held_out: Column, nodes: int = NODES, frequent_
                     tokens.append(total)
                     hits.append(hit)
                     base.append(value - total * spread)
-                yield _batch(batch.column(0), [numbers, batch.column(2), tokens, hits, base, scores, None, None])
+                yield _batch(batch.column(0), [numbers, batch.column(2), tokens, hits, base, scores, None, None, None, None])
                 nobody = pa.nulls(len(rare_rows), batch.column(0).type)
-                yield _batch(nobody, [rare_rows, None, None, None, None, None, rare_words, rare_n])
+                yield _batch(nobody, [rare_rows, None, None, None, None, None, rare_words, rare_n, None, None])
+                cells = [b * slices + numbers[0] // TEXTS % slices for b, _ in pieces]
+                nobody = pa.nulls(len(cells), batch.column(0).type)
+                yield _batch(nobody, [[numbers[0]] * len(cells), None, None, None, None, None, None, None, cells, [p for _, p in pieces]])
 
     numbered = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "held_out", "b")
     mixed = written(numbered.mapInArrow(run, f"doc_id {id_type}, {DOC}"), "scored")
     rare = mixed.filter("word is not null").select("row", "word", "n")
     counted = words.withColumnRenamed("n", "c")
     more = rare.join(counted, "word").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("gain"))
-    return mixed.filter("n_tokens is not null").join(more, "row", "left").select(
+    left = left_scores(grams, mixed.filter("cell is not null").select("cell", "row", "piece"), buckets, slices)
+    return mixed.filter("n_tokens is not null").join(more, "row", "left").join(left, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(train_tokens).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), "score")
+        F.lit(train_tokens).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce(more["gain"], F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce(left["gain"], F.lit(0.0))).alias("score"))
 
 
 def _batch(ids, columns: list) -> pa.RecordBatch:
