@@ -81,3 +81,21 @@ def test_passages_of_over_fifty_words_are_found(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert sd.repeats(df).count() == 0 and sd.remove_repeats(df).count() == 0
+
+
+def test_a_common_chunk_inside_a_passage_does_not_hide_it_from_its_first_holder(spark):
+    rng, rows = random.Random(5), []
+    for k in range(12):
+        p = prose(rng, 52)
+        start, end, words = sd.chunk_spans(p.encode())
+        middle = len(start) // 2
+        common = p.encode()[start[middle] - 40 : end[middle] + 40].decode("utf-8", "ignore")
+        rows.append((k, prose(rng, 60) + " " + common + " " + prose(rng, 60)))
+        rows += [(100 * i + k, prose(rng, 60) + " " + p + " " + prose(rng, 60)) for i in (1, 2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in sd.repeats(df).collect()}
+    assert {i for i in got if 100 <= i < 200} == {i - 100 for i in got if i >= 200} == set(range(100, 112))
+    assert all(got[i].n_runs == 1 and got[i].n_words == got[i + 100].n_words for i in got if 100 <= i < 200)
+    text = {r.doc_id: r.text for r in sd.remove_repeats(df).collect()}
+    assert all(text[k] == dict(rows)[k] for k in range(12))  # the common chunk stays where it is first
+    assert all(0 < len(dict(rows)[100 + k]) - len(text[100 + k]) < len(dict(rows)[200 + k]) - len(text[200 + k]) for k in range(12))

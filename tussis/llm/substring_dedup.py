@@ -128,10 +128,11 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
-    """``doc_id, row, first_id, is_first, start, end, n_words``: every passage that other documents hold too.
+    """``doc_id, row, first_id, start, end, n_words, kept_before``: every passage that other documents hold too.
 
-    ``start`` and ``end`` are bytes. ``first_id`` is the smallest id among the holders of any of its chunks, and
-    ``is_first`` says that this row's id is the one that keeps the passage.
+    ``start`` and ``end`` are bytes. ``first_id`` is the smallest id among the holders of any of its chunks. The
+    minimum is asked of the whole passage, whoever holds its chunks first; ``kept_before`` are the spans of those that
+    a smaller id keeps.
     """
     table = written(chunks(docs), "chunks")
     key = ["d1", "d2"]
@@ -139,9 +140,10 @@ def repeated_runs(docs: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataFr
     repeated = written(repeated.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "first_id"), "repeated-chunks")
     found = table.join(if_small(repeated), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
     found = found.dropDuplicates(["row", "at"]).withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("first_id")))
-    order = Window.partitionBy("row", "is_first").orderBy("at")  # the chunks of one text
-    runs = found.withColumn("run", F.col("at") - F.row_number().over(order)).groupBy("doc_id", "row", "is_first", "run").agg(
-        F.min("first_id").alias("first_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"))
+    order = Window.partitionBy("row").orderBy("at")  # the chunks of one text
+    runs = found.withColumn("run", F.col("at") - F.row_number().over(order)).groupBy("doc_id", "row", "run").agg(
+        F.min("first_id").alias("first_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"),
+        F.collect_list(F.when(~F.col("is_first"), F.struct("start", "end"))).alias("kept_before"))
     return runs.filter((F.col("n_words") >= min_run_words) | (F.col("end") - F.col("start") >= MIN_RUN_BYTES)).drop("run")
 
 
@@ -164,7 +166,7 @@ def remove_repeats(docs: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataF
     """``docs`` without the passages that a document with a smaller id keeps, all columns in place."""
     key, own, spans = fresh(docs, "__cut_key", "__row_key", "__spans")
     keyed = docs.withColumn(own, row_key(docs["doc_id"], docs["text"]))
-    runs = repeated_runs(docs, min_run_words).filter(~F.col("is_first"))
+    runs = repeated_runs(docs, min_run_words).select("row", F.inline("kept_before"))
     cut = runs.groupBy(F.col("row").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(spans))  # the runs of one text
     cut = written(cut, "cuts")
 
