@@ -52,3 +52,25 @@ def test_rows_and_empty_table(spark):
     df = spark.createDataFrame(ROWS, "doc_id bigint, text string, n_words string")
     assert quality.quality_report(df).count() == len(ROWS)
     assert quality.quality_report(df.limit(0)).count() == 0 and quality.clean(df.limit(0)).count() == 0
+
+
+def test_clean_documents_of_other_scripts_and_long_lines_stay(spark):
+    prose, more = (" ".join(f"Sentence {i} tells something new about item{i}." for i in range(a, a + 40)) for a in (0, 40))
+    footer = "All rights reserved. Read our privacy policy, the terms of use and the cookie policy before you go on."
+    marks = {"km": "ប្រយោគទី{i} ល្អ។", "my": "စာကြောင်း{i} ကောင်း။", "bo": "ཚིག{i} ཡག་པོ།", "th": "ประโยคภาษาไทยที่{i} ดีมาก", "lo": "ປະໂຫຍກພາສາລາວ{i} ດີຫຼາຍ"}
+    texts = {name: "\n".join(t.format(i=i) for i in range(12)) for name, t in marks.items()}
+    texts |= {"mention": prose + " Our privacy policy is short. " + more, "footer": prose + "\n" + footer, "only footer": "\n".join([footer] + [f"Sign in to shop {i}." for i in range(9)])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    rows = {r.doc_id: r.text for r in quality.clean(df).collect()}
+    assert set(rows) == {*texts} - {"only footer"}
+    assert rows["footer"] == prose and all(rows[n] == texts[n] for n in [*marks, "mention"])
+
+
+def test_boilerplate_pattern_says_the_same():
+    word, phrase = "word ", "terms of use cookies "
+    for before in (0, 14, 15, 16):
+        for between in (0, 15, 16):
+            for after in (0, 15, 16):
+                line = word * before + phrase + word * between + "Back to top. " + word * after
+                assert quality.is_boilerplate(line) == bool(quality.BOILERPLATE.search(line)), (before, between, after)
+    assert not quality.is_boilerplate(word * 9) and quality.is_boilerplate("We use cookies to improve our site.")

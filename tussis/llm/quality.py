@@ -36,15 +36,41 @@ class Rules:
     min_kept_percent: int = 50
 
 
-#: Marks that show a sentence: of Latin, Greek, CJK, Arabic, Devanagari, Armenian and Ethiopic scripts.
-SENTENCE_MARK = re.compile("[.!?…。！？．؟۔।॥։።፧]")
+#: Marks that show a sentence: of Latin, Greek, CJK, Arabic, Devanagari, Armenian, Ethiopic, Khmer, Burmese and Tibetan
+#: scripts. Thai and Lao use none: there, a stretch of letters that is longer than a label shows it.
+SENTENCE_MARK = re.compile("[.!?…。！？．؟۔।॥։።፧\u17d4\u17d5\u104a\u104b\u0f0d\u0f0e]|[\u0e01-\u0e5b\u0e81-\u0edf]{10}")
 SEPARATOR = re.compile("[|»›·•→]")
-BOILERPLATE = re.compile(
+PHRASES = (
     r"all rights reserved|cookie policy|accept (?:all )?cookies|uses? cookies|privacy policy|terms (?:of|and) (?:use|service|conditions)"
     r"|enable javascript|javascript is (?:disabled|required)|lorem ipsum|(?:sign|log) in (?:or|to)|subscribe to (?:our|the) newsletter"
-    r"|skip to (?:main )?content|click here to|back to top",
-    re.IGNORECASE,
+    r"|skip to (?:main )?content|click here to|back to top"
 )
+#: Most words before, between and after the phrases of a line that is boilerplate. Longer lines are prose that mentions one.
+PHRASE_GAP = 15
+ANY_PHRASE = re.compile(PHRASES, re.IGNORECASE)
+#: Each phrase, also those that begin inside another.
+PHRASE = re.compile(f"(?=({PHRASES}))", re.IGNORECASE)
+_GAP = rf"[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{0,{PHRASE_GAP - 1}}}[^\x20\x09-\x0D]*[\x20\x09-\x0D]*"
+#: The rule of ``is_boilerplate`` as one pattern, for engines that don't backtrack.
+BOILERPLATE = re.compile(f"^{_GAP}(?:(?:{PHRASES}){_GAP})+$", re.IGNORECASE)
+
+
+def is_boilerplate(line: str) -> bool:
+    """The line holds a phrase, and nowhere more than ``PHRASE_GAP`` words on end without one."""
+
+    def fits(gap: str) -> bool:
+        return len(gap.encode("utf-8", "replace").split()) <= PHRASE_GAP
+
+    if not ANY_PHRASE.search(line):
+        return False
+    ends = [0]
+    for phrase in PHRASE.finditer(line):
+        begin, end = phrase.span(1)
+        if fits(line[next(e for e in reversed(ends) if e <= begin) : begin]):
+            ends.append(end)
+        elif ends[-1] <= begin:
+            return False
+    return len(ends) > 1 and fits(line[ends[-1] :])
 
 
 def line_passes(line: str, n_words: int, rules: Rules) -> bool:
@@ -55,7 +81,7 @@ def line_passes(line: str, n_words: int, rules: Rules) -> bool:
     separators = len(SEPARATOR.findall(line))
     if separators >= rules.min_separators and n_words <= separators * rules.words_per_separator:
         return False
-    return not BOILERPLATE.search(line)
+    return not is_boilerplate(line)
 
 
 def repeat_words(words: list[bytes]) -> int:
