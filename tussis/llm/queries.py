@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tussis.llm import decontamination, lm_scoring, mixing, quality, secret_scans, sharding, simhash, substring_dedup, token_counts, warc
+from tussis.llm import collocations, decontamination, lm_scoring, mixing, quality, secret_scans, sharding, simhash, substring_dedup, token_counts, warc
 from tussis.plans.registry import query, table
 from tussis.session import scratch_path
 
@@ -159,3 +159,31 @@ def warc_round_trip(spark, folder):
 @query("op4_lm_scoring")
 def language_model_scores(spark, folder):
     return lm_scoring.score_texts(table(spark, folder, "documents"), lm_scoring.every_seventh(F.col("doc_id")))
+
+
+_PHRASE_SQL = """
+WITH piece AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p
+    FROM documents),
+words AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM piece),
+size AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+spots AS (SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase FROM starts, (VALUES (1), (2), (3), (4), (5)) AS t(m) WHERE i + m - 1 <= len(w)),
+often AS (SELECT lang, m, phrase, count(*) AS f FROM spots GROUP BY lang, m, phrase HAVING count(*) >= 100),
+cuts AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM often WHERE m > 1),
+parts AS (SELECT lang, m, phrase, a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:m], ' ') AS rest FROM cuts),
+told AS (
+    SELECT parts.lang, parts.m, parts.phrase, a, k, x.f AS l, y.f AS r, n, CAST(1000::HUGEINT * a * n // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+    FROM parts JOIN often x ON x.lang = parts.lang AND x.phrase = first JOIN often y ON y.lang = parts.lang AND y.phrase = rest JOIN size ON size.lang = parts.lang),
+lowest AS (SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+free AS (
+    SELECT * FROM lowest c WHERE NOT EXISTS (
+        SELECT 1 FROM often o WHERE o.lang = c.lang AND o.m > c.m AND 100 * o.f >= 100 * c.a AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM free QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
+@query("op11_collocations", _PHRASE_SQL)
+def phrase_collocations(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))
