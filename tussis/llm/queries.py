@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tussis.llm import collocations, decontamination, lm_scoring, mixing, quality, secret_scans, sharding, simhash, substring_dedup, token_counts, warc
+from tussis.llm import collocations, decontamination, hard_negatives, lm_scoring, mixing, quality, secret_scans, sharding, simhash, substring_dedup, token_counts, warc
 from tussis.plans.registry import query, table
 from tussis.session import scratch_path
 
@@ -187,3 +187,23 @@ FROM free QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DE
 @query("op11_collocations", _PHRASE_SQL)
 def phrase_collocations(spark, folder):
     return collocations.collocations(table(spark, folder, "documents"))
+
+
+_NEGATIVE_SQL = """
+WITH ok AS (
+    SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256.0::DOUBLE * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+    SELECT a.r, a.vec_id AS anchor_id, b.r AS other, b.vec_id AS other_id, a.label = b.label AS alike, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM ok a JOIN ok b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+positives AS (SELECT * FROM pairs WHERE alike QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.other_id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.r = p.r AND NOT n.alike AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.r, p.other ORDER BY n.score DESC, n.other_id) QUALIFY row_number() OVER w <= 3
+"""
+
+
+@query("op12_hard_negatives", _NEGATIVE_SQL)
+def mined_negatives(spark, folder):
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"))
