@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from tools.compare import compare, duck
 
-TWINS = ["op3_quality_rules", "op6_source_mix", "op7_decontamination", "op10_warc"]
+TWINS = ["op3_quality_rules", "op6_source_mix", "op7_decontamination", "op10_warc", "op11_collocations", "op12_hard_negatives"]
 
 
 @pytest.mark.parametrize("name", TWINS)
@@ -15,4 +15,4 @@ def test_equal_to_sql(spark, folder, name):
 
 def test_all_operators_are_registered():
     numbers = {int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")}
-    assert numbers == set(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == set(range(1, 14)) and "pipeline" in entry.queries()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tussis.llm import collocations, decontamination, hard_negatives, lm_scoring, mixing, quality, secret_scans, sharding, simhash, substring_dedup, token_counts, warc
+from tussis.llm import collocations, decontamination, hard_negatives, lm_scoring, mixing, quality, secret_scans, sharding, simhash, substring_dedup, token_counts, toxicity, warc
 from tussis.plans.registry import query, table
 from tussis.session import scratch_path
 
@@ -207,3 +207,9 @@ WINDOW w AS (PARTITION BY p.r, p.other ORDER BY n.score DESC, n.other_id) QUALIF
 @query("op12_hard_negatives", _NEGATIVE_SQL)
 def mined_negatives(spark, folder):
     return hard_negatives.hard_negatives(table(spark, folder, "embeddings"))
+
+
+@query("op13_toxicity")
+def toxicity_scores(spark, folder):
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, folder, "labels")))
