@@ -11,23 +11,19 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tussis.functions.scoring import model_rows, predicted, sigmoid, soft_vote
-from tussis.operators.balance import balanced, class_weights, stratified_folds, stratified_split
+from tussis.operators import boosting, trees
+from tussis.operators.balance import balanced, stratified_folds, stratified_split
 from tussis.operators.evaluate import binary_metrics, roc_auc
 from tussis.operators.neighbors import distance_vote, nearest_neighbors
 from tussis.session import durable
@@ -39,8 +35,8 @@ FEATURES, TARGET, WEIGHT = "features", "target", "weight"
 class ModelSizes:
     """Ensemble sizes and iteration limits; smaller values make a quick run.
 
-    The published run has no depth limit for bagging and an exact kernel for the support vectors: the deepest tree of
-    Spark ML, and the numbers of components and iterations of the approximation, stand in for them.
+    The published run has no depth limit for bagging and an exact kernel for the support vectors: a depth that small
+    nodes rarely reach, and the numbers of components and iterations of the approximation, stand in for them.
     """
 
     # Sizes, depths, rates and penalties of the published training run.
@@ -54,6 +50,7 @@ class ModelSizes:
     adaboost_rate: float = 0.15
     bagging_trees: int = 60
     tree_depth: int = 8
+    min_split: int = 3
     logistic_iterations: int = 1500
     logistic_c: float = 1.5
     sgd_alpha: float = 1e-4
@@ -108,34 +105,67 @@ def _columns(weighted: bool) -> dict:
     return base | ({"weightCol": WEIGHT} if weighted else {})
 
 
-def random_forest(s: ModelSizes) -> Callable[[DataFrame], Fitted]:
-    return _fit_stage("random_forest", RandomForestClassifier, numTrees=s.forest_trees, maxDepth=s.forest_depth, seed=s.seed, **_columns(True))
+class Joint:
+    """A family that is fitted for many training sets at once; called with one set, it fits that one."""
 
+    def __init__(self, fit: Callable[[trees.Training], Mapping[int, Fitted]]):
+        self.fit = fit
 
-def extra_trees_approx(s: ModelSizes) -> Callable[[DataFrame], Fitted]:
-    """Extremely randomised trees have no built-in form: all rows, few split candidates."""
-    return _fit_stage(
-        "extra_trees_approx", RandomForestClassifier, numTrees=s.forest_trees, maxDepth=s.extra_depth, bootstrap=False,
-        subsamplingRate=1.0, maxBins=8, featureSubsetStrategy="sqrt", seed=s.seed, **_columns(True),
-    )
+    def __call__(self, train: DataFrame) -> Fitted:
+        return self.fit(trees.training([train], FEATURES, TARGET))[0]
 
 
-def gradient_boosting(s: ModelSizes) -> Callable[[DataFrame], Fitted]:
-    return _fit_stage(
-        "gradient_boosting", GBTClassifier, maxIter=s.boosting_rounds, maxDepth=s.boosting_depth, stepSize=s.boosting_rate,
-        seed=s.seed, **_columns(False),
-    )
+def _forest(name: str, spec: trees.TreeSpec) -> Joint:
+    """Grown trees as arrays; the probability is the mean of the leaves' shares."""
 
+    def fit(data: trees.Training) -> dict[int, Fitted]:
+        grown = trees.grow(data, spec)
+        return {
+            part: Fitted(name, "trees", numbers={
+                "forest": trees.flat_forest(own, data.weights(part, spec.weighted)), "importance": trees.importance(own, data.width).tolist(), "base": None})
+            for part, own in grown.items()}
 
-def bagging(s: ModelSizes) -> Callable[[DataFrame], Fitted]:
-    return _fit_stage(
-        "bagging", RandomForestClassifier, numTrees=s.bagging_trees, maxDepth=s.bagging_depth, featureSubsetStrategy="all",
-        seed=s.seed, **_columns(False),
-    )
+    return Joint(fit)
+
+
+def random_forest(s: ModelSizes) -> Joint:
+    return _forest("random_forest", trees.TreeSpec(s.forest_trees, s.forest_depth, -1, bootstrap=True, min_split=s.min_split, seed=s.seed))
+
+
+def extra_trees(s: ModelSizes) -> Joint:
+    """Extremely randomised trees: all rows, one random cut point per drawn feature."""
+    return _forest("extra_trees", trees.TreeSpec(s.forest_trees, s.extra_depth, -1, random_cuts=True, min_split=s.min_split, seed=s.seed))
+
+
+def bagging(s: ModelSizes) -> Joint:
+    return _forest("bagging", trees.TreeSpec(s.bagging_trees, s.bagging_depth, bootstrap=True, weighted=False, seed=s.seed))
 
 
-def decision_tree(s: ModelSizes) -> Callable[[DataFrame], Fitted]:
-    return _fit_stage("decision_tree", DecisionTreeClassifier, maxDepth=s.tree_depth, seed=s.seed, **_columns(True))
+def decision_tree(s: ModelSizes) -> Joint:
+    return _forest("decision_tree", trees.TreeSpec(1, s.tree_depth, seed=s.seed))
+
+
+def gradient_boosting(s: ModelSizes) -> Joint:
+    def fit(data: trees.Training) -> dict[int, Fitted]:
+        found = boosting.gradient_trees(data, s.boosting_rounds, s.boosting_depth, s.boosting_rate)
+        return {part: Fitted("gradient_boosting", "trees", numbers=numbers) for part, numbers in found.items()}
+
+    return Joint(fit)
+
+
+def _score_trees(model: Fitted, df: DataFrame, out: str) -> DataFrame:
+    forest, base = boosting.as_arrays(model.numbers["forest"]), model.numbers["base"]
+
+    @F.pandas_udf(T.DoubleType())
+    def told(v: pd.Series) -> pd.Series:
+        out = np.zeros(len(v))
+        for at in range(0, len(v), 2048):
+            x = np.stack([np.asarray(row, dtype=np.float64) for row in v[at : at + 2048]])
+            values = trees.leaves(forest, x)
+            out[at : at + 2048] = values.mean(axis=1) if base is None else 1 / (1 + np.exp(-(base + values.sum(axis=1))))
+        return pd.Series(out)
+
+    return df.withColumn(out, told(vector_to_array(FEATURES)))
 
 
 def logistic(s: ModelSizes) -> Callable[[DataFrame], Fitted]:
@@ -154,55 +184,31 @@ def sgd(s: ModelSizes) -> Callable[[DataFrame], Fitted]:
     )
 
 
-def adaboost(s: ModelSizes) -> Callable[[DataFrame], Fitted]:
+def adaboost(s: ModelSizes) -> Joint:
     """Boosted stumps with discrete weights (SAMME).
 
-    A fitted stump is kept as four numbers, so scoring is one expression over the vector, whatever the rounds. Row
-    weights follow from the stumps so far: each round writes and holds one table of them and lets the last one go.
+    A fitted stump is kept as numbers, so scoring is one expression over the vector, whatever the rounds.
     """
 
-    def fit(train: DataFrame) -> Fitted:
-        stumps: list[dict] = []
-        state = train.select(FEATURES, TARGET, F.lit(1.0).alias("w")).persist()
-        for _ in range(s.adaboost_rounds):
-            tree = DecisionTreeClassifier(maxDepth=1, seed=s.seed, featuresCol=FEATURES, labelCol=TARGET, weightCol="w").fit(state)
-            stump = _stump_of(tree)
-            wrong = _stump_says(stump, vector_to_array(FEATURES)) != F.col(TARGET)
-            whole, missed = state.agg(F.sum("w"), F.sum(F.when(wrong, F.col("w")).otherwise(0.0))).first()
-            error = missed / whole
-            if error <= 0.0 or error >= 0.5:
-                if error <= 0.0 or not stumps:
-                    stumps.append(stump | {"alpha": 1.0})
-                break
-            alpha = s.adaboost_rate * math.log((1 - error) / error)
-            stumps.append(stump | {"alpha": alpha})
-            last = state
-            state = durable(state.withColumn("w", F.when(wrong, F.col("w") * math.exp(alpha)).otherwise(F.col("w")))).persist()
-            last.unpersist()
-        state.unpersist()
-        return Fitted("adaboost", "adaboost", numbers={"stumps": stumps})
-
-    return fit
+    def fit(data: trees.Training) -> dict[int, Fitted]:
+        found = boosting.adaboost(data, s.adaboost_rounds, s.adaboost_rate)
+        return {part: Fitted("adaboost", "adaboost", numbers={"stumps": stumps}) for part, stumps in found.items()}
 
+    return Joint(fit)
 
-def _stump_of(tree) -> dict:
-    """Feature, threshold and the classes on either side of a fitted tree of depth 1."""
-    node = tree._call_java("rootNode")
-    if node.subtreeDepth() == 0:
-        return {"feature": 0, "threshold": 0.0, "low": node.prediction(), "high": node.prediction()}
-    split = node.split()
-    return {"feature": split.featureIndex(), "threshold": split.threshold(), "low": node.leftChild().prediction(), "high": node.rightChild().prediction()}
 
+def _score_adaboost(model: Fitted, df: DataFrame, out: str) -> DataFrame:
+    stumps = model.numbers["stumps"]
 
-def _stump_says(stump: Mapping, x: Column) -> Column:
-    return F.when(F.get(x, F.lit(stump["feature"])) <= stump["threshold"], stump["low"]).otherwise(stump["high"])
-
+    @F.pandas_udf(T.DoubleType())
+    def told(v: pd.Series) -> pd.Series:
+        x, margin = np.stack([np.asarray(row, dtype=np.float64) for row in v]), np.zeros(len(v))
+        for t in stumps:
+            says = np.where(x[:, t["feature"]] <= t["threshold"], t["low"], t["high"])
+            margin += np.where(says == 1, t["alpha"], -t["alpha"])
+        return pd.Series(1 / (1 + np.exp(-margin / sum(t["alpha"] for t in stumps))))
 
-def _score_adaboost(model: Fitted, df: DataFrame, out: str) -> DataFrame:
-    x, stumps = vector_to_array(FEATURES), model.numbers["stumps"]
-    votes = [F.when(_stump_says(t, F.col("__x")) == 1.0, t["alpha"]).otherwise(-t["alpha"]) for t in stumps]
-    margin = reduce(lambda a, b: a + b, votes) / sum(t["alpha"] for t in stumps)
-    return df.withColumn("__x", x).select(*df.columns, sigmoid(margin).alias(out))
+    return df.withColumn(out, told(vector_to_array(FEATURES)))
 
 
 def random_fourier(vector: Column, width: int, components: int, gamma: float, seed: int) -> Column:
@@ -267,13 +273,18 @@ def _score_knn(model: Fitted, df: DataFrame, out: str) -> DataFrame:
     return df.join(votes, key, "left")
 
 
-def voting(members: Sequence[Callable[[DataFrame], Fitted]]) -> Callable[[DataFrame], Fitted]:
+class Voting:
     """Mean of the members' probabilities, computed in one pass over the rows."""
 
-    def fit(train: DataFrame) -> Fitted:
-        return Fitted("voting_ensemble", "voting", members=[m(train) for m in members])
+    def __init__(self, members: Sequence[Callable[[DataFrame], Fitted]]):
+        self.members = list(members)
 
-    return fit
+    def __call__(self, train: DataFrame) -> Fitted:
+        return self.of([member(train) for member in self.members])
+
+    @staticmethod
+    def of(fitted: Sequence[Fitted]) -> Fitted:
+        return Fitted("voting_ensemble", "voting", members=list(fitted))
 
 
 def _score_voting(model: Fitted, df: DataFrame, out: str) -> DataFrame:
@@ -284,24 +295,12 @@ def _score_voting(model: Fitted, df: DataFrame, out: str) -> DataFrame:
     return scored.select(*df.columns, soft_vote([F.col(n) for n in names]).alias(out))
 
 
-SCORE_BY_FAMILY = {"stage": _score_stage, "adaboost": _score_adaboost, "svc": _score_svc, "knn": _score_knn, "voting": _score_voting}
-
-
-def _once(fit: Callable[[DataFrame], Fitted]) -> Callable[[DataFrame], Fitted]:
-    """Fit again only for another frame than the last time."""
-    last: dict = {}
-
-    def run(train: DataFrame) -> Fitted:
-        if last.get("train") is not train:
-            last.update(train=train, model=fit(train))
-        return last["model"]
-
-    return run
+SCORE_BY_FAMILY = {"stage": _score_stage, "trees": _score_trees, "adaboost": _score_adaboost, "svc": _score_svc, "knn": _score_knn, "voting": _score_voting}
 
 
 def model_families(s: ModelSizes = ModelSizes()) -> dict[str, Callable[[DataFrame], Fitted]]:
     """Name to fitting function, in training order."""
-    members = [_once(f) for f in (extra_trees_approx(s), random_forest(s), gradient_boosting(s), svc(s), logistic(s))]
+    members = [extra_trees(s), random_forest(s), gradient_boosting(s), svc(s), logistic(s)]
     return {
         "extra_trees": members[0],
         "random_forest": members[1],
@@ -313,7 +312,7 @@ def model_families(s: ModelSizes = ModelSizes()) -> dict[str, Callable[[DataFram
         "knn": knn(s),
         "decision_tree": decision_tree(s),
         "sgd": sgd(s),
-        "voting_ensemble": voting(members),
+        "voting_ensemble": Voting(members),
     }
 
 
@@ -356,6 +355,12 @@ def _moments(df: DataFrame, vector: Column) -> tuple[int, np.ndarray, np.ndarray
     return n, row["mean"].toArray(), np.where(variance < 1e-24, 0.0, variance)
 
 
+#: Training rows a task is worth; solvers that read the rows many times are slow on many small tasks.
+ROWS_PER_TASK = 20_000
+#: Parts that are prepared, fitted or scored at the same time.
+THREADS = 6
+
+
 @dataclass(frozen=True)
 class Part:
     """Training rows ready to fit, held-out rows on the same scale, and that scale."""
@@ -380,17 +385,58 @@ def ready_part(rows: DataFrame, held_out: Column, key: str, target: str, vector:
     scaled = scaling.apply(train.select(key, target, vector), vector)
     full = balanced(scaled, key, target, vector, per_class=per_class, seed=seed)
     row_key = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("s"), F.xxhash64(vector).cast("string")))
-    full = full.select(row_key.alias("row_key"), F.col(target).cast("double").alias(TARGET), array_to_vector(vector).alias(FEATURES))
-    weighted = class_weights(durable(full), TARGET, WEIGHT)
+    full = durable(full.select(row_key.alias("row_key"), F.col(target).cast("double").alias(TARGET), array_to_vector(vector).alias(FEATURES)))
+    sizes = {r[TARGET]: r["count"] for r in full.groupBy(TARGET).count().collect()}  # a row per class
+    weight = reduce(lambda w, c: w.when(F.col(TARGET) == c, sum(sizes.values()) / (len(sizes) * sizes[c])), sizes, F.when(F.lit(False), 0.0))
+    weighted = full.withColumn(WEIGHT, weight).coalesce(max(1, sum(sizes.values()) // ROWS_PER_TASK))
     ready = as_features(scaling.apply(test, vector), key, vector).select("row_key", F.col(target).cast("double").alias(TARGET), FEATURES)
     return Part(weighted, ready, scaling)
 
 
-def metrics_of(model: Fitted, rows: DataFrame) -> dict:
-    """Accuracy, precision, recall, F1 and AUC on held-out rows."""
-    scored = durable(model.score(rows, "p").select(TARGET, "p", predicted(F.col("p")).alias("prediction")))
-    m = binary_metrics(scored, TARGET, "prediction").first().asDict()
-    return m | {"roc_auc": roc_auc(scored, TARGET, "p").first()["auc"]}
+def told_by(model: Fitted, rows: DataFrame) -> DataFrame:
+    """(target, probability, verdict) of held-out rows."""
+    return model.score(rows, "p").select(TARGET, "p", predicted(F.col("p")).alias("prediction"))
+
+
+def metrics_of(scored: DataFrame, by: Sequence[str]) -> list[dict]:
+    """Accuracy, precision, recall, F1 and AUC of each group of scored rows, all groups at once."""
+    found = binary_metrics(scored, TARGET, "prediction", by).join(roc_auc(scored, TARGET, "p", by).select(*by, "auc"), list(by), "left")
+    return [r.asDict() | {"roc_auc": r["auc"]} for r in found.collect()]
+
+
+def _each(work: Callable, items: Sequence) -> list:
+    """``work`` of every item, a few at a time; Spark runs their jobs side by side."""
+    with ThreadPool(THREADS) as pool:
+        return pool.map(work, items, chunksize=1)
+
+
+def fit_parts(families: Mapping[str, Callable[[DataFrame], Fitted]], parts: Sequence[Part], errors: dict[str, str]) -> dict[str, list[Fitted]]:
+    """Every family fitted on every part: tree families for all parts at once, others part by part side by side.
+
+    An ensemble takes over its members' fits. A family that fails is named in ``errors`` and has no fits.
+    """
+    data = trees.training([p.train for p in parts], FEATURES, TARGET) if any(isinstance(f, Joint) for f in families.values()) else None
+    names = {id(f): name for name, f in families.items()}
+    fitted: dict[str, list[Fitted]] = {}
+
+    def fit(name):
+        family = families[name]
+        try:
+            members = [names.get(id(m)) for m in family.members] if isinstance(family, Voting) else [None]
+            if all(m in fitted for m in members):
+                fitted[name] = [Voting.of([fitted[m][at] for m in members]) for at in range(len(parts))]
+            elif isinstance(family, Joint):
+                found = family.fit(data)
+                fitted[name] = [found[at] for at in range(len(parts))]
+            else:
+                fitted[name] = _each(lambda part: family(part.train), parts)
+        except Exception as exc:  # one failing family must not lose the others
+            errors[name] = str(exc)
+
+    ensembles = [name for name, f in families.items() if isinstance(f, Voting)]
+    _each(fit, [name for name in families if name not in ensembles])
+    _each(fit, ensembles)
+    return fitted
 
 
 REPORT_SCHEMA = """model STRING, path STRING, accuracy DOUBLE, test_accuracy DOUBLE, cv_accuracy DOUBLE, f1_score DOUBLE,
@@ -403,7 +449,19 @@ def cross_validate(
 ) -> list[float]:
     """Held-out accuracy per fold; scaling and balancing are redone inside each."""
     parts = fold_parts(rows, key, target, vector, folds, per_class, seed, unscaled, order_by)
-    return [metrics_of(fit(p.train), p.test)["accuracy"] for p in parts]
+    errors: dict[str, str] = {}
+    fitted = fit_parts({"model": fit}, parts, errors)
+    if errors:
+        raise ValueError(errors["model"])
+    scored = _scored(fitted["model"], parts, "model")
+    found = {m["part"]: m["accuracy"] for m in metrics_of(scored, ["part"])}
+    return [found[at] for at in range(folds)]
+
+
+def _scored(fitted: Sequence[Fitted], parts: Sequence[Part], name: str) -> DataFrame:
+    """Held-out rows of all parts as one model family sees them, written once."""
+    told = [told_by(model, part.test).select(F.lit(name).alias("model"), F.lit(at).alias("part"), "*") for at, (model, part) in enumerate(zip(fitted, parts))]
+    return durable(reduce(DataFrame.unionAll, told))
 
 
 def fold_parts(
@@ -411,7 +469,7 @@ def fold_parts(
     order_by: list[str] | None = None,
 ) -> list[Part]:
     numbered = durable(stratified_folds(rows.select(key, target, vector), key, target, folds, seed, order_by))
-    return [ready_part(numbered, F.col("fold") == f, key, target, vector, per_class, seed, unscaled) for f in range(folds)]
+    return _each(lambda f: ready_part(numbered, F.col("fold") == f, key, target, vector, per_class, seed, unscaled), range(folds))
 
 
 def train_and_evaluate(
@@ -429,32 +487,46 @@ def train_and_evaluate(
 ) -> DataFrame:
     """Leaderboard of all families; a family that fails has no accuracy and an error text.
 
-    Split and folds come first and are prepared once; all families are fitted on one part before the next, so that the
-    ensemble takes over its members' fits. With a ``model_folder`` every trained model is stored there.
+    Split and folds come first and are prepared once. Tree families grow on all of them at once, the others side by
+    side. All scored rows meet in one table, from which all metrics come. With a ``model_folder`` the models of the
+    hold-out's training rows are stored there.
     """
-    split = durable(stratified_split(rows.select(key, target, vector), key, target, seed=seed))
-    hold = ready_part(split, F.col("is_test"), key, target, vector, per_class, seed, unscaled)
-    parts = fold_parts(rows, key, target, vector, folds, per_class, seed, unscaled) if folds else []
-    found: dict[str, list[dict]] = {name: [] for name in families}
-    paths, errors = dict.fromkeys(families), {}
-    for at, part in enumerate([hold, *parts]):
-        for name, fit in families.items():
-            if name in errors:
-                continue
-            try:
-                model = fit(part.train)
-                found[name].append(metrics_of(model, part.test))
-                if at == 0 and model_folder:
-                    paths[name] = f"{model_folder.rstrip('/')}/{name}"
-                    save_fitted(model, paths[name], part.scaling)
-            except Exception as exc:  # one failing family must not lose the others
-                errors[name] = str(exc)
+    rows = durable(rows.select(key, target, vector))
+
+    def hold_out():
+        return [ready_part(durable(stratified_split(rows, key, target, seed=seed)), F.col("is_test"), key, target, vector, per_class, seed, unscaled)]
+
+    def folded():
+        return fold_parts(rows, key, target, vector, folds, per_class, seed, unscaled) if folds else []
+
+    (hold,), others = _each(lambda prepare: prepare(), [hold_out, folded])
+    parts = [hold, *others]
+    errors: dict[str, str] = {}
+    fitted = fit_parts(families, parts, errors)
+    paths: dict[str, str | None] = dict.fromkeys(families)
+
+    def score(name):
+        try:
+            scored = _scored(fitted[name], parts, name)
+            if model_folder:
+                paths[name] = f"{model_folder.rstrip('/')}/{name}"
+                save_fitted(fitted[name][0], paths[name], hold.scaling)
+            return scored
+        except Exception as exc:  # as above
+            errors[name] = str(exc)
+            return None
+
+    scored = [table for table in _each(score, list(fitted)) if table is not None]
+    found: dict[tuple[str, int], dict] = {}
+    if scored:
+        found = {(m["model"], m["part"]): m for m in metrics_of(reduce(DataFrame.unionAll, scored), ["model", "part"])}
     report = []
-    for name, (test, *folded) in ((n, found[n] if n not in errors else [None]) for n in families):
-        if test is None:
-            report.append((name, None, *[None] * 7, errors[name]))
+    for name in families:
+        if name in errors or (name, 0) not in found:
+            report.append((name, None, *[None] * 7, errors.get(name, "no held-out rows")))
             continue
-        cv = float(np.mean([m["accuracy"] for m in folded])) if folded else None
+        test, checks = found[name, 0], [found[name, at] for at in range(1, len(parts)) if (name, at) in found]
+        cv = float(np.mean([m["accuracy"] for m in checks])) if checks else None
         blended = round(test["accuracy"] * 0.5 + cv * 0.5, 4) if cv is not None else round(test["accuracy"], 4)
         numbers = [blended, test["accuracy"], cv, test["f1_score"], test["recall"], test["precision"], test["roc_auc"]]
         report.append((name, paths[name], *[None if v is None else round(float(v), 4) for v in numbers], None))
@@ -516,7 +588,7 @@ def compare_fitted(fitted: Sequence[Fitted], df: DataFrame, keep: Sequence[str],
     return scored.select(*keep, F.inline(model_rows(probabilities, accuracies)))
 
 
-def feature_importance(spark: SparkSession, model, names: Sequence[str]) -> DataFrame:
-    """(feature, importance) of a tree model, one row per feature."""
-    values = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]
+def feature_importance(spark: SparkSession, model: Fitted, names: Sequence[str]) -> DataFrame:
+    """(feature, importance) of a forest or tree, one row per feature."""
+    values = list(zip(names, model.numbers["importance"]))
     return spark.createDataFrame(values, "feature STRING, importance DOUBLE")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tussis.functions import rules
 from tussis.functions.clinical_terms import DEFAULT_TERMS
 from tussis.functions.scoring import predicted
-from tussis.operators import models as M
+from tussis.operators import boosting, models as M, trees
 from tussis.operators.profile import top_features
 from tussis.plans.model_plans import vectors
 from tussis.plans.registry import query, sql_list
@@ -110,6 +110,111 @@ def train_leaderboard(spark, folder):
     return board.select("model", *_SCORES, "error")
 
 
+# Eight positions cut to whole steps: classes overlap, and every cut point lies between two of a few values.
+_STEPS = 8
+
+
+def _stepped(spark, folder):
+    """Training rows of whole steps, as one part."""
+    rows = _rows(spark, folder).select(
+        F.col("vec_id").cast("string").alias("row_key"), "target", array_to_vector(F.transform(F.slice("x", 1, _STEPS), lambda v: F.floor(v * 16).cast("double"))).alias("features"))
+    return trees.training([rows])
+
+
+_CELLS_SQL = f"""cells AS (SELECT vec_id, (label >= 5)::INTEGER AS y, unnest(range({_STEPS})) AS j, floor(unnest(embedding[1:{_STEPS}])::DOUBLE * 16) AS v FROM embeddings)"""
+
+
+def _cut_sql(name: str, rows: str, scale: str = "1") -> str:
+    """CTEs for the best cut of weighted cells (j, v, y, w): {name} has j, cut, sides and weights; {name} has one row."""
+    return f"""{name}_sums AS (SELECT j, v, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS a, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS b FROM {rows} GROUP BY j, v),
+    {name}_cuts AS (SELECT j, v, lead(v) OVER o AS nv, sum(a) OVER o AS la, sum(b) OVER o AS lb, sum(a) OVER (PARTITION BY j) AS ta, sum(b) OVER (PARTITION BY j) AS tb FROM {name}_sums WINDOW o AS (PARTITION BY j ORDER BY v)),
+    {name} AS (SELECT j, (v + nv) / 2 AS cut, la, lb, ta - la AS ra, tb - lb AS rb, ta, tb,
+        ((la * la + lb * lb) / (la + lb) + ((ta - la) * (ta - la) + (tb - lb) * (tb - lb)) / (ta + tb - la - lb)) / ({scale}) AS pure FROM {name}_cuts WHERE nv IS NOT NULL AND ta > 0 AND tb > 0
+        ORDER BY round(pure, 9) DESC, j, v LIMIT 1)"""
+
+
+def _stump_sql(rounds: int, rate: float) -> str:
+    steps, out = [_CELLS_SQL, "w0 AS (SELECT DISTINCT vec_id, y, 1.0::DOUBLE AS w FROM cells)"], []
+    for r in range(rounds):
+        steps.append(f"c{r} AS (SELECT cells.*, w FROM cells JOIN w{r} USING (vec_id))")
+        steps.append(_cut_sql(f"b{r}", f"c{r}", "ta + tb"))
+        steps.append(f"""s{r} AS (SELECT *, (lb > la)::INTEGER AS low, (rb > ra)::INTEGER AS high,
+            ((CASE WHEN lb > la THEN la ELSE lb END) + (CASE WHEN rb > ra THEN ra ELSE rb END)) / (ta + tb) AS error FROM b{r})""")
+        steps.append(f"""w{r + 1} AS (SELECT w{r}.vec_id, w{r}.y, w * CASE WHEN (CASE WHEN v <= cut THEN low ELSE high END) <> w{r}.y THEN pow((1 - error) / error, {rate}) ELSE 1 END AS w
+            FROM w{r} JOIN cells USING (vec_id) JOIN s{r} USING (j))""")
+        out.append(f"SELECT {r + 1} AS round, CAST(j AS INTEGER) AS feature, cut AS threshold, low, high, round(error, 9) AS error, round({rate} * ln((1 - error) / error), 9) AS alpha FROM s{r}")
+    return f"WITH {', '.join(steps)} {' UNION ALL '.join(out)}"
+
+
+@query("adaboost_rounds", _stump_sql(3, _SIZES.adaboost_rate))
+def adaboost_rounds(spark, folder):
+    """The first three boosted stumps on overlapping classes, each from one scan of all rows."""
+    found = boosting.adaboost(_stepped(spark, folder), 3, _SIZES.adaboost_rate, small=0)[0]
+    rows = [(i, s["feature"], s["threshold"], s["low"], s["high"], round(s["error"], 9), round(s["alpha"], 9)) for i, s in enumerate(found, 1)]
+    return spark.createDataFrame(rows, "round INT, feature INT, threshold DOUBLE, low INT, high INT, error DOUBLE, alpha DOUBLE")
+
+
+def _tree_sql(depth: int) -> str:
+    """Nodes of a class-weighted tree, by one group-by a node."""
+    steps = [_CELLS_SQL, """n AS (SELECT count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1 FROM cells WHERE j = 0)""",
+             "r1 AS (SELECT cells.*, CASE WHEN y = 0 THEN (n0 + n1) / (2.0::DOUBLE * n0) ELSE (n0 + n1) / (2.0::DOUBLE * n1) END AS w FROM cells, n)"]
+    out = []
+    for node in range(1, 2 ** (depth + 1)):
+        inner = node < 2**depth
+        if inner:
+            steps.append(_cut_sql(f"t{node}", f"r{node}"))
+            for child, sign in ((2 * node, "<="), (2 * node + 1, ">")):
+                steps.append(f"k{child} AS (SELECT vec_id FROM r{node} JOIN t{node} USING (j) WHERE v {sign} cut)")
+                steps.append(f"r{child} AS (SELECT r{node}.* FROM r{node} JOIN k{child} USING (vec_id))")
+        cut = f"coalesce((SELECT CAST(j AS INTEGER) FROM t{node}), -1), coalesce((SELECT cut FROM t{node}), 0.0::DOUBLE)" if inner else "-1, 0.0::DOUBLE"
+        out.append(f"SELECT CAST({node} AS BIGINT) AS node, {cut}, count(*) FILTER (y = 0), count(*) FILTER (y = 1) FROM r{node} WHERE j = 0")
+    return f"WITH {', '.join(steps)} SELECT * FROM ({' UNION ALL '.join(out)}) AS t(node, feature, threshold, n0, n1) WHERE n0 + n1 > 0"
+
+
+@query("tree_nodes", _tree_sql(3))
+def tree_nodes(spark, folder):
+    """All nodes of a class-weighted tree of depth 3, grown level by level from histograms."""
+    grown = trees.grow(_stepped(spark, folder), trees.TreeSpec(depth=3), small=0)[0][0]
+    rows = [(node, *(grown.cuts[node][:2] if node in grown.cuts else (-1, 0.0)), *n) for node, n in sorted(grown.counts.items())]
+    return spark.createDataFrame(rows, "node LONG, feature INT, threshold DOUBLE, n0 LONG, n1 LONG")
+
+
+_STEP, _MIX1, _MIX2, _WORD = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 2**64
+
+
+def _mixed_sql(*parts: str) -> str:
+    """The hash of the growers in 64-bit arithmetic."""
+    state = "0::UBIGINT"
+    for part in parts:
+        state = f"CAST((xor({state}, CAST({part} AS UBIGINT))::UHUGEINT + {_STEP}::UHUGEINT) % {_WORD}::UHUGEINT AS UBIGINT)"
+        for shift, factor in ((30, _MIX1), (27, _MIX2)):
+            state = f"list_transform([{state}], lambda s: CAST((xor(s, s >> {shift})::UHUGEINT * {factor}::UHUGEINT) % {_WORD}::UHUGEINT AS UBIGINT))[1]"
+        state = f"list_transform([{state}], lambda s: xor(s, s >> 31))[1]"
+    return state
+
+
+_EXTRA_SQL = f"""WITH cells AS (SELECT vec_id, (label >= 5)::INTEGER AS y, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings),
+    n AS (SELECT count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1 FROM cells WHERE j = 0),
+    span AS (SELECT j, min(v) AS low, max(v) AS high FROM cells GROUP BY j),
+    draws AS (SELECT t, j, low, high, {_mixed_sql("42", "2", "t", "1", "j")} AS h, {_mixed_sql("42", "3", "t", "1", "j")} AS u FROM span, range({_SIZES.forest_trees}) AS trees(t)),
+    points AS (SELECT t, j, low + (u >> 11)::DOUBLE / 9007199254740992.0::DOUBLE * (high - low) AS cut FROM draws QUALIFY row_number() OVER (PARTITION BY t ORDER BY h, j) <= 8),
+    sides AS (SELECT t, j, cut, n0, n1, count(*) FILTER (y = 0 AND v <= cut) AS l0, count(*) FILTER (y = 1 AND v <= cut) AS l1 FROM points JOIN cells USING (j), n GROUP BY ALL),
+    w AS (SELECT *, l0 * (n0 + n1) / (2.0::DOUBLE * n0) AS a0, l1 * (n0 + n1) / (2.0::DOUBLE * n1) AS a1, (n0 + n1) / 2.0::DOUBLE AS half FROM sides),
+    gains AS (SELECT *, (a0 * a0 + a1 * a1) / (a0 + a1) + ((half - a0) * (half - a0) + (half - a1) * (half - a1)) / (2 * half - a0 - a1) - half AS gain FROM w WHERE l0 + l1 > 0 AND l0 + l1 < n0 + n1)
+    SELECT CAST(t AS INTEGER) AS tree, CAST(j AS INTEGER) AS feature, round(cut, 9) AS threshold, CAST(l0 AS BIGINT) AS left_0, CAST(l1 AS BIGINT) AS left_1
+    FROM gains QUALIFY row_number() OVER (PARTITION BY t ORDER BY round(gain, 9) DESC, j) = 1"""
+
+
+@query("extra_trees_roots", _EXTRA_SQL)
+def extra_trees_roots(spark, folder):
+    """The root cut of each extremely randomised tree: drawn features, random points, best of them."""
+    rows = _rows(spark, folder).select(F.col("vec_id").cast("string").alias("row_key"), "target", array_to_vector("x").alias("features"))
+    spec = trees.TreeSpec(_SIZES.forest_trees, 1, -1, random_cuts=True, min_split=_SIZES.min_split, seed=_SIZES.seed)
+    grown = trees.grow(trees.training([rows]), spec, small=0)[0]
+    found = [(i, t.cuts[1][0], round(t.cuts[1][1], 9), *t.counts[2]) for i, t in enumerate(grown)]
+    return spark.createDataFrame(found, "tree INT, feature INT, threshold DOUBLE, left_0 LONG, left_1 LONG")
+
+
 _NAMES = [f"x{i}" for i in range(64)]
 
 
@@ -124,7 +229,7 @@ def feature_importance(spark, folder):
     """The one position that parts the classes comes first among 64."""
     one = F.transform("x", lambda v, i: v * 0.1 + F.when(i == 17, 2 * F.col("target") - 1).otherwise(0))
     part = _held_out(_rows(spark, folder).withColumn("x", one))
-    forest = M.random_forest(_SIZES)(part.train).stages[0]
+    forest = M.random_forest(_SIZES)(part.train)
     return top_features(M.feature_importance(spark, forest, _NAMES), 1).select("feature", F.lit(1).alias("position"))
 
 
