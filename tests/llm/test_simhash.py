@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tussis.llm import simhash
 
@@ -126,3 +127,79 @@ def test_dense_group_is_one_class(spark):
     edges = simhash.links(df)
     assert edges.count() <= 4 * len(fps)
     assert simhash.components(edges).select("root").distinct().count() == 1
+
+
+def shingles(text):
+    words = list(_split("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(a, b):
+    return not a and not b or len(a & b) >= 0.8 * len(a | b)
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_near_copies_are_found_without_the_fingerprint_rule(spark):
+    rng = random.Random(11)
+    texts, pairs = [], []
+    for _ in range(150):
+        words = [f"v{rng.randrange(4000)}" for _ in range(rng.randint(40, 400))]
+        texts += [" ".join(words), edited(rng, words, rng.randint(1, max(1, len(words) // 45)))]
+        pairs.append((len(texts) - 2, len(texts) - 1))
+    sets = [shingles(t) for t in texts]
+    close = [(a, b) for a, b in pairs if similar(sets[a], sets[b])]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.first_id: r.root for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[a] == got[b] for a, b in close)
+    assert len(close) > 60 and found >= 0.95 * len(close)
+    assert all(got[a] != got[b] for a, b in pairs if not similar(sets[a], sets[b]))
+
+
+def test_recall_on_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    got = {}
+    keys = {r.doc_id: r.k for r in docs.select("doc_id", simhash._text_key(docs["text"]).alias("k")).collect()}
+    root = {r.text_key: r.root for r in simhash.similar_texts(docs).collect()}
+    got = {i: root[k] for i, k in keys.items()}
+    owners = {}
+    for i, s in rows.items():
+        for x in s:
+            owners.setdefault(x, []).append(i)
+    met = {(a, b) for ids in owners.values() if len(ids) < 60 for a in ids for b in ids if a < b}
+    close = [(a, b) for a, b in met if keys[a] != keys[b] and similar(rows[a], rows[b])]
+    assert sum(got[a] == got[b] for a, b in close) >= 0.9 * len(close)
+    parent = {i: i for i in rows}  # no class holds texts without a chain of similar ones
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in [*close, *((a, b) for a in rows for b in rows if a < b and (keys[a] == keys[b] or not rows[a] and not rows[b]))]:
+        parent[find(b)] = find(a)
+    assert all(find(a) == find(b) for a in rows for b in rows if got[a] == got[b])
+
+
+def test_keep_similar_defined_cases(spark):
+    words = " ".join(f"w{i}" for i in range(100))
+    rows = [(5, words, 1), (3, words + " end", 2), (4, "Short text", 3), (9, "short TEXT", 4), (None, words, 5), (7, None, 6), (8, "", 7), (6, " ", 8), (4, "Short text", 3), (None, "alone in its class", 9), (3, "another text of the same id", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __kept_key int").withColumn("root", F.lit("x"))
+    got = simhash.keep_similar(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "alone in its class"), (3, "another text of the same id"), (3, words + " end"), (4, "Short text"), (6, " ")]
+    assert simhash.keep_similar(df.limit(0)).collect() == []
+
+
+def test_members_unlike_their_leader_meet_again(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "sample_prints", lambda hashes, tables=8, sample=4: np.full(tables, 7, np.uint64))
+    bases = [[f"b{k}x{i}" for i in range(60)] for k in range(4)]
+    rows = [(10 * k + j, " ".join(b + [f"t{j}"])) for k, b in enumerate(bases) for j in range(5)]
+    got = {r.first_id: r.root for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((got[a] == got[b]) == (a // 10 == b // 10) for a in got for b in got)

@@ -269,6 +269,126 @@ def hex_digits(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+# -- near copies by similarity ---------------------------------------------------
+
+#: Fingerprints of samples per text, and shingles in a sample: two texts of similarity 0.8 share one of them with a chance of 0.98.
+TABLES = 8
+SAMPLE = 4
+
+
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """Hashes of the distinct shingles of ``width`` words, ascending; a shorter text is one shingle, one without words has none."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(s, HASH_SEED) for s in shingles), np.uint64))
+
+
+def sample_prints(hashes: np.ndarray, tables: int = TABLES, sample: int = SAMPLE) -> np.ndarray:
+    """A SimHash per table over ``sample`` shingles, each the least under an order of its own (min-wise samples)."""
+    if not len(hashes):
+        return np.zeros(tables, np.uint64)
+    turns = np.random.default_rng(HASH_SEED).integers(1, 1 << 63, size=tables * sample, dtype=np.uint64) | np.uint64(1)
+    chosen = np.empty(len(turns), np.uint64)
+    for i, turn in enumerate(turns):
+        order = hashes * turn  # modulo 2^64
+        chosen[i] = hashes[np.argmin(order ^ (order >> np.uint64(29)))]
+    bits = np.unpackbits(chosen.reshape(tables, sample).view(np.uint8).reshape(tables, sample, 8), axis=2, bitorder="little")
+    return np.packbits(2 * bits.sum(axis=1) > sample, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def _sampled(docs: DataFrame, width: int, tables: int) -> DataFrame:
+    """``text_key, first_id, fps`` of every distinct text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [sample_prints(shingle_hashes(t.as_buffer().to_pybytes(), width), tables).view(np.int64) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "text_key", "fps"])
+
+    narrow = docs.select("doc_id", _text_key(F.col("text")).alias("text_key"), whole_text(F.col("text")).cast("binary").alias("b"))
+    prints = narrow.mapInArrow(run, f"doc_id {dict(narrow.dtypes)['doc_id']}, text_key bigint, fps array<bigint>")
+    return prints.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), *[F.max(F.get("fps", F.lit(i))).alias(f"f{i}") for i in range(tables)])
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``key, shingles``: hashed shingles of the wanted texts (``key, id``), each text once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(t.as_buffer().to_pybytes(), width).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
+
+    rows = docs.select(F.col("doc_id").alias("own_id"), _text_key(F.col("text")).alias("own_key"), whole_text(F.col("text")).cast("binary").alias("b"))
+    rows = rows.join(if_small(wanted), (rows["own_key"] == wanted["key"]) & rows["own_id"].eqNullSafe(wanted["id"])).select("key", "b")
+    return rows.mapInArrow(run, "key bigint, shingles array<bigint>").dropDuplicates(["key"])
+
+
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = TABLES) -> DataFrame:
+    """``text_key, first_id, root`` of every distinct text: its class of texts of at least this shingle similarity (Jaccard).
+
+    Texts meet where one of their sample fingerprints is equal or linked by the index. In each such group the text with
+    the smallest key leads, and all others are compared with it by their whole shingle sets; those that aren't similar
+    to it form a group again, until none is left. Every link is exact; a pair that never meets is missed (about one in
+    fifty at the least similarity, fewer above it). Texts without any word are similar to each other.
+    """
+    texts = written(_sampled(docs.select("doc_id", "text"), width, tables), "sampled-texts")
+    long = texts.select("text_key", "first_id", F.inline(F.array(*[F.struct(F.lit(i).alias("sample"), F.col(f"f{i}").alias("fp")) for i in range(tables)])))
+    prints = written(long.groupBy("fp").agg(F.count("*").alias("n")), "sample-prints")
+    linked = components(links(prints.select("fp")))
+    rooted = long.join(if_small(linked), F.col("fp") == F.col("node"), "left").select("text_key", "first_id", "sample", F.coalesce("root", "fp").alias("spot"))
+    sizes = rooted.groupBy("sample", "spot").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("sample").alias("s"), F.col("spot").alias("p"))
+    shared = rooted.join(if_small(written(sizes, "shared-prints")), (F.col("sample") == F.col("s")) & (F.col("spot") == F.col("p"))).select("text_key", "first_id", "sample", "spot")
+    left = written(shared, "sampled-groups")
+    wanted = left.select(F.col("text_key").alias("key"), F.col("first_id").alias("id")).distinct()
+    sets = written(_sets(docs, written(wanted, "met-texts"), width), "shingle-sets")
+    edges = []
+    while True:
+        lead = left.groupBy("sample", "spot").agg(F.min("text_key").alias("b"))
+        met = left.join(lead, ["sample", "spot"]).filter(F.col("text_key") > F.col("b")).select(F.col("text_key").alias("a"), "b", "sample", "spot", "first_id")
+        pairs = met.select("a", "b").distinct()
+        ours, theirs = (sets.select(F.col("key").alias(k), F.col("shingles").alias(n)) for k, n in (("a", "x"), ("b", "y")))
+        both = F.size(F.array_intersect("x", "y"))
+        told = pairs.join(ours, "a").join(theirs, "b").select("a", "b", (both >= similarity * (F.size("x") + F.size("y") - both)).alias("near"))
+        told = written(told, "compared-texts")
+        edges.append(told.filter("near").select("a", "b"))
+        apart = told.filter(~F.col("near")).select("a", "b")
+        if apart.isEmpty():
+            break
+        again = met.join(apart, ["a", "b"]).select(F.col("a").alias("text_key"), "first_id", "sample", "spot")
+        left = written(again, "sampled-groups")
+    roots = components(_union(edges).distinct())
+    return texts.join(if_small(roots), F.col("text_key") == F.col("node"), "left").select("text_key", "first_id", F.coalesce("root", "text_key").alias("root"))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table)
+    return out
+
+
+def keep_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each class of similar texts, with all its columns: the one with the smallest id.
+
+    Nulls: a null text is empty; a null id stays only where its class has no other. Rows of the same id and text stay
+    once. Extra columns may have any names; an empty table gives no rows.
+    """
+    doc, key, own = fresh(docs, "__kept_doc", "__kept_key", "__text_key")
+    classes = similar_texts(docs, width, similarity)
+    first = F.min(F.struct(F.col("first_id").isNull(), "first_id", "text_key")).alias("s")
+    kept = written(classes.groupBy("root").agg(first).select(F.col("s.first_id").alias(doc), F.col("s.text_key").alias(key)), "kept-documents")
+    keyed = docs.withColumn(own, _text_key(docs["text"]))
+    whole = keyed.join(kept, keyed["doc_id"].eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key)), "left_semi")
+    again = whole.groupBy("doc_id", own).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if again.isEmpty():
+        return whole.drop(own)
+    again = written(again.select(F.col("doc_id").alias(doc), F.col(own).alias(key)), "repeated-rows")
+    same = whole["doc_id"].eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key))
+    return whole.join(if_small(again), same, "left_anti").unionByName(whole.join(if_small(again), same, "left_semi").dropDuplicates(["doc_id", own])).drop(own)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, with all its columns: the one whose id names the class.
 
