@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tussis.llm import mixing, sharding
 
 ROWS = [(i, "word " * (i % 17 + 1), f"s{i % 5}") for i in range(200)] + [(7, "same row", "s0")] * 150 + [(None, None, None), (None, "", None), (None, "no id", "s1"), (500, "long " * 9000, "s2")]
@@ -65,21 +67,35 @@ def test_targets_and_takes(spark, many_slices, shape):
     for _, t, s in rows:
         sizes[s] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     target = brute_targets(sizes)
+    drawn = defaultdict(list)
+    seen = Counter()
+    for i, text, src in rows:
+        seen[i, text or "", src] += 1
+        digest = hashlib.md5((text or "").encode()).hexdigest()
+        u = int(hashlib.md5(f"{mixing.SEED}:{'null' if i is None else i}:{digest}:{seen[i, text or '', src]}".encode()).hexdigest()[:13], 16) / 2**52
+        rate = target[src] / sizes[src] if sizes[src] else 0
+        drawn[i, src, len((text or "").split())].append(math.floor(rate) + (u < rate - math.floor(rate)))
     for r in got:
         assert r.source_size == sizes[r.source] and math.isclose(r.target, target[r.source], rel_tol=1e-9, abs_tol=1e-6)
-        rate = r.target / r.source_size if r.source_size else 0
-        u = int(hashlib.md5(f"{mixing.SEED}:{'null' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
-        assert r.copies == math.floor(rate) + (u < rate - math.floor(rate)) and r.taken == r.copies * r.size <= 3 * r.size
+        drawn[r.doc_id, r.source, r.size].remove(r.copies)
+        assert r.taken == r.copies * r.size <= 3 * r.size
+    assert not any(drawn.values())
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_plan(df.repartition(5)).collect()))
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns
-    assert Counter(tuple(r) for r in mixed.collect()) == sum((Counter({t: n}) for t, n in _copies(rows, got)), Counter())
+    taken = Counter()
+    for r in got:
+        taken[r.doc_id, r.source, r.size] += r.copies
+    assert Counter((r.doc_id, r.source, len((r.text or "").split())) for r in mixed.collect()) == +taken
 
 
-def _copies(rows, got):
-    n = {(r.doc_id, r.source, r.size): r.copies for r in got}
-    for i, t, s in rows:
-        yield (i, t, s), n[i, s, len((t or "").split())]
+def test_repeated_and_missing_ids_come_near_the_target(spark):
+    rows = [(7, "four words in all", "a")] * 300 + [(None, f"text number {i} here", "b") for i in range(300)] + [(i, "six words " * 3, "c") for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix_plan(df).groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(got) == 3 and all(abs(r.taken / r.target - 1) < 0.1 for r in got)
+    extra = df.withColumn("__number", F.lit(1)).withColumn("digest", F.lit("x"))
+    assert mixing.mix(extra).columns == extra.columns and abs(mixing.mix(extra).filter("source = 'a'").count() * 4 / next(r.target for r in got if r.source == "a") - 1) < 0.1
 
 
 def test_taken_words_come_near_the_target(spark):

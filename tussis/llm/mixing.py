@@ -1,13 +1,15 @@
 """Mix sources to target weights by repeating documents.
 
 Sizes are summed per source; a source's repetition rate is its target over its size. Every document is taken
-floor(rate) times, and once more with a probability equal to the fraction, drawn from a hash of the seed and
-the document's id, so that reruns and recomputed tasks agree.
+floor(rate) times, and once more with a probability equal to the fraction, drawn from a hash of the seed, the
+document's id, its text and, among rows equal in both, the row's number, so that reruns and recomputed tasks agree and
+repeated or missing ids come near the target as well.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -50,36 +52,61 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), max_rep
     )
 
 
-def copies_of(rate: Column, doc_id: Column, seed: str = SEED) -> Column:
-    """floor(rate), plus one with a probability of the fraction. 52 bits of a hash of seed and id decide; null ids share one draw."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("bigint")
+def copies_of(rate: Column, doc_id: Column, digest: Column, number: Column, seed: str = SEED) -> Column:
+    """floor(rate), plus one with a probability of the fraction. 52 bits of a hash of seed, id, text digest and number decide."""
+    drawn = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), digest, F.lit(":"), number.cast("string"))
+    bits = F.conv(F.substring(F.md5(drawn), 1, 13), 16, 10).cast("bigint")
     return F.floor(rate) + F.when(bits / F.lit(float(1 << 52)) < rate - F.floor(rate), 1).otherwise(0)
 
 
+def text_digest(text: Column) -> Column:
+    return F.md5(whole_text(text).cast("binary"))
+
+
+def _numbered(rows: DataFrame, digest: str, number: str) -> DataFrame:
+    """Number rows of equal id, source and text digest from 1. Only such rows are put in order, by running totals over slices."""
+    keys = ["doc_id", "source", digest]
+    names = fresh(rows, "__id", "__src", "__dig")
+    again = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    again = written(again.select(*[F.col(k).alias(n) for k, n in zip(keys, names)]), "repeated-rows")
+    if again.isEmpty():
+        return rows.withColumn(number, F.lit(1).cast("bigint"))
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    (place,) = fresh(rows, "__place")
+    many = rows.join(if_small(again), same, "left_semi").withColumn(place, F.monotonically_increasing_id())
+    many = with_row_number(many, [place], number, keys).select(*rows.columns, number)
+    return rows.join(if_small(again), same, "left_anti").withColumn(number, F.lit(1).cast("bigint")).unionByName(many)
+
+
 def mix_plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeats: int = 3, seed: str = SEED) -> DataFrame:
     """One row per document: ``doc_id, source, size, source_size, target, copies, taken``.
 
-    Null texts have no words; null is a source of its own, ordered last. Repeated rows with one id share one draw.
+    Null texts have no words; null is a source of its own, ordered last. Every row has a draw of its own, rows with one
+    id or none included.
     An empty table gives no rows; other columns are ignored. Only the table of sources is joined to the documents.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    targets = if_small(written(source_targets(sized, weights, max_repeats), "mix-targets")).withColumnRenamed("source", "mixed_source")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), text_digest(F.col("text")).alias("digest"))
+    targets = if_small(written(source_targets(sized.select("source", "size"), weights, max_repeats), "mix-targets")).withColumnRenamed("source", "mixed_source")
     return (
-        sized.join(targets, F.col("source").eqNullSafe(F.col("mixed_source")))
-        .withColumn("copies", copies_of(F.col("rate"), F.col("doc_id"), seed))
+        _numbered(sized, "digest", "number").join(targets, F.col("source").eqNullSafe(F.col("mixed_source")))
+        .withColumn("copies", copies_of(F.col("rate"), F.col("doc_id"), F.col("digest"), F.col("number"), seed))
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeats: int = 3, seed: str = SEED) -> DataFrame:
-    """The mixed documents themselves: every row of ``docs`` as often as the plan takes it, with all its columns."""
+    """The mixed documents themselves: every row of ``docs`` as often as the plan takes it, with all its columns.
+
+    Nulls and repeated rows as in ``mix_plan``; extra columns may have any names, an empty table gives no rows.
+    """
     sized = docs.select("source", word_count(F.col("text")).alias("size"))
-    source, rate, copies, copy = fresh(docs, "__source", "__rate", "__copies", "__copy")
+    source, rate, copies, copy, digest, number = fresh(docs, "__source", "__rate", "__copies", "__copy", "__digest", "__number")
     targets = written(source_targets(sized, weights, max_repeats).select(F.col("source").alias(source), F.col("rate").alias(rate)), "mix-targets")
+    rows = _numbered(docs.withColumn(digest, text_digest(docs["text"])), digest, number)
     return (
-        docs.join(if_small(targets), docs["source"].eqNullSafe(F.col(source)))
-        .withColumn(copies, copies_of(F.col(rate), docs["doc_id"], seed))
+        rows.join(if_small(targets), rows["source"].eqNullSafe(F.col(source)))
+        .withColumn(copies, copies_of(F.col(rate), F.col("doc_id"), F.col(digest), F.col(number), seed))
         .filter(F.col(copies) > 0)
         .withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies))))
-        .select(*[docs[c] for c in docs.columns])
+        .select(*docs.columns)
     )

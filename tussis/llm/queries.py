@@ -10,7 +10,8 @@ from tussis.session import scratch_path
 
 _MIX_SQL = f"""
 WITH sized AS (
-    SELECT doc_id, source, CAST(length(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+    SELECT doc_id, source, CAST(length(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest,
+        row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) AS number FROM documents),
 ranked AS (
     SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sized GROUP BY source),
 capped AS (SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 3 AS cap FROM ranked),
@@ -23,7 +24,7 @@ targets AS (
     SELECT source, source_size, least(weight * level.level, CAST(cap AS DOUBLE)) AS target,
         CASE WHEN source_size > 0 THEN least(weight * level.level, CAST(cap AS DOUBLE)) / source_size ELSE 0.0 END AS rate FROM levels, level)
 SELECT doc_id, size, source_size, target,
-    size * (CAST(floor(rate) AS BIGINT) + CASE WHEN CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
+    size * (CAST(floor(rate) AS BIGINT) + CASE WHEN CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || digest || ':' || number), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
 FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
 """
 
