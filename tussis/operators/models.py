@@ -16,13 +16,13 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tussis.functions.scoring import model_rows, predicted, sigmoid, soft_vote
-from tussis.operators import boosting, trees
+from tussis.operators import boosting, descent, kernel, trees
 from tussis.operators.balance import balanced, stratified_folds, stratified_split
 from tussis.operators.evaluate import binary_metrics, roc_auc
 from tussis.operators.neighbors import distance_vote, nearest_neighbors
@@ -36,7 +36,7 @@ class ModelSizes:
     """Ensemble sizes and iteration limits; smaller values make a quick run.
 
     The published run has no depth limit for bagging and an exact kernel for the support vectors: a depth that small
-    nodes rarely reach, and the numbers of components and iterations of the approximation, stand in for them.
+    nodes rarely reach, and the kernel on the span of a number of landmarks, stand in for them.
     """
 
     # Sizes, depths, rates and penalties of the published training run.
@@ -59,14 +59,15 @@ class ModelSizes:
     seed: int = 42
     # Parameters of the approximations.
     bagging_depth: int = 30
-    svc_iterations: int = 100
-    svc_tolerance: float = 1e-3
-    svc_components: int = 256
+    svc_landmarks: int = 256
+    svc_rounds: int = 60
+    sgd_steps: int = 1500
+    sgd_batch: int = 256
 
 
 QUICK = ModelSizes(
     forest_trees=10, forest_depth=4, extra_depth=4, boosting_rounds=4, boosting_depth=3, adaboost_rounds=4, adaboost_rate=0.5,
-    bagging_trees=8, bagging_depth=5, tree_depth=5, logistic_iterations=20, svc_iterations=5, svc_components=64,
+    bagging_trees=8, bagging_depth=5, tree_depth=5, logistic_iterations=20, svc_landmarks=40, svc_rounds=5, sgd_steps=200,
 )
 
 
@@ -177,11 +178,20 @@ def logistic(s: ModelSizes) -> Callable[[DataFrame], Fitted]:
     return fit
 
 
-def sgd(s: ModelSizes) -> Callable[[DataFrame], Fitted]:
-    """The same log-loss objective with the SGD penalty, solved by L-BFGS."""
-    return _fit_stage(
-        "sgd", LogisticRegression, maxIter=s.logistic_iterations, regParam=s.sgd_alpha, standardization=False, **_columns(False)
-    )
+def sgd(s: ModelSizes) -> Joint:
+    """Log-loss by averaged stochastic gradient steps."""
+
+    def fit(data: trees.Training) -> dict[int, Fitted]:
+        found = descent.sgd(data, s.sgd_alpha, s.sgd_steps, s.sgd_batch, s.seed)
+        return {part: Fitted("sgd", "linear", numbers=numbers) for part, numbers in found.items()}
+
+    return Joint(fit)
+
+
+def _score_linear(model: Fitted, df: DataFrame, out: str) -> DataFrame:
+    weights = F.array(*[F.lit(w) for w in model.numbers["weights"]])
+    products = F.zip_with(vector_to_array(FEATURES), weights, lambda x, w: x * w)
+    return df.withColumn(out, sigmoid(F.aggregate(products, F.lit(model.numbers["intercept"]), lambda a, b: a + b)))
 
 
 def adaboost(s: ModelSizes) -> Joint:
@@ -211,47 +221,25 @@ def _score_adaboost(model: Fitted, df: DataFrame, out: str) -> DataFrame:
     return df.withColumn(out, told(vector_to_array(FEATURES)))
 
 
-def random_fourier(vector: Column, width: int, components: int, gamma: float, seed: int) -> Column:
-    """Random features whose inner product approximates the RBF kernel."""
-    rng = np.random.default_rng(seed)
-    weights = rng.normal(0.0, math.sqrt(2 * gamma), size=(width, components))
-    phase = rng.uniform(0.0, 2 * math.pi, size=components)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def project(v: pd.Series) -> pd.Series:
-        x = np.stack([np.asarray(row, dtype=np.float64) for row in v])
-        return pd.Series(list(np.cos(x @ weights + phase) * math.sqrt(2.0 / components)))
-
-    return project(vector)
-
-
-def svc(s: ModelSizes) -> Callable[[DataFrame], Fitted]:
-    """RBF support vectors as a linear margin over random Fourier features."""
+def svc(s: ModelSizes) -> Joint:
+    """RBF support vectors on the span of landmarks, with a calibrated probability."""
 
-    def fit(train: DataFrame) -> Fitted:
-        rows, mean, variance = _moments(train, F.col(FEATURES))
-        width = len(mean)
-        # Variance of all cells together: inside the positions and between them.
-        gamma = 1.0 / (width * (float(np.mean(variance) + np.var(mean)) or 1.0))
-
-        kernel = {"width": width, "components": s.svc_components, "gamma": gamma, "seed": s.seed}
-        ready = _lifted(train, kernel).persist()
-        try:
-            stage = LinearSVC(featuresCol="__rff", labelCol=TARGET, weightCol=WEIGHT, maxIter=s.svc_iterations, tol=s.svc_tolerance, regParam=1.0 / (s.svc_c * rows)).fit(ready)
-        finally:
-            ready.unpersist()
-        return Fitted("svc", "svc", [stage], kernel)
+    def fit(data: trees.Training) -> dict[int, Fitted]:
+        spec = kernel.KernelSpec(cost=s.svc_c, landmarks=s.svc_landmarks, rounds=s.svc_rounds, seed=s.seed)
+        return {part: Fitted("svc", "svc", numbers=numbers) for part, numbers in kernel.support_vectors(data, spec).items()}
 
-    return fit
+    return Joint(fit)
 
 
-def _lifted(df: DataFrame, kernel: dict) -> DataFrame:
-    return df.withColumn("__rff", array_to_vector(random_fourier(vector_to_array(F.col(FEATURES)), **kernel)))
+def _score_svc(model: Fitted, df: DataFrame, out: str) -> DataFrame:
+    numbers, (slope, offset) = model.numbers, model.numbers["curve"]
 
+    @F.pandas_udf(T.DoubleType())
+    def told(v: pd.Series) -> pd.Series:
+        margin = kernel.margins_of(numbers, np.stack([np.asarray(row, dtype=np.float64) for row in v]))
+        return pd.Series(1 / (1 + np.exp(slope * margin + offset)))
 
-def _score_svc(model: Fitted, df: DataFrame, out: str) -> DataFrame:
-    margin = F.get(vector_to_array("rawPrediction"), F.lit(1))
-    return model.stages[0].transform(_lifted(df, model.numbers)).select(*df.columns, sigmoid(margin).alias(out))
+    return df.withColumn(out, told(vector_to_array(FEATURES)))
 
 
 def knn(s: ModelSizes, key: str = "row_key") -> Callable[[DataFrame], Fitted]:
@@ -295,7 +283,7 @@ def _score_voting(model: Fitted, df: DataFrame, out: str) -> DataFrame:
     return scored.select(*df.columns, soft_vote([F.col(n) for n in names]).alias(out))
 
 
-SCORE_BY_FAMILY = {"stage": _score_stage, "trees": _score_trees, "adaboost": _score_adaboost, "svc": _score_svc, "knn": _score_knn, "voting": _score_voting}
+SCORE_BY_FAMILY = {"stage": _score_stage, "trees": _score_trees, "adaboost": _score_adaboost, "svc": _score_svc, "linear": _score_linear, "knn": _score_knn, "voting": _score_voting}
 
 
 def model_families(s: ModelSizes = ModelSizes()) -> dict[str, Callable[[DataFrame], Fitted]]:
