@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tussis.operators.history import kpis
 from tussis.session import scratch_path
-from tussis.streaming import burst, common, loudness, screening
+from tussis.sources.versions import VersionedTable, ddl
+from tussis.streaming import burst, common, intake, loudness, screening, spectrum
 
 START = dt.datetime(2024, 1, 1)
 
@@ -106,7 +107,8 @@ def test_stream_kpis_equal_batch(spark):
     batch = spark.read.parquet(path)
     stream = common.read_files(spark, path, "*.parquet", batch.schema, 1)
     common.available_now(screening.history_kpi_stream(stream, out), spark)
-    assert spark.read.parquet(out).collect() == kpis(batch).collect()
+    shown = VersionedTable(spark, out)
+    assert shown.read(ddl(kpis(batch))).collect() == kpis(batch).collect() and len(shown.versions()) == 3
 
 
 def test_timeout_is_reported(spark):
@@ -120,3 +122,86 @@ def test_timeout_is_reported(spark):
 def test_newest_state(spark):
     df = spark.createDataFrame([("a", 1, 0), ("a", 3, 1), ("b", 2, 0)], "k STRING, v INT, batch_id INT")
     assert sorted(map(tuple, common.newest_state(df, ["k"]).select("k", F.col("v")).collect())) == [("a", 3), ("b", 2)]
+
+
+def test_stream_frames_with_late_files_equal_batch(spark):
+    rows = [("end", START + dt.timedelta(hours=9), 0.5)] + samples(21, 500, 3_600_000)
+    path, out = _files(spark, rows[1:], 5, shuffle_seed=3), scratch_path(spark, "frames-out")
+    spark.createDataFrame(rows[:1], SCHEMA).write.mode("append").parquet(path)
+
+    def framed(df):
+        ready = df.select("device", common.instant(df, "ts").alias("ts"), "level")
+        return spectrum.spectra(spectrum.frames(ready, "device", "ts", "level", "4 minutes", "1 minute", 8, "6 hours"), "device", 8)
+
+    stream = common.read_files(spark, path, "*.parquet", spark.read.parquet(path).schema, 1)
+    common.available_now(common.write_batches(framed(stream), out, "append"), spark)
+    key = ("device", "frame_start", "n", F.round("rms", 9), F.round("centroid", 9), "strongest")
+    expected = framed(spark.read.parquet(path)).where("device <> 'end'").select(*key).collect()
+    got = spark.read.parquet(out).where("device <> 'end'").select(*key).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, expected)) and len(got) > 100
+
+
+def test_frames_of_a_tone_peak_at_its_bin(spark):
+    rows = [("d", START + dt.timedelta(seconds=i), float(__import__("math").cos(2 * 3.141592653589793 * 3 * i / 16))) for i in range(16)]
+    df = spark.createDataFrame(rows + [("d", None, 1.0), ("d", START, None)], SCHEMA)
+    ready = df.select("device", common.instant(df, "ts").alias("ts"), "level")
+    row = spectrum.spectra(spectrum.frames(ready, "device", "ts", "level", "16 seconds", "16 seconds"), "device").first()
+    assert (row["n"], row["strongest"]) == (16, 3)
+
+
+@pytest.mark.parametrize("order", [(0, 1), (1, 0)])
+def test_recordings_meet_entries_in_either_order(spark, order):
+    schema, paths = "k STRING, ts TIMESTAMP, v STRING", [scratch_path(spark, "side") for _ in range(2)]
+    at = lambda m: START + dt.timedelta(minutes=m)
+    sides = [
+        [[("a", at(0), "r1"), ("b", at(5), "r2"), (None, at(6), "r3")], [("late", at(4000), "end")]],
+        [[("a", at(20), "e1"), ("a", at(3), "e2"), ("b", at(90), "too far"), ("c", at(1), "alone")], [("late", at(4000), "end")]],
+    ]
+    for side in order:
+        for rows in sides[side]:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(paths[side])
+    left, right = (common.read_files(spark, p, "*.parquet", spark.read.parquet(p).schema, 1) for p in paths)
+    out = scratch_path(spark, "met")
+    common.available_now(common.write_batches(intake.met(left, right.withColumnRenamed("v", "note"), "k", "ts", "30 MINUTES", "1 hour"), out, "append"), spark)
+    got = {(r.k, r.v, r.note) for r in spark.read.parquet(out).where("v <> 'end'").collect()}
+    assert got == {("a", "r1", "e1"), ("a", "r1", "e2"), ("b", "r2", None), (None, "r3", None)}
+
+
+def test_blocked_recordings_have_a_row(spark):
+    df = spark.createDataFrame([(1, True, "poor", ["quiet"]), (2, False, "good", []), (3, None, "poor", ["x", "y"])], "id INT, blocking BOOLEAN, status STRING, issues ARRAY<STRING>")
+    out = screening.screen(df, lambda d: d, lambda d: d.select("id", "gate_status", "gate_issues", F.lit(0.5).alias("p")), lambda d: d, ["id"])
+    assert sorted(map(tuple, out.select("id", "gate_status", "gate_issues", "p").collect())) == [(1, "poor", "quiet", None), (2, "good", "", 0.5), (3, "poor", "x; y", None)]
+
+
+def test_versions_switch_in_one_step(spark):
+    table = VersionedTable(spark, scratch_path(spark, "versioned"))
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id INT").coalesce(1)
+    read = lambda version=None: sorted(r.id for r in table.read("id INT", version).collect())
+    assert read() == [] and table.versions() == []
+    table.append(rows(1), "batch-0")
+    table.append(rows(1), "batch-0")  # a repeated micro-batch
+    before = table.read("id INT")  # a reader in mid-write keeps what it has seen
+    part = table._write(rows(2, 3))
+    assert read() == [1]
+    other = VersionedTable(spark, table.path)
+    other.append(rows(4))
+    table._commit(lambda parts: [*parts, part])
+    assert read() == [1, 2, 3, 4] and sorted(r.id for r in before.collect()) == [1] and read(1) == [1]
+    table.compact("id INT", least=2)
+    assert read() == [1, 2, 3, 4] and len(table.parts()) == 1
+    table.expire(keep=1)
+    assert read() == [1, 2, 3, 4] and len(table.versions()) == 1
+    table.replace(rows(9))
+    assert read() == [9]
+    table.clear()
+    assert read() == []
+
+
+def test_writers_at_once_lose_nothing(spark):
+    from multiprocessing.pool import ThreadPool
+
+    path = scratch_path(spark, "raced")
+    with ThreadPool(4) as pool:
+        pool.map(lambda i: VersionedTable(spark, path).append(spark.createDataFrame([(i,)], "id INT").coalesce(1)), range(8))
+    table = VersionedTable(spark, path)
+    assert sorted(r.id for r in table.read("id INT").collect()) == list(range(8)) and len(table.versions()) == 8

@@ -12,7 +12,7 @@ from tussis.session import scratch_path
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files as they arrive; every trigger takes a bounded number of files."""
+    """Parquet files as they arrive. ``files_per_trigger`` bounds what a micro-batch takes; without it a backlog is one batch."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
