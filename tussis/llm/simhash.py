@@ -15,7 +15,7 @@ A bucket of more than ``BLOCK`` fingerprints is dealt into blocks, and each pair
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -330,23 +330,25 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, tabl
 
     Texts meet where one of their sample fingerprints is equal or linked by the index. In each such group the text with
     the smallest key leads, and all others are compared with it by their whole shingle sets; those that aren't similar
-    to it form a group again, until none is left. Every link is exact; a pair that never meets is missed (about one in
-    fifty at the least similarity, fewer above it). Texts without any word are similar to each other.
+    to it meet again in the parts of the group that agree in one more fingerprint too, and so on until none is left. So
+    a passage that many texts share costs a few rounds, not one a text. Every link is exact; a pair that never meets is
+    missed (about one in fifty at the least similarity, fewer above it). Texts without any word are similar to each other.
     """
     texts = written(_sampled(docs.select("doc_id", "text"), width, tables), "sampled-texts")
-    long = texts.select("text_key", "first_id", F.inline(F.array(*[F.struct(F.lit(i).alias("sample"), F.col(f"f{i}").alias("fp")) for i in range(tables)])))
+    all_prints = F.array(*[F.col(f"f{i}") for i in range(tables)]).alias("fps")
+    long = texts.select("text_key", "first_id", all_prints, F.inline(F.array(*[F.struct(F.lit(i).alias("sample"), F.col(f"f{i}").alias("fp")) for i in range(tables)])))
     prints = written(long.groupBy("fp").agg(F.count("*").alias("n")), "sample-prints")
     linked = components(links(prints.select("fp")))
-    rooted = long.join(if_small(linked), F.col("fp") == F.col("node"), "left").select("text_key", "first_id", "sample", F.coalesce("root", "fp").alias("spot"))
+    rooted = long.join(if_small(linked), F.col("fp") == F.col("node"), "left").select("text_key", "first_id", "sample", "fps", F.coalesce("root", "fp").alias("spot"))
     sizes = rooted.groupBy("sample", "spot").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("sample").alias("s"), F.col("spot").alias("p"))
-    shared = rooted.join(if_small(written(sizes, "shared-prints")), (F.col("sample") == F.col("s")) & (F.col("spot") == F.col("p"))).select("text_key", "first_id", "sample", "spot")
+    shared = rooted.join(if_small(written(sizes, "shared-prints")), (F.col("sample") == F.col("s")) & (F.col("spot") == F.col("p"))).select("text_key", "first_id", "sample", "fps", "spot")
     left = written(shared, "sampled-groups")
     wanted = left.select(F.col("text_key").alias("key"), F.col("first_id").alias("id")).distinct()
     sets = written(_sets(docs, written(wanted, "met-texts"), width), "shingle-sets")
     edges = []
-    while True:
+    for turn in count(1):
         lead = left.groupBy("sample", "spot").agg(F.min("text_key").alias("b"))
-        met = left.join(lead, ["sample", "spot"]).filter(F.col("text_key") > F.col("b")).select(F.col("text_key").alias("a"), "b", "sample", "spot", "first_id")
+        met = left.join(lead, ["sample", "spot"]).filter(F.col("text_key") > F.col("b")).select(F.col("text_key").alias("a"), "b", "sample", "spot", "fps")
         pairs = met.select("a", "b").distinct()
         ours, theirs = (sets.select(F.col("key").alias(k), F.col("shingles").alias(n)) for k, n in (("a", "x"), ("b", "y")))
         both = F.size(F.array_intersect("x", "y"))
@@ -356,7 +358,8 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, tabl
         apart = told.filter(~F.col("near")).select("a", "b")
         if apart.isEmpty():
             break
-        again = met.join(apart, ["a", "b"]).select(F.col("a").alias("text_key"), "first_id", "sample", "spot")
+        finer = F.xxhash64("spot", F.get("fps", F.pmod(F.col("sample") + turn, F.lit(tables))))
+        again = met.join(apart, ["a", "b"]).select(F.col("a").alias("text_key"), "sample", "fps", finer.alias("spot"))
         left = written(again, "sampled-groups")
     roots = components(_union(edges).distinct())
     return texts.join(if_small(roots), F.col("text_key") == F.col("node"), "left").select("text_key", "first_id", F.coalesce("root", "text_key").alias("root"))
