@@ -69,14 +69,19 @@ def _with_blocks(df: DataFrame, by: list[str], counts: DataFrame) -> DataFrame:
 def _packed(df: DataFrame, by: list[str], rows: int) -> DataFrame:
     """One row (by..., block, ids, matrix) per block of about ``rows`` rows (``id``, ``vec``)."""
     placed = _with_blocks(df, by, _block_counts(df, by, rows)).withColumn("block", F.pmod(F.xxhash64("id"), F.greatest("n_blocks", F.lit(1))))
-    kind = df.schema["id"].dataType
-    schema = T.StructType([*[df.schema[b] for b in by], T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("matrix", T.BinaryType())])
+    return packed_blocks(placed, [*by, "block"])
+
+
+def packed_blocks(placed: DataFrame, places: list[str]) -> DataFrame:
+    """One row (places..., ids, matrix) for all rows (``id``, ``vec``) of the same places."""
+    fields = [T.StructField(p, placed.schema[p].dataType) for p in places]
+    schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(placed.schema["id"].dataType)), T.StructField("matrix", T.BinaryType())])
 
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         matrix = np.stack([np.asarray(v, dtype=np.float64) for v in part["vec"]])
         return pd.DataFrame([[*key, part["id"].tolist(), matrix.tobytes()]], columns=schema.names)
 
-    return placed.select(*by, "block", "id", "vec").groupBy(*by, "block").applyInPandas(pack, schema)
+    return placed.select(*places, "id", "vec").groupBy(*places).applyInPandas(pack, schema)
 
 
 def _top(found: DataFrame, k: int, by: list[str]) -> DataFrame:
@@ -111,6 +116,11 @@ def nearest_neighbors(
     sent = _with_blocks(asked.withColumnRenamed("block", "q_block"), by, _block_counts(rows, by, block_rows)).where("n_blocks > 0")
     sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)))
     pairs = sent.join(blocks, [*by, "block"]).select(*by, "ids", "matrix", "c_ids", "c_matrix")
+    return _top(pairs.mapInPandas(block_match(schema, by, k, exclude_same), schema), k, by)
+
+
+def block_match(schema: T.StructType, by: list[str], k: int, exclude_same: bool):
+    """Compares the two blocks of each row (by..., ids, matrix, c_ids, c_matrix)."""
     names = schema.names
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +133,7 @@ def nearest_neighbors(
                     near[name] = value
                 yield near[names]
 
-    return _top(pairs.mapInPandas(match, schema), k, by)
+    return match
 
 
 def approximate_neighbors(

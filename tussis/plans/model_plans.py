@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tussis.functions import scoring as S
-from tussis.operators import balance as B, evaluate as E, neighbors as N, prepare as P
+from tussis.operators import balance as B, balls, evaluate as E, neighbors as N, prepare as P
 from tussis.plans.registry import query, spread_table, table
 from tussis.plans.scorers import NAMES, SCORERS, sql_probability, sql_score
 
@@ -111,16 +111,27 @@ def roc_auc(spark, folder):
 _KNN_SQL = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings)"""
 
 
-@query("knn_within_class", f"""{_KNN_SQL}, d AS (SELECT a.label, a.vec_id AS query_id, b.vec_id AS neighbor_id, round(list_distance(a.x, b.x), 9) AS distance
+_KNN_CLASS_SQL = f"""{_KNN_SQL}, d AS (SELECT a.label, a.vec_id AS query_id, b.vec_id AS neighbor_id, round(list_distance(a.x, b.x), 9) AS distance
       FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d)
-    SELECT label, query_id, neighbor_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+    SELECT label, query_id, neighbor_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"""
+
+
+@query("knn_within_class", _KNN_CLASS_SQL)
 def knn_within_class(spark, folder):
     v = vectors(spark, folder)
     near = N.nearest_neighbors(v, v, 5, query_id="vec_id", corpus_id="vec_id", vector="x", by=["label"], exclude_same=True)
     return near.withColumn("distance", F.round("distance", 6))
 
 
+@query("knn_pruned", _KNN_CLASS_SQL)
+def knn_pruned(spark, folder):
+    """The same neighbours, where balls of rows that can't hold any are left out before the join."""
+    v = vectors(spark, folder)
+    near, _ = balls.nearest_in_balls(v, v, 5, query_id="vec_id", corpus_id="vec_id", vector="x", by=["label"], exclude_same=True)
+    return near.withColumn("distance", F.round("distance", 6))
+
+
 @query("knn_classify", f"""{_KNN_SQL}, d AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, (b.label >= 5)::INTEGER AS y, round(list_distance(a.x, b.x), 9) AS distance
       FROM e a JOIN e b ON a.vec_id % 2 = 1 AND b.vec_id % 2 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d),
