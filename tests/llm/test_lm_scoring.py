@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,12 @@ def test_every_context_counts_whatever_the_automaton_holds(spark):
         got = {r.doc_id: r.score for r in lm.score_texts(df, F.col("doc_id") % 4 == 0, nodes=nodes).collect()}
         assert len(got) == len(texts)
         assert all(math.isclose(got[i], model.score(lowered(t)), rel_tol=1e-9) for i, t in enumerate(texts))
+
+
+def test_batches_are_cut_by_bytes(spark, monkeypatch):
+    texts = [b"x" * n for n in (3, 50, 0, 7, 7, 7, 200, 1)] + [b"y"] * 1200
+    whole = pa.RecordBatch.from_arrays([pa.array(texts)], ["b"])
+    monkeypatch.setattr(lm, "BATCH_BYTES", 20)
+    cut = [[len(x) for x in b.column(0).to_pylist()] for b in lm._batches(whole, 0)]
+    assert sum(cut, []) == [len(t) for t in texts] and cut[:5] == [[3], [50], [0, 7, 7], [7], [200]] and all(len(c) <= lm.TEXTS for c in cut)
+    assert list(lm._batches(whole.slice(0, 0), 0)) == []

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tussis.llm.common import whole_text, written
@@ -49,6 +50,8 @@ LANE = 256
 #: Texts a worker scores at a time: their number has as many bits as a key leaves free.
 TEXT_BITS = 9
 TEXTS = 1 << TEXT_BITS
+#: Bytes of the texts a worker scores at a time; walking them takes some 60 times as much memory.
+BATCH_BYTES = 1 << 22
 #: Symbols of a context that name its bucket; counts below that order are sent whole (at most 257 to the third power).
 NEAR = 3
 #: Most buckets, bytes of all texts to a bucket up to there, and to a slice of a bucket's places beyond.
@@ -388,6 +391,17 @@ def learn_words(texts: DataFrame, most: int = FREQUENT_WORDS) -> tuple[DataFrame
     return words, frequent, total, kinds, texts.count()
 
 
+def _batches(whole: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``TEXTS`` texts and, beyond the first text, ``BATCH_BYTES`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < whole.num_rows:
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, min(begin + TEXTS, int(np.searchsorted(ends, before + BATCH_BYTES, side="right"))))
+        yield whole.slice(begin, end - begin)
+        begin = end
+
+
 _WORKER: dict = {}
 
 
@@ -431,8 +445,7 @@ def score_texts(docs: DataFrame, held_out: Column, nodes: int = NODES, frequent_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, log = _prepared(name, trie, table)
         for whole in batches:
-            for begin in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(begin, TEXTS)
+            for batch in _batches(whole, 3):
                 texts = [t.as_buffer().to_pybytes().lower() for t in batch.column(3)]
                 scores, places = automaton.walk(texts)
                 numbers = batch.column(1).to_pylist()  # follow each other inside a task
