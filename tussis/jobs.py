@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tussis.functions import rules, scoring, spectral as X
 from tussis.functions.clean import DEFAULT_AGE, clamp_domain, extension, number_or, parse_bool, stem
-from tussis.operators import bulk, clean, lookup, models, profile
+from tussis.operators import bloom, bulk, clean, lookup, models, profile
 from tussis.operators.prepare import categories_of
-from tussis.operators.sizing import BROADCAST_ROWS, within_rows
 from tussis.session import durable
 from tussis.sources import sidecars, sinks
 from tussis.sources.audio import list_recordings
@@ -26,8 +25,8 @@ def analysed_recordings(spark: SparkSession, folder: str, spec: X.FrameSpec = X.
     """One analysed row per recording id.
 
     A recording with a file that can be decoded is decoded; one with other audio files only has a row with an error, by the
-    published order of extensions. ``only`` (file_id) skips the other files before they are decoded, as long as
-    its ids can be broadcast; file contents are never shuffled.
+    published order of extensions. ``only`` (file_id) skips the other files before they are decoded, by a filter of
+    bounded size, and the results are exactly of its ids; file contents are never shuffled.
     """
     order = [*DECODED, *[e for e in lookup.AUDIO_PRIORITY if e not in DECODED]]
     found = lookup.audio_lookup(list_recordings(spark, folder).select("path"), order)
@@ -37,9 +36,10 @@ def analysed_recordings(spark: SparkSession, folder: str, spec: X.FrameSpec = X.
         other = other.join(only.select("file_id"), "file_id", "left_semi")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder)
     named = files.select(stem(F.col("path")).alias("file_id"), "content")
-    if only is not None and within_rows(only, BROADCAST_ROWS):
-        named = named.join(F.broadcast(only.select("file_id")), "file_id", "left_semi")
-    return bulk.analyse(named, ["file_id"], spec).unionByName(other, allowMissingColumns=True)
+    if only is None:
+        return bulk.analyse(named, ["file_id"], spec).unionByName(other, allowMissingColumns=True)
+    analysed = bulk.analyse(bloom.might_be_in(named, only, "file_id"), ["file_id"], spec)
+    return analysed.join(only.select("file_id"), "file_id", "left_semi").unionByName(other, allowMissingColumns=True)
 
 
 USABLE = "error IS NULL AND NOT blocking"

@@ -179,6 +179,22 @@ def tree_nodes(spark, folder):
     return spark.createDataFrame(rows, "node LONG, feature INT, threshold DOUBLE, n0 LONG, n1 LONG")
 
 
+def _importance_sql(depth: int) -> str:
+    """Share of each feature in the decrease of impurity of that tree."""
+    steps = _tree_sql(depth).rsplit(" SELECT * FROM (", 1)[0]
+    gains = " UNION ALL ".join(f"SELECT j, pure - (ta * ta + tb * tb) / (ta + tb) AS gain FROM t{node}" for node in range(1, 2**depth))
+    return f"""{steps}, gains AS ({gains}) SELECT 'x' || f AS feature, round(coalesce(sum(gain), 0) / (SELECT sum(gain) FROM gains), 9) AS importance
+        FROM range({_STEPS}) AS r(f) LEFT JOIN gains ON j = f GROUP BY f"""
+
+
+@query("tree_importance", _importance_sql(3))
+def tree_importance(spark, folder):
+    """The importance of every feature of the tree of depth 3, those that are never cut included."""
+    grown = trees.grow(_stepped(spark, folder), trees.TreeSpec(depth=3), small=0)[0]
+    rows = [(f"x{j}", round(float(v), 9)) for j, v in enumerate(trees.importance(grown, _STEPS))]
+    return spark.createDataFrame(rows, "feature STRING, importance DOUBLE")
+
+
 _STEP, _MIX1, _MIX2, _WORD = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 2**64
 
 
