@@ -5,7 +5,7 @@
   rows are the kernel's, projected on that span.
 * **Blocks.** The rows of a part are dealt into blocks. A round is one job: every block improves its own dual variables
   by coordinate ascent against the shared weights, and the sum of what the blocks found moves the weights (with the
-  safe step of adding, each block counts all others as moving likewise). Dual variables stay in a written table between
+  safe step of adding, each block counts all others as moving likewise). A part of one block makes more passes a round. Dual variables stay in a written table between
   rounds; the weights are one small vector a problem. Rounds end when the gap between primal and dual value is
   within ``tolerance`` of the primal.
 * **Calibration.** The same solver runs for ``inner`` splits of every part at once; each row gets its margin from the
@@ -36,6 +36,7 @@ class KernelSpec:
     inner: int = 3
     rounds: int = 60
     passes: int = 30
+    alone: int = 300
     tolerance: float = 1e-3
     seed: int = 42
 
@@ -93,22 +94,21 @@ def spans(data: T.Training, spec: KernelSpec) -> dict[int, Span]:
 
 def ascend(z: np.ndarray, y: np.ndarray, caps: np.ndarray, alpha: np.ndarray, weights: np.ndarray, blocks: int, passes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """New dual variables of a block and its move of the weights. ``y`` is -1 or 1; rows with a cap of 0 take no part."""
-    alpha, moved = alpha.copy(), np.zeros_like(weights)
+    alpha, ahead = alpha.copy(), weights.copy()  # ``ahead``: the weights if all blocks moved like this one
     norms = (z * z).sum(axis=1) * blocks
     active = np.nonzero((caps > 0) & (norms > 0))[0]
     rng = np.random.default_rng(seed)
     for _ in range(passes):
         largest = 0.0
         for i in rng.permutation(active):
-            margin = y[i] * (z[i] @ weights + blocks * (z[i] @ moved))
-            step = min(max(alpha[i] + (1.0 - margin) / norms[i], 0.0), caps[i]) - alpha[i]
+            step = min(max(alpha[i] + (1.0 - y[i] * (z[i] @ ahead)) / norms[i], 0.0), caps[i]) - alpha[i]
             if step:
                 alpha[i] += step
-                moved += step * y[i] * z[i]
+                ahead += (blocks * step * y[i]) * z[i]
                 largest = max(largest, abs(step) * math.sqrt(norms[i]))
-        if largest < 1e-4:
+        if largest < (1e-3 if blocks == 1 else 1e-4):
             break
-    return alpha, moved
+    return alpha, (ahead - weights) / blocks
 
 
 STATE = "part int, block int, problem int, alpha binary, moved binary, hinge double, dual double"
@@ -153,7 +153,7 @@ def _solve(data: T.Training, spec: KernelSpec, found: Mapping[int, Span]) -> tup
                         caps = np.where(split + 1 == problem, 0.0, costs[part][y01])
                         y, w = 2.0 * y01 - 1.0, weights[part, problem]
                         hinge = float((caps * np.maximum(1.0 - y * (z @ w), 0.0)).sum())
-                        new, moved = ascend(z, y, caps, alpha, w, blocks[part], spec.passes, spec.seed + turn)
+                        new, moved = ascend(z, y, caps, alpha, w, blocks[part], spec.passes if blocks[part] > 1 else spec.alone, spec.seed + turn)
                         yield T._table([[v] for v in (part, block, problem, new.tobytes(), moved.tobytes(), hinge, float(alpha.sum()))], STATE)
 
         state = durable(rows.mapInArrow(improve, STATE))

@@ -120,6 +120,13 @@ def best_bin(counts: np.ndarray, weights: np.ndarray) -> tuple[int, int, float]
     return (f, b, float(gain[f, b])) if gain[f, b] > 1e-9 else None
 
 
+def middle(edges: np.ndarray, counts: np.ndarray, at: int) -> float:
+    """The cut point behind bin ``at``: in the middle of the empty bins that follow it in the node (counts of bins and classes)."""
+    later = np.nonzero(counts[at + 1 :].any(axis=1))[0]
+    last = at + (int(later[0]) if len(later) else 0)
+    return float((edges[at] + edges[min(last, len(edges) - 1)]) / 2)
+
+
 def best_cut(left: np.ndarray, total: np.ndarray, weights: np.ndarray) -> tuple[int, float] | None:
     """(feature position, gain) of one cut per feature; the first of equal gains."""
     gain = gini_gain(left, total, weights)
@@ -174,11 +181,14 @@ def grow_below(spec: TreeSpec, tree: int, node: int, x: np.ndarray, y: np.ndarra
             else:
                 cells = (np.arange(len(features)) * (BINS + 1) + own) * 2 + y[rows][:, None]
                 counts = np.bincount(cells.ravel(), np.repeat(times[rows], len(features)), len(features) * (BINS + 1) * 2)
-                found = best_bin(counts.reshape(len(features), BINS + 1, 2), weights)
-                split = found and (int(features[found[0]]), found[1], found[2], own[:, found[0]] <= found[1])
+                counts = counts.reshape(len(features), BINS + 1, 2)
+                found = best_bin(counts, weights)
+                if found:
+                    feature = int(features[found[0]])
+                    split = (feature, middle(edges[feature], counts[found[0]], found[1]), found[2], own[:, found[0]] <= found[1])
         if split:
             feature, cut, gain, goes = split
-            out.append((at, feature, float(cut if edges is None else edges[feature][cut]), gain, n0, n1))
+            out.append((at, feature, float(cut), gain, n0, n1))
             waiting += [(2 * at, rows[goes]), (2 * at + 1, rows[~goes])]
         else:
             out.append((at, -1, 0.0, 0.0, n0, n1))
@@ -378,7 +388,7 @@ def _level(data: Training, spec: TreeSpec, state) -> DataFrame:
         total, rows = counts[0].sum(axis=0), int(seen[0].sum())
         found = best_bin(counts, weights[part]) if total.all() and rows >= spec.min_split and node.bit_length() <= spec.depth else None
         f, b, gain = found or (0, 0, 0.0)
-        row = [part, tree, node, int(names[f]) if found else -1, float(edges[part][names[f]][b]) if found else 0.0, gain, int(total[0]), int(total[1]), rows, int(seen[f, : b + 1].sum())]
+        row = [part, tree, node, int(names[f]) if found else -1, middle(edges[part][names[f]], counts[f], b) if found else 0.0, gain, int(total[0]), int(total[1]), rows, int(seen[f, : b + 1].sum())]
         return pa.Table.from_batches([_table([[v] for v in row], SPLITS)])
 
     return sums.groupBy("part", "tree", "node").applyInArrow(choose, SPLITS)
