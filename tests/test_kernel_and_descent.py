@@ -43,7 +43,7 @@ def test_weights_reach_the_optimum(spark, monkeypatch, block):
         best, _ = plain_dual(z, sign, caps)
         w = weights[part, 0]
         primal = w @ w / 2 + (caps * np.maximum(1 - sign * (z @ w), 0)).sum()
-        assert best - 1e-6 <= primal <= best * (1.005 if block == 20_000 else 1.02)
+        assert best - 1e-6 <= primal <= best * (1.005 if block == 20_000 else 1.03)
 
 
 def test_all_rows_as_landmarks_give_the_exact_kernel():
