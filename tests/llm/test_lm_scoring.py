@@ -147,3 +147,28 @@ def test_batches_are_cut_by_bytes(spark, monkeypatch):
     cut = [[len(x) for x in b.column(0).to_pylist()] for b in lm._batches(whole, 0)]
     assert sum(cut, []) == [len(t) for t in texts] and cut[:5] == [[3], [50], [0, 7, 7], [7], [200]] and all(len(c) <= lm.TEXTS for c in cut)
     assert list(lm._batches(whole.slice(0, 0), 0)) == []
+
+
+def test_counts_are_dealt_once_but_to_crowded_buckets(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 200))) for _ in range(80)] + ["xyz" * rng.randint(1, 40) for _ in range(40)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    model = Brute([lowered(t) for i, t in enumerate(texts) if i % 4])
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 40)
+    monkeypatch.setattr(lm, "GATHERED", 300)
+    for crowd in (50, 1 << 22):
+        monkeypatch.setattr(lm, "SLICE_PLACES", crowd)
+        got = {r.doc_id: r.score for r in lm.score_texts(df, F.col("doc_id") % 4 == 0, nodes=5).collect()}
+        assert len(got) == len(texts)
+        assert all(math.isclose(got[i], model.score(lowered(t)), rel_tol=1e-9) for i, t in enumerate(texts))
+    grams = spark.createDataFrame([(k, 1) for k in range(600)], "gram bigint, n bigint").repartition(1)
+    monkeypatch.setattr(lm, "GATHERED", 1 << 19)
+    nothing = spark.createDataFrame([], "cell int, slices int")
+    pieces = lm.dealt_counts(grams, nothing, 7).collect()
+    crowded = spark.createDataFrame([(pieces[0].cell, 5)], "cell int, slices int")
+    again = lm.dealt_counts(grams, crowded, 7).collect()
+    assert sorted(p.slice for p in again if p.cell == pieces[0].cell) == [0, 1, 2, 3, 4]
+    assert len(again) == len(pieces) + 4 and len({p.cell for p in pieces}) == len(pieces)
+    places = spark.createDataFrame([(c, r, b"", n) for c, r, n in ((0, 1, 40), (0, 2, 30), (1, 1, 50))], "cell int, row bigint, piece binary, n bigint")
+    monkeypatch.setattr(lm, "SLICE_PLACES", 50)
+    assert [tuple(r) for r in lm.bucket_slices(places).collect()] == [(0, 2)]

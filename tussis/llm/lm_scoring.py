@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tussis.llm.common import whole_text, written
+from tussis.llm.common import if_small, whole_text, written
 
 ORDER = 5
 #: Most contexts in the automaton, and most words in the broadcast table.
@@ -54,10 +54,11 @@ TEXTS = 1 << TEXT_BITS
 BATCH_BYTES = 1 << 22
 #: Symbols of a context that name its bucket; counts below that order are sent whole (at most 257 to the third power).
 NEAR = 3
-#: Most buckets, bytes of all texts to a bucket up to there, and to a slice of a bucket's places beyond.
-BUCKETS = 256
-BUCKET_BYTES = 1 << 21
-SLICE_BYTES = 1 << 29
+#: Bytes of all texts to a bucket. A bucket of one name can't be cut further: beyond so many places it is dealt into slices.
+BUCKET_BYTES = 1 << 22
+SLICE_PLACES = 1 << 22
+#: Places or counts that a task gathers before it packs them by bucket.
+GATHERED = 1 << 19
 
 
 def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -275,18 +276,19 @@ def low_bits(grams: np.ndarray, symbols: int) -> np.ndarray:
 def packed(grams: np.ndarray, columns: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     """``columns`` in pieces, one to a bucket of ``grams``. Bytes of the same weight lie together and are compressed."""
     mixed = low_bits(grams >> SYMBOL_BITS, NEAR) * 0x9E3779B1 >> 16
-    bucket = (mixed % buckets).astype(np.uint16)
+    bucket = (mixed % buckets).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
-    ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-    for b in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
-        part = columns[:, order[ends[b - 1] if b else 0 : ends[b]]]
+    bucket = bucket[order]
+    begins = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(bucket)]):
+        part = columns[:, order[begin:end]]
         planes = np.ascontiguousarray(part).view(np.uint8).reshape(-1, 8).T.tobytes()
-        yield b, len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+        yield int(bucket[begin]), len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def unpacked(piece: bytes) -> np.ndarray:
+def unpacked(piece: bytes, columns: int) -> np.ndarray:
     planes = pa.decompress(piece[8:], int.from_bytes(piece[:8], "little"), codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.int64).reshape(2, -1)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.int64).reshape(columns, -1)
 
 
 def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -347,38 +349,68 @@ def learn_bytes(texts: DataFrame, nodes: int = NODES) -> tuple[DataFrame, tuple[
     return grams, (kept.toArrow()["context"].to_numpy(), *(entries[c].to_numpy() for c in ("context", "symbol", "n")))
 
 
-def left_scores(grams: DataFrame, places: DataFrame, buckets: int, slices: int) -> DataFrame:
-    """``row, gain``: what the places that the automaton left add to the score of their text. A bucket's places are dealt into
-    ``slices``, each of which meets all counts of the bucket.
+def bucket_slices(places: DataFrame) -> DataFrame:
+    """``cell, slices`` of the buckets with more than ``SLICE_PLACES`` places; all others are one slice."""
+    loads = places.groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > SLICE_PLACES)
+    return written(loads.select("cell", F.ceil(F.col("n") / SLICE_PLACES).cast("int").alias("slices")), "slices")
+
+
+def dealt_counts(grams: DataFrame, heavy: DataFrame, buckets: int) -> DataFrame:
+    """``cell, slice, piece``: the counts packed by bucket, once, and once a slice for the buckets in ``heavy``.
+
+    Buckets are named by three symbols, so the counts of one that can't be cut further have a bound whatever the input (257 to
+    the third power), and their copies grow with the share of its places only.
     """
-    context = grams.sparkSession.sparkContext
-    lowest = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (SYMBOL_BITS * NEAR)) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
-    low = context.broadcast((lowest["gram"].to_numpy(), lowest["n"].to_numpy()))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            columns = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (0, 1)])
-            pieces = list(packed(columns[0], columns, buckets))
-            cells = [(b * slices + s, p) for b, p in pieces for s in range(slices)]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in cells], pa.int32()), pa.array([p for _, p in cells], pa.binary())], ["cell", "piece"])
+            held.append(np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (0, 1)]))
+            size += batch.num_rows
+            if size >= GATHERED:
+                yield from taken(held)
+                held, size = [], 0
+        if held:
+            yield from taken(held)
+
+    def taken(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        columns = np.concatenate(held, axis=1)
+        pieces = list(packed(columns[0], columns, buckets))
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in pieces], pa.int32()), pa.array([p for _, p in pieces], pa.binary())], ["cell", "piece"])
+
+    known = grams.select("gram", "n").mapInArrow(pack, "cell int, piece binary")
+    slices = F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)
+    return known.join(if_small(heavy), "cell", "left").select("cell", F.explode(slices).alias("slice"), "piece")
+
+
+def left_scores(grams: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
+    """``row, gain``: what the places that the automaton left add to the score of their text. The places of a bucket meet
+    its counts in one task, or in one for each slice of them.
+    """
+    context = grams.sparkSession.sparkContext
+    lowest = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (SYMBOL_BITS * NEAR)) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    low = context.broadcast((lowest["gram"].to_numpy(), lowest["n"].to_numpy()))
 
     def meet(known: pa.Table, wanted: pa.Table) -> pa.Table:
         _WORKER.clear()
         if not wanted.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64())], ["row", "gain"])
-        pieces = [unpacked(p) for p in known["piece"].to_pylist()] or [np.zeros((2, 0), np.int64)]
+        pieces = [unpacked(p, 2) for p in known["piece"].to_pylist()] or [np.zeros((2, 0), np.int64)]
         keys, counts = np.concatenate(pieces, axis=1)
-        pieces = [unpacked(p) for p in wanted["piece"].to_pylist()]
+        pieces = [unpacked(p, 3) for p in wanted["piece"].to_pylist()]
         row = np.repeat(wanted["row"].to_numpy(), [p.shape[1] for p in pieces])
-        places, n = np.concatenate(pieces, axis=1)
-        row = row + (places & (TEXTS - 1))
-        asked, which = np.unique(places >> TEXT_BITS, return_inverse=True)
+        places, n, offset = np.concatenate(pieces, axis=1)
+        row = row + offset
+        asked, which = np.unique(places, return_inverse=True)
         gain = gram_scores(asked, keys, counts, *low.value)[which] * n
         rows, which = np.unique(row, return_inverse=True)
         return pa.table([pa.array(rows), pa.array(np.bincount(which, weights=gain))], ["row", "gain"])
 
-    known = grams.select("gram", "n").mapInArrow(pack, "cell int, piece binary")
-    parts = known.groupBy("cell").cogroup(places.groupBy("cell")).applyInArrow(meet, "row bigint, gain double")
+    heavy = bucket_slices(places)
+    known = dealt_counts(grams, heavy, buckets)
+    slice_ = F.pmod(F.xxhash64("row"), F.coalesce("slices", F.lit(1))).cast("int")
+    wanted = places.join(if_small(heavy), "cell", "left").select("cell", slice_.alias("slice"), "row", "piece")
+    parts = known.groupBy("cell", "slice").cogroup(wanted.groupBy("cell", "slice")).applyInArrow(meet, "row bigint, gain double")
     return parts.groupBy("row").agg(F.sum("gain").alias("gain"))
 
 
@@ -438,18 +470,30 @@ def score_texts(docs: DataFrame, held_out: Column, nodes: int = NODES, frequent_
     grams, trie = learn_bytes(training, nodes)
     trie, table = context.broadcast(trie), context.broadcast(frequent)
     size = rows.agg(F.sum(F.octet_length("b"))).first()[0] or 0
-    buckets, slices = min(BUCKETS, 1 + size // BUCKET_BYTES), 1 + size // SLICE_BYTES
+    buckets = min(SYMBOLS**NEAR, 1 + size // BUCKET_BYTES)
     name = uuid.uuid4().hex
     end_score, end_known = float(np.log10(n_texts + 1)), int(n_texts > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, log = _prepared(name, trie, table)
+        left, n_left = [], 0
+
+        def pieces() -> pa.RecordBatch:
+            key, n, row = np.concatenate(left, axis=1)
+            first = int(row.min()) if len(row) else 0
+            cut = list(packed(key, np.stack([key, n, row - first]), buckets))
+            sizes = [int.from_bytes(p[:8], "little") // 24 for _, p in cut]
+            nobody = pa.nulls(len(cut), id_arrow)
+            return _batch(nobody, [[first] * len(cut), None, None, None, None, None, None, sizes, [b for b, _ in cut], [p for _, p in cut]])
+
         for whole in batches:
+            id_arrow = whole.column(0).type
             for batch in _batches(whole, 3):
                 texts = [t.as_buffer().to_pybytes().lower() for t in batch.column(3)]
                 scores, places = automaton.walk(texts)
                 numbers = batch.column(1).to_pylist()  # follow each other inside a task
-                pieces = list(packed(places[0] >> TEXT_BITS, places, buckets))
+                left.append(np.stack([places[0] >> TEXT_BITS, places[1], (places[0] & (TEXTS - 1)) + numbers[0]]))
+                n_left += left[-1].shape[1]
                 tokens, hits, base = [], [], []
                 rare_rows, rare_words, rare_n = [], [], []
                 for row, text in zip(numbers, texts):
@@ -470,16 +514,18 @@ def score_texts(docs: DataFrame, held_out: Column, nodes: int = NODES, frequent_
                 yield _batch(batch.column(0), [numbers, batch.column(2), tokens, hits, base, scores, None, None, None, None])
                 nobody = pa.nulls(len(rare_rows), batch.column(0).type)
                 yield _batch(nobody, [rare_rows, None, None, None, None, None, rare_words, rare_n, None, None])
-                cells = [b * slices + numbers[0] // TEXTS % slices for b, _ in pieces]
-                nobody = pa.nulls(len(cells), batch.column(0).type)
-                yield _batch(nobody, [[numbers[0]] * len(cells), None, None, None, None, None, None, None, cells, [p for _, p in pieces]])
+                if n_left >= GATHERED:
+                    yield pieces()
+                    left, n_left = [], 0
+        if left:
+            yield pieces()
 
     numbered = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "held_out", "b")
     mixed = written(numbered.mapInArrow(run, f"doc_id {id_type}, {DOC}"), "scored")
     rare = mixed.filter("word is not null").select("row", "word", "n")
     counted = words.withColumnRenamed("n", "c")
     more = rare.join(counted, "word").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("gain"))
-    left = left_scores(grams, mixed.filter("cell is not null").select("cell", "row", "piece"), buckets, slices)
+    left = left_scores(grams, mixed.filter("cell is not null").select("cell", "row", "piece", "n"), buckets)
     return mixed.filter("n_tokens is not null").join(more, "row", "left").join(left, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(train_tokens).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce(more["gain"], F.lit(0.0))).alias("base_score"),
