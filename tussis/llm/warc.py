@@ -1,6 +1,6 @@
 """WARC archives: written by tasks, and read back in byte ranges.
 
-Every record is a gzip member of its own. A reading task gets a byte range, looks for the gzip magic in it, and takes a
+Every record written is a gzip member of its own; archives of other writers are read too. A reading task gets a byte range, looks for the gzip magic in it, and takes a
 candidate for a member only if it inflates to a WARC header; it owns the records that start inside its range and
 reads on past the end for the last one. Archives of any size are so read by many tasks, without an index.
 
@@ -10,6 +10,7 @@ of committed attempts are in the manifest, so tasks can be lost and run again.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -129,7 +130,7 @@ def inflate(source, start: int) -> tuple[bytes, int] | None:
 
 
 def records_in(source, start: int, end: int) -> Iterator[bytes]:
-    """Records whose members start in [start, end)."""
+    """Inflated members that hold records and start in [start, end)."""
     at, offset, block = start, start, b""
     while at < end:
         if at < offset or at - offset + len(MAGIC) > len(block):
@@ -150,36 +151,135 @@ def records_in(source, start: int, end: int) -> Iterator[bytes]:
             at = taken[1]
 
 
-def parsed(record: bytes) -> tuple:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri of a record; a damaged one raises."""
-    head, _, rest = record.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8").split("\r\n")[1:])
-    length = int(fields["Content-Length"])
-    block = rest[:length]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = int(re.search(rb"^Content-Length: (\d+)\r?$", http, re.MULTILINE)[1])
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-    kind = fields["WARC-Type"]
-    if rest[length:] != b"\r\n\r\n" or kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-        raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-
-    def page(name: str) -> int | None:
-        text = fields.get(name, "").removeprefix("<urn:page:").removesuffix(">")
-        return int(text) if text else None
-
-    return page("WARC-Record-ID"), size, digest, kind, page("WARC-Refers-To"), fields.get("WARC-Target-URI")
-
-
-RECORD = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, target_uri string"
+def header_fields(head: bytes) -> dict[str, str]:
+    """Header lines after the first as a dict of lower-case names; folded lines are joined, of repeated names the first counts."""
+    fields: dict[str, str] = {}
+    last = None
+    for line in re.split("\r?\n", head.decode("utf-8", "replace"))[1:]:
+        if line[:1] in (" ", "\t") and last:
+            fields[last] += " " + line.strip()
+        elif ":" in line:
+            last, _, value = line.partition(":")
+            last = last.strip().lower()
+            if last in fields:
+                last = None
+            else:
+                fields[last] = value.strip()
+    return fields
+
+
+def cut_head(data: bytes, start: int = 0) -> tuple[bytes, int]:
+    """The header that starts at ``start`` and the place after its blank line; without one, all of the rest is header."""
+    ends = re.compile(rb"\r?\n\r?\n").search(data, start)
+    return (data[start : ends.start()], ends.end()) if ends else (data[start:], len(data))
+
+
+def split_member(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Fields and block of every record of an inflated member; some writers put several into one. A damaged one raises."""
+    at = 0
+    while at < len(data):
+        head, begin = cut_head(data, at)
+        fields = header_fields(head)
+        if not head.startswith(VERSION) or not re.fullmatch("[0-9]+", fields.get("content-length", "")):
+            raise ValueError(f"damaged record {fields.get('warc-record-id')}: no header")
+        end = begin + int(fields["content-length"])
+        if data[end : end + 4] != b"\r\n\r\n":
+            raise ValueError(f"damaged record {fields.get('warc-record-id')}: wrong length")
+        yield fields, data[begin:end]
+        at = end + 4
+
+
+def dechunked(body: bytes) -> bytes:
+    """An HTTP body without its chunk sizes; as it is from where it isn't chunked."""
+    parts, at = [], 0
+    while True:
+        size = re.compile(rb"([0-9A-Fa-f]+)[ \t]*(?:;[^\r\n]*)?\r?\n").match(body, at)
+        if size is None:
+            return b"".join([*parts, body[at:]])
+        n = int(size[1], 16)
+        if n == 0:
+            return b"".join(parts)
+        parts.append(body[size.end() : size.end() + n])
+        at = size.end() + n
+        at += 2 if body[at : at + 2] == b"\r\n" else 1 if body[at : at + 1] == b"\n" else 0
+
+
+def digest_matches(declared: str, *contents: bytes) -> bool | None:
+    """Whether ``algorithm:value`` (hex or base 32) is the digest of one of the contents; None where the algorithm isn't known."""
+    name, _, value = declared.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha384", "sha512") or not value:
+        return None
+    for content in contents:
+        found = hashlib.new(name, content, usedforsecurity=False).digest()
+        if value.strip().lower() == found.hex() or value.strip().rstrip("=").upper() == base64.b32encode(found).decode().rstrip("="):
+            return True
+    return False
+
+
+def page_of(identifier: str | None) -> int | None:
+    """The page id in a record id of this module's archives; None for any other."""
+    found = re.fullmatch(r"<?urn:page:(-?[0-9]{1,19})>?", identifier or "")
+    return int(found[1]) if found and -(1 << 63) <= int(found[1]) < 1 << 63 else None
+
+
+def parsed(fields: dict[str, str], block: bytes) -> tuple:
+    """The columns of ``RECORD`` for one record.
+
+    The payload is what follows an HTTP header, without chunk sizes, or the whole block of other records. Its length and
+    SHA-256 are taken from it; those of a revisit, which has none, from the response's length and the declared
+    digest (as declared, where it isn't SHA-256 in hex). A block or payload that contradicts its declared digest, or an HTTP body
+    shorter than its length without a note that it was cut, raises.
+    """
+    kind, content = fields.get("warc-type", "").lower(), fields.get("content-type", "").lower()
+    is_http = content.replace(" ", "").startswith("application/http") and kind in ("response", "request", "revisit")
+    payload, http, line = block, {}, b""
+    if is_http:
+        head, begin = cut_head(block)
+        http, payload, line = header_fields(head), block[begin:], head.partition(b"\n")[0]
+    raw = payload
+    if "chunked" in http.get("transfer-encoding", "").lower():
+        payload = dechunked(raw)
+    declared, whole = fields.get("warc-payload-digest", ""), "warc-truncated" not in fields
+    status = re.match(rb"HTTP/\S+ +([0-9]{3})", line)
+    stated = http.get("content-length", "")
+    size = int(stated) if stated.isdecimal() else None
+    if kind == "revisit":
+        length, digest = size, declared.strip()
+        if re.fullmatch("sha-?256:[0-9a-fA-F]{64}", digest, re.IGNORECASE):
+            digest = digest.partition(":")[2].lower()
+        damaged = False
+    else:
+        length, digest = len(payload), hashlib.sha256(payload).hexdigest()
+        short = size is not None and raw is payload and len(payload) < size
+        damaged = whole and (short or digest_matches(declared, payload, raw) is False)
+    if damaged or whole and digest_matches(fields.get("warc-block-digest", ""), block) is False:
+        raise ValueError(f"damaged record {fields.get('warc-record-id')}: wrong digest or length")
+    return (
+        page_of(fields.get("warc-record-id")), length, digest or None, kind or None, page_of(fields.get("warc-refers-to")), fields.get("warc-target-uri"),
+        fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-date"), int(status[1]) if status else None, content or None,
+    )
+
+
+RECORD = (
+    "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, target_uri string,"
+    " record_id string, refers_to_id string, date string, http_status int, content_type string"
+)
 _NAMES = [c.split()[0] for c in RECORD.split(", ")]
-_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+_TYPES = [_ARROW[c.split()[1]] for c in RECORD.split(", ")]
 
 
 def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """All records of ``files`` (``path, length``), in ranges of ``range_bytes`` that are tasks' work of their own.
 
+    Any gzipped WARC file can be read: all record types, HTTP headers with or without lengths, chunked bodies, MD5 and SHA
+    digests in hex or base 32, ids of any form (``page_id`` and ``refers_to`` are null unless they name a page; ``record_id`` and
+    ``refers_to_id`` hold them as they are), fields in any case, several records to a member. What a record doesn't have is null.
+
     Members that don't inflate to a WARC record are passed over; a record whose lengths or digest are wrong raises. Text
-    payloads can't hold the gzip magic (it isn't UTF-8), so no range starts at a false member.
+    payloads can't hold the gzip magic (it isn't UTF-8), so no range starts at a false member; an archive stored
+    uncompressed inside a record could be taken for members where a range starts in it. An empty table gives no rows.
     """
     ranges = files.filter("length > 0").select("path", "length", F.explode(F.expr(f"sequence(0L, length - 1, {range_bytes}L)")).alias("start"))
     tasks = min(MOST_TASKS, max(1, ranges.count()))
@@ -190,8 +290,8 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
                 where, name = opened(path)
                 with where.open_input_file(name) as source:
                     rows = []
-                    for record in records_in(source, start, min(start + range_bytes, length)):
-                        rows.append(parsed(record))
+                    for data in records_in(source, start, min(start + range_bytes, length)):
+                        rows.extend(parsed(*record) for record in split_member(data))
                         if len(rows) >= 4096:
                             yield _batch(rows)
                             rows = []
