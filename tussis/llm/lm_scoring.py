@@ -54,8 +54,11 @@ TEXTS = 1 << TEXT_BITS
 BATCH_BYTES = 1 << 22
 #: Symbols of a context that name its bucket; counts below that order are sent whole (at most 257 to the third power).
 NEAR = 3
-#: Bytes of all texts to a bucket. A bucket of one name can't be cut further: beyond so many places it is dealt into slices.
+#: Bytes of all texts to a bucket, and the least number of buckets. A text has a gain a bucket it has places in, so with few
+#: buckets their number would grow with the square of the input until every place has its own.
+#: A bucket of one name can't be cut further: beyond so many places it is dealt into slices.
 BUCKET_BYTES = 1 << 22
+LEAST_BUCKETS = 1 << 10
 SLICE_PLACES = 1 << 22
 #: Places or counts that a task gathers before it packs them by bucket.
 GATHERED = 1 << 19
@@ -470,7 +473,7 @@ def score_texts(docs: DataFrame, held_out: Column, nodes: int = NODES, frequent_
     grams, trie = learn_bytes(training, nodes)
     trie, table = context.broadcast(trie), context.broadcast(frequent)
     size = rows.agg(F.sum(F.octet_length("b"))).first()[0] or 0
-    buckets = min(SYMBOLS**NEAR, 1 + size // BUCKET_BYTES)
+    buckets = min(SYMBOLS**NEAR, max(LEAST_BUCKETS, size // BUCKET_BYTES))
     name = uuid.uuid4().hex
     end_score, end_known = float(np.log10(n_texts + 1)), int(n_texts > 0)
 
