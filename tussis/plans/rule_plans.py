@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tussis.functions import clinical_terms as T, rules
+from tussis.functions import clinical_terms as T, keywords, rules
 from tussis.functions.clinical_terms import DEFAULT_TERMS
 from tussis.plans import sql_rules as S
 from tussis.plans.registry import query, spread_table, sql_text
@@ -185,3 +185,30 @@ def clinician_fields(spark, folder):
         .withColumn("risk", F.when(F.col("probability") >= 0.7, "HIGH").otherwise("low"))
     )
     return rules.clinician_fields(s, label="label", risk="risk", notes="notes", keep=["event_id"])
+
+
+_ALL_DOCUMENT_TERMS = {
+    f"{kind}: {name}": words
+    for kind, lexicon in (("symptom", DOCUMENT_TERMS.symptoms), ("sign", DOCUMENT_TERMS.emergencies), ("plan", DOCUMENT_TERMS.plans))
+    for name, words in lexicon.items()
+}
+_ALL_TERMS = {f"symptom: {n}": w for n, w in T.SYMPTOM_TERMS.items()} | {f"sign: {n}": w for n, w in DEFAULT_TERMS.emergencies.items()}
+
+
+@query(
+    "lexicon_automaton",
+    f"""{_EVENT_CLAUSES} SELECT event_id, array_to_string({S.sql_labels([(n, S.sql_mentions('clause_list', w, DEFAULT_TERMS.negators)) for n, w in _ALL_TERMS.items()])}, '; ') AS labels FROM cl""",
+)
+def lexicon_automaton(spark, folder):
+    labels = keywords.lexicon_labels(F.col("notes"), _ALL_TERMS, DEFAULT_TERMS.negators)
+    return screenings(spark, folder).select("event_id", F.array_join(labels, "; ").alias("labels"))
+
+
+@query(
+    "lexicon_automaton_documents",
+    f"""WITH cl AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[.;,]') AS clause_list FROM documents)
+    SELECT doc_id, array_to_string({S.sql_labels([(n, S.sql_mentions('clause_list', w, DOCUMENT_TERMS.negators)) for n, w in _ALL_DOCUMENT_TERMS.items()])}, '; ') AS labels FROM cl""",
+)
+def lexicon_automaton_documents(spark, folder):
+    labels = keywords.lexicon_labels(F.col("text"), _ALL_DOCUMENT_TERMS, DOCUMENT_TERMS.negators)
+    return spread_table(spark, folder, "documents").select("doc_id", F.array_join(labels, "; ").alias("labels"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tussis.functions import clinical_terms as T, rules, text as X
 from tussis.functions.clean import id_matches
-from tussis.operators import chat, history as H
+from tussis.operators import chat, history as H, search
 from tussis.plans.registry import query, spread_table, sql_strip, sql_text, table
 from tussis.plans.stand_ins import SCREENINGS_SQL, note_of
 from tussis.session import scratch_path
@@ -145,6 +145,13 @@ def history_search(spark, folder):
     return table(spark, folder, "customer").where(id_matches(F.col("c_name"), " OMER#00000012 ")).select("c_custkey", "c_name")
 
 
+@query("history_search_indexed", "SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), 'omer#00000012')")
+def history_search_indexed(spark, folder):
+    index = scratch_path(spark, "search-index")
+    search.write_index(table(spark, folder, "customer").select("c_custkey", "c_name"), "c_name", index)
+    return search.search(spark, index, "c_name", " OMER#00000012 ")
+
+
 @query("history_delta", f"""{HISTORY_SQL}, r AS (SELECT patient_id, coalesce(confidence, 0.0::DOUBLE) AS c, row_number() OVER (PARTITION BY patient_id ORDER BY ts DESC, id DESC) AS n FROM history),
     p AS (SELECT a.patient_id, a.c AS latest, b.c AS previous FROM r a JOIN r b ON a.patient_id = b.patient_id AND a.n = 1 AND b.n = 2)
     SELECT patient_id, latest, previous, round((latest - previous) * 100, 6) AS delta_points, CASE WHEN latest - previous >= 0 THEN '+' ELSE '-' END AS direction FROM p""")
