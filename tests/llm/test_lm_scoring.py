@@ -154,7 +154,8 @@ def test_counts_are_dealt_once_but_to_crowded_buckets(spark, monkeypatch):
     texts = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 200))) for _ in range(80)] + ["xyz" * rng.randint(1, 40) for _ in range(40)] + [None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
     model = Brute([lowered(t) for i, t in enumerate(texts) if i % 4])
-    monkeypatch.setattr(lm, "BUCKET_BYTES", 40)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(lm, "LEAST_BUCKETS", 3)
     monkeypatch.setattr(lm, "GATHERED", 300)
     for crowd in (50, 1 << 22):
         monkeypatch.setattr(lm, "SLICE_PLACES", crowd)
