@@ -203,3 +203,76 @@ def test_members_unlike_their_leader_meet_again(spark, monkeypatch):
     rows = [(10 * k + j, " ".join(b + [f"t{j}"])) for k, b in enumerate(bases) for j in range(5)]
     got = {r.first_id: r.root for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all((got[a] == got[b]) == (a // 10 == b // 10) for a in got for b in got)
+
+
+def brute_roots(texts):
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for b in range(len(texts)):
+        for a in range(b):
+            if similar(sets[a], sets[b]):
+                p, q = find(a), find(b)
+                label[max(p, q)] = min(p, q)
+    return [find(i) for i in range(len(texts))]
+
+
+def found_roots(spark, texts, **more):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = {}
+    rows = simhash.similar_texts(df, **more).select("first_id", "root").collect()
+    for r in rows:
+        names[r.root] = min(names.get(r.root, r.first_id), r.first_id)
+    got = {r.first_id: names[r.root] for r in rows}
+    return [got[i] for i in range(len(texts))]
+
+
+def chained(rng):
+    """Sets of one size, each 0.8 or a little more like the next only, around a passage that others share in part."""
+    words = [f"c{rng.randrange(10**9)}" for _ in range(104)]
+    texts = []
+    for step in range(6):
+        texts.append(" ".join(words))
+        k = 5 + 22 * step % 90
+        words[k : k + 6] = [f"d{rng.randrange(10**9)}" for _ in range(6)]
+    return texts
+
+
+def odd_texts(seed):
+    rng = random.Random(seed)
+    texts = ["", " ", "\n \t", "one", "ONE ", "one two", "a a a a a a a a a a", "a a a a a a a"]
+    shared = [f"s{i}" for i in range(80)]
+    for _ in range(60):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(rng.randint(6, 160))]
+        texts += [" ".join(words), edited(rng, words, 1), edited(rng, words, 2), " ".join(words[: int(len(words) * 0.84)])]
+        texts.append(" ".join(shared[: rng.randint(60, 80)] + words[: rng.randint(0, 40)]))
+        texts += chained(rng)
+    return sorted(set(texts))
+
+
+def test_no_similar_pair_is_left_out(spark):
+    texts = odd_texts(21)
+    assert found_roots(spark, texts) == brute_roots(texts)
+
+
+def test_long_lists_and_large_cells_are_dealt(spark):
+    texts = odd_texts(22)
+    want = brute_roots(texts)
+    assert found_roots(spark, texts, block=7) == want
+
+
+def test_chains_are_followed_when_all_share_one_leader(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "sample_prints", lambda hashes, tables=8, sample=4: np.full(tables, 7, np.uint64))
+    texts = [t for k in range(12) for t in chained(random.Random(k))]
+    assert found_roots(spark, texts) == brute_roots(texts) and len(set(brute_roots(texts))) == 12
+
+
+def test_all_similar_given_documents_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = sorted({r.text or "" for r in docs.collect()})
+    assert found_roots(spark, texts) == brute_roots(texts)

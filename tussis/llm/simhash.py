@@ -14,8 +14,9 @@ A bucket of more than ``BLOCK`` fingerprints is dealt into blocks, and each pair
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations, count
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -274,6 +275,16 @@ def hex_digits(fp):
 #: Fingerprints of samples per text, and shingles in a sample: two texts of similarity 0.8 share one of them with a chance of 0.98.
 TABLES = 8
 SAMPLE = 4
+#: Rows that tell which shingles are common, and the most of these that are sent to the tasks. Neither changes a class.
+ORDER_SAMPLE = 4_096
+MOST_COMMON = 32_768
+#: Largest table of pairs' routes that is sent whole, and pairs of list entries that are looked at a time.
+ROUTE_BYTES = 32 << 20
+PAIRS_OF_LISTS = 1 << 20
+#: Kept off the bounds, so that rounding never drops a pair.
+SLACK = 1e-6
+#: Side of an entry whose own block is both blocks of its cell; 0 is the lower, 1 the higher.
+BOTH = 2
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -299,79 +310,232 @@ def sample_prints(hashes: np.ndarray, tables: int = TABLES, sample: int = SAMPLE
     return np.packbits(2 * bits.sum(axis=1) > sample, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def _sampled(docs: DataFrame, width: int, tables: int) -> DataFrame:
-    """``text_key, first_id, fps`` of every distinct text."""
+def prefix_length(n: int, similarity: float) -> int:
+    """Shingles at the head of a set of ``n`` of which a set similar to it must hold one among its own."""
+    return max(1, min(n, n - math.ceil(similarity * n - SLACK) + 1))
+
+
+def _common_shingles(docs: DataFrame, width: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles seen twice or more in about ``ORDER_SAMPLE`` rows, ascending, and how often; at most ``MOST_COMMON``.
+
+    They only put rare shingles before common ones and tell which lists to deal. Any order gives the same classes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [sample_prints(shingle_hashes(t.as_buffer().to_pybytes(), width), tables).view(np.int64) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "text_key", "fps"])
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_buffer().to_pybytes(), width).view(np.int64))], ["shingle"])
 
-    narrow = docs.select("doc_id", _text_key(F.col("text")).alias("text_key"), whole_text(F.col("text")).cast("binary").alias("b"))
-    prints = narrow.mapInArrow(run, f"doc_id {dict(narrow.dtypes)['doc_id']}, text_key bigint, fps array<bigint>")
-    return prints.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), *[F.max(F.get("fps", F.lit(i))).alias(f"f{i}") for i in range(tables)])
+    drawn = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, ORDER_SAMPLE / max(rows, 1)) * (1 << 30)))
+    seen = drawn.select(whole_text(F.col("text")).cast("binary").alias("b")).mapInArrow(run, "shingle bigint")
+    often = seen.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
+    shingles, n = often["shingle"].to_numpy().view(np.uint64), often["n"].to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``key, shingles``: hashed shingles of the wanted texts (``key, id``), each text once."""
+def _sampled(docs: DataFrame, width: int, similarity: float, tables: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``doc_id, text_key, fps, size, head`` of every row: sample fingerprints, number of shingles, and the first of these in rising commonness."""
+
+    def head(hashes: np.ndarray) -> np.ndarray:
+        if not len(hashes):
+            return np.zeros(1, np.uint64)  # texts without words meet in a list of their own
+        weight = np.zeros(len(hashes), np.int64)
+        if len(common[0]):
+            at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+            weight = np.where(common[0][at] == hashes, common[1][at], 0)
+        return hashes[np.argsort(weight, kind="stable")[: prefix_length(len(hashes), similarity)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(t.as_buffer().to_pybytes(), width).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
+            sets = [shingle_hashes(t.as_buffer().to_pybytes(), width) for t in batch.column(2)]
+            fps, heads = ([f(s).view(np.int64) for s in sets] for f in (lambda s: sample_prints(s, tables), head))
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, lists), pa.array([len(s) for s in sets], pa.int32()), pa.array(heads, lists)], ["doc_id", "text_key", "fps", "size", "head"])
+
+    narrow = docs.select("doc_id", _text_key(F.col("text")).alias("text_key"), whole_text(F.col("text")).cast("binary").alias("b"))
+    return narrow.mapInArrow(run, f"doc_id {dict(narrow.dtypes)['doc_id']}, text_key bigint, fps array<bigint>, size int, head array<bigint>")
+
 
+def _dealt(n, block: int):
+    """Blocks of a group of ``n``."""
+    return F.ceil(n / block).cast("int")
+
+
+def _similar(docs: DataFrame, texts: DataFrame, pairs: DataFrame, width: int, similarity: float, block: int) -> DataFrame:
+    """``a, b``: links that connect what the similar ones among ``pairs`` connect, told by whole shingle sets.
+
+    Pairs go to the cell of the smallest partner of ``a``, so that a group's sets travel about once each. The cells of more
+    than ``block`` texts are dealt into pairs of blocks.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [shingle_hashes(t.as_buffer().to_pybytes(), width).view(np.int64) for t in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(got, pa.list_(pa.int64()))], ["lead", "cell", "key", "others", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, {}
+        for batch in batches:
+            for lead, part, key, others, shingles in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), batch.column(4)):
+                if (lead, part) != cell:
+                    yield _cell_links(held, similarity)
+                    cell, held = (lead, part), {}
+                held[key] = (others.values.to_pylist(), shingles.values.to_numpy().view(np.uint64).copy())
+        yield _cell_links(held, similarity)
+
+    pairs = written(pairs, "met-pairs")
+    turned = pairs.select(F.col("a").alias("key"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("key"), F.col("a").alias("other")))
+    least = turned.groupBy("key").agg(F.least(F.min("other"), F.col("key")).alias("lead"))
+    led = written(pairs.join(least, F.col("a") == F.col("key")).select("lead", "a", "b"), "led-pairs")
+    members = led.select("lead", F.col("a").alias("key")).unionByName(led.select("lead", F.col("b").alias("key"))).distinct()
+    large = members.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select(F.col("lead").alias("l"), _dealt(F.col("n"), block).alias("blocks"))
+    large = written(large, "large-cells")
+    cells = led.withColumn("cell", F.lit(0).cast("bigint"))
+    if not large.isEmpty():
+        p, q = (F.pmod(F.xxhash64(c), F.coalesce("blocks", F.lit(1))) for c in ("a", "b"))
+        cells = led.join(if_small(large), F.col("lead") == F.col("l"), "left").select("lead", "a", "b", (F.least(p, q) * (1 << 31) + F.greatest(p, q)).alias("cell"))
+    ends = cells.select("lead", "cell", F.col("a").alias("key"), F.col("b").alias("other")).unionByName(cells.select("lead", "cell", F.col("b").alias("key"), F.lit(None).cast("bigint").alias("other")))
+    routes = ends.groupBy("lead", "cell", "key").agg(F.collect_list("other").alias("others"))
+    ids = texts.select("text_key", F.col("first_id").alias("id"))
+    routes = written(routes.join(ids, F.col("key") == F.col("text_key")).drop("text_key"), "routes")
     rows = docs.select(F.col("doc_id").alias("own_id"), _text_key(F.col("text")).alias("own_key"), whole_text(F.col("text")).cast("binary").alias("b"))
-    rows = rows.join(if_small(wanted), (rows["own_key"] == wanted["key"]) & rows["own_id"].eqNullSafe(wanted["id"])).select("key", "b")
-    return rows.mapInArrow(run, "key bigint, shingles array<bigint>").dropDuplicates(["key"])
+    rows = rows.join(if_small(routes, ROUTE_BYTES), (F.col("own_key") == F.col("key")) & F.col("own_id").eqNullSafe(F.col("id"))).select("lead", "cell", "key", "others", "b")
+    placed = rows.mapInArrow(sets, "lead bigint, cell bigint, key bigint, others array<bigint>, shingles array<bigint>")
+    return placed.repartition("lead", "cell").sortWithinPartitions("lead", "cell").mapInArrow(compare, "a bigint, b bigint")
 
 
-def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = TABLES) -> DataFrame:
+def _cell_links(held: dict, similarity: float) -> pa.RecordBatch:
+    """A spanning forest of the similar pairs of a cell; ``held`` has the partners and the shingles of each text."""
+    parent = {key: key for key in held}
+    links = []
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, (others, x) in held.items():
+        for b in others:
+            p, q = find(a), find(b)
+            if p == q:
+                continue
+            y = held[b][1]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both >= similarity * (len(x) + len(y) - both):
+                parent[p] = q
+                links.append((a, b))
+    return pa.RecordBatch.from_arrays([pa.array([link[i] for link in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _list_pairs(cell: np.ndarray, key: np.ndarray, root: np.ndarray, size: np.ndarray, pos: np.ndarray, side: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs of keys of different roots in one cell that sizes and places allow to be similar, a part at a time.
+
+    ``pos`` is the shingle's place in its set's order. Where it is the first that two sets share, they share no more than
+    what follows it in either, and so each similar pair passes in the list of its first shared shingle.
+    """
+    start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+    kept = np.repeat(mixed, np.diff(np.append(start, len(cell))))
+    if not kept.any():
+        return
+    cell, key, root, size, pos, side = (x[kept] for x in (cell, key, root, size, pos, side))
+    cell = np.cumsum(np.append(0, cell[1:] != cell[:-1]))
+    start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    # Pairs are counted from the entries outside a list's main root, so that a large class costs its size.
+    main = root[np.lexsort((root, cell))][start + np.diff(np.append(start, len(cell))) // 2]
+    order = np.lexsort((size, cell))
+    key, root, size, pos, side = (x[order] for x in (key, root, size, pos, side))
+    minor = root != main[cell]
+    span = int(size.max()) + 2
+    place = cell * span + size
+    at = np.flatnonzero(minor)
+    low = np.searchsorted(place, cell[at] * span + np.ceil(similarity * size[at] - SLACK).astype(np.int64))
+    high = np.searchsorted(place, cell[at] * span + np.minimum(np.floor(size[at] / similarity + SLACK).astype(np.int64), span - 1), "right")
+    many = np.cumsum(high - low)
+    cuts = np.searchsorted(many, np.arange(0, many[-1], PAIRS_OF_LISTS), "right")
+    for f, t in zip(cuts, np.append(cuts[1:], len(at))):
+        n = (high - low)[f:t]
+        i = np.repeat(at[f:t], n)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[f:t], n)
+        rest = np.minimum(size[i] - pos[i], size[j] - pos[j])
+        keep = (root[i] != root[j]) & ((i < j) | ~minor[j]) & ((side[i] != side[j]) | (side[i] == BOTH))
+        keep &= rest >= similarity / (1 + similarity) * (size[i] + size[j]) - SLACK
+        x, y = key[i[keep]], key[j[keep]]
+        if len(x):
+            yield np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1), axis=0)
+
+
+def _meetings(rows: DataFrame, roots: DataFrame, large: list[tuple[int, int]], similarity: float) -> DataFrame:
+    """``a, b``: all pairs of texts of different roots that may be similar; none that is similar is missing.
+
+    Two sets of similarity s share one of the first n - ceil(s n) + 1 shingles of each, in any order that is the same for
+    all. ``large`` names the shingles whose lists are dealt into pairs of blocks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                now = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+                held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            if held is None or not len(held[0]):
+                continue
+            new = np.append(True, (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
+            end = len(new) if batch is None else int(np.flatnonzero(new)[-1])  # the last list may go on
+            if not end:
+                continue
+            cell = np.cumsum(new[:end])
+            for got in _list_pairs(cell, *(x[:end] for x in held[2:]), similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], ["a", "b"])
+            held = [x[end:] for x in held]
+
+    rooted = rows.join(if_small(roots), F.col("text_key") == F.col("node"), "left")
+    entries = rooted.select("text_key", "root", "size", F.posexplode("head").alias("pos", "shingle"))
+    entries = entries.withColumn("cell", F.lit(0).cast("bigint")).withColumn("side", F.lit(BOTH))
+    if large:
+        lists = rows.sparkSession.createDataFrame(large, "s bigint, blocks int")
+        dealt = entries.drop("cell", "side").join(F.broadcast(lists), F.col("shingle") == F.col("s"), "left")
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("text_key"), F.coalesce("blocks", F.lit(1)))).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        side = F.when(F.col("own") == F.col("other"), BOTH).otherwise((F.col("own") > F.col("other")).cast("int"))
+        entries = dealt.select("text_key", "root", "size", "pos", "shingle", (F.least("own", "other") * (1 << 31) + F.greatest("own", "other")).alias("cell"), side.alias("side"))
+    once = entries.repartition("shingle", "cell").dropDuplicates(["shingle", "cell", "text_key"])
+    sorted_lists = once.select("shingle", "cell", "text_key", F.coalesce("root", "text_key").alias("root"), "size", "pos", "side").sortWithinPartitions("shingle", "cell")
+    return sorted_lists.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
     """``text_key, first_id, root`` of every distinct text: its class of texts of at least this shingle similarity (Jaccard).
 
-    Texts meet where one of their sample fingerprints is equal or linked by the index. In each such group the text with
-    the smallest key leads, and all others are compared with it by their whole shingle sets; those that aren't similar
-    to it meet again in the parts of the group that agree in one more fingerprint too, and so on until none is left. So
-    a passage that many texts share costs a few rounds, not one a text. Every link is exact; a pair that never meets is
-    missed (about one in fifty at the least similarity, fewer above it). Texts without any word are similar to each other.
+    Texts meet first where one of their sample fingerprints is equal or linked by the index; each such group is compared
+    with its member of the smallest key, which settles most of the classes. Then all texts of different classes meet that
+    share one of the first shingles of their sets, which similar ones must, so no similar pair is left out. Every link is
+    told by whole shingle sets; a class is all that chains of links reach. A large class costs about its size in each list;
+    only texts of different classes are paired. Texts without any word are similar to each other.
     """
-    texts = written(_sampled(docs.select("doc_id", "text"), width, tables), "sampled-texts")
-    all_prints = F.array(*[F.col(f"f{i}") for i in range(tables)]).alias("fps")
-    long = texts.select("text_key", "first_id", all_prints, F.inline(F.array(*[F.struct(F.lit(i).alias("sample"), F.col(f"f{i}").alias("fp")) for i in range(tables)])))
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be above 0 and at most 1")
+    docs = docs.select("doc_id", "text")
+    n = docs.count()
+    common = _common_shingles(docs, width, n)
+    rows = written(_sampled(docs, width, similarity, tables, common), "sampled-rows")
+    texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), *[F.max(F.get("fps", F.lit(i))).alias(f"f{i}") for i in range(tables)])
+    texts = written(texts, "sampled-texts")
+    long = texts.select("text_key", F.inline(F.array(*[F.struct(F.lit(i).alias("sample"), F.col(f"f{i}").alias("fp")) for i in range(tables)])))
     prints = written(long.groupBy("fp").agg(F.count("*").alias("n")), "sample-prints")
     linked = components(links(prints.select("fp")))
-    rooted = long.join(if_small(linked), F.col("fp") == F.col("node"), "left").select("text_key", "first_id", "sample", "fps", F.coalesce("root", "fp").alias("spot"))
-    sizes = rooted.groupBy("sample", "spot").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("sample").alias("s"), F.col("spot").alias("p"))
-    shared = rooted.join(if_small(written(sizes, "shared-prints")), (F.col("sample") == F.col("s")) & (F.col("spot") == F.col("p"))).select("text_key", "first_id", "sample", "fps", "spot")
-    left = written(shared, "sampled-groups")
-    wanted = left.select(F.col("text_key").alias("key"), F.col("first_id").alias("id")).distinct()
-    sets = written(_sets(docs, written(wanted, "met-texts"), width), "shingle-sets")
-    edges = []
-    for turn in count(1):
-        lead = left.groupBy("sample", "spot").agg(F.min("text_key").alias("b"))
-        met = left.join(lead, ["sample", "spot"]).filter(F.col("text_key") > F.col("b")).select(F.col("text_key").alias("a"), "b", "sample", "spot", "fps")
-        pairs = met.select("a", "b").distinct()
-        ours, theirs = (sets.select(F.col("key").alias(k), F.col("shingles").alias(n)) for k, n in (("a", "x"), ("b", "y")))
-        both = F.size(F.array_intersect("x", "y"))
-        told = pairs.join(ours, "a").join(theirs, "b").select("a", "b", (both >= similarity * (F.size("x") + F.size("y") - both)).alias("near"))
-        told = written(told, "compared-texts")
-        edges.append(told.filter("near").select("a", "b"))
-        apart = told.filter(~F.col("near")).select("a", "b")
-        if apart.isEmpty():
-            break
-        finer = F.xxhash64("spot", F.get("fps", F.pmod(F.col("sample") + turn, F.lit(tables))))
-        again = met.join(apart, ["a", "b"]).select(F.col("a").alias("text_key"), "sample", "fps", finer.alias("spot"))
-        left = written(again, "sampled-groups")
-    roots = components(_union(edges).distinct())
+    rooted = long.join(if_small(linked), F.col("fp") == F.col("node"), "left").select("text_key", "sample", F.coalesce("root", "fp").alias("spot"))
+    lead = rooted.groupBy("sample", "spot").agg(F.min("text_key").alias("b"), F.count("*").alias("n")).filter("n > 1").select(F.col("sample").alias("s"), F.col("spot").alias("p"), "b")
+    met = rooted.join(if_small(written(lead, "leaders")), (F.col("sample") == F.col("s")) & (F.col("spot") == F.col("p"))).filter(F.col("text_key") > F.col("b"))
+    first = written(_similar(docs, texts, met.select(F.col("text_key").alias("a"), "b").distinct(), width, similarity, block), "similar-texts")
+    # A list's length is told from the sample; one that it misses is only a larger cell.
+    guess = common[1] * (n / min(max(n, 1), ORDER_SAMPLE))
+    large = [(int(s), int(-(-g // block))) for s, g in zip(common[0].view(np.int64), guess) if g > block]
+    rest = written(_similar(docs, texts, _meetings(rows, components(first), large, similarity), width, similarity, block), "similar-texts")
+    roots = components(first.unionByName(rest))
     return texts.join(if_small(roots), F.col("text_key") == F.col("node"), "left").select("text_key", "first_id", F.coalesce("root", "text_key").alias("root"))
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for table in tables[1:]:
-        out = out.unionByName(table)
-    return out
-
-
 def keep_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each class of similar texts, with all its columns: the one with the smallest id.
 
