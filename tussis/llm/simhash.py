@@ -275,9 +275,11 @@ def hex_digits(fp):
 #: Fingerprints of samples per text, and shingles in a sample: two texts of similarity 0.8 share one of them with a chance of 0.98.
 TABLES = 8
 SAMPLE = 4
-#: Rows that tell which shingles are common, and the most of these that are sent to the tasks. Neither changes a class.
+#: Share of the rows, and rows at least, that tell which shingles are common, and the most of these that are sent to the
+#: tasks. They change no class, only how many texts meet in vain.
+ORDER_SHARE = 1 / 8
 ORDER_SAMPLE = 4_096
-MOST_COMMON = 32_768
+MOST_COMMON = 262_144
 #: Largest table of pairs' routes that is sent whole, and pairs of list entries that are looked at a time.
 ROUTE_BYTES = 32 << 20
 PAIRS_OF_LISTS = 1 << 20
@@ -315,8 +317,8 @@ def prefix_length(n: int, similarity: float) -> int:
     return max(1, min(n, n - math.ceil(similarity * n - SLACK) + 1))
 
 
-def _common_shingles(docs: DataFrame, width: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles seen twice or more in about ``ORDER_SAMPLE`` rows, ascending, and how often; at most ``MOST_COMMON``.
+def _common_shingles(docs: DataFrame, width: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles seen twice or more in a share ``rate`` of the rows, ascending, and how often; the ``MOST_COMMON`` most seen at most.
 
     They only put rare shingles before common ones and tell which lists to deal. Any order gives the same classes.
     """
@@ -326,9 +328,16 @@ def _common_shingles(docs: DataFrame, width: int, rows: int) -> tuple[np.ndarray
             for t in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_buffer().to_pybytes(), width).view(np.int64))], ["shingle"])
 
-    drawn = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, ORDER_SAMPLE / max(rows, 1)) * (1 << 30)))
+    drawn = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(rate * (1 << 30)))
     seen = drawn.select(whole_text(F.col("text")).cast("binary").alias("b")).mapInArrow(run, "shingle bigint")
-    often = seen.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
+    often = written(seen.groupBy("shingle").agg(F.count(F.lit(1)).cast("long").alias("n")).filter("n > 1"), "common-shingles")
+    least, total = 2, 0
+    for n, many in sorted(((r.n, r.many) for r in often.groupBy("n").agg(F.count(F.lit(1)).alias("many")).collect()), reverse=True):
+        total += many
+        if total > MOST_COMMON:
+            least = n + 1
+            break
+    often = often.filter(F.col("n") >= least).toArrow()
     shingles, n = often["shingle"].to_numpy().view(np.uint64), often["n"].to_numpy()
     order = np.argsort(shingles)
     return shingles[order], n[order]
@@ -517,7 +526,8 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, tabl
         raise ValueError("similarity must be above 0 and at most 1")
     docs = docs.select("doc_id", "text")
     n = docs.count()
-    common = _common_shingles(docs, width, n)
+    rate = min(1.0, max(ORDER_SHARE, ORDER_SAMPLE / max(n, 1)))
+    common = _common_shingles(docs, width, rate)
     rows = written(_sampled(docs, width, similarity, tables, common), "sampled-rows")
     texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), *[F.max(F.get("fps", F.lit(i))).alias(f"f{i}") for i in range(tables)])
     texts = written(texts, "sampled-texts")
@@ -529,7 +539,7 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, tabl
     met = rooted.join(if_small(written(lead, "leaders")), (F.col("sample") == F.col("s")) & (F.col("spot") == F.col("p"))).filter(F.col("text_key") > F.col("b"))
     first = written(_similar(docs, texts, met.select(F.col("text_key").alias("a"), "b").distinct(), width, similarity, block), "similar-texts")
     # A list's length is told from the sample; one that it misses is only a larger cell.
-    guess = common[1] * (n / min(max(n, 1), ORDER_SAMPLE))
+    guess = common[1] / rate
     large = [(int(s), int(-(-g // block))) for s, g in zip(common[0].view(np.int64), guess) if g > block]
     rest = written(_similar(docs, texts, _meetings(rows, components(first), large, similarity), width, similarity, block), "similar-texts")
     roots = components(first.unionByName(rest))
