@@ -205,3 +205,21 @@ def test_writers_at_once_lose_nothing(spark):
         pool.map(lambda i: VersionedTable(spark, path).append(spark.createDataFrame([(i,)], "id INT").coalesce(1)), range(8))
     table = VersionedTable(spark, path)
     assert sorted(r.id for r in table.read("id INT").collect()) == list(range(8)) and len(table.versions()) == 8
+
+
+def test_a_table_of_many_files_is_streamed_whole(spark):
+    """A table may be one file or a folder of files, beside other tables; a query over the folder has every recording."""
+    from tussis.plans import streaming_plans
+
+    folder = scratch_path(spark, "tables")
+    rows = [(i, [0.01 * ((i * j) % 60) for j in range(1, 65)], i % 10) for i in range(40)]
+    for name in ("embeddings", "others"):
+        spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<FLOAT>, label INT").repartition(6).write.parquet(f"{folder}/{name}.parquet")
+    streamed, batch = (f(spark, folder) for f in (streaming_plans.stream_score, streaming_plans.screen_batch))
+    assert sorted(map(str, streamed.collect())) == sorted(map(str, batch.select(*streamed.columns).collect()))
+    one = f"{folder}/others.parquet"
+    part = next(r.path.rsplit("/", 1)[1] for r in spark.read.format("binaryFile").load(one).select("path").collect())
+    out = scratch_path(spark, "one-file")
+    stream = common.read_table(spark, one, part, spark.read.parquet(one).schema)
+    common.available_now(common.write_batches(stream, out, "append"), spark)
+    assert spark.read.parquet(out).count() == spark.read.parquet(f"{one}/{part}").count()
