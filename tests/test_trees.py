@@ -194,3 +194,12 @@ def test_constant_columns_single_class_and_empty_parts(spark):
     grown = trees.grow(data, trees.TreeSpec(trees=2, depth=3, bootstrap=True))
     assert not grown[0][0].cuts and not grown[1][0].cuts and not grown[2][0].counts
     assert boosting.adaboost(data, 3, 0.5)[2] == [] and len(boosting.gradient_trees(data, 2, 2, 0.1)[0]["forest"]["roots"]) == 2
+
+
+def test_parts_within_the_bytes_of_a_task_are_boosted_by_one_job(spark, monkeypatch):
+    """Rounds that need the round before are no jobs of their own where a task holds the part's bins."""
+    x, y = overlapping(21_000, dims=2, seed=8)
+    data = trees.training([frame(spark, x, y)])
+    far = boosting.gradient_trees(data, 2, 2, 0.3, small=0)
+    monkeypatch.setattr(boosting, "_distributed_step", None)
+    assert boosting.gradient_trees(data, 2, 2, 0.3) == far

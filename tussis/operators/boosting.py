@@ -3,8 +3,8 @@
 A round of stumps is one job: a scan works out every row's weight from the stumps so far, adds the weights up by
 (part, feature, bin, class), and prefix sums give the best stump of each feature; one row per part and feature comes
 back. A gradient tree takes one such job a level. No table of weights is ever written: the model says what they are.
-Parts of at most ``small`` rows are boosted to the end by one task each, with the same functions. Gradients are summed
-as whole multiples of 2^-30, so that sums don't depend on how rows are spread.
+Parts of at most ``small`` rows (by default what is a bounded number of bytes) are boosted to the end by one task each, with
+the same functions. Gradients are summed as whole multiples of 2^-30, so that sums don't depend on how rows are spread.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from tussis.operators import trees as T
 
 UNIT = 2.0**30
 BINS = T.BINS + 1
+#: Fewer gradients than this (each within a unit) add up as floats without rounding.
+EXACT_ROWS = 1 << 22
 
 
 # -- stumps -----------------------------------------------------------------------
@@ -57,9 +59,11 @@ def _weights(stumps: Sequence[dict], x: np.ndarray, y: np.ndarray) -> np.ndarray
 
 
 def _sums(b: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    width = b.shape[1]
-    cells = (np.arange(width) * BINS + b) * 2 + y[:, None]
-    return np.bincount(cells.ravel(), np.repeat(w, width), width * BINS * 2).reshape(width, BINS, 2)
+    """Sums of weights (features, bins, 2), feature by feature: a feature's cells stay in the processor's cache."""
+    out = np.empty((b.shape[1], BINS, 2))
+    for f in range(b.shape[1]):
+        out[f] = np.bincount(b[:, f].astype(np.int64) * 2 + y, w, BINS * 2).reshape(BINS, 2)
+    return out
 
 
 def _judged(stump: dict, stumps: list[dict], rate: float) -> bool:
@@ -76,8 +80,9 @@ def _judged(stump: dict, stumps: list[dict], rate: float) -> bool:
 STUMPS = "part int, feature int, threshold double, low int, high int, error double, alpha double"
 
 
-def adaboost(data: T.Training, rounds: int, rate: float, small: int = T.SMALL_ROWS) -> dict[int, list[dict]]:
+def adaboost(data: T.Training, rounds: int, rate: float, small: int | None = None) -> dict[int, list[dict]]:
     """Stumps (feature, threshold, low, high, error, alpha) of every part."""
+    small = T.small_rows(data, values=True) if small is None else small
     out: dict[int, list[dict]] = {part: [] for part in data.sizes}
     near = {part for part, n in data.sizes.items() if sum(n) <= small}
     if near:
@@ -138,9 +143,10 @@ def _boost_stumps(data: T.Training, parts: set[int], rounds: int, rate: float) -
 
 
 def _whole(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values, bins and labels of a small part, in the order of the row keys."""
+    """Values, bins and labels of a small part, in the order of the row keys; features lie one after the other."""
     table = table.sort_by([("key", "ascending"), ("x", "ascending")])
-    return T.unpack(table.column("x"), np.float64), T.unpack(table.column("b"), np.uint8).astype(np.int64), table.column("y").to_numpy().astype(np.int64)
+    x, b = T.unpack(table.column("x"), np.float64), T.unpack(table.column("b"), np.uint8)
+    return np.asfortranarray(x), np.asfortranarray(b), table.column("y").to_numpy().astype(np.int64)
 
 
 # -- gradient trees ----------------------------------------------------------------
@@ -175,10 +181,14 @@ def _added(cells: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
 def _level_sums(node: np.ndarray, b: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(nodes, gradient sums, counts) with sums as (nodes, features, bins)."""
     names, place = np.unique(node, return_inverse=True)
-    width = b.shape[1]
-    cells = ((place[:, None] * width + np.arange(width)) * BINS + b).ravel()
-    size = len(names) * width * BINS
-    return names, _added(cells, np.repeat(g, width), size).reshape(-1, width, BINS), np.bincount(cells, minlength=size).reshape(-1, width, BINS)
+    width, size = b.shape[1], len(names) * BINS
+    sums, counts = (np.empty((len(names), width, BINS), dtype=np.int64) for _ in range(2))
+    first, exact = place * BINS, g.astype(np.float64) if len(g) < EXACT_ROWS else None
+    for f in range(width):  # a feature's cells stay in the processor's cache
+        cells = first + b[:, f]
+        added = _added(cells, g, size) if exact is None else np.bincount(cells, exact, size).astype(np.int64)
+        sums[:, f], counts[:, f] = added.reshape(-1, BINS), np.bincount(cells, minlength=size).reshape(-1, BINS)
+    return names, sums, counts
 
 
 def _leaf(g: int, h: int, rate: float) -> float:
@@ -218,7 +228,8 @@ def _fit_step(b: np.ndarray, g: np.ndarray, h: np.ndarray, edges: Sequence[np.nd
     cuts: dict[int, tuple[int, float, float]] = {}
     open_rows = np.arange(len(g))
     for _ in range(depth):
-        names, gs, ns = _level_sums(node[open_rows], b[open_rows], g[open_rows])
+        whole = len(open_rows) == len(g)
+        names, gs, ns = _level_sums(*((node, b, g) if whole else (node[open_rows], b[open_rows], g[open_rows])))
         grown = np.zeros(len(g), dtype=bool)
         for name, g1, n1 in zip(names, gs, ns):
             found = best_step(g1, n1)
@@ -239,8 +250,9 @@ def _fit_step(b: np.ndarray, g: np.ndarray, h: np.ndarray, edges: Sequence[np.nd
 STEPS = "part int, step int, f array<int>, t array<double>, l array<int>, r array<int>, v array<double>"
 
 
-def gradient_trees(data: T.Training, rounds: int, depth: int, rate: float, small: int = T.SMALL_ROWS) -> dict[int, dict]:
+def gradient_trees(data: T.Training, rounds: int, depth: int, rate: float, small: int | None = None) -> dict[int, dict]:
     """{"base": log odds, "forest": arrays of all trees} of every part."""
+    small = T.small_rows(data) if small is None else small
     out: dict[int, list[dict]] = {part: [] for part in data.sizes}
     near = {part for part, n in data.sizes.items() if 0 < sum(n) <= small}
     if near:
@@ -259,7 +271,7 @@ def _boost_trees(data: T.Training, parts: set[int], rounds: int, depth: int, rat
 
     def build(key, table):
         part = key[0].as_py()
-        _, b, y = _whole(table)
+        b, y = np.asfortranarray(T.unpack(table.column("b"), np.uint8)), table.column("y").to_numpy().astype(np.int64)
         margin, steps = np.full(len(y), _start(sizes[part])), []
         for step in range(rounds):
             tree, gain = _fit_step(b, *_gradients(y, margin), edges[part], depth, rate)
@@ -267,7 +279,7 @@ def _boost_trees(data: T.Training, parts: set[int], rounds: int, depth: int, rat
             steps.append({"part": part, "step": step, **tree})
         return pa.Table.from_pylist(steps, schema=schema)
 
-    return data.rows.filter(F.col("part").isin(sorted(parts))).groupBy("part").applyInArrow(build, STEPS)
+    return data.rows.filter(F.col("part").isin(sorted(parts))).select("part", "y", "b").groupBy("part").applyInArrow(build, STEPS)
 
 
 SUMS = "part int, node long, feature int, bin int, g long, h long, n long"

@@ -3,7 +3,8 @@
 Step t takes the rows whose hash of (seed, t, key) falls below the batch share, so that a lost task draws the same batch.
 Inside a task their gradients are added up, a group-by adds the tasks, and one vector a part moves: a job a step. The
 step length follows the largest curvature (from one pass of second moments) and falls with the square root of the step;
-the result is the mean of the later half of the path. Parts of at most ``small`` rows take the same steps in one task.
+the result is the mean of the later half of the path. Parts of at most ``small`` rows (by default what is a bounded number
+of bytes) take the same steps in one task.
 """
 
 from __future__ import annotations
@@ -78,8 +79,9 @@ def _add_tables(schema: str):
 PATH = "part int, sums binary"
 
 
-def sgd(data: T.Training, alpha: float = 1e-4, steps: int = 1500, batch: int = 256, seed: int = 42, small: int = T.SMALL_ROWS) -> dict[int, dict]:
+def sgd(data: T.Training, alpha: float = 1e-4, steps: int = 1500, batch: int = 256, seed: int = 42, small: int | None = None) -> dict[int, dict]:
     """{"weights": ..., "intercept": ...} of every part."""
+    small = T.small_rows(data, values=True) if small is None else small
     lengths = {part: _length(m, alpha) for part, m in curvature(data).items()}
     mean: dict[int, np.ndarray] = {}
     near = sorted(part for part in lengths if sum(data.sizes[part]) <= small)

@@ -31,6 +31,8 @@ from tussis.session import durable
 
 BINS = 255
 SMALL_ROWS = 20_000
+#: Bytes of bins, and of values, with which one task takes all rounds of a method that can't do without the round before.
+SMALL_BYTES, SMALL_VALUES = 32 << 20, 64 << 20
 #: Cells of partial counts that a task gathers before it hands them on.
 CELLS = 1 << 20
 
@@ -249,6 +251,11 @@ def training(parts: Sequence[DataFrame], features: str = "features", target: str
     return Training(packed, width, {k: tuple(v) for k, v in sizes.items()}, edges)
 
 
+def small_rows(data: Training, values: bool = False) -> int:
+    """Rows of a part that one task holds through many rounds: as bins, or as values too."""
+    return max(SMALL_ROWS, SMALL_VALUES // (8 * max(1, data.width)) if values else SMALL_BYTES // max(1, data.width))
+
+
 def unpack(column, dtype) -> np.ndarray:
     data = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.frombuffer(b"".join(data.to_pylist()), dtype=dtype).reshape(len(data), -1)
@@ -367,9 +374,9 @@ def _level(data: Training, spec: TreeSpec, state) -> DataFrame:
 
     def count(batches):
         forest, large = state.value
-        for part, tree, node, rows, times, y, own in _placed(batches, spec, forest, large, "b"):
+        for part, tree, node, rows, times, y, cells in _placed(batches, spec, forest, large, "b"):
             features = drawn_features(spec, tree, node, width)
-            sub = unpack(own.take(pa.array(rows)), np.uint8)[:, features].astype(np.int64)
+            sub = cells[np.ix_(rows, features)].astype(np.int64)
             cells = (np.arange(len(features)) * (BINS + 1) + sub) * 2 + y[rows][:, None]
             counts = np.bincount(cells.ravel(), np.repeat(times[rows], len(features)), len(features) * (BINS + 1) * 2).reshape(-1, 2).astype(np.int64)
             seen = np.bincount((cells // 2).ravel(), minlength=len(counts))
@@ -395,7 +402,7 @@ def _level(data: Training, spec: TreeSpec, state) -> DataFrame:
 
 
 def _placed(batches, spec: TreeSpec, forest, large, column: str):
-    """For each large node the rows of a batch that have reached it."""
+    """For each large node the rows of a batch that have reached it, and the batch's bins or values."""
     for batch in batches:
         for part, own in _by_part(batch):
             keys, y, x = np.asarray(own.column("key")), np.asarray(own.column("y")).astype(np.int64), None
@@ -403,14 +410,15 @@ def _placed(batches, spec: TreeSpec, forest, large, column: str):
                 nodes = large.get((part, tree))
                 if not nodes:
                     continue
-                if x is None:
+                if x is None:  # once for all trees
                     x = unpack(own.column("x"), np.float64)
+                    cells = x if column == "x" else unpack(own.column(column), np.uint8)
                 times = multiplicity(spec, tree, keys)
                 at = where_now(forest[part][tree], x)
                 for node in nodes:
                     rows = np.nonzero((at == node) & (times > 0))[0]
                     if len(rows):
-                        yield part, tree, node, rows, times, y, own.column(column)
+                        yield part, tree, node, rows, times, y, cells
 
 
 EXTREMES = "part int, tree int, node long, feature int, low double, high double"
@@ -423,9 +431,9 @@ def _random_level(data: Training, spec: TreeSpec, state, weights) -> DataFrame:
 
     def extremes(batches):
         forest, large = state.value
-        for part, tree, node, rows, _, _, own in _placed(batches, spec, forest, large, "x"):
+        for part, tree, node, rows, _, _, x in _placed(batches, spec, forest, large, "x"):
             features = drawn_features(spec, tree, node, width)
-            sub = unpack(own.take(pa.array(rows)), np.float64)[:, features]
+            sub = x[np.ix_(rows, features)]
             n = len(features)
             yield _table([[part] * n, [tree] * n, [node] * n, features, sub.min(axis=0), sub.max(axis=0)], EXTREMES)
 
@@ -441,9 +449,9 @@ def _random_level(data: Training, spec: TreeSpec, state, weights) -> DataFrame:
 
     def sides(batches):
         forest, large = state.value
-        for part, tree, node, rows, times, y, own in _placed(batches, spec, forest, large, "x"):
+        for part, tree, node, rows, times, y, x in _placed(batches, spec, forest, large, "x"):
             features, cuts = sent.value[part, tree, node]
-            goes = unpack(own.take(pa.array(rows)), np.float64)[:, features] <= cuts
+            goes = x[np.ix_(rows, features)] <= cuts
             t, ones, n = times[rows], times[rows] * y[rows], len(features)
             l1, n1 = ones @ goes, int(ones.sum())
             yield _table([[part] * n, [tree] * n, [node] * n, features, cuts, t @ goes - l1, l1, [int(t.sum()) - n1] * n, [n1] * n, [len(rows)] * n, goes.sum(axis=0)], SIDES)
