@@ -149,3 +149,14 @@ def test_long_and_wide_votes_agree(spark):
     long = evaluate.consensus(df.select("i", F.inline(scoring.model_rows({c: F.col(c) for c in "abcd"}))), "i")
     assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, long.collect()))
     assert {r["consensus"] for r in wide.where("disease_votes = 2").collect()} == {"Healthy signal"}
+
+
+def test_families_side_by_side_are_fitted_once(spark, folder, monkeypatch):
+    """The ensemble takes over its members' fits, and all growers share one table of training rows."""
+    from tussis.plans import training_plans as P
+
+    calls = []
+    monkeypatch.setattr(models.trees, "training", lambda *a, plain=models.trees.training, **b: calls.append(1) or plain(*a, **b))
+    monkeypatch.setattr(P, "_FAMILIES", models.model_families(models.QUICK))
+    rows = P.compare_fitted(spark, folder)
+    assert len(calls) == 1 and {r.model for r in rows.select("model").distinct().collect()} == set(P._FAMILIES)

@@ -82,8 +82,11 @@ _register("fit_knn", "knn", rows=_rows, per_class=0, sql="""WITH c AS (SELECT ve
 def compare_fitted(spark, folder):
     """All families side by side on the held-out rows."""
     part = _held_out(_apart(spark, folder))
-    fitted = [replace(fit(part.train), name=name) for name, fit in _FAMILIES.items()]
-    return M.compare_fitted(fitted, part.test, ["row_key"], {"random_forest": 0.7857}).select("row_key", "model", "label", "prediction", "accuracy")
+    errors: dict[str, str] = {}
+    fitted = M.fit_parts(_FAMILIES, [part], errors)
+    if errors:
+        raise ValueError("; ".join(f"{name}: {error}" for name, error in errors.items()))
+    return M.compare_fitted([replace(fitted[name][0], name=name) for name in _FAMILIES], part.test, ["row_key"], {"random_forest": 0.7857}).select("row_key", "model", "label", "prediction", "accuracy")
 
 
 @query("cv_accuracy", """WITH e AS (SELECT vec_id, (label >= 5)::INTEGER AS target, (row_number() OVER (PARTITION BY label >= 5 ORDER BY vec_id) - 1) % 5 AS fold, embedding FROM embeddings),
