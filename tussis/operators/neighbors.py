@@ -2,7 +2,8 @@
 
 Rows are packed into blocks of bounded size, one row with the ids and one matrix each, on both sides. Every query block
 meets every corpus block of its group once, so what moves is a copy of the queries for each corpus block, as
-packed matrices; a task compares two blocks by one matrix product, works out the exact distance only of what can
+packed matrices. Corpus blocks grow with the group up to ``TILE_BYTES``, so that copies are few; a task compares a query block
+with one piece of a corpus block after the other, by a matrix product each, works out the exact distance only of what can
 be among the nearest, and hands on k candidates per query. One way for all sizes.
 
 An exact search has to look at every pair unless the data are clustered. Where a share of the neighbours is enough,
@@ -23,6 +24,8 @@ from tussis.operators.sizing import join_measured
 
 DIGITS = 9
 BLOCK_ROWS = 2048
+#: A group's corpus is cut into ``TILES`` blocks (fewer where rows are few), and into more where they would exceed ``TILE_BYTES``.
+TILES, TILE_BYTES = 12, 8 << 20
 #: Distances of a matrix product are off by rounding; what lies this much beyond the k-th (of the vectors' size) is looked at again.
 SLACK = 1e-6
 
@@ -60,28 +63,37 @@ def _block_counts(df: DataFrame, by: list[str], rows: int) -> DataFrame:
     return df.groupBy(*by).agg(F.ceil(F.count("*") / rows).cast("int").alias("n_blocks"))
 
 
+def _tile_counts(df: DataFrame, by: list[str], rows: int) -> DataFrame:
+    """Corpus blocks of a group: no smaller than ``rows`` rows, and then as few and large as tiles may be."""
+    tiles = F.greatest(F.least(F.ceil(F.count("*") / rows), F.lit(TILES)), F.ceil(F.sum(F.size("vec")) * 8 / TILE_BYTES))
+    return df.groupBy(*by).agg(tiles.cast("int").alias("n_blocks"))
+
+
 def _with_blocks(df: DataFrame, by: list[str], counts: DataFrame) -> DataFrame:
     if by:
         return join_measured(df, counts, by)
     return df.withColumn("n_blocks", counts.select("n_blocks").scalar())
 
 
-def _packed(df: DataFrame, by: list[str], rows: int) -> DataFrame:
-    """One row (by..., block, ids, matrix) per block of about ``rows`` rows (``id``, ``vec``)."""
-    placed = _with_blocks(df, by, _block_counts(df, by, rows)).withColumn("block", F.pmod(F.xxhash64("id"), F.greatest("n_blocks", F.lit(1))))
+def _packed(df: DataFrame, by: list[str], counts: DataFrame) -> DataFrame:
+    """One row (by..., block, ids, matrix) per block of rows (``id``, ``vec``)."""
+    placed = _with_blocks(df, by, counts).withColumn("block", F.pmod(F.xxhash64("id"), F.greatest("n_blocks", F.lit(1))))
     return packed_blocks(placed, [*by, "block"])
 
 
-def packed_blocks(placed: DataFrame, places: list[str]) -> DataFrame:
-    """One row (places..., ids, matrix) for all rows (``id``, ``vec``) of the same places."""
+def packed_blocks(placed: DataFrame, places: list[str], tags: str | None = None) -> DataFrame:
+    """One row (places..., ids, matrix) for all rows (``id``, ``vec``) of the same places; with the rows' whole numbers ``tags``, if named."""
     fields = [T.StructField(p, placed.schema[p].dataType) for p in places]
     schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(placed.schema["id"].dataType)), T.StructField("matrix", T.BinaryType())])
+    if tags:
+        schema = schema.add(tags, T.ArrayType(T.IntegerType()))
 
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         matrix = np.stack([np.asarray(v, dtype=np.float64) for v in part["vec"]])
-        return pd.DataFrame([[*key, part["id"].tolist(), matrix.tobytes()]], columns=schema.names)
+        extra = [part[tags].tolist()] if tags else []
+        return pd.DataFrame([[*key, part["id"].tolist(), matrix.tobytes(), *extra]], columns=schema.names)
 
-    return placed.select(*places, "id", "vec").groupBy(*places).applyInPandas(pack, schema)
+    return placed.select(*places, "id", "vec", *([tags] if tags else [])).groupBy(*places).applyInPandas(pack, schema)
 
 
 def _top(found: DataFrame, k: int, by: list[str]) -> DataFrame:
@@ -110,15 +122,30 @@ def nearest_neighbors(
     by = list(by)
     schema = _schema(by, queries, query_id, corpus, corpus_id)
     vec = F.col(vector).cast("array<double>").alias("vec")
-    asked = _packed(queries.select(*by, F.col(query_id).alias("id"), vec), by, block_rows)
+    wanted = queries.select(*by, F.col(query_id).alias("id"), vec)
+    asked = _packed(wanted, by, _block_counts(wanted, by, block_rows))
     rows = corpus.select(*by, F.col(corpus_id).alias("id"), vec)
-    blocks = _packed(rows, by, block_rows).withColumnsRenamed({"ids": "c_ids", "matrix": "c_matrix"})
-    sent = _with_blocks(asked.withColumnRenamed("block", "q_block"), by, _block_counts(rows, by, block_rows)).where("n_blocks > 0")
+    blocks = _packed(rows, by, _tile_counts(rows, by, block_rows)).withColumnsRenamed({"ids": "c_ids", "matrix": "c_matrix"})
+    sent = _with_blocks(asked.withColumnRenamed("block", "q_block"), by, _tile_counts(rows, by, block_rows)).where("n_blocks > 0")
     sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)))
     pairs = sent.join(blocks, [*by, "block"]).select(*by, "ids", "matrix", "c_ids", "c_matrix")
     return _top(pairs.mapInPandas(block_match(schema, by, k, exclude_same), schema), k, by)
 
 
+def closest_in_pieces(qv: np.ndarray, qid: np.ndarray, cv: np.ndarray, cid: np.ndarray, k: int, exclude_same: bool) -> pd.DataFrame:
+    """``closest``, with the corpus cut into pieces of ``BLOCK_ROWS`` rows: a product is never larger than a block of each."""
+    if len(cid) <= BLOCK_ROWS:
+        return closest(qv, qid, cv, cid, k, exclude_same)
+    pieces = (slice(at, at + BLOCK_ROWS) for at in range(0, len(cid), BLOCK_ROWS))
+    return best_of([closest(qv, qid, cv[p], cid[p], k, exclude_same) for p in pieces], k)
+
+
+def best_of(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    """The first ``k`` rows of each query by (distance, id)."""
+    near = pd.concat(found, ignore_index=True).sort_values(["query_id", "distance", "neighbor_id"], kind="stable")
+    return near[near.groupby("query_id", sort=False, dropna=False).cumcount() < k]
+
+
 def block_match(schema: T.StructType, by: list[str], k: int, exclude_same: bool):
     """Compares the two blocks of each row (by..., ids, matrix, c_ids, c_matrix)."""
     names = schema.names
@@ -128,7 +155,7 @@ def block_match(schema: T.StructType, by: list[str], k: int, exclude_same: bool)
             for *group, ids, matrix, c_ids, c_matrix in zip(*(batch[c] for c in batch.columns)):
                 qid, cid = np.asarray(ids), np.asarray(c_ids)
                 qv, cv = (np.frombuffer(m, np.float64).reshape(len(i), -1) for m, i in ((matrix, qid), (c_matrix, cid)))
-                near = closest(qv, qid, cv, cid, k, exclude_same)
+                near = closest_in_pieces(qv, qid, cv, cid, k, exclude_same)
                 for name, value in zip(by, group):
                     near[name] = value
                 yield near[names]
