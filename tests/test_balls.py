@@ -39,3 +39,34 @@ def test_pivots_are_far_apart():
     rows = np.array([[0.0], [0.1], [5.0], [5.1], [0.1]])
     assert sorted(balls.farthest_points(rows, 3)[:, 0]) in ([0.0, 0.1, 5.1], [0.0, 5.0, 5.1], [0.0, 0.1, 5.0])
     assert len(balls.farthest_points(rows, 10)) == 4 and len(balls.farthest_points(rows[:0], 3)) == 0
+
+
+@pytest.mark.parametrize("search", ["plain", "balls"])
+def test_copies_of_the_queries_do_not_grow_with_blocks_and_balls(spark, monkeypatch, search):
+    """Rows on no cluster: every block and every ball meets all others, and yet few packed pairs travel."""
+    rng = np.random.default_rng(4)
+    made = [(i, [float(v) for v in row]) for i, row in enumerate(rng.normal(size=(1200, 8)))]
+    df = spark.createDataFrame(made, "id long, x array<double>")
+    x = np.array([v for _, v in made])
+    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(apart, np.inf)
+    expected = {(i, int(j)) for i in range(1200) for j in np.argsort(apart[i])[:3]}
+    seen = spark.sparkContext.accumulator(0)
+    module, name = (neighbors, "block_match") if search == "plain" else (balls, "_bundle_match")
+    plain = getattr(module, name, neighbors.block_match)
+
+    def counted(*args):
+        match = plain(*args)
+
+        def run(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield from match([batch])
+
+        return run
+
+    monkeypatch.setattr(module if hasattr(module, name) else neighbors, name if hasattr(module, name) else "block_match", counted)
+    options = {"query_id": "id", "corpus_id": "id", "vector": "x", "exclude_same": True, "block_rows": 30}
+    near = neighbors.nearest_neighbors(df, df, 3, **options) if search == "plain" else balls.nearest_in_balls(df, df, 3, pivots=40, **options)[0]
+    assert {(r.query_id, r.neighbor_id) for r in near.collect()} == expected
+    assert 0 < seen.value <= 40 * 12

@@ -4,8 +4,9 @@ Pivots are rows far apart (farthest-point traversal over a bounded sample). Ever
 a ball keeps the interval of its members' distances to the pivot. From pivot distances and intervals follow a least and
 a largest distance between any two members of two balls. For a ball of queries, the largest distances of its nearest
 corpus balls bound the k-th neighbour, and every corpus ball whose least distance lies beyond that bound is left out.
-Only pairs of balls that remain are joined, block by block, and compared as in ``neighbors``. The
-answer is the same as without pruning; how much is left of the work depends on how clustered the rows are.
+Only pairs of balls that remain are compared, as in ``neighbors``. Blocks of balls travel in bundles as large as the blocks
+there: a bundle of queries meets a bundle of corpus rows once, with the list of their pairs of balls that remain, so that
+copies of the queries don't grow with the number of balls. The answer is the same as without pruning; how much is left of the work depends on how clustered the rows are.
 """
 
 from __future__ import annotations
@@ -65,6 +66,31 @@ def _placed(rows: DataFrame, pivots: np.ndarray, block_rows: int, by: list[str])
     return placed.join(sizes, [*by, "ball"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
+def _bundled(placed: DataFrame, by: list[str], counts: DataFrame) -> DataFrame:
+    """Blocks of balls dealt into bundles; a ball of many blocks is in many bundles."""
+    return N._with_blocks(placed, by, counts).withColumn("bundle", F.pmod(F.xxhash64("ball", "block"), F.greatest("n_blocks", F.lit(1))).cast("int"))
+
+
+def _bundle_match(schema: T.StructType, by: list[str], k: int, exclude_same: bool):
+    """Compares the balls of two bundles that may hold neighbours of each other."""
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for *group, ids, matrix, own, c_ids, c_matrix, theirs, q_kept, c_kept in zip(*(batch[c] for c in batch.columns)):
+                qid, cid, own, theirs, q_kept, c_kept = (np.asarray(v) for v in (ids, c_ids, own, theirs, q_kept, c_kept))
+                qv, cv = (np.frombuffer(m, np.float64).reshape(len(i), -1) for m, i in ((matrix, qid), (c_matrix, cid)))
+                for ball in np.unique(q_kept):
+                    mine, near_by = own == ball, np.isin(theirs, c_kept[q_kept == ball])
+                    if not mine.any() or not near_by.any():
+                        continue
+                    near = N.closest_in_pieces(qv[mine], qid[mine], cv[near_by], cid[near_by], k, exclude_same)
+                    for name, value in zip(by, group):
+                        near[name] = value
+                    yield near[schema.names]
+
+    return match
+
+
 def _summary(placed: DataFrame, by: list[str], side: str) -> DataFrame:
     return placed.groupBy(*by, "ball").agg(F.lit(side).alias("side"), F.count("*").alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high"))
 
@@ -120,9 +146,15 @@ def nearest_in_balls(
     pairs = durable(ball_pairs(q, c, chosen, k + int(exclude_same), by))
     visited = pairs.agg((F.sum(F.when(F.col("kept"), F.col("n_q") * F.col("n_c")).otherwise(0)) / F.sum(F.col("n_q") * F.col("n_c"))).alias("visited"))
 
-    places = [*by, "ball", "block"]
-    ours = N.packed_blocks(q, places).withColumnsRenamed({"ball": "q_ball", "block": "q_block"})
-    theirs = N.packed_blocks(c, places).withColumnsRenamed({"ball": "c_ball", "block": "c_block", "ids": "c_ids", "matrix": "c_matrix"})
-    met = ours.join(pairs.filter("kept").select(*by, "q_ball", "c_ball"), [*by, "q_ball"]).join(theirs, [*by, "c_ball"])
-    found = met.select(*by, "ids", "matrix", "c_ids", "c_matrix").mapInPandas(N.block_match(schema, by, k, exclude_same), schema)
+    q = _bundled(q, by, N._block_counts(asked, by, block_rows))
+    c = _bundled(c, by, N._tile_counts(rows, by, block_rows))
+    left = pairs.filter("kept").select(*by, "q_ball", "c_ball")
+    for side, rows_of in (("q", q), ("c", c)):
+        left = left.join(rows_of.select(*by, F.col("ball").alias(f"{side}_ball"), F.col("bundle").alias(f"{side}_bundle")).distinct(), [*by, f"{side}_ball"])
+    left = left.groupBy(*by, "q_bundle", "c_bundle").agg(F.collect_list("q_ball").alias("q_kept"), F.collect_list("c_ball").alias("c_kept"))
+    places = [*by, "bundle"]
+    ours = N.packed_blocks(q, places, "ball").withColumnsRenamed({"bundle": "q_bundle", "ball": "balls"})
+    theirs = N.packed_blocks(c, places, "ball").withColumnsRenamed({"bundle": "c_bundle", "ids": "c_ids", "matrix": "c_matrix", "ball": "c_balls"})
+    met = ours.join(left, [*by, "q_bundle"]).join(theirs, [*by, "c_bundle"])
+    found = met.select(*by, "ids", "matrix", "balls", "c_ids", "c_matrix", "c_balls", "q_kept", "c_kept").mapInPandas(_bundle_match(schema, by, k, exclude_same), schema)
     return N._top(found, k, by), visited
